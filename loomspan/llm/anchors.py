@@ -110,13 +110,14 @@ def anchored(docs: DataFrame, id_col: str, text_col: str, read: Callable[[bytes]
             )
 
     texts = distinct_texts(docs, id_col, text_col)
-    scanned = materialize(texts.mapInArrow(scan, "digest binary, first_id long, copies long, items long, whole string, h array<long>, p array<int>"), f"{tag}-scan")
+    scanned = materialize(texts.mapInArrow(scan, "digest binary, first_id long, copies long, items long, whole string, h array<long>, p array<int>"), f"{tag}-scan", free=True)
     anchors = scanned.select("digest", F.explode(F.arrays_zip("h", "p")).alias("a")).select("digest", F.col("a.h").alias("h"), F.col("a.p").alias("p"))
-    twice = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    places = anchors.join(twice, "h").groupBy("digest").agg(F.collect_list("p").alias("places"))
+    # written, so that the join below is of two plain tables: hot anchors can be split, and each step's files can go
+    twice = materialize(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), f"{tag}-twice", free=True)
+    places = materialize(anchors.join(twice, "h").groupBy("digest").agg(F.collect_list("p").alias("places")), f"{tag}-places", free=True)
     # the texts are already dealt by digest, so only the places move
     held = texts.join(places.hint("shuffle_hash"), "digest").select("digest", "first_id", "text", "places")
-    return scanned.drop("h", "p"), materialize(held, f"{tag}-held")
+    return scanned.drop("h", "p"), materialize(held, f"{tag}-held", free=True)
 
 
 def outcomes(docs: DataFrame, id_col: str, text_col: str, verdicts: DataFrame) -> DataFrame:

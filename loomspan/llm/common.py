@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,13 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them back.
 
-    The files outlive any executor, so a lost one costs a re-read, not a recomputation.
+    The files outlive any executor, so a lost one costs a re-read, not a recomputation. free: lets Spark's cleaner
+    drop the shuffle files of the step that has ended, which it does when the driver collects its garbage.
     """
     path = f"{shared_dir(df.sparkSession)}/loomspan/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if free:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

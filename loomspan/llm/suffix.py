@@ -21,13 +21,16 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.anchors import anchored, canonical, outcomes, powers
 from loomspan.llm.common import materialize, read, slices, utf8
-from loomspan.llm.substring import EMPTY, removed
+from loomspan.llm.substring import EMPTY
 
 GRAM = 64
 LENGTH = 200
 #: Bytes of queue that a pass keeps in memory; the rest is on disk, in files that have no name and vanish with the task.
 QUEUE_MEMORY = 96 << 20
+#: Positions that a pass reads at once, about.
 BLOCK = 1 << 18
+#: Bytes of text that are sorted at once; a larger group of one anchor is sorted whole, through the queues on disk.
+SHARD = 3 << 20
 
 TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -59,15 +62,17 @@ class Queues:
         return np.fromfile(self.file, np.int64, run[1])
 
     def each(self, symbol: int, backwards: bool = False) -> Iterator[np.ndarray]:
-        """The runs of a symbol, those pushed meanwhile too if read forwards."""
-        if backwards:
-            for i in reversed(range(len(self.runs[symbol]))):
-                yield self.read(symbol, i)[::-1]
-            return
-        i = 0
-        while i < len(self.runs[symbol]):
-            yield self.read(symbol, i)
-            i += 1
+        """The positions of a symbol in blocks, those pushed meanwhile too if read forwards."""
+        runs = self.runs[symbol]
+        i, size = (len(runs) if backwards else 0), (lambda run: len(run) if isinstance(run, np.ndarray) else run[1])
+        while i > 0 if backwards else i < len(runs):
+            begin, held = i, 0
+            while (i > 0 if backwards else i < len(runs)) and held < BLOCK:
+                i += -1 if backwards else 1
+                held += size(runs[i if backwards else i - 1])
+            block = [self.read(symbol, k) for k in range(min(begin, i), max(begin, i))]
+            block = block[0] if len(block) == 1 else np.concatenate(block)
+            yield block[::-1] if backwards else block
 
     def deal(self, positions: np.ndarray, symbols: np.ndarray) -> None:
         """Pushes positions to the queues of their symbols, order kept."""
@@ -212,19 +217,36 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 rows += [(hashlib.md5(b"%d " % o + s).digest(), hashlib.md5(s[o : o + gram]).digest(), d, a, s) for a, o, s in snippets(t, p, gram, length)]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["snippet", "anchor", "digest", "start", "bytes"])
 
-    pieces = materialize(held.mapInArrow(cut, "snippet binary, anchor binary, digest binary, start int, bytes binary"), "suffix-snippets")
+    pieces = materialize(held.mapInArrow(cut, "snippet binary, anchor binary, digest binary, start int, bytes binary"), "suffix-snippets", free=True)
     contents = pieces.groupBy("snippet").agg(F.first("anchor").alias("anchor"), F.count("*").alias("n"), F.first("bytes").alias("bytes"))
-    shards = contents.repartition("anchor").select("snippet", "n", "bytes")
+    shards = contents.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "snippet", "n", "bytes")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [b for b in batches if b.num_rows]
-        if not table:
-            return
-        shard = pa.Table.from_batches(table)
-        names, counts, texts = (shard.column(i).to_pylist() for i in range(3))
-        del table, shard
+        """Rows come by anchor: whole groups are gathered into a shard until it is large enough to be sorted."""
+        shard: list[tuple] = []
+        group: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if group and group[0][0] != row[0]:
+                    if len(group) > 1:
+                        shard += group
+                        held += sum(len(r[3]) for r in group)
+                    elif group[0][2] > 1:  # one content, found twice: nothing else can hold a part of it
+                        yield spans_of([group[0]], [np.zeros(0, np.int64)])
+                    group = []
+                    if held >= SHARD:
+                        yield spans_of(shard, repeats([r[3] for r in shard], length, memory))
+                        shard, held = [], 0
+                group.append(row)
+        if len(group) > 1 or group and group[0][2] > 1:
+            shard += group
+        if shard:
+            yield spans_of(shard, repeats([r[3] for r in shard], length, memory))
+
+    def spans_of(shard: list[tuple], found: list[np.ndarray]) -> pa.RecordBatch:
         out_names, out_from, out_to = [], [], []
-        for name, n, text, starts in zip(names, counts, texts, repeats(texts, length, memory), strict=True):
+        for (_, name, n, text), starts in zip(shard, found, strict=True):
             if n > 1:
                 runs = [(0, len(text))]
             elif len(starts):
@@ -236,7 +258,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 out_names.append(name)
                 out_from.append(a)
                 out_to.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(out_names, pa.binary()), pa.array(out_from, pa.int32()), pa.array(out_to, pa.int32())], ["snippet", "s", "e"])
+        return pa.RecordBatch.from_arrays([pa.array(out_names, pa.binary()), pa.array(out_from, pa.int32()), pa.array(out_to, pa.int32())], ["snippet", "s", "e"])
 
     repeated = shards.mapInArrow(sort, "snippet binary, s int, e int")
     spans = pieces.select("snippet", "digest", "start").join(repeated, "snippet").select("digest", F.struct((F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e")).alias("x")).groupBy("digest").agg(F.collect_list("x").alias("spans"))
