@@ -1,9 +1,10 @@
 """Substring dedup by seed and extend over word sequences.
 
 Seeds are winnowed 8-word anchors; documents are joined on seeds that occur twice. A seed match can reach a window of 20
-words by any split of the 12 further words to its left and right; the extension compares all splits that have the seed as
-their canonical anchor, each by a 128-bit key of the extended words, with the earliest place of that key. Windows that
-match an earlier place are merged into maximal runs, and their words go.
+words by any split of the 12 further words to its left and right. The splits that have the seed as their
+canonical anchor form a stretch. Equal stretches match as wholes; unequal ones of a seed are extended to every split both
+ways. Both are compared by 128-bit keys of the extended words with the earliest place of that key. Windows that match an
+earlier place are merged into maximal runs, and their words go.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.anchors import anchored, canonical, gram_hashes, outcomes
+from loomspan.llm.anchors import anchored, canonical, mixed, outcomes, powers
 from loomspan.llm.common import materialize, read, slices, utf8
 
 SEED = 8
@@ -35,24 +37,38 @@ def as_words(text: bytes) -> tuple[np.ndarray, int, str]:
     return word_values(words), len(words), hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def windows_of(text: bytes, places: list[int], seed: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, key, second key) of the windows whose canonical anchor is at one of the places."""
+def stretch_keys(values: np.ndarray, which: int, starts: np.ndarray, ends: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end], with extra mixed in."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values), which), out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * powers(len(values) + 1, which, True)[starts] ^ mixed(extra.astype(np.uint64)))
+
+
+def stretches(text: bytes, places: list[int], seed: int, window: int) -> list[np.ndarray]:
+    """(anchor hash, key, second key, first start, windows) of the stretch of windows of each anchor at one of the places."""
     words = text.split()
     values = word_values(words)
-    at, first, _ = canonical(values, seed, window)
+    at, first, hashes = canonical(values, seed, window)
     ends = np.append(first[1:], max(0, len(values) - window + 1))
     keep = np.isin(at, np.array(places))
-    starts = np.concatenate([np.arange(a, b) for a, b in zip(first[keep], ends[keep], strict=True)]) if keep.any() else np.zeros(0, np.int64)
-    other = word_values(words, 1)
-    keys = [np.concatenate([gram_hashes(v[i : i + (1 << 20) + window - 1], window, k) for i in range(0, len(v) - window + 1, 1 << 20)])[starts] for k, v in ((0, values), (1, other))] if len(starts) else [np.zeros(0, np.uint64)] * 2
-    return starts, *keys
+    at, first, ends, hashes = at[keep], first[keep], ends[keep], hashes[keep]
+    shape = (at - first) << 32 | (ends - first)
+    keys = [stretch_keys(v, k, first, ends + window - 1, shape) for k, v in ((0, values), (1, word_values(words, 1)))]
+    return [hashes, *keys, first, ends - first]
+
+
+def window_keys(text: bytes, runs: list, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, key, second key) of the windows of runs (first start, windows)."""
+    words = text.split()
+    starts = np.concatenate([np.arange(r["s"], r["s"] + r["n"]) for r in runs])
+    return starts, *(stretch_keys(word_values(words, k), k, starts, starts + window, np.zeros(len(starts), np.int64)) for k in (0, 1))
 
 
-def removed(starts: np.ndarray, window: int, n: int) -> np.ndarray:
-    """Mask of the items under windows that begin at the starts."""
-    edges = np.zeros(n + window + 1, np.int64)
+def removed(starts: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Mask of the items under the runs of these starts and sizes."""
+    edges = np.zeros(n + 1, np.int64)
     np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + window, -1)
+    np.add.at(edges, starts + sizes, -1)
     return np.cumsum(edges)[:n] > 0
 
 
@@ -67,16 +83,32 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            digests, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for d, i, t, p in zip(digests, ids, utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                starts, a, b = windows_of(t, p, seed, window)
-                if n := len(starts):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(n, LAST if i is None else i, np.int64)), pa.array([d] * n, pa.binary()), pa.array(starts.astype(np.int32))], ["a", "b", "id", "digest", "pos"])
-
-    found = materialize(held.mapInArrow(extend, "a long, b long, id long, digest binary, pos int"), "substring-windows")
-    place = F.struct("id", "digest", "pos")
-    earliest = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(earliest, ["a", "b"]).where(place != F.col("first")).groupBy("digest").agg(F.collect_list("pos").alias("starts"))
+            rows = [stretches(t, p, seed, window) for t, p in zip(utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True)]
+            h, a, b, s, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+            of = pa.array(np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (h, a, b)), pc.fill_null(batch.column(1), LAST).take(of), batch.column(0).take(of), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "a", "b", "id", "digest", "s", "n"])
+
+    found = materialize(held.mapInArrow(extend, "h long, a long, b long, id long, digest binary, s int, n int"), "substring-seeds", free=True)
+    place = F.struct("id", "digest", "s")
+    # equal stretches: all windows of the later ones start earlier, in the first
+    first = materialize(found.groupBy("h", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n")), "substring-first", free=True)
+    again = found.join(first.where("times > 1").select("a", "b", "first"), ["a", "b"]).where(place != F.col("first")).select("digest", "s", "n")
+    # different stretches of one seed are extended to all windows both ways
+    several = first.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
+    runs = first.join(several, "h").select("first.digest", "first.id", F.struct(F.col("first.s").alias("s"), "n").alias("run")).groupBy("digest", "id").agg(F.collect_list("run").alias("runs"))
+    reach = held.select("digest", "text").join(runs.hint("shuffle_hash"), "digest")
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            rows = [window_keys(t, r, window) for t, r in zip(utf8(batch.column(1)), batch.column(3).to_pylist(), strict=True)]
+            starts, a, b = (np.concatenate(x) for x in zip(*rows, strict=True))
+            of = pa.array(np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), batch.column(2).take(of), batch.column(0).take(of), pa.array(starts.astype(np.int32))], ["a", "b", "id", "digest", "s"])
+
+    each = materialize(reach.mapInArrow(windows, "a long, b long, id long, digest binary, s int"), "substring-windows", free=True)
+    earliest = materialize(each.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"), "substring-earliest", free=True)
+    late = each.join(earliest, ["a", "b"]).where(place != F.col("first")).select("digest", "s", F.lit(1).alias("n"))
+    later = again.unionByName(late).groupBy("digest").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
     cut = held.select("digest", "text").join(later.hint("shuffle_hash"), "digest")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +116,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
             gone, kept = [], []
             for t, s in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = t.split()
-                mask = removed(np.array(s, np.int64), window, len(words))
+                mask = removed(np.array([x["s"] for x in s], np.int64), np.array([x["n"] for x in s], np.int64) + window - 1, len(words))
                 gone.append(int(mask.sum()))
                 kept.append(b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode() if output == "values" else None for k in kept], pa.string())], ["digest", "gone", "cut_sha", "cut_text"])
