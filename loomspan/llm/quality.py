@@ -24,12 +24,20 @@ def repeated_words(w: str = "w"):
     """Words inside 3-word windows found twice or more in the array column, first ones included.
 
     Windows are hashed and sorted with their positions; equal neighbours are repeats. A covered word is counted
-    once: each repeat at p adds the words from p up to the next repeat, three at most.
+    once: each repeat at p adds the words from p up to the next repeat, three at most. Each array is bound to a lambda
+    variable, so it is made once and read in order.
     """
     n = F.size(w) - (SHINGLE - 1)
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     windows = F.sort_array(F.transform(at, lambda i: F.struct(F.xxhash64(*(F.get(w, i + k) for k in range(SHINGLE))).alias("h"), i.alias("i"))))
-    return windows
+
+    def covered(s):
+        pairs = F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+        places = F.sort_array(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))
+        start = F.struct(F.lit(0).alias("n"), F.lit(-SHINGLE).alias("end"))
+        return F.aggregate(places, start, lambda a, p: F.struct((a["n"] + p + SHINGLE - F.greatest(a["end"], p)).alias("n"), (p + SHINGLE).alias("end")))["n"]
+
+    return F.transform(F.array(windows), covered)[0]
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -37,19 +45,13 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = docs.withColumn("w", words(text_col))
-    out = out.withColumn("s", repeated_words())
-    n = F.size("s")
-    out = out.withColumn("h", F.col("s.h")).withColumn("p", F.col("s.i"))
-    twice = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda j: F.when((F.get("h", j) == F.get("h", j + 1)) | ((j > 0) & (F.get("h", j) == F.get("h", F.greatest(j - 1, F.lit(0))))), F.get("p", j))), lambda x: x.isNotNull())
-    out = out.withColumn("r", F.sort_array(twice))
-    covered = F.aggregate("r", F.struct(F.lit(0).alias("n"), F.lit(-SHINGLE).alias("end")), lambda a, p: F.struct((a["n"] + p + SHINGLE - F.greatest(a["end"], p)).alias("n"), (p + SHINGLE).alias("end")))
     return out.select(
         *docs.columns,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        covered["n"].cast("long").alias("n_repeat_words"),
+        repeated_words().cast("long").alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
     )
 
@@ -59,8 +61,8 @@ def base_failed():
 
 
 def soft_failed():
-    length = F.col("word_chars") / F.col("n_words")
-    return base_failed() | (F.col("n_symbols") > MAX_SYMBOLS * F.col("word_chars")) | (F.col("n_dup_lines") > MAX_LINES * F.col("n_lines")) | (length < WORD_LENGTH[0]) | (length > WORD_LENGTH[1])
+    short, long = (F.col("word_chars") < WORD_LENGTH[0] * F.col("n_words")), (F.col("word_chars") > WORD_LENGTH[1] * F.col("n_words"))
+    return base_failed() | (F.col("n_symbols") > MAX_SYMBOLS * F.col("word_chars")) | (F.col("n_dup_lines") > MAX_LINES * F.col("n_lines")) | short | long
 
 
 def host_verdicts(rows: DataFrame, host_col: str, failed_col: str) -> DataFrame:
