@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-BY = W.partitionBy("id").orderBy("pos")
+def by() -> WindowSpec:
+    """Positions of a recording in order."""
+    return W.partitionBy("id").orderBy("pos")
 
 
 def runs(df: DataFrame, value: str = "label", id_col: str = "id", pos: str = "pos") -> DataFrame:
     """(id, seg, s, e, label): runs of equal values, seg from 1, e exclusive."""
     w = W.partitionBy(id_col).orderBy(pos)
     new = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    seg = df.select(F.col(id_col).alias("id"), F.col(pos).alias("pos"), F.col(value).alias("label"), new.alias("new")).withColumn("seg", F.sum("new").over(BY))
+    seg = df.select(F.col(id_col).alias("id"), F.col(pos).alias("pos"), F.col(value).alias("label"), new.alias("new")).withColumn("seg", F.sum("new").over(by()))
     return seg.groupBy("id", "seg").agg(F.min("pos").alias("s"), (F.max("pos") + 1).alias("e"), F.first("label").alias("label"))
 
 
@@ -52,14 +55,14 @@ def join_and_discard(segments: DataFrame, join_len: int, discard_len: int, stric
 def eroded(flag: str, size: int) -> Column:
     """Binary erosion by a flat structure of `size`, zero outside the sequence; the origin is size // 2."""
     lo, hi = -(size // 2), size - 1 - size // 2
-    w = BY.rowsBetween(lo, hi)
+    w = by().rowsBetween(lo, hi)
     return F.when(F.count(flag).over(w) == size, F.min(flag).over(w)).otherwise(0)
 
 
 def dilated(flag: str, size: int) -> Column:
     """Binary dilation by a flat structure of `size`: the mirror of the erosion's reach."""
     lo, hi = -(size - 1 - size // 2), size // 2
-    return F.max(flag).over(BY.rowsBetween(lo, hi))
+    return F.max(flag).over(by().rowsBetween(lo, hi))
 
 
 def opened_closed(df: DataFrame, flag: str, opening: int, closing: int) -> DataFrame:
@@ -88,7 +91,7 @@ def majority(df: DataFrame, keys: list[str], label: str = "label", pos: str = "p
 
 def transitions(df: DataFrame) -> DataFrame:
     """(i, j, n, p): counts of changes from i to j and their share of all changes from i."""
-    pairs = df.select(F.col("label").alias("i"), F.lead("label").over(BY).alias("j")).where("i <> j")
+    pairs = df.select(F.col("label").alias("i"), F.lead("label").over(by()).alias("j")).where("i <> j")
     counts = pairs.groupBy("i", "j").agg(F.count("*").alias("n"))
     return counts.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy("i")))
 

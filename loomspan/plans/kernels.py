@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.operators import alignment as A
@@ -12,27 +13,33 @@ from loomspan.operators.joins import pairs, track
 from loomspan.operators.sequences import runs
 from loomspan.plans.registry import query
 from loomspan.plans.vector import kk
-from loomspan.sources.tables import blocks, sequences
+from loomspan.sources.tables import blocks, sequences, table
 
 #: Costs between symbols 1 to 5 and the background 0.
 COSTS = np.abs(np.arange(6)[:, None] - np.arange(6)[None]) / 5.0
-#: Recordings in a comparison of all pairs: those of one cohort, here the users divisible by eight.
-COHORT = 8
-#: Recordings are long in the large table; the kernels of quadratic cost take this many places, by nearest resampling.
-PLACES = 64
 
 
 def cohort(spark, d):
-    """(id, q): sequences of a cohort, symbols from 1, resampled to PLACES."""
-    g = sequences(spark, d).where(f"id % {COHORT} = 0").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "label")))["label"].alias("q"))
-    at = lambda i: F.rint(i * (F.size("q") - 1) / float(PLACES - 1)).cast("int")
-    return g.select("id", F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda i: F.get("q", at(i)) + 1).alias("q"))
+    """(id, q): all sequences, symbols from 1, resampled to the length of the longest by nearest place."""
+    g = sequences(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "label")))["label"].alias("q"))
+    places = (g.agg(F.max(F.size("q"))).first()[0] or 1) - 1
+    at = lambda i: F.rint(i * (F.size("q") - 1) / F.lit(float(max(places, 1)))).cast("int")
+    return g.select("id", F.transform(F.sequence(F.lit(0), F.lit(places)), lambda i: F.get("q", at(i)) + 1).alias("q"))
 
 
 def couples(spark, d):
+    """All pairs of recordings, spread over the tasks."""
     return pairs(cohort(spark, d), "id").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("q_a").alias("x"), F.col("q_b").alias("y")).repartition("a", "b")
 
 
+def neighbours(spark, d):
+    """Each recording with the next one by id: the window sees one row for each recording."""
+    w = W.orderBy("id")
+    c = cohort(spark, d)
+    ids = c.select("id").withColumn("b", F.lead("id").over(w)).where("b IS NOT NULL")
+    return ids.join(c, "id").select(F.col("id").alias("a"), "b", F.col("q").alias("x")).join(c.select(F.col("id").alias("b"), F.col("q").alias("y")), "b")
+
+
 @query()
 def dist_rtwe_pairwise(spark, d):
     return A.pairwise(couples(spark, d), COSTS)
@@ -51,7 +58,7 @@ def dist_eshape_dtw(spark, d):
 
 @query()
 def dist_rtwe_path(spark, d):
-    """dist.rtwe_path and dist.backtrack: cells of the alignment of neighbours in the cohort."""
+    """dist.rtwe_path and dist.backtrack: cells of the alignment of each recording with the next."""
 
     def run(frames):
         for f in frames:
@@ -61,18 +68,14 @@ def dist_rtwe_path(spark, d):
                 rows += [(a, b, i, j, float(t[i, j])) for i, j in A.path(t)]
             yield pd.DataFrame(rows, columns=["a", "b", "i", "j", "cost"])
 
-    return couples(spark, d).where(f"b = a + {COHORT}").mapInPandas(run, "a long, b long, i long, j long, cost double")
+    return neighbours(spark, d).mapInPandas(run, "a long, b long, i long, j long, cost double")
 
 
 @query()
 def dist_dba_barycenter(spark, d):
-    """The barycentre of each group of the cohort (a group is bounded by the cohort)."""
-
-    def run(pdf):
-        c = A.barycenter([np.asarray(q, np.int64) for q in pdf.sort_values("id")["q"]], COSTS)
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "pos": np.arange(len(c)), "label": c})
-
-    return cohort(spark, d).withColumn("g", F.expr(f"id div {COHORT} % 4")).groupBy("g").applyInPandas(run, "g long, pos long, label long")
+    """The barycentre of the recordings of each market segment."""
+    seg = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("g"))
+    return A.barycenters(cohort(spark, d).join(seg, "id").select("g", "id", "q"), COSTS)
 
 
 @query()
@@ -166,15 +169,18 @@ def dist_ot_projection(spark, d):
 
 @query()
 def dist_gromov_wasserstein(spark, d):
-    """Approximate discrepancy of each recording's time grid from the next one's."""
+    """Approximate discrepancy of the change times of each recording from the next one's."""
 
-    def run(pdf):
-        q = pdf.sort_values("id")["q"].tolist()
-        t = [np.flatnonzero(np.diff(np.asarray(x))).astype(float)[:24] for x in q]
-        rows = [(int(pdf["g"].iloc[0]), k, G.gromov_wasserstein(np.abs(a[:, None] - a[None]), np.abs(b[:, None] - b[None]))) for k, (a, b) in enumerate(zip(t, t[1:])) if len(a) and len(b)]
-        return pd.DataFrame(rows, columns=["g", "k", "d"])
+    def run(frames):
+        for f in frames:
+            rows = []
+            for a, b, x, y in zip(f["a"], f["b"], f["x"], f["y"], strict=True):
+                s, t = (np.flatnonzero(np.diff(np.asarray(q))).astype(float) for q in (x, y))
+                if len(s) and len(t):
+                    rows.append((a, b, G.gromov_wasserstein(np.abs(s[:, None] - s[None]), np.abs(t[:, None] - t[None]), 5)))
+            yield pd.DataFrame(rows, columns=["a", "b", "d"])
 
-    return cohort(spark, d).withColumn("g", F.expr(f"id div {COHORT} % 4")).groupBy("g").applyInPandas(run, "g long, k long, d double")
+    return neighbours(spark, d).repartition("a").mapInPandas(run, "a long, b long, d double")
 
 
 @query()
@@ -187,8 +193,6 @@ def join_greedy_tracking(spark, d):
 @query()
 def join_hungarian(spark, d):
     """Labels matched to the labels before them by most common co-occurrence."""
-    from pyspark.sql import Window as W
-
     c = sequences(spark, d).select(F.col("label").alias("g"), F.lag("label").over(W.partitionBy("id").orderBy("pos")).alias("p")).where("p IS NOT NULL").groupBy("g", "p").agg(F.count("*").alias("n"))
     gain = np.zeros((5, 5))
     for r in c.collect():  # K x K rows

@@ -221,12 +221,12 @@ def join_interval_samples_to_segments(spark, d):
     return J.interval_join(s.select("id", F.col("pos").cast("double").alias("t"), "value"), seg, 8.0).groupBy("id", "seg").agg(F.count("*").alias("n"), rnd(F.avg("value"), 4).alias("mean"))
 
 
-@query(f"WITH {SEQ}, n AS (SELECT id, count(*) AS n FROM s GROUP BY id), a AS (SELECT s.id, n, pos AS o, label, (pos::DOUBLE / n * 40) AS p0, least(pos + 3, n)::DOUBLE / n * 40 AS p1 FROM s JOIN n ON s.id = n.id WHERE pos % 5 = 0), p AS (SELECT id, unnest(range(floor(p0)::BIGINT, ceil(p1)::BIGINT)) AS slot, o, label FROM a), b AS (SELECT id, slot, max_by(label, o) AS label FROM p GROUP BY id, slot) SELECT n.id, k.slot, coalesce(b.label, -1) AS label FROM n CROSS JOIN (SELECT unnest(range(40)) AS slot) k LEFT JOIN b ON b.id = n.id AND b.slot = k.slot")
+@query(f"WITH {SEQ}, n AS (SELECT id, count(*) AS n FROM s GROUP BY id), a AS (SELECT s.id, n, pos AS o, label, (pos::DOUBLE / n * 40) AS p0, least(pos + 3, n)::DOUBLE / n * 40 AS p1 FROM s JOIN n ON s.id = n.id), p AS (SELECT id, unnest(range(floor(p0)::BIGINT, ceil(p1)::BIGINT)) AS slot, o, label FROM a), b AS (SELECT id, slot, max_by(label, o) AS label FROM p GROUP BY id, slot) SELECT n.id, k.slot, coalesce(b.label, -1) AS label FROM n CROSS JOIN (SELECT unnest(range(40)) AS slot) k LEFT JOIN b ON b.id = n.id AND b.slot = k.slot")
 def join_interval_annotation_to_frames(spark, d):
     """Annotations painted on 40 slots, later ones on top; slots without one are -1."""
     s = sequences(spark, d)
     n = s.groupBy("id").agg(F.count("*").alias("n"))
-    a = s.where("pos % 5 = 0").join(n, "id").select("id", F.col("pos").alias("o"), "label", F.floor(F.col("pos") / F.col("n") * 40).alias("a"), (F.ceil(F.least(F.col("pos") + 3, "n") / F.col("n") * 40) - 1).alias("b"))
+    a = s.join(n, "id").select("id", F.col("pos").alias("o"), "label", F.floor(F.col("pos") / F.col("n") * 40).alias("a"), (F.ceil(F.least(F.col("pos") + 3, "n") / F.col("n") * 40) - 1).alias("b"))
     painted = a.where("b >= a").select("id", "o", "label", F.explode(F.sequence("a", "b")).alias("slot")).groupBy("id", "slot").agg(F.max_by("label", "o").alias("label"))
     slots = n.select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("slot"))
     return slots.join(painted, ["id", "slot"], "left").select("id", "slot", F.coalesce("label", F.lit(-1)).alias("label"))
@@ -249,7 +249,7 @@ def join_many_to_many(spark, d):
 
 @query(f"WITH {SEQ} SELECT id, pos, label AS a, lead(label) OVER (PARTITION BY id ORDER BY pos) AS b FROM s QUALIFY lead(label) OVER (PARTITION BY id ORDER BY pos) IS NOT NULL")
 def join_consecutive(spark, d):
-    return sequences(spark, d).select("id", "pos", F.col("label").alias("a"), F.lead("label").over(S.BY).alias("b")).where("b IS NOT NULL")
+    return sequences(spark, d).select("id", "pos", F.col("label").alias("a"), F.lead("label").over(S.by()).alias("b")).where("b IS NOT NULL")
 
 
 @query("WITH v AS (SELECT user_id, ts, event_id, value FROM events WHERE event_type = 'view'), p AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase') SELECT p.event_id, (SELECT v.value FROM v WHERE v.user_id = p.user_id AND v.ts <= p.ts ORDER BY v.ts DESC, v.event_id DESC LIMIT 1) AS value_asof FROM p")
@@ -351,8 +351,8 @@ def agg_list(spark, d):
 def agg_gaze_event_features(spark, d):
     """Counts, mean, spread and rate for each segment and each recording, in one pass."""
     s = sequences(spark, d)
-    new = F.when(F.col("label") == F.lag("label").over(S.BY), 0).otherwise(1)
-    g = s.withColumn("new", new).withColumn("seg", F.sum("new").over(S.BY)).withColumn("len", F.count("*").over(W.partitionBy("id", "seg")))
+    new = F.when(F.col("label") == F.lag("label").over(S.by()), 0).otherwise(1)
+    g = s.withColumn("new", new).withColumn("seg", F.sum("new").over(S.by())).withColumn("len", F.count("*").over(W.partitionBy("id", "seg")))
     n = F.count_if(F.col("sym") == "click")
     return g.groupingSets([["id", "seg"], ["id"]], "id", "seg").agg(n.alias("n_click"), rnd(F.avg("value"), 4).alias("mean"), rnd(F.stddev_pop("value"), 4).alias("std"), rnd(n / F.max("len") * 60, 4).alias("freq"))
 
@@ -365,15 +365,15 @@ def agg_vector_norm_features(spark, d):
 
 @query(f"WITH {SEQ}, p AS (SELECT id, coalesce(abs(value - lag(value) OVER (PARTITION BY id ORDER BY pos)), 0) AS step FROM s) SELECT id, round(sum(step), 4) AS path, round(avg(step), 4) AS mean FROM p GROUP BY id")
 def agg_path_length_features(spark, d):
-    step = F.coalesce(F.abs(F.col("value") - F.lag("value").over(S.BY)), F.lit(0.0))
+    step = F.coalesce(F.abs(F.col("value") - F.lag("value").over(S.by())), F.lit(0.0))
     return sequences(spark, d).withColumn("step", step).groupBy("id").agg(rnd(F.sum("step"), 4).alias("path"), rnd(F.avg("step"), 4).alias("mean"))
 
 
 @query(f"WITH {RUN} SELECT r.id, r.seg, round(avg(s.value), 4) AS mean, max(CASE WHEN s.pos = r.s + (r.e - r.s) // 2 THEN s.value END) AS middle FROM r JOIN s ON s.id = r.id AND s.pos >= r.s AND s.pos < r.e GROUP BY r.id, r.seg")
 def agg_segment_features(spark, d):
     s = sequences(spark, d)
-    new = F.when(F.col("label") == F.lag("label").over(S.BY), 0).otherwise(1)
-    g = s.withColumn("new", new).withColumn("seg", F.sum("new").over(S.BY))
+    new = F.when(F.col("label") == F.lag("label").over(S.by()), 0).otherwise(1)
+    g = s.withColumn("new", new).withColumn("seg", F.sum("new").over(S.by()))
     w = W.partitionBy("id", "seg")
     mid = F.min("pos").over(w) + F.expr("count(*) over (partition by id, seg) div 2")
     return g.withColumn("mid", mid).groupBy("id", "seg").agg(rnd(F.avg("value"), 4).alias("mean"), F.max(F.when(F.col("pos") == F.col("mid"), F.col("value"))).alias("middle"))
@@ -407,8 +407,8 @@ def agg_quantile(spark, d):
 @query(f"WITH {RUN}, g AS (SELECT r.id, r.seg, s.value FROM r JOIN s ON s.id = r.id AND s.pos >= r.s AND s.pos < r.e) SELECT id, seg, round(sum(value * value) - sum(value) * sum(value) / count(*), 3) AS cost FROM g GROUP BY id, seg")
 def cpd_gram_cost(spark, d):
     """cpd.gram_cost and agg.segment_cost_stats for the linear kernel: |x|^2 - |sum x|^2 / n."""
-    new = F.when(F.col("label") == F.lag("label").over(S.BY), 0).otherwise(1)
-    g = sequences(spark, d).withColumn("new", new).withColumn("seg", F.sum("new").over(S.BY))
+    new = F.when(F.col("label") == F.lag("label").over(S.by()), 0).otherwise(1)
+    g = sequences(spark, d).withColumn("new", new).withColumn("seg", F.sum("new").over(S.by()))
     v = F.col("value")
     return g.groupBy("id", "seg").agg(rnd(F.sum(v * v) - F.sum(v) * F.sum(v) / F.count("*"), 3).alias("cost"))
 

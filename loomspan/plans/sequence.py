@@ -63,7 +63,7 @@ def win_label_runs_bg(spark, d):
 
 @query(f"WITH {SEQ}, g AS (SELECT id, pos, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM s WHERE label IN (0, 4)) SELECT id, min(pos) AS a, max(pos) AS b FROM g GROUP BY id, k")
 def win_connected_subseries(spark, d):
-    g = sequences(spark, d).where("label IN (0, 4)").select("id", "pos", (F.col("pos") - F.row_number().over(S.BY)).alias("k"))
+    g = sequences(spark, d).where("label IN (0, 4)").select("id", "pos", (F.col("pos") - F.row_number().over(S.by())).alias("k"))
     return g.groupBy("id", "k").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).drop("k")
 
 
@@ -299,12 +299,12 @@ def str_parse_identifier(spark, d):
     return table(spark, d, "customer").select("c_custkey", p[0].alias("prefix"), F.coalesce(F.substring(F.get(p, F.lit(1)), 2, 99).try_cast("int"), F.lit(-1)).alias("number"), seg.alias("clean"), seg.rlike("auto|mach").alias("hit"))
 
 
-@query("WITH t AS (SELECT item_id, substr(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 1, 30) AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, levenshtein(a.t, b.t)::INTEGER AS d, round(100e0 * (1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t))::DOUBLE), 4) AS score FROM t a JOIN t b ON a.item_id < b.item_id")
+@query("WITH t AS (SELECT item_id, regexp_replace(text, '[^a-zA-Z]', '', 'g') AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, levenshtein(a.t, b.t)::INTEGER AS d, round(100e0 * (1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t))::DOUBLE), 4) AS score FROM t a JOIN t b ON a.item_id < b.item_id")
 def str_levenshtein(spark, d):
-    """Edit distance of the first 30 letters of every pair of items of a small codebook."""
+    """Edit distance of the letters of every pair of items of a small codebook."""
     from loomspan.operators.joins import pairs
 
-    t = table(spark, d, "benchmark").select("item_id", F.substring(F.regexp_replace("text", "[^a-zA-Z]", ""), 1, 30).alias("t"))
+    t = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[^a-zA-Z]", "").alias("t"))
     dist = F.levenshtein("t_a", "t_b")
     return pairs(t, "item_id").select(F.col("item_id_a").alias("a"), F.col("item_id_b").alias("b"), dist.alias("d"), rnd((1 - dist / F.greatest(F.length("t_a"), F.length("t_b"))) * 100, 4).alias("score"))
 

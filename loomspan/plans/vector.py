@@ -137,12 +137,11 @@ def dist_xcorr_lag(spark, d):
     return c.groupBy("id").agg(F.max(F.struct("c", (-F.col("lag")).alias("l"))).alias("b")).select("id", (-F.col("b.l")).alias("lag"), rnd("b.c", 3).alias("c"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.embedding = b.embedding WHERE a.vec_id % 7 = 0 AND b.label < 5")
+@query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.embedding = b.embedding WHERE b.label < 5")
 def dist_find_subset(spark, d):
-    """Rows of a part found in the whole by equality of their vectors."""
+    """Rows of a part (five labels) found in the whole by equality of their vectors."""
     e = table(spark, d, "embeddings")
-    part = e.where("vec_id % 7 = 0").select(F.col("vec_id").alias("a"), "embedding")
-    return part.join(e.where("label < 5").select(F.col("vec_id").alias("b"), "embedding"), "embedding").select("a", "b")
+    return e.select(F.col("vec_id").alias("a"), "embedding").join(e.where("label < 5").select(F.col("vec_id").alias("b"), "embedding"), "embedding").select("a", "b")
 
 
 # --- 2.10 segmentation, clustering, density, statistics ---
@@ -151,9 +150,9 @@ def dist_find_subset(spark, d):
 @query(f"WITH {RUN}, g AS (SELECT r.id, r.seg, avg(s.value) AS m, count(*) AS n, sum(s.value * s.value) AS q FROM r JOIN s ON s.id = r.id AND s.pos >= r.s AND s.pos < r.e GROUP BY r.id, r.seg) SELECT id, seg, round(power(m - lag(m) OVER w, 2), 3) AS mmd_before, round(power(m - lead(m) OVER w, 2), 3) AS mmd_after, round(q / (q + lag(q) OVER w), 5) AS ratio FROM g WINDOW w AS (PARTITION BY id ORDER BY seg)")
 def cpd_mmd_vs_neighbours(spark, d):
     """cpd.cost_vs_neighbours and mmd_vs_neighbours for the linear kernel."""
-    new = F.when(F.col("label") == F.lag("label").over(S.BY), 0).otherwise(1)
+    new = F.when(F.col("label") == F.lag("label").over(S.by()), 0).otherwise(1)
     v, w = F.col("value"), W.partitionBy("id").orderBy("seg")
-    g = sequences(spark, d).withColumn("new", new).withColumn("seg", F.sum("new").over(S.BY)).groupBy("id", "seg").agg(F.avg(v).alias("m"), F.sum(v * v).alias("q"))
+    g = sequences(spark, d).withColumn("new", new).withColumn("seg", F.sum("new").over(S.by())).groupBy("id", "seg").agg(F.avg(v).alias("m"), F.sum(v * v).alias("q"))
     return g.select("id", "seg", rnd(F.pow(F.col("m") - F.lag("m").over(w), 2), 3).alias("mmd_before"), rnd(F.pow(F.col("m") - F.lead("m").over(w), 2), 3).alias("mmd_after"), rnd(F.col("q") / (F.col("q") + F.lag("q").over(w)), 5).alias("ratio"))
 
 
@@ -214,14 +213,14 @@ def clu_pca(spark, d):
     return PCA(k=5, inputCol="features", outputCol="z").fit(x).transform(x).select("pos", vector_to_array("z").alias("z"))
 
 
-SIL = VEC + ", e AS (SELECT a.pos, a.label, b.label AS other, avg(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) FILTER (a.pos <> b.pos) AS d FROM b a, b b WHERE a.id = 0 AND b.id = 0 GROUP BY ALL)"
+SIL = VEC + ", e AS (SELECT a.id, a.pos, a.label, b.label AS other, avg(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) FILTER (a.pos <> b.pos) AS d FROM b a JOIN b b ON a.id = b.id GROUP BY ALL)"
 
 
 @query(f"WITH {SIL}, f AS (SELECT pos, label, max(d) FILTER (label = other) AS a, min(d) FILTER (label <> other) AS b FROM e GROUP BY ALL) SELECT pos, label, round((b - a) / greatest(a, b), 5) AS silhouette FROM f")
 def eval_silhouette(spark, d):
-    """Silhouettes inside one recording."""
-    b = blocks(spark, d).where("id = 0").select("pos", "label", "v")
-    both = b.crossJoin(F.broadcast(b.toDF("q", "other", "w"))).where("pos <> q")
+    """Silhouettes of blocks among those of their recording."""
+    b = blocks(spark, d).select("id", "pos", "label", "v")
+    both = b.join(b.toDF("id", "q", "other", "w"), "id").where("pos <> q")
     e = both.groupBy("pos", "label", "other").agg(F.avg(V.euclid("v", "w")).alias("d"))
     f = e.groupBy("pos", "label").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("d"))).alias("b"))
     return f.select("pos", "label", rnd((F.col("b") - F.col("a")) / F.greatest("a", "b"), 5).alias("silhouette"))
@@ -264,16 +263,16 @@ def eval_segment_f1(spark, d):
     return n.select("id", "tp", rnd(F.col("tp") / F.col("n")).alias("f1"))
 
 
-@query(f"WITH {RUN}, m AS (SELECT DISTINCT p.id, p.seg FROM (SELECT id, seg, s + 1 AS t FROM r WHERE seg % 3 = 0) p JOIN r g ON g.id = p.id AND abs(g.s - p.t) <= 1 AND g.seg % 2 = 0) SELECT id, count(*) AS hits FROM m GROUP BY id")
+@query(f"WITH {RUN}, m AS (SELECT DISTINCT p.id, p.seg FROM (SELECT id, seg, s + 2 AS t FROM r) p JOIN r g ON g.id = p.id AND abs(g.s - p.t) <= 1) SELECT id, count(*) AS hits FROM m GROUP BY id")
 def eval_timestamp_f1(spark, d):
     r = S.runs(sequences(spark, d))
-    p = r.where("seg % 3 = 0").select("id", "seg", F.explode(F.array(F.col("s"), F.col("s") + 1, F.col("s") + 2)).alias("t"))
-    return p.join(r.where("seg % 2 = 0").select("id", F.col("s").alias("t")), ["id", "t"]).select("id", "seg").distinct().groupBy("id").agg(F.count("*").alias("hits"))
+    p = r.select("id", "seg", F.explode(F.array(F.col("s") + 1, F.col("s") + 2, F.col("s") + 3)).alias("t"))
+    return p.join(r.select("id", F.col("s").alias("t")), ["id", "t"]).select("id", "seg").distinct().groupBy("id").agg(F.count("*").alias("hits"))
 
 
 @query(f"WITH {SEQ}, c AS (SELECT label AS g, lag(label) OVER (PARTITION BY id ORDER BY pos) AS p FROM s), k AS (SELECT g AS label, count(*) FILTER (g = p) AS tp, count(*) AS n FROM c WHERE p IS NOT NULL GROUP BY g), q AS (SELECT p AS label, count(*) AS m FROM c WHERE p IS NOT NULL GROUP BY p) SELECT round(sum(tp) / sum(n), 6) AS accuracy, round(avg(2e0 * tp / (n + m)), 6) AS macro_f1, round(avg(tp::DOUBLE / (n + m - tp)), 6) AS jaccard FROM k JOIN q ON k.label = q.label")
 def eval_frame_scores(spark, d):
-    c = sequences(spark, d).select(F.col("label").alias("g"), F.lag("label").over(S.BY).alias("p")).where("p IS NOT NULL").groupBy("g", "p").agg(F.count("*").alias("c"))
+    c = sequences(spark, d).select(F.col("label").alias("g"), F.lag("label").over(S.by()).alias("p")).where("p IS NOT NULL").groupBy("g", "p").agg(F.count("*").alias("c"))
     n = c.groupBy(F.col("g").alias("label")).agg(F.sum(F.when(F.col("g") == F.col("p"), F.col("c")).otherwise(0)).alias("tp"), F.sum("c").alias("n"))
     k = n.join(c.groupBy(F.col("p").alias("label")).agg(F.sum("c").alias("m")), "label")
     tp, n, m = F.col("tp"), F.col("n"), F.col("m")
@@ -303,10 +302,10 @@ def stat_mwu(spark, d):
     return s.select(rnd(u, 1).alias("u"), rnd(1 - u * 2 / (F.col("a") * F.col("b"))).alias("rank_biserial"))
 
 
-@query("WITH p AS (SELECT p_partkey, least((p_partkey * 7919) % 10007 / 10007e0, 1) AS p FROM part WHERE p_partkey <= 200), r AS (SELECT *, row_number() OVER (ORDER BY p, p_partkey) AS k, count(*) OVER () AS n FROM p) SELECT p_partkey, round(least(min(p * n / k) OVER (ORDER BY p, p_partkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS q FROM r")
+@query("WITH p AS (SELECT p_brand || p_type AS k0, ((sum(p_partkey) * 7919) % 10007)::BIGINT / 10007e0 AS p FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY p, k0) AS k, count(*) OVER () AS n FROM p) SELECT k0, round(least(min(p * n / k) OVER (ORDER BY p, k0 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS q FROM r")
 def stat_bh(spark, d):
-    """Benjamini-Hochberg over a table of tests (some hundreds)."""
-    p = table(spark, d, "part").where("p_partkey <= 200").select("p_partkey", ((F.col("p_partkey") * 7919) % 10007 / 10007.0).alias("p"))
-    w = W.orderBy("p", "p_partkey")
-    r = p.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(W.orderBy("p", "p_partkey").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    return r.select("p_partkey", rnd(F.least(F.min(F.col("p") * F.col("n") / F.col("k")).over(w.rowsBetween(0, W.unboundedFollowing)), F.lit(1.0))).alias("q"))
+    """Benjamini-Hochberg over a table of tests, one for each group; the windows see those only."""
+    p = table(spark, d, "part").groupBy(F.concat("p_brand", "p_type").alias("k0")).agg(((F.sum("p_partkey") * 7919) % 10007 / 10007.0).alias("p"))
+    w = W.orderBy("p", "k0")
+    r = p.withColumn("k", F.row_number().over(w)).withColumn("n", F.count("*").over(W.orderBy("p", "k0").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    return r.select("k0", rnd(F.least(F.min(F.col("p") * F.col("n") / F.col("k")).over(w.rowsBetween(0, W.unboundedFollowing)), F.lit(1.0))).alias("q"))
