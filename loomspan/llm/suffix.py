@@ -30,7 +30,7 @@ QUEUE_MEMORY = 96 << 20
 #: Positions that a pass reads at once, about.
 BLOCK = 1 << 18
 #: Bytes of text that are sorted at once; a larger group of one anchor is sorted whole, through the queues on disk.
-SHARD = 3 << 20
+SHARD = 1 << 20
 
 TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
