@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.operators import sequences as S
-from loomspan.operators import vectors as V
+from loomspan.functions import vectors as V
 from loomspan.plans.registry import query
 from loomspan.plans.relational import RUN, SEQ, rnd
 from loomspan.plans.vector import KK, VEC, kk, prototypes

@@ -80,7 +80,7 @@ def filter_prevalence(spark, d):
 
 @query("SELECT vec_id, label FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0")
 def filter_nan_rows(spark, d):
-    from loomspan.operators.vectors import finite
+    from loomspan.functions.vectors import finite
 
     return table(spark, d, "embeddings").where(finite("embedding")).select("vec_id", "label")
 
@@ -117,9 +117,6 @@ def project_add_suffix(spark, d):
     return df.withColumnsRenamed({c: f"{c}_x" for c in df.columns})
 
 
-HMS = "split(hms, ':')"
-
-
 @query("WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN lpad((o_orderkey % 60)::VARCHAR, 2, '0') || ':' || lpad((o_custkey % 60)::VARCHAR, 2, '0') WHEN 1 THEN '01:' || lpad((o_orderkey % 60)::VARCHAR, 2, '0') || ':30' WHEN 2 THEN 'bad' END AS hms FROM orders), p AS (SELECT *, string_split(hms, ':') AS q FROM t), u AS (SELECT o_orderkey, hms, CASE len(q) WHEN 2 THEN try_cast(q[1] AS DOUBLE) * 60 + try_cast(q[2] AS DOUBLE) WHEN 3 THEN try_cast(q[1] AS DOUBLE) * 3600 + try_cast(q[2] AS DOUBLE) * 60 + try_cast(q[3] AS DOUBLE) END AS secs FROM p) SELECT o_orderkey, hms, secs, ceil(secs / 0.64e0)::BIGINT AS start_pos, floor(secs / 0.64e0)::BIGINT AS end_pos FROM u")
 def project_parse_hms_bounds(spark, d):
     """project.parse_hms and project.test_bounds with a stride of 0.64 s."""
