@@ -59,11 +59,11 @@ def plan(quota: dict) -> list:
     return out
 
 
-def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple[int, int, int, object, int, int, int]]:
-    """Rows (phase, first_slot, slot, source, k, quota, period, base): the plan of each phase until all blocks are used.
+def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
+    """Rows (phase, start, at_slot, source, k, quota, slots, base, until): the plan of each phase until all blocks are used.
 
-    A phase ends with the last slot before some source has no block left. base is the count of the source's blocks
-    that earlier phases used, first_slot the count of all.
+    A phase ends with the last slot before some source has no block left. Its blocks of a source are those from base
+    to until; start counts the slots of earlier phases.
     """
     left, used, rows, start, phase = dict(blocks), dict.fromkeys(blocks, 0), [], 0, 0
     while left := {s: n for s, n in left.items() if n > 0}:
@@ -113,8 +113,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     """docs plus block, phase, slot and place (order inside the block): a total plan for every row, none dropped.
 
     weights: target shares by source; a source that is not named, or all if None, gets its document count to the
-    power TEMPERATURE. Columns of docs that have one of the new names are replaced. Null and empty sources are one source. Rows with equal ids are ordered arbitrarily among
-    themselves. Only one number for each source (MOST_SOURCES at most) reaches the driver.
+    power TEMPERATURE. Columns of docs that have one of the new names are replaced. Null and empty sources are one
+    source. Rows with equal ids are ordered arbitrarily among themselves. Only one number for each source
+    (MOST_SOURCES at most) reaches the driver.
     """
     counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src")).agg(F.count("*").alias("n")).orderBy("src").limit(MOST_SOURCES + 1).collect()
     if len(counts) > MOST_SOURCES:

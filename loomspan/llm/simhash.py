@@ -112,9 +112,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, text_hash, fp, component_id, kept): one row per row of docs.
 
     component_id is the least id reachable over fingerprints within `distance` bits. kept is true where the row's id
-    is that least id, so rows that repeat it are kept alike (see representatives). Null and empty texts share fingerprint 0. A row with
-    a null id belongs to the component of its fingerprint but never names it; a component of null ids alone has a
-    null component_id and keeps its rows.
+    is that least id, so rows that repeat it are kept alike (see representatives). Null and empty texts share
+    fingerprint 0. A row with a null id belongs to the component of its fingerprint but never names it; a component of
+    null ids alone has a null component_id and keeps its rows.
     """
     each = materialize(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
     distinct = each.groupBy("fp").agg(F.min("doc_id").alias("least"))
