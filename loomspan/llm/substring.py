@@ -94,7 +94,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
     first = materialize(found.groupBy("h", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n")), "substring-first", free=True)
     again = found.join(first.where("times > 1").select("a", "b", "first"), ["a", "b"]).where(place != F.col("first")).select("digest", "s", "n")
     # different stretches of one seed are extended to all windows both ways
-    several = first.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h")
+    several = materialize(first.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h"), "substring-several")
     runs = first.join(several, "h").select("first.digest", "first.id", F.struct(F.col("first.s").alias("s"), "n").alias("run")).groupBy("digest", "id").agg(F.collect_list("run").alias("runs"))
     reach = held.select("digest", "text").join(runs.hint("shuffle_hash"), "digest")
 
