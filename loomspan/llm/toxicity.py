@@ -92,7 +92,7 @@ class Grammar:
         """log(1 + clauses) for each output, then log(1 + distinct insult words) and 1 if more than one clause matched."""
         known, symbol = self.known, self.symbol
         tokens = TOKEN.findall(text.lower())
-        hits = {w for w in set(tokens) if (known[w] if w in known else symbol(w)) <= THREAT}
+        hits = [s for w in set(tokens) if (s := known[w] if w in known else symbol(w)) <= THREAT]
         if not hits:
             return [0.0] * (len(OUTPUTS) + 2)
         state, clause, clauses, matched = (0, 0, 0), set(), Counter(), 0
@@ -105,8 +105,7 @@ class Grammar:
                 clauses.update(clause)
                 matched += 1
                 clause = set()
-        insults = sum(self.known.get(w, OTHER) == INSULT for w in hits)
-        return [*(float(np.log1p(clauses[k])) for k in OUTPUTS), float(np.log1p(insults)), float(matched > 1)]
+        return [*(float(np.log1p(clauses[k])) for k in OUTPUTS), float(np.log1p(hits.count(INSULT))), float(matched > 1)]
 
 
 def stems_of(text: str) -> set[str]:
