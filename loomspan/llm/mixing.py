@@ -25,8 +25,10 @@ BLOCK = 16
 PERIOD = 240
 #: Target weights go as the source's document count to this power where none are given.
 TEMPERATURE = 0.7
-#: Bound of the number of sources; the plan is made for so many at most.
-MOST_SOURCES = 4000
+#: Bound of the number of sources; the plan is made for so many at most (two million rows, if each ends a phase).
+MOST_SOURCES = 1000
+#: Rows of a plan that is broadcast; a longer one is joined as a table.
+SMALL_PLAN = 100_000
 
 
 def quotas(weights: dict, period: int = PERIOD) -> dict:
@@ -126,13 +128,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     kinds = "phase int, start long, at_slot int, src string, k int, quota int, slots int, base long, until long"
     spark = docs.sparkSession
     # the plan is bounded by phases x period; it is data of the program, not of the table
+    sent = F.broadcast if len(table) <= SMALL_PLAN else lambda df: df
     schedule = spark.createDataFrame(table, kinds)
     spans = schedule.select("phase", "src", "quota", "slots", "start", "base", "until").distinct().groupBy("src").agg(F.array_sort(F.collect_list(F.struct("until", "base", "phase", "quota", "slots", "start"))).alias("spans"))
     placed = ranked(docs, id_col, source_col).withColumn("block", F.floor(F.col("at") / block)).withColumn("place", (F.col("at") % block).cast("int"))
-    placed = placed.join(F.broadcast(spans), "src").withColumn("span", F.element_at(F.filter("spans", lambda x: x["until"] > F.col("block")), 1)).drop("spans")
+    placed = placed.join(sent(spans), "src").withColumn("span", F.element_at(F.filter("spans", lambda x: x["until"] > F.col("block")), 1)).drop("spans")
     inside = F.col("block") - F.col("span.base")
     placed = placed.withColumn("phase", F.col("span.phase")).withColumn("k", (inside % F.col("span.quota")).cast("int")).withColumn("first", F.col("span.start") + F.floor(inside / F.col("span.quota")) * F.col("span.slots")).drop("span")
-    out = placed.join(F.broadcast(schedule.select("phase", "src", "k", "at_slot")), ["phase", "src", "k"])
+    out = placed.join(sent(schedule.select("phase", "src", "k", "at_slot")), ["phase", "src", "k"])
     return out.withColumn("slot", F.col("first") + F.col("at_slot")).select(*(F.col(f"_row.`{c}`") for c in docs.columns if c not in ("block", "phase", "slot", "place")), "block", "phase", "slot", "place")
 
 
