@@ -149,8 +149,11 @@ def graph_links(vectors: DataFrame, c: np.ndarray, overlap: int, limit: float) -
     local = nodes.groupBy("shard", "part").applyInPandas(build, "id long, near array<long>")
     # the union of the lists of all shards that hold a vector
     union = materialize(local.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "embedding-graph")
-    members = nodes.join(union, "id").select("shard", "part", "id", "v", "near", F.lit(True).alias("node"), (F.col("home") | (F.col("parts") > 1)).alias("query"))
-    guests = parts.where("parts > 1").join(union, "id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("part <> pmod(xxhash64(id), parts)").select("shard", "part", "id", "v", "near", F.lit(False).alias("node"), F.lit(True).alias("query"))
+    # a task of a split shard holds one part's nodes and one part's vectors as guests
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asked = (F.col("home") | (F.col("parts") > 1)) & (F.col("guest") == F.col("part"))
+    members = nodes.join(union, "id").withColumn("guest", every).select("shard", "part", "guest", "id", "v", "near", F.lit(True).alias("node"), asked.alias("query"))
+    guests = nodes.where("parts > 1").join(union, "id").withColumnRenamed("part", "guest").withColumn("part", every).where("part <> guest").select("shard", "part", "guest", "id", "v", "near", F.lit(False).alias("node"), F.lit(True).alias("query"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit(pdf["v"].tolist())
@@ -171,7 +174,7 @@ def graph_links(vectors: DataFrame, c: np.ndarray, overlap: int, limit: float) -
         keep = a != b
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}).drop_duplicates()
 
-    return members.unionByName(guests).groupBy("shard", "part").applyInPandas(search, "a long, b long").distinct()
+    return members.unionByName(guests).groupBy("shard", "part", "guest").applyInPandas(search, "a long, b long").distinct()
 
 
 def verified(vectors: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
