@@ -31,6 +31,8 @@ QUEUE_MEMORY = 96 << 20
 BLOCK = 1 << 18
 #: Bytes of text that are sorted at once; a larger group of one anchor is sorted whole, through the queues on disk.
 SHARD = 1 << 20
+#: Snippets that one anchor may have in a shard. The windows of a commoner one are dealt by their own bytes instead.
+CROWD = 8000
 
 TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -202,7 +204,7 @@ def snippets(text: bytes, places: list[int], gram: int, length: int) -> Iterator
         yield a, p - a, text[a : b + length]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, memory: int = QUEUE_MEMORY, output: str = "digest") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, memory: int = QUEUE_MEMORY, output: str = "digest", crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans, array of (start, end), if output is "values").
 
     Texts are UTF-8 bytes, a null text is empty. Equal texts of `length` bytes or more go wholly, whatever their ids;
@@ -218,8 +220,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["snippet", "anchor", "digest", "start", "bytes"])
 
     pieces = materialize(held.mapInArrow(cut, "snippet binary, anchor binary, digest binary, start int, bytes binary"), "suffix-snippets", free=True)
-    contents = pieces.groupBy("snippet").agg(F.first("anchor").alias("anchor"), F.count("*").alias("n"), F.first("bytes").alias("bytes"))
-    shards = contents.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "snippet", "n", "bytes")
+    crowded = materialize(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor"), "suffix-crowded")
+    contents = lambda p: p.groupBy("snippet").agg(F.first("anchor").alias("anchor"), F.count("*").alias("n"), F.first("bytes").alias("bytes"))
+    shards = contents(pieces.join(crowded, "anchor", "left_anti")).repartition("anchor").sortWithinPartitions("anchor").select("anchor", "snippet", "n", "bytes")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by anchor: whole groups are gathered into a shard until it is large enough to be sorted."""
@@ -260,7 +263,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 out_to.append(b)
         return pa.RecordBatch.from_arrays([pa.array(out_names, pa.binary()), pa.array(out_from, pa.int32()), pa.array(out_to, pa.int32())], ["snippet", "s", "e"])
 
-    repeated = shards.mapInArrow(sort, "snippet binary, s int, e int")
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bytes", 1 << 20):
+            texts = batch.column(2).to_pylist()
+            counts = [len(t) - length + 1 for t in texts]
+            of = pa.array(np.repeat(np.arange(len(texts)), counts))
+            starts = np.concatenate([np.arange(n) for n in counts]).astype(np.int32)
+            keys = [hashlib.md5(t[s : s + length]).digest() for t, n in zip(texts, counts, strict=True) for s in range(n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(starts), pa.array(keys, pa.binary())], ["snippet", "n", "s", "key"])
+
+    # a window of a crowded anchor is a shard of its own: no task holds what one anchor gathers
+    single = materialize(contents(pieces.join(crowded, "anchor")).select("snippet", "n", "bytes").mapInArrow(windows, "snippet binary, n long, s int, key binary"), "suffix-windows")
+    twice = single.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1").select("key")
+    alone = single.join(twice, "key").select("snippet", "s", (F.col("s") + length).alias("e"))
+    repeated = shards.mapInArrow(sort, "snippet binary, s int, e int").unionByName(alone)
     spans = pieces.select("snippet", "digest", "start").join(repeated, "snippet").select("digest", F.struct((F.col("start") + F.col("s")).alias("s"), (F.col("start") + F.col("e")).alias("e")).alias("x")).groupBy("digest").agg(F.collect_list("x").alias("spans"))
     marked = held.select("digest", "text").join(spans.hint("shuffle_hash"), "digest")
 

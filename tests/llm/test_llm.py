@@ -166,8 +166,8 @@ def test_suffix(spark, docs, empty):
                 gone[s : s + 200] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want[i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()] += 1
-    for memory in (suffix.QUEUE_MEMORY, 1000):  # in memory, and through the disk
-        got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup(docs, memory=memory).collect())
+    for memory, crowd in ((suffix.QUEUE_MEMORY, suffix.CROWD), (1000, suffix.CROWD), (1000, 2)):  # in memory, through the disk, and with crowded anchors
+        got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup(docs, memory=memory, crowd=crowd).collect())
         assert got == want
     assert suffix.dedup(empty).count() == 0
 
@@ -302,7 +302,7 @@ def test_quality(spark, docs, empty):
     assert v["bad"]["host_bad"] and not v["ok"]["host_bad"] and v["new"]["host_rate"] < 1
 
 
-def test_mixing(spark, docs, empty):
+def test_mixing(spark, docs, empty, monkeypatch):
     sizes = {"a": 700, "b": 200, "c": 40, "": 3}
     rows = [(i, s if s else None) for s, n in sizes.items() for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, source string")
@@ -318,6 +318,9 @@ def test_mixing(spark, docs, empty):
             lag = np.cumsum(part.source.values == s) - np.arange(1, len(part) + 1) * quota[s] / sum(quota.values())
             assert np.abs(lag).max() < 1
     assert mixing.mix(docs).count() == docs.count() and mixing.mix(empty).count() == 0
+    monkeypatch.setattr(mixing, "SMALL_PLAN", 0)
+    again = mixing.mix(df, weights, block=4, period=40).toPandas()
+    assert set(zip(again.doc_id, again.slot, again.place)) == set(zip(out.doc_id, out.slot, out.place))
     slots = mixing.plan({"x": 3, "y": 1})
     assert Counter(slots) == {"x": 3, "y": 1}
 
@@ -340,7 +343,9 @@ def test_vectors(spark):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
-def test_graph_search_reaches_recall(spark):
+@pytest.mark.parametrize("most", [6000, 60])  # whole shards, and shards dealt in parts
+def test_graph_search_reaches_recall(spark, monkeypatch, most):
+    monkeypatch.setattr(embeddings, "MOST_SHARD", most)
     rng = np.random.default_rng(19)
     c = rng.normal(size=(300, 24))
     x = np.concatenate([c, *(c[:60] + rng.normal(size=(60, 24)) * 0.12 for _ in range(6))])
