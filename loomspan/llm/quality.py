@@ -1,6 +1,7 @@
 """Quality rules with host-level verdicts: failures by host, shrunk by an empirical beta prior.
 
-Everything is DataFrame expressions; the only shuffle is one partial sum for each host.
+Everything is DataFrame expressions; the only shuffle is one partial sum for each host. Texts are measured once: the
+measures are written to the shared folder, and hosts and verdicts are made from them.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import read, words
+from loomspan.llm.common import materialize, read, words
 
 SYMBOLS = "#*$%&|<>"
 SHINGLE = 3
@@ -88,7 +89,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     null texts fail for want of words.
     """
     each = measured(docs.select(F.col(id_col), F.col(host_col).alias("host"), F.col(text_col).alias("text"))).drop("text")
-    each = each.withColumn("base_failed", base_failed()).withColumn("soft", soft_failed())
+    each = materialize(each.withColumn("base_failed", base_failed()).withColumn("soft", soft_failed()), "quality")
     hosts = host_verdicts(each, "host", "soft").withColumnRenamed("host", "of")
     out = each.join(hosts, F.col("host").eqNullSafe(F.col("of")), "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_bad") & F.col("soft")))
