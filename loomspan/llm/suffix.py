@@ -31,7 +31,7 @@ QUEUE_MEMORY = 96 << 20
 BLOCK = 1 << 18
 #: Bytes of text that are sorted at once; a larger group of one anchor is sorted whole, through the queues on disk.
 SHARD = 1 << 20
-#: Snippets that one anchor may have in a shard. The windows of a commoner one are dealt by their own bytes instead.
+#: Different snippets that one anchor may have in a shard. The windows of a commoner one are dealt by their own bytes instead.
 CROWD = 8000
 
 TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -220,7 +220,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [()] * 5, (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary()), strict=True)], ["snippet", "anchor", "digest", "start", "bytes"])
 
     pieces = materialize(held.mapInArrow(cut, "snippet binary, anchor binary, digest binary, start int, bytes binary"), "suffix-snippets", free=True)
-    crowded = materialize(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor"), "suffix-crowded")
+    crowded = materialize(pieces.groupBy("snippet").agg(F.first("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor"), "suffix-crowded")
     contents = lambda p: p.groupBy("snippet").agg(F.first("anchor").alias("anchor"), F.count("*").alias("n"), F.first("bytes").alias("bytes"))
     shards = contents(pieces.join(crowded, "anchor", "left_anti")).repartition("anchor").sortWithinPartitions("anchor").select("anchor", "snippet", "n", "bytes")
 
@@ -273,7 +273,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(starts), pa.array(keys, pa.binary())], ["snippet", "n", "s", "key"])
 
     # a window of a crowded anchor is a shard of its own: no task holds what one anchor gathers
-    single = materialize(contents(pieces.join(crowded, "anchor")).select("snippet", "n", "bytes").mapInArrow(windows, "snippet binary, n long, s int, key binary"), "suffix-windows")
+    single = materialize(contents(pieces.join(crowded, "anchor", "left_semi")).select("snippet", "n", "bytes").mapInArrow(windows, "snippet binary, n long, s int, key binary"), "suffix-windows")
     twice = single.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1").select("key")
     alone = single.join(twice, "key").select("snippet", "s", (F.col("s") + length).alias("e"))
     repeated = shards.mapInArrow(sort, "snippet binary, s int, e int").unionByName(alone)
