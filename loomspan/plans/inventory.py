@@ -93,11 +93,12 @@ def win_normalized_time(spark, d):
     return sequences(spark, d).select("id", "pos", rnd(F.col("pos") / F.count("*").over(W.partitionBy("id"))).alias("t"))
 
 
-@query(f"WITH {RUN} SELECT r.id, r.seg, round(sum(s.value), 3) AS total, round(var_pop(s.value), 3) AS var FROM r JOIN s ON s.id = r.id AND s.pos >= r.s AND s.pos < r.e GROUP BY ALL")
+@query(f"WITH {RUN} SELECT r.id, r.seg, round(sum(s.value), 3) AS total, round(stddev_pop(s.value), 4) AS std FROM r JOIN s ON s.id = r.id AND s.pos >= r.s AND s.pos < r.e GROUP BY ALL")
 def agg_segment_cost_stats(spark, d):
+    """Sum and spread of the values of each run; the deviation stands for the variance, whose decimals end in ties."""
     new = F.when(F.col("label") == F.lag("label").over(S.by()), 0).otherwise(1)
     g = sequences(spark, d).withColumn("new", new).withColumn("seg", F.sum("new").over(S.by()))
-    return g.groupBy("id", "seg").agg(rnd(F.sum("value"), 3).alias("total"), rnd(F.var_pop("value"), 3).alias("var"))
+    return g.groupBy("id", "seg").agg(rnd(F.sum("value"), 3).alias("total"), rnd(F.stddev_pop("value"), 4).alias("std"))
 
 
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n, user_id LIMIT 10")
@@ -156,12 +157,12 @@ def math_clip(spark, d):
     return table(spark, d, "events").select("event_id", F.least(F.greatest("value", F.lit(10.0)), F.lit(50.0)).alias("x"))
 
 
-@query("WITH b AS (SELECT event_id, value, unnest(range(11)) AS k FROM events), w AS (SELECT event_id, k, exp(-(10e0 * k - value) * (10e0 * k - value) / 200e0) AS g FROM b) SELECT event_id, k, round(g / sum(g) OVER (PARTITION BY event_id), 6) AS p FROM w")
+@query("WITH b AS (SELECT event_id, value, unnest(range(11)) AS k FROM events), w AS (SELECT event_id, k, exp(-(10e0 * k - value) * (10e0 * k - value) / 200e0) AS g FROM b) SELECT event_id, k, round(g / nullif(sum(g) OVER (PARTITION BY event_id), 0), 6) AS p FROM w")
 def math_gaussian_prob_vec(spark, d):
-    """A Gaussian density of deviation 10 on eleven bins, normalised; no shuffle."""
+    """A Gaussian density of deviation 10 on eleven bins, normalised; null where no bin is near enough to have any weight. No shuffle."""
     g = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.exp(-(10.0 * k - F.col("value")) * (10.0 * k - F.col("value")) / 200.0))
     e = table(spark, d, "events").select("event_id", g.alias("g")).withColumn("total", F.aggregate("g", F.lit(0.0), lambda a, x: a + x))
-    return e.select("event_id", "total", F.posexplode("g").alias("k", "x")).select("event_id", F.col("k").cast("long").alias("k"), rnd(F.col("x") / F.col("total")).alias("p"))
+    return e.select("event_id", "total", F.posexplode("g").alias("k", "x")).select("event_id", F.col("k").cast("long").alias("k"), rnd(F.try_divide("x", "total")).alias("p"))
 
 
 @query(f"WITH {SEQ} SELECT id, string_agg(CASE WHEN label = 1 THEN '-1' WHEN label IN (0, 4) THEN 'G' || (label // 2) WHEN label = 2 THEN 'K2' ELSE 'R' || label END, ' ' ORDER BY pos) AS q FROM s GROUP BY id")
