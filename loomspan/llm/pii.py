@@ -88,7 +88,7 @@ def valid(kind: str, v: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs plus `spans` (a column of that name is replaced): array<struct<s, e, o, kind, base, gaz, ctx, shape>>, by start and kind.
+    """docs plus `spans` (a column of that name is replaced): array<struct<s, o, e, kind, base, gaz, ctx, shape>>, by start and kind (o: its place in KINDS).
 
     base spans pass the contract's checks. Wide ones overlap no base span of any kind. gaz and ctx are votes 1 or 0;
     shape is 1 for a span with separators.
@@ -104,7 +104,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
         def one(x):
             before = F.lower(F.substring(F.col("t"), F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT))))
             return F.struct(
-                x["s"].alias("s"), x["e"].alias("e"), F.lit(KINDS.index(kind)).alias("o"), F.lit(kind).alias("kind"), F.lit(base).alias("base"),
+                x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("o"), x["e"].alias("e"), F.lit(kind).alias("kind"), F.lit(base).alias("base"),
                 x["v"].rlike(GAZETTEER[kind]).cast("int").alias("gaz"), before.rlike(CUES[kind]).cast("int").alias("ctx"), x["v"].rlike(r"[\x20().-]").cast("int").alias("shape"),
             )
 

@@ -195,6 +195,8 @@ def test_pii(spark, docs, empty):
 
     texts = ["mail a@b.c_d@e.f or é😀 x.y+z@q-1.co.uk.", "1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 010.0.0.1", "card 4111 1111 1111 1111 and 4111111111111112, 5500-0000-0000-0004", "+1 (555) 010-2030 +44 20 7946 0958x +1", "call 555-123-4567 or (212) 555 1234", "bob [at] mail [dot] com", None, "", "1" * 5000 + "." * 5000 + "a" * 5000 + "@", "a@b" + ".c" * 3000, "+" + "1 " * 3000]
     texts += ["card 4111 1111 1111 1112"] * 3
+    # kinds that begin at the same place, the earlier kind ending later
+    texts += ["4111111111111111@mail.example.com", "+4915112345678@mail.example.com", "0000000000000.1.2.3 and 4111111111111111.1.1"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     out = {r["doc_id"]: r for r in pii.detect(df).select("doc_id", "text", "spans", pii.redacted(F.coalesce("text", F.lit("")), F.col("spans")).alias("masked")).collect()}
     for i, t in enumerate(texts):
