@@ -3,8 +3,11 @@
 Vectors are dealt to the shards of their nearest centroids, so shards overlap. Each shard builds a pruned neighbour
 graph; a vector's adjacency list is the union over its shards. Greedy search descends from the shard's medoid along the
 joined lists to each query, then the range expansion follows every neighbour inside the range until no new one turns up.
-Links are verified in double precision, and recall is audited against brute force for a sample of queries; a build that
-misses the target is repeated with more overlap.
+A node's edges and the beam are bounded, so a bunch of near copies can hide its neighbours: each shard's search is
+therefore held against all pairs of the shard, by blocks, and what it missed is added. What is left to miss are pairs
+that share no shard. Links are verified in double precision, and the recall of every build is audited against brute
+force for a sample of queries; a build that misses the target is repeated with more overlap, and in the end by a search
+that compares all pairs of shards that the triangle inequality does not rule out.
 
 Equal vectors are collapsed first. Only centroids (a bounded number) are broadcast.
 """
@@ -118,6 +121,21 @@ def expand(x: np.ndarray, links: list[np.ndarray], queries: np.ndarray, medoid:
     return out
 
 
+def close(x: np.ndarray, queries: np.ndarray, nodes: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (q, i) of x, q of queries and i of nodes, within the range: all pairs, by blocks."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    y = x[nodes].T
+    for k in range(0, len(queries), 512):
+        at, of = np.nonzero(x[queries[k : k + 512]] @ y >= limit - 1e-6)
+        out.append((queries[k + at], nodes[of]))
+    return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    keep = a != b
+    return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}).drop_duplicates()
+
+
 def shards_of(vectors: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
     """(shard int, home boolean, id, v): each vector in its `overlap` nearest shards; home is the nearest."""
     overlap = min(overlap, len(c))
@@ -134,7 +152,7 @@ def shards_of(vectors: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
 
 
 def graph_links(vectors: DataFrame, c: np.ndarray, overlap: int, limit: float) -> DataFrame:
-    """(a, b) ids of vectors with cosine >= limit that the graph search finds, a < b."""
+    """(a, b) ids of vectors with cosine >= limit that share a shard, a < b: those the graph search finds and those it misses."""
     dealt = materialize(shards_of(vectors, c, overlap), "embedding-shards")
     sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"))
     parts = dealt.join(F.broadcast(sizes), "shard").withColumn("parts", F.ceil(F.col("n") / MOST_SHARD).cast("int"))
@@ -152,8 +170,8 @@ def graph_links(vectors: DataFrame, c: np.ndarray, overlap: int, limit: float) -
     # a task of a split shard holds one part's nodes and one part's vectors as guests
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     asked = (F.col("home") | (F.col("parts") > 1)) & (F.col("guest") == F.col("part"))
-    members = nodes.join(union, "id").withColumn("guest", every).select("shard", "part", "guest", "id", "v", "near", F.lit(True).alias("node"), asked.alias("query"))
-    guests = nodes.where("parts > 1").join(union, "id").withColumnRenamed("part", "guest").withColumn("part", every).where("part <> guest").select("shard", "part", "guest", "id", "v", "near", F.lit(False).alias("node"), F.lit(True).alias("query"))
+    members = nodes.join(union, "id").withColumn("guest", every).select("shard", "parts", "part", "guest", "id", "v", "near", F.lit(True).alias("node"), asked.alias("query"))
+    guests = nodes.where("parts > 1").join(union, "id").withColumnRenamed("part", "guest").withColumn("part", every).where("part <> guest").select("shard", "parts", "part", "guest", "id", "v", "near", F.lit(False).alias("node"), F.lit(True).alias("query"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         x = unit(pdf["v"].tolist())
@@ -171,12 +189,65 @@ def graph_links(vectors: DataFrame, c: np.ndarray, overlap: int, limit: float) -
         found = expand(x, lists, queries, medoid, limit)
         a = np.repeat(ids[queries], [len(f) for f in found])
         b = ids[np.concatenate(found)] if len(found) else np.zeros(0, np.int64)
-        keep = a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}).drop_duplicates()
+        # neighbours that no edge leads to; in a whole shard also pairs of vectors that are at home elsewhere
+        whole = pdf["parts"].iloc[0] == 1
+        p, q = close(x, np.arange(len(ids)) if whole else queries, inner, limit)
+        return linked(np.append(a, ids[p]), np.append(b, ids[q]))
 
     return members.unionByName(guests).groupBy("shard", "part", "guest").applyInPandas(search, "a long, b long").distinct()
 
 
+def exact_links(vectors: DataFrame, c: np.ndarray, limit: float) -> DataFrame:
+    """(a, b) ids of all vectors with cosine >= limit, a < b, whatever the centroids.
+
+    A vector is a node of its nearest shard and a guest of every other one whose widest angle from the centroid, plus
+    the range's angle, it is within: by the triangle inequality no other shard holds a neighbour. Nodes and guests meet
+    in parts of MOST_SHARD, so a task is bounded; the work grows with the square of the vectors if no shard is ruled out.
+    """
+    homes = materialize(shards_of(vectors, c, 1).select("shard", "id", "v"), "embedding-homes")
+
+    def angles(v: list) -> np.ndarray:
+        return np.arccos(np.clip(unit(v) @ c.T, -1, 1))
+
+    def widths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                home = part.column(0).to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(angles(part.column(1).to_pylist())[np.arange(len(home)), home])], ["shard", "angle"])
+
+    sizes = homes.select("shard", "v").mapInArrow(widths, "shard int, angle double").groupBy("shard").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect()  # a row for each centroid
+    reach, parts = np.full(len(c), -1.0), np.ones(len(c), np.int64)
+    for r in sizes:
+        reach[r["shard"]], parts[r["shard"]] = r["angle"] + np.arccos(limit) + 1e-6, -(-r["n"] // MOST_SHARD)
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                home = part.column(0).to_numpy()
+                # a pair of two shards needs one meeting: the guest is of the higher shard, or of the same
+                row, shard = np.nonzero((angles(part.column(2).to_pylist()) <= reach) & (np.arange(len(c))[None] <= home[:, None]))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), part.column(1).take(take), part.column(2).take(take)], ["shard", "id", "v"])
+
+    guests = materialize(homes.mapInArrow(visits, "shard int, id long, v array<float>"), "embedding-guests")
+    counts = guests.groupBy("shard").agg(F.count("*").alias("m"))
+    table = vectors.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(parts)], "shard int, parts int")
+    grid = F.broadcast(table.join(counts, "shard").select("shard", "parts", F.ceil(F.col("m") / MOST_SHARD).cast("int").alias("rooms")))
+    spot = lambda k, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = homes.join(grid, "shard").withColumn("part", spot("parts", 2)).withColumn("room", every("rooms")).select("shard", "part", "room", "id", "v", F.lit(True).alias("node"))
+    right = guests.join(grid, "shard").withColumn("room", spot("rooms", 3)).withColumn("part", every("parts")).select("shard", "part", "room", "id", "v", F.lit(False).alias("node"))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids, node = unit(pdf["v"].tolist()), pdf["id"].to_numpy(), pdf["node"].to_numpy()
+        p, q = close(x, np.flatnonzero(~node), np.flatnonzero(node), limit)
+        return linked(ids[p], ids[q])
+
+    return left.unionByName(right).groupBy("shard", "part", "room").applyInPandas(search, "a long, b long").distinct()
+
+
 def verified(vectors: DataFrame, pairs: DataFrame, limit: float) -> DataFrame:
     """The pairs whose cosine in double precision is at least the limit."""
     dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda m, n: m.cast("double") * n.cast("double")), F.lit(0.0), lambda s, t: s + t)
@@ -233,9 +304,16 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     overlap, links = OVERLAP, None
     while n:
         links = materialize(verified(vectors, graph_links(vectors, c, overlap, limit), limit), "embedding-links")
-        if overlap >= len(c) or audit(vectors, links, limit) >= recall:
+        found = audit(vectors, links, limit)
+        if found >= recall:
+            break
+        overlap *= 2
+        if overlap >= len(c):  # so much overlap would send every vector to every shard
+            links = materialize(verified(vectors, exact_links(vectors, c, limit), limit), "embedding-links")
+            found = audit(vectors, links, limit)
             break
-        overlap = min(2 * overlap, len(c))
+    if links is not None and found < recall:
+        raise RuntimeError(f"recall {found:.4f} of the links, less than {recall}")
     own = v.select("vec_id", "key")
     if links is None:
         return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

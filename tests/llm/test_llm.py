@@ -357,6 +357,51 @@ def test_graph_search_reaches_recall(spark, monkeypatch, most):
     assert embeddings.audit(v, links, 0.9, 10_000) >= 0.9
 
 
+def bunches(rng, n, dim=16):
+    """Pairs of bunches of n nearly equal vectors each; the two of a pair are at a cosine of 0.95."""
+    out = []
+    for _ in range(3):
+        p, q = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+        for m in (p, 0.95 * p + (1 - 0.95**2) ** 0.5 * q):
+            out.append(m + rng.normal(size=(n, dim)) * 1e-4)
+    return np.concatenate(out).astype(np.float32)
+
+
+def exact(x):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = np.triu(u @ u.T >= 0.9, 1)
+    return {(int(a), int(b)) for a, b in np.argwhere(near)}
+
+
+def test_bunches_keep_their_links(spark):
+    x = bunches(np.random.default_rng(23), 100)
+    df = spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()}
+    degree = Counter(i for pair in exact(x) for i in pair)
+    assert got == {i: (degree[i], i // 200 * 200) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("most", [6000, 60])
+def test_exact_links_whatever_the_centroids(spark, monkeypatch, most):
+    monkeypatch.setattr(embeddings, "MOST_SHARD", most)
+    rng = np.random.default_rng(29)
+    x = np.concatenate([bunches(rng, 20), rng.normal(size=(100, 16)).astype(np.float32)])
+    v = spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(x)], "id long, v array<float>")
+    for c in (embeddings.unit(x[::20]), embeddings.unit(rng.normal(size=(7, 16)))):
+        assert {(r["a"], r["b"]) for r in embeddings.verified(v, embeddings.exact_links(v, c, 0.9), 0.9).collect()} == exact(x)
+
+
+def test_low_recall_is_not_silent(spark, monkeypatch):
+    x = bunches(np.random.default_rng(31), 10)
+    df = spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    none = lambda v, *_: v.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    monkeypatch.setattr(embeddings, "graph_links", none)
+    assert embeddings.near_duplicates(df).agg(F.sum("n_links")).first()[0] == 2 * len(exact(x))
+    monkeypatch.setattr(embeddings, "exact_links", none)
+    with pytest.raises(RuntimeError, match="recall"):
+        embeddings.near_duplicates(df)
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     out = docs
     for name, stage in corpus_pipeline.STAGES:
