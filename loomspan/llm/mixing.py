@@ -2,17 +2,22 @@
 
 Documents of a source form blocks; a source of weight w gives its k-th block (from 0) the release time floor(k / w) and
 the deadline ceil((k + 1) / w). Each slot goes to the released block with the earliest deadline, so in every prefix the
-count of a source's blocks differs from its share by less than one block. Weights are held as whole numbers of slots in
-a period, and the plan of a period repeats, so the plan's size depends on the period and the sources, never on rows.
+count of a source's blocks differs from its share by less than one block. Weights are exact rational numbers. Where they
+are whole numbers of slots in a period that is shorter than the phase, the plan of a period repeats; else the plan runs
+to the end of the phase and holds a number for each block, which the driver writes in one pass.
 
-When a source is used up the schedule goes on with the weights of those that are left: a new phase.
+When a source is used up the schedule goes on with the weights of those that are left: a new phase. Sources of weight
+zero come when all others are used up, with equal weights.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
 from fractions import Fraction
+from math import gcd, lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,12 +26,14 @@ from loomspan.llm.common import read
 
 #: Documents of one source in a block.
 BLOCK = 16
-#: Slots of a period, at least; the bound of the plan is PERIOD slots for each phase.
+#: Slots of a plan that repeats, at least.
 PERIOD = 240
 #: Target weights go as the source's document count to this power where none are given.
 TEMPERATURE = 0.7
 #: Bound of the number of sources; the plan is made for so many at most (two million rows, if each ends a phase).
 MOST_SOURCES = 1000
+#: Slots of a source in one row of the plan.
+CHUNK = 256
 #: Rows of a plan that is broadcast; a longer one is joined as a table.
 SMALL_PLAN = 100_000
 
@@ -61,33 +68,67 @@ def plan(quota: dict) -> list:
     return out
 
 
+def shares(weights: dict) -> dict:
+    """The weights as whole numbers without a common divisor; weights of which none is above zero count as equal."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if not any(exact.values()):
+        exact = dict.fromkeys(weights, Fraction(1))
+    over = lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * over) for s, w in exact.items()}
+    common = gcd(*whole.values())
+    return {s: w // common for s, w in whole.items()}
+
+
+def schedule(left: dict, share: dict, most: int | None = None) -> dict:
+    """The slots of each source, from 0, earliest deadline first among released blocks; ties by position.
+
+    Ends after `most` slots, or before the first slot of a source that has no block left.
+    """
+    total, place = sum(share.values()), {s: i for i, s in enumerate(share)}
+    slots = {s: array("i") for s in share}
+    waiting: dict = {}  # by release time
+    ready: list = []
+    for s in share:
+        if share[s]:
+            waiting.setdefault(0, []).append((s, 0))
+    slot = 0
+    while most is None or slot < most:
+        for s, k in waiting.pop(slot, ()):
+            heapq.heappush(ready, (-(-(k + 1) * total // share[s]), place[s], s, k))
+        _, _, s, k = heapq.heappop(ready)
+        if k == left[s]:
+            break
+        slots[s].append(slot)
+        slot += 1
+        # a late block's successor may be released already
+        waiting.setdefault(max(slot, (k + 1) * total // share[s]), []).append((s, k + 1))
+    return slots
+
+
 def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
-    """Rows (phase, start, at_slot, source, k, quota, slots, base, until): the plan of each phase until all blocks are used.
+    """Rows (phase, start, source, slots of the source, length, base, until): each phase's plan until all blocks are used.
 
     A phase ends with the last slot before some source has no block left. Its blocks of a source are those from base
-    to until; start counts the slots of earlier phases.
+    to until; start counts the slots of earlier phases. The plan's `length` slots repeat.
     """
     left, used, rows, start, phase = dict(blocks), dict.fromkeys(blocks, 0), [], 0, 0
     while left := {s: n for s, n in left.items() if n > 0}:
-        quota = quotas({s: weights[s] for s in left}, period)
-        slots = plan(quota)
-        rounds = min(left[s] // quota[s] for s in left)
-        spare = {s: left[s] - rounds * quota[s] for s in left}
-        seen: dict = dict.fromkeys(left, 0)
-        own, stop = [], len(slots)
-        for i, s in enumerate(slots):
-            own.append((i, s, seen[s]))
-            seen[s] += 1
-        run: dict = dict.fromkeys(left, 0)
-        for i, s in enumerate(slots):
-            if run[s] == spare[s]:
-                stop = i
-                break
-            run[s] += 1
-        took = {s: rounds * quota[s] + run[s] for s in left}
-        for i, s, k in own:
-            rows.append((phase, start, i, s, k, quota[s], len(slots), used[s], used[s] + took[s]))
-        start += rounds * len(slots) + stop
+        share = shares({s: weights[s] for s in left})
+        length = sum(share.values()) * -(-period // sum(share.values()))
+        quota = {s: w * length // sum(share.values()) for s, w in share.items()}
+        rounds = min(left[s] // q for s, q in quota.items() if q)
+        if rounds:
+            slots = schedule(quota, share, length)
+            spare = {s: left[s] - rounds * quota[s] for s in left}
+            # the slot of the first block that is not there; none is missing before it
+            stop = min((slots[s][spare[s]] for s in left if quota[s] and spare[s] < quota[s]), default=length)
+            took = {s: rounds * quota[s] + sum(i < stop for i in slots[s]) for s in left}
+        else:
+            slots = schedule(left, share)
+            took = {s: len(x) for s, x in slots.items()}
+            stop = length = sum(took.values())
+        rows += [(phase, start, s, slots[s], length, used[s], used[s] + took[s]) for s in left if took[s]]
+        start += rounds * length + stop if rounds else stop
         for s in left:
             used[s] += took[s]
             left[s] -= took[s]
@@ -117,26 +158,31 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     weights: target shares by source; a source that is not named, or all if None, gets its document count to the
     power TEMPERATURE. Columns of docs that have one of the new names are replaced. Null and empty sources are one
     source. Rows with equal ids are ordered arbitrarily among themselves. Only one number for each source
-    (MOST_SOURCES at most) reaches the driver.
+    (MOST_SOURCES at most) reaches the driver; the plan it makes has four bytes for each block at most.
     """
     counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src")).agg(F.count("*").alias("n")).orderBy("src").limit(MOST_SOURCES + 1).collect()
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     sizes = {r["src"]: r["n"] for r in counts}
-    target = {s: Fraction((weights or {}).get(s, sizes[s] ** TEMPERATURE)).limit_denominator(10**6) for s in sizes}
+    given = {s: (weights or {}).get(s, sizes[s] ** TEMPERATURE) for s in sizes}
+    target = {s: Fraction(w).limit_denominator(10**9) or Fraction(w) for s, w in given.items()}
     table = phases({s: -(-n // block) for s, n in sizes.items()}, target, period)
-    kinds = "phase int, start long, at_slot int, src string, k int, quota int, slots int, base long, until long"
     spark = docs.sparkSession
-    # the plan is bounded by phases x period; it is data of the program, not of the table
-    sent = F.broadcast if len(table) <= SMALL_PLAN else lambda df: df
-    schedule = spark.createDataFrame(table, kinds)
-    spans = schedule.select("phase", "src", "quota", "slots", "start", "base", "until").distinct().groupBy("src").agg(F.array_sort(F.collect_list(F.struct("until", "base", "phase", "quota", "slots", "start"))).alias("spans"))
+    # the plan is in chunks: a row of docs meets one row of it and takes one number from there
+    pieces = [(phase, s, c, slots[c * CHUNK : (c + 1) * CHUNK]) for phase, _, s, slots, *_ in table for c in range(-(-len(slots) // CHUNK))]
+    sent = F.broadcast if len(pieces) <= SMALL_PLAN else lambda df: df
+    kinds = pa.schema([("phase", pa.int32()), ("src", pa.string()), ("chunk", pa.int32()), ("at_slots", pa.list_(pa.int32()))])
+    chunks = spark.createDataFrame(pa.table([pa.array([p[i] for p in pieces], kinds.types[i]) for i in range(4)], schema=kinds), "phase int, src string, chunk int, at_slots array<int>")
+    by_source: dict = {}
+    for phase, start, s, slots, length, base, until in table:
+        by_source.setdefault(s, []).append((until, base, phase, len(slots), length, start))
+    spans = spark.createDataFrame(list(by_source.items()), "src string, spans array<struct<until: long, base: long, phase: int, quota: long, slots: long, start: long>>")
     placed = ranked(docs, id_col, source_col).withColumn("block", F.floor(F.col("at") / block)).withColumn("place", (F.col("at") % block).cast("int"))
-    placed = placed.join(sent(spans), "src").withColumn("span", F.element_at(F.filter("spans", lambda x: x["until"] > F.col("block")), 1)).drop("spans")
+    placed = placed.join(F.broadcast(spans), "src").withColumn("span", F.element_at(F.filter("spans", lambda x: x["until"] > F.col("block")), 1)).drop("spans")
     inside = F.col("block") - F.col("span.base")
     placed = placed.withColumn("phase", F.col("span.phase")).withColumn("k", (inside % F.col("span.quota")).cast("int")).withColumn("first", F.col("span.start") + F.floor(inside / F.col("span.quota")) * F.col("span.slots")).drop("span")
-    out = placed.join(sent(schedule.select("phase", "src", "k", "at_slot")), ["phase", "src", "k"])
-    return out.withColumn("slot", F.col("first") + F.col("at_slot")).select(*(F.col(f"_row.`{c}`") for c in docs.columns if c not in ("block", "phase", "slot", "place")), "block", "phase", "slot", "place")
+    out = placed.withColumn("chunk", F.floor(F.col("k") / CHUNK).cast("int")).join(sent(chunks), ["phase", "src", "chunk"])
+    return out.withColumn("slot", F.col("first") + F.get("at_slots", F.col("k") % CHUNK)).select(*(F.col(f"_row.`{c}`") for c in docs.columns if c not in ("block", "phase", "slot", "place")), "block", "phase", "slot", "place")
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,6 +327,39 @@ def test_mixing(spark, docs, empty, monkeypatch):
     assert Counter(slots) == {"x": 3, "y": 1}
 
 
+@pytest.mark.parametrize("weights", [{"a": 1 / 3, **{f"s{i}": 2 / 57 for i in range(19)}}, {"a": 0.999, "b": 0.001}, {"a": 0.6137, "b": 0.2511, "c": 0.1352}])
+def test_mixing_keeps_to_the_target_weights(spark, weights):
+    rows = [(s, k) for s, w in weights.items() for k in range(round(9000 * w) + 3)]
+    df = spark.createDataFrame([(i, s) for i, (s, _) in enumerate(rows)], "doc_id long, source string")
+    out = mixing.mix(df, weights, block=1).toPandas()
+    assert sorted(out.slot) == list(range(len(rows))) and sorted(out.doc_id) == list(range(len(rows)))
+    order = out.sort_values("slot")
+    for phase, part in order.groupby("phase"):
+        left = [s for s in weights if (order[order.phase >= phase].source == s).any()]
+        for s in left:
+            lag = np.cumsum(part.source.values == s) - np.arange(1, len(part) + 1) * weights[s] / sum(weights[t] for t in left)
+            assert np.abs(lag).max() < 1
+
+
+def test_mixing_of_default_weights_keeps_to_them(spark):
+    sizes = {"a": 5000, **{f"s{i}": 300 + 37 * i for i in range(8)}}
+    df = spark.range(sum(sizes.values())).select(F.col("id").alias("doc_id"), F.element_at(F.array(*(F.lit(s) for s, n in sizes.items() for _ in range(n // 10))), (F.col("id") % sum(n // 10 for n in sizes.values()) + 1).cast("int")).alias("source"))
+    out = mixing.mix(df, block=1).toPandas().sort_values("slot")
+    counts = out.source.value_counts()
+    assert sorted(out.slot) == list(range(len(out)))
+    first = out[out.phase == 0]
+    for s, n in counts.items():
+        lag = np.cumsum(first.source.values == s) - np.arange(1, len(first) + 1) * n**0.7 / (counts**0.7).sum()
+        assert np.abs(lag).max() < 1
+
+
+def test_mixing_drops_no_source_of_weight_zero(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "doc_id long, source string")
+    out = mixing.mix(df, {"a": 0.0, "b": 1.0}, block=4).toPandas()
+    assert sorted(zip(out.slot, out.place)) == [(i, j) for i in range(10) for j in range(4)]
+    assert set(out[out.slot < 5].source) == {"b"}
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(17)
     base = rng.normal(size=(120, 16))
