@@ -9,6 +9,7 @@ from loomspan.operators import alignment as A
 from loomspan.operators import joins as J
 from loomspan.operators import segmentation as G
 from loomspan.operators import sequences as S
+from loomspan.plans import kernels
 from loomspan.sources import tables as T
 from loomspan.streaming import streams
 
@@ -61,6 +62,26 @@ def test_warps_and_bands():
     assert A.shape_warps(np.array([[1, 2, 3, 4, 5, 1, 2, 3]]), np.array([[1, 2, 3, 4, 5, 1, 2, 3]]), COSTS)[0] == 0
 
 
+def test_shape_warps_compares_windows():
+    rng = np.random.default_rng(37)
+    for n, m, step in ((9, 12, 1), (13, 8, 2), (5, 11, 1), (24, 17, 4), (1, 1, 1)):
+        x, y = rng.integers(1, 6, (6, n)), rng.integers(1, 6, (6, m))
+        for a, b, got in zip(x, y, A.shape_warps(x, y, COSTS, 8, step), strict=True):
+            cut = lambda s: np.lib.stride_tricks.sliding_window_view(s, min(8, len(s)))[::step]  # noqa: B023, E731
+            inner = np.array([[slow_edit(p, q)[-1, -1] for q in cut(b)] for p in cut(a)])
+            assert np.isclose(got, A.warps(inner[None])[0, -1, -1])
+
+
+def test_shape_query_sees_every_window(spark, monkeypatch):
+    rows = [(1, [1] * 17), (2, [1] * 8 + [5] + [1] * 8), (3, [1] * 16 + [5])]
+    monkeypatch.setattr(kernels, "cohort", lambda *_: spark.createDataFrame(rows, "id long, q array<int>"))
+    got = {(r["a"], r["b"]): r["d"] for r in kernels.dist_eshape_dtw(spark, "").collect()}
+    x = dict(rows)
+    for (a, b), d in got.items():
+        assert np.isclose(d, A.shape_warps(np.array([x[a]]), np.array([x[b]]), COSTS, 8, 1)[0])
+    assert len(got) == 3 and min(got.values()) > 0
+
+
 def test_pairwise_and_barycenter(spark):
     rows = [(1, 2, [1, 2, 3], [1, 3]), (1, 3, [1, 2], [5, 5]), (2, 3, [], [1]), (4, 5, [], [])]
     out = {(r["a"], r["b"]): r["d"] for r in A.pairwise(spark.createDataFrame(rows, "a long, b long, x array<int>, y array<int>"), COSTS).collect()}
