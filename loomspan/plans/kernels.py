@@ -240,6 +240,6 @@ def cpd_fit_sigmoid(spark, d):
 def clu_whiten(spark, d):
     def run(pdf):
         pdf = pdf.sort_values("pos")
-        return pd.DataFrame({"id": pdf["id"], "pos": pdf["pos"], "v": list(G.whitened(np.stack(pdf["v"])[:, :8]))})
+        return pd.DataFrame({"id": pdf["id"], "pos": pdf["pos"], "v": list(G.whitened(np.stack(pdf["v"])))})
 
     return blocks(spark, d).select("id", "pos", "v").groupBy("id").applyInPandas(run, "id long, pos long, v array<double>")

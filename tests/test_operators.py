@@ -9,7 +9,7 @@ from loomspan.operators import alignment as A
 from loomspan.operators import joins as J
 from loomspan.operators import segmentation as G
 from loomspan.operators import sequences as S
-from loomspan.plans import kernels
+from loomspan.plans import kernels, vector
 from loomspan.sources import tables as T
 from loomspan.streaming import streams
 
@@ -62,6 +62,18 @@ def test_warps_and_bands():
     assert A.shape_warps(np.array([[1, 2, 3, 4, 5, 1, 2, 3]]), np.array([[1, 2, 3, 4, 5, 1, 2, 3]]), COSTS)[0] == 0
 
 
+def test_late_components_count(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    rows = [(0, i, i % 3, [1.0] * 9 + [float(z) for z in rng.normal(20 * (i % 3), 1, 3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, pos long, label long, v array<double>")
+    for m in (kernels, vector):
+        monkeypatch.setattr(m, "blocks", lambda *_: df)
+    v = np.stack([r["v"] for r in kernels.clu_whiten(spark, "").orderBy("pos").collect()])
+    assert v.shape == (90, 12) and np.allclose(np.cov(v[:, 9:].T, bias=True), np.eye(3), atol=0.01)
+    found = {r["pos"]: r["cluster"] for r in vector.clu_gmm(spark, "").collect()}
+    assert len(found) == 90 and len(set(found.values())) > 1
+
+
 def test_shape_warps_compares_windows():
     rng = np.random.default_rng(37)
     for n, m, step in ((9, 12, 1), (13, 8, 2), (5, 11, 1), (24, 17, 4), (1, 1, 1)):
