@@ -1,11 +1,13 @@
 """A corpus pipeline over `documents`: language ID, near-duplicates, personal data, mixing, tokens.
 
 Every stage takes what its predecessor kept, as rows of documents, and writes its decisions into them: the first two
-drop rows, the third masks spans, the fourth puts the rows in mixing order, the last adds token counts and digests.
+drop rows, the third masks spans, the fourth puts the rows in mixing order, the last adds token counts and digests, and
+each row's block, phase, slot and place in that order.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,9 @@ from loomspan.llm.common import materialize, read
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a known language; rejects null texts and texts without a letter."""
-    out = langid.predict(docs, langid.profiles(docs))
+    """Keeps the documents that have a known language; rejects null texts and texts without a letter. A table without labels loses only these."""
+    # without labels no language is known; one made-up profile then stands for any
+    out = langid.predict(docs, langid.profiles(docs) or {"": np.zeros(1, np.int64)})
     return out.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
@@ -38,8 +41,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token counts and the digests of ids and of the decoded text."""
-    return bpe.encode(docs)
+    """The documents with their places in the mixing plan, token counts and the digests of ids and of the decoded text.
+
+    Files do not keep an order when Spark reads them, so the plan is made again: the same rows give the same one.
+    """
+    return bpe.encode(mixing.mix(docs))
 
 
 STAGES = [("language_id", identify), ("near_duplicates", deduplicate), ("personal_data", mask), ("mixing", mix), ("bpe", encode)]

@@ -435,6 +435,17 @@ def test_low_recall_is_not_silent(spark, monkeypatch):
         embeddings.near_duplicates(df)
 
 
+def test_pipeline_keeps_mixing_slots(spark, docs, tmp_path):
+    some = docs.limit(60).localCheckpoint()
+    want = sorted((str(r["doc_id"]), r["slot"], r["place"]) for r in mixing.mix(some).select("doc_id", "slot", "place").collect())
+    assert sorted((str(r["doc_id"]), r["slot"], r["place"]) for r in corpus_pipeline.encode(spark, some, str(tmp_path)).collect()) == want
+
+
+def test_pipeline_keeps_documents_without_labels(spark, docs, tmp_path):
+    df = spark.createDataFrame([(1, "a clean text", None), (2, None, None), (3, "123 --", None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.identify(spark, df, str(tmp_path)).collect()] == [1]
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     out = docs
     for name, stage in corpus_pipeline.STAGES:
