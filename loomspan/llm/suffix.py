@@ -29,7 +29,7 @@ LENGTH = 200
 QUEUE_MEMORY = 96 << 20
 #: Positions that a pass reads at once, about.
 BLOCK = 1 << 18
-#: Bytes of text that are sorted at once; a larger group of one anchor is sorted whole, through the queues on disk.
+#: Bytes of text that are sorted at once; a larger group of one anchor is sorted whole (CROWD bounds it to some 3 MB, so its queues stay in memory).
 SHARD = 1 << 20
 #: Different snippets that one anchor may have in a shard. The windows of a commoner one are dealt by their own bytes instead.
 CROWD = 8000
