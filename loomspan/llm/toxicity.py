@@ -3,7 +3,8 @@
 Words are read as symbols: insult, threat, target, negation, report, other; marks that end a clause reset all machines.
 Four transducers are composed into one: targets remember whether someone is addressed, negations reach over the next
 few words, reported speech covers the rest of its clause, and the emitter turns each insult or threat, in the state of
-the other three, into an output symbol. Scores weigh counts of outputs of whole clauses, never single words.
+the other three, into an output symbol. Scores weigh counts of outputs of whole clauses, and beside them, as one feature,
+the number of different insult words of the text, whatever their clause and whether it negates or reports them.
 
 Insult words are a seed list and stems induced from labelled documents; weights are learned from labelled documents
 that taught no stem.
