@@ -16,14 +16,23 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of text that an Arrow batch carries to a Python worker, about; the default of 64 MB would be held several times over by each of an executor's workers.
+BATCH = "4194304b"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the folder. Also bounds the session's Arrow batches, where they are at Spark's default."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A session without one (tests, a laptop) gets a folder of its own."""
+    """The folder all executors share. A local session without one (tests, a laptop) gets a folder of its own; on a cluster the setting must be there."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='loomspan-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -33,14 +42,42 @@ def materialize(df: DataFrame, tag: str, free: bool = False) -> DataFrame:
     """Cuts the lineage: writes the rows to the shared folder and reads them back.
 
     The files outlive any executor, so a lost one costs a re-read, not a recomputation. free: lets Spark's cleaner
-    drop the shuffle files of the step that has ended, which it does when the driver collects its garbage.
+    drop the shuffle files of the step that has ended, which it does when the driver collects its garbage. The folder
+    stays until discard() is called on the result, or whoever owns the shared folder cleans it.
     """
     path = f"{shared_dir(df.sparkSession)}/loomspan/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if free:
         gc.collect()
         df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialized table that no table still to be computed reads."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(conf).delete(path, True)
+
+
+def keyed(rows: DataFrame, table: DataFrame, key: str, hot: int = 1024) -> DataFrame:
+    """Inner join of rows to a table with one row a key, whose column n counts the rows of that key; n is left out.
+
+    Keys that hold more than one in `hot` of all rows are fewer than `hot`, so their rows of the table are broadcast and
+    the rows of a hot key stay where they are; the others are shuffled by the key. Rows of a null key are lost.
+    """
+    held = [c for c in table.columns if c not in (key, "n")]
+    total = table.agg(F.sum("n")).first()[0] or 0
+    warm = table.where(F.col("n") > max(total // hot, 1000)).select(F.col(key), F.struct(F.lit(True).alias("hit_"), *held).alias("hot_"))
+    if warm.isEmpty():
+        return rows.join(table.drop("n"), key)
+    both = rows.join(F.broadcast(warm), key, "left")
+    own = [F.col(key), *(F.col(c) for c in rows.columns if c != key)]
+    fast = both.where("hot_.hit_").select(*own, *(F.col(f"hot_.{c}").alias(c) for c in held))
+    slow = both.where("hot_.hit_ is null").drop("hot_").join(table.drop("n"), key)
+    return fast.unionByName(slow.select(*own, *held))
 
 
 def utf8(column: pa.Array) -> list[bytes]:
