@@ -22,7 +22,7 @@ BATCH = "4194304b"
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of the folder. Also bounds the session's Arrow batches, where they are at Spark's default."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "") == "67108864b":
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
