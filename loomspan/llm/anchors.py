@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from loomspan.llm.common import materialize, slices, utf8
 
 BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-PIECE = 1 << 20
+#: Items that are hashed at once.
+PIECE = 1 << 17
+#: A number for each byte; texts of bytes are hashed through it, piece by piece.
+TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
 def powers(n: int, which: int = 0, inverse: bool = False, known: dict = {}) -> np.ndarray:  # noqa: B006
@@ -70,10 +73,11 @@ def least(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def canonical(values: np.ndarray, gram: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places, first window starts, hashes) of the canonical anchors of one document, in order."""
+    """(places, first window starts, hashes) of the canonical anchors of one document, in order. values: bytes, or hashes of words."""
     out: list[tuple] = []
     for begin in range(0, max(0, len(values) - length + 1), PIECE):
-        hashes = gram_hashes(values[begin : begin + PIECE + length - 1], gram)
+        part = values[begin : begin + PIECE + length - 1]
+        hashes = gram_hashes(TABLE[part] if part.dtype == np.uint8 else part, gram)
         place = least(hashes, length - gram + 1)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         out.append((place[first] + begin, first + begin, hashes[place[first]]))

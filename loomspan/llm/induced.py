@@ -21,7 +21,8 @@ import numpy as np
 MEMORY = 32 << 20
 #: Entries that a sweep takes at once, at most, and positions that are read at once.
 BLOCK = 1 << 16
-ENTRY = np.dtype([("key", "<i8"), ("pos", "<i8"), ("lcp", "u1")])
+#: Bytes that the last step of the recursion holds for each byte of the names.
+HELD = 6
 #: Common prefixes are counted up to this; it must exceed the length that is asked for.
 MOST = 255
 
@@ -37,9 +38,9 @@ class Spool:
         self.file.write(x.tobytes())
         self.n += len(x)
 
-    def array(self) -> np.ndarray:
+    def array(self, mode: str = "r") -> np.ndarray:
         self.file.flush()
-        return np.memmap(self.file, self.kind, "r", shape=(self.n,)) if self.n else np.zeros(0, self.kind)
+        return np.memmap(self.file, self.kind, mode, shape=(self.n,)) if self.n else np.zeros(0, self.kind)
 
 
 def blocks(x: np.ndarray, backwards: bool = False) -> Iterator[np.ndarray]:
@@ -48,35 +49,51 @@ def blocks(x: np.ndarray, backwards: bool = False) -> Iterator[np.ndarray]:
 
 
 class Queue:
-    """Priority queue of entries: least key first, of equal keys first come first. Nothing is pushed below the least key.
+    """Priority queue of numbered values: least key first, of equal keys first come first. Nothing is pushed below the least key.
 
-    Keys are dealt to drawers, one a key if keys are few. Beyond `memory` bytes all drawers are written out, one run each.
-    Drawers of one key are read in blocks; the entries of others are sorted as their drawer's turn comes.
+    Keys are dealt to drawers, one a key if keys are few. What is pushed is dealt when the next drawer is opened, or when it
+    grows. Beyond `memory` bytes all drawers are written out, one run each. Drawers of one key are read in blocks; the
+    entries of others are sorted as their drawer's turn comes. Values stand alone where the drawer tells the key.
     """
 
     def __init__(self, keys: int, memory: int):
-        n = keys if keys <= 1024 else 128
+        n = keys if keys <= 1024 else 512
         self.width = -(-keys // n)
         self.near: list[list] = [[] for _ in range(n)]
         self.far: list[list] = [[] for _ in range(n)]
         self.memory, self.held, self.file, self.now = memory, 0, None, 0
-        self.front = np.zeros(0, ENTRY)
+        self.fresh: list[tuple] = []
+        self.waiting = 0
+        self.columns = 1 if self.width == 1 else 2
+        self.keys = self.values = np.zeros(0, np.int64)
 
-    def push(self, x: np.ndarray) -> None:
-        if not len(x):
+    def push(self, key: np.ndarray, value: np.ndarray) -> None:
+        if not len(key):
             return
-        drawer = (x["key"] // self.width).astype(np.uint16)
+        if self.width > 1 and (inside := key < (self.now + 1) * self.width).any():
+            keys, values = np.concatenate([self.keys, key[inside]]), np.concatenate([self.values, value[inside]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.values = keys[order], values[order]
+            key, value = key[~inside], value[~inside]
+        self.fresh.append((key, value))
+        self.waiting += len(key)
+        if self.waiting >= BLOCK:
+            self.deal()
+
+    def deal(self) -> None:
+        """Puts what was pushed into its drawers, in order."""
+        if not self.waiting:
+            return
+        key, value = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*self.fresh, strict=True))
+        self.fresh, self.waiting = [], 0
+        drawer = (key // self.width).astype(np.uint16)
         order = np.argsort(drawer, kind="stable")
-        x, drawer = x[order], drawer[order]
-        cuts = [0, *(np.flatnonzero(drawer[1:] != drawer[:-1]) + 1).tolist(), len(x)]
+        drawer = drawer[order]
+        rows = value[order] if self.width == 1 else np.stack([key[order], value[order]], 1)
+        cuts = [0, *(np.flatnonzero(drawer[1:] != drawer[:-1]) + 1).tolist(), len(rows)]
         for k, d in enumerate(drawer[cuts[:-1]].tolist()):
-            part = x[cuts[k] : cuts[k + 1]]
-            if d == self.now and self.width > 1:
-                front = np.concatenate([self.front, part])
-                self.front = front[np.argsort(front["key"], kind="stable")]
-            else:
-                self.near[d].append(part)
-                self.held += part.nbytes
+            self.near[d].append(rows[cuts[k] : cuts[k + 1]])
+        self.held += rows.nbytes
         if self.held > self.memory:
             self.spill()
 
@@ -93,39 +110,42 @@ class Queue:
         self.held = 0
 
     def load(self, d: int, most: int | None) -> np.ndarray:
-        """The entries of a drawer in the order they came, about `most` of them: runs on disk first."""
+        """The rows of a drawer in the order they came, about `most` of them: runs on disk first."""
         out, n = [], 0
+        size = 8 * self.columns
         while self.far[d] and (most is None or n < most):
-            at, size = self.far[d].pop(0)
-            take = size if most is None else min(size, most)
-            if take < size:
-                self.far[d].insert(0, (at + take * ENTRY.itemsize, size - take))
+            at, rows = self.far[d].pop(0)
+            take = rows if most is None else min(rows, most)
+            if take < rows:
+                self.far[d].insert(0, (at + take * size, rows - take))
             self.file.seek(at)
-            out.append(np.frombuffer(self.file.read(take * ENTRY.itemsize), ENTRY))
+            out.append(np.frombuffer(self.file.read(take * size), np.int64).reshape(-1, self.columns))
             n += take
         if not self.far[d] and (most is None or n < most):
             self.held -= sum(p.nbytes for p in self.near[d])
-            out += self.near[d]
+            out += [p.reshape(-1, self.columns) for p in self.near[d]]
             self.near[d] = []
-        return np.concatenate(out) if out else np.zeros(0, ENTRY)
+        return out[0] if len(out) == 1 else np.concatenate(out)
 
     def fill(self) -> bool:
         """Whether there is an entry; the front then begins with the least."""
-        while not len(self.front):
+        while not len(self.keys):
+            self.deal()
             if not self.near[self.now] and not self.far[self.now]:
                 if self.now + 1 == len(self.near):
                     return False
                 self.now += 1
-                continue
-            front = self.load(self.now, BLOCK if self.width == 1 else None)
-            self.front = front if self.width == 1 else front[np.argsort(front["key"], kind="stable")]
+            elif self.width == 1:
+                self.values = self.load(self.now, BLOCK).ravel()
+                self.keys = np.full(len(self.values), self.now, np.int64)
+            else:
+                rows = self.load(self.now, None)
+                rows = rows[np.argsort(rows[:, 0], kind="stable")]
+                self.keys, self.values = rows[:, 0], rows[:, 1]
         return True
 
-
-def entries(key, pos, lcp) -> np.ndarray:
-    out = np.empty(len(pos), ENTRY)
-    out["key"], out["pos"], out["lcp"] = key, pos, lcp
-    return out
+    def take(self, n: int) -> None:
+        self.keys, self.values = self.keys[n:], self.values[n:]
 
 
 def run_length(text: np.ndarray, at: int) -> int:
@@ -135,72 +155,76 @@ def run_length(text: np.ndarray, at: int) -> int:
     return int(other[0]) if len(other) else len(part)
 
 
-def sweep(text: np.ndarray, symbols: int, feed: Iterable[tuple], rising: bool, memory: int, common: bool) -> Iterator[np.ndarray]:
-    """Entries in order: falling suffixes and seeds from the least up, or rising suffixes and fed ones from the greatest down.
+def sweep(text: np.ndarray, symbols: int, feed: Iterable[tuple], rising: bool, memory: int, common: bool) -> Iterator[tuple]:
+    """Blocks (fed, value) in order: falling suffixes and seeds from the least up, or rising suffixes and fed ones from the greatest down.
 
-    feed: blocks (positions, common prefix with the position fed before). lcp of an entry is that with the entry before.
-    Key 2 s (+ 1 for fed ones, which come after those of their bucket that are found), mirrored if rising.
+    A value is a position times 256 plus the common prefix with the entry before; feed has blocks of values. fed: whether
+    the entry came from there. Key 2 s (+ 1 for fed ones, which come after those of their bucket that are found), mirrored
+    if rising.
     """
     queue = Queue(2 * symbols, memory)
     code = (lambda s: 2 * (symbols - 1 - s)) if rising else (lambda s: 2 * s)
-    for pos, lcp in feed:
-        queue.push(entries(code(text[pos].astype(np.int64)) + 1, pos, lcp))
+    for value in feed:
+        queue.push(code(text[value >> 8].astype(np.int64)) + 1, value)
     since = np.full(symbols, -1, np.int16)  # least common prefix since the last push to a bucket; -1 if there was none
-    last, size = np.zeros(1, ENTRY), 1024
-    last["key"] = -9
+    last_key, last_at, size = -9, 0, BLOCK if queue.width == 1 else 1024
     while queue.fill():
-        x = queue.front[:size]
-        key, pos = x["key"], x["pos"]
+        key, value = queue.keys[:size], queue.values[:size]
+        pos = value >> 8
         symbol = symbols - 1 - (key >> 1) if rising else key >> 1
         before = text[np.maximum(pos - 1, 0)].astype(np.int64)
         go = (before < symbol) | ((before == symbol) & (key & 1 == 0)) if rising else before >= symbol
         go &= pos > 0
-        # an entry leads to nothing that would come before a later one of the batch
-        ahead = np.minimum.accumulate(np.where(go, code(before), np.iinfo(np.int64).max))
-        late = np.flatnonzero(key[1:] > ahead[:-1])
-        cut = int(late[0]) + 1 if len(late) else len(x)
-        x, go, before = x[:cut], go[:cut], before[:cut]
-        queue.front = queue.front[cut:]
-        size = min(BLOCK, max(1024, 2 * cut))
+        cut = len(key)
+        if queue.width > 1:
+            # an entry leads to nothing that would come before a later one of the batch
+            ahead = np.minimum.accumulate(np.where(go, code(before), np.iinfo(np.int64).max))
+            late = key[1:] > ahead[:-1]
+            if late.any():
+                cut = int(late.argmax()) + 1
+                key, value, pos, go, before = key[:cut], value[:cut], pos[:cut], go[:cut], before[:cut]
+            size = min(BLOCK, max(1024, 2 * cut))
+        queue.take(cut)
         t = np.flatnonzero(go)
         s, grown = before[t], 0
         if common:
-            x = x.copy()
-            lcp = x["lcp"]
+            lcp = value & 255
             # a bucket's found and fed suffixes differ in how their first symbol's run ends
-            for i in np.flatnonzero((x["key"] & 1 == 1) & (np.append(last["key"], x["key"][:-1]) == x["key"] - 1)):
-                lcp[i] = min(run_length(text, int(x["pos"][i])), run_length(text, int(x["pos"][i - 1] if i else last["pos"][0])))
-            padded = np.append(lcp, np.uint8(MOST))
-            tails = np.minimum.accumulate(padded[::-1])[::-1]
+            if key[0] & 1 and last_key == key[0] - 1:
+                lcp[0] = min(run_length(text, int(pos[0])), run_length(text, last_at))
+            value = pos << 8 | lcp
+            padded = np.append(lcp, MOST)
+            tails = int(lcp.min())
             if len(t):
                 order = np.argsort(s.astype(np.uint16), kind="stable")
                 t, s = t[order], s[order]
                 first = np.append(True, s[1:] != s[:-1])
                 begin = np.where(first, 0, np.append(0, t[:-1] + 1))
-                least = np.minimum.reduceat(padded, np.stack([begin, t + 1], 1).ravel())[::2].astype(np.int16)
+                least = np.minimum.reduceat(padded, np.stack([begin, t + 1], 1).ravel())[::2]
                 least[first] = np.minimum(least[first], since[s[first]])
                 grown = np.minimum(least + 1, MOST)
-            np.minimum(since, tails[0], out=since)
+            np.minimum(since, tails, out=since)
             if len(t):
                 end = np.append(first[1:], True)
-                since[s[end]] = tails[t[end] + 1]
-            last = x[-1:]
-        yield x
-        queue.push(entries(code(s), x["pos"][t] - 1, grown))
-
-
-def induced(text: np.ndarray, symbols: int, seeds: Iterable[tuple], memory: int, common: bool = False) -> Iterator[np.ndarray]:
-    """All suffixes but the last from the greatest down, from LMS suffixes in order (or in any order, to sort LMS substrings)."""
-    falling = Spool(ENTRY)
-    for x in sweep(text, symbols, seeds, False, memory, common):
-        falling.append(x[x["key"] & 1 == 0])
+                rest = np.minimum.accumulate(padded[::-1])[::-1]
+                since[s[end]] = rest[t[end] + 1]
+            last_key, last_at = int(key[-1]), int(pos[-1])
+        yield key & 1 == 1, value
+        queue.push(code(s), (pos[t] - 1) << 8 | grown)
+
+
+def induced(text: np.ndarray, symbols: int, seeds: Iterable[np.ndarray], memory: int, common: bool = False) -> Iterator[tuple]:
+    """All suffixes but the last from the greatest down, as sweep gives them, from LMS suffixes in order (or in any order, to sort LMS substrings)."""
+    falling = Spool(np.int64)
+    for fed, value in sweep(text, symbols, seeds, False, memory, common):
+        falling.append(value[~fed])
     found = falling.array()
 
-    def back() -> Iterator[tuple]:
+    def back() -> Iterator[np.ndarray]:
         after = 0  # read downwards, a suffix shares with the one before it what that one shared upwards
         for x in blocks(found, backwards=True):
-            yield x["pos"], np.append(np.uint8(after), x["lcp"][:-1])
-            after = x["lcp"][-1]
+            yield x >> 8 << 8 | np.append(after, x[:-1] & 255)
+            after = x[-1] & 255
 
     yield from sweep(text, symbols, back(), True, memory, common)
 
@@ -269,14 +293,15 @@ def seeds_in_order(text: np.ndarray, symbols: int, depth: int, memory: int) -> n
     if len(lms) < 2:
         return lms
     found = Spool(np.int64)
-    for x in induced(text, symbols, ((p, 0) for p in blocks(lms)), memory):
-        pos = x["pos"]
-        found.append(pos[(pos > 0) & (x["key"] & 1 == 0) & (text[np.maximum(pos - 1, 0)] > text[pos])])
+    for fed, value in induced(text, symbols, (p << 8 for p in blocks(lms)), memory):
+        pos = value[~fed] >> 8
+        pos = pos[pos > 0]
+        found.append(pos[text[pos - 1] > text[pos]])
     order = upwards(found, len(text))
     names = np.memmap(tempfile.TemporaryFile(), np.int64, "w+", shape=(len(lms),))
     name, before = -1, None
     for pos in blocks(order):
-        fresh = differs(text, lms, pos if before is None else np.append(before, pos[:-1]), pos)
+        fresh = differs(text, lms, np.append(pos[:1] if before is None else before, pos[:-1]), pos)
         fresh[0] |= before is None
         own = name + np.cumsum(fresh)
         names[np.searchsorted(lms, pos)] = own
@@ -284,22 +309,40 @@ def seeds_in_order(text: np.ndarray, symbols: int, depth: int, memory: int) -> n
     if name + 1 == len(lms) or depth <= 2:
         return order
     out = Spool(np.int64)
-    for x in blocks(suffix_order(names, name + 1, -(-depth // 2), memory)):
+    depth = -(-depth // 2)
+    whole = HELD * names.nbytes <= memory
+    for x in blocks(doubled(names, depth) if whole else suffix_order(names, name + 1, depth, memory)):
         out.append(lms[x])
     return out.array()
 
 
+def doubled(names: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of all suffixes of a text of names, sorted by `depth` names at least, in memory: ranks of pairs of ranks."""
+    rank, hop = np.array(names), 1
+    order = np.argsort(rank, kind="stable")
+    while hop < depth:
+        pair = rank * (len(rank) + 1)
+        pair[:-hop] += rank[hop:] + 1
+        order = np.argsort(pair, kind="stable")
+        fresh = np.append(True, pair[order][1:] != pair[order][:-1])
+        rank[order] = np.cumsum(fresh) - 1
+        if fresh.all():
+            break
+        hop *= 2
+    return order
+
+
 def suffix_order(text: np.ndarray, symbols: int, depth: int, memory: int = MEMORY) -> np.ndarray:
     """Positions of all suffixes, sorted by `depth` symbols at least. The last symbol of a text is its only 0."""
     seeds = seeds_in_order(text, symbols, depth, memory)
     found = Spool(np.int64)
-    for x in induced(text, symbols, ((p, 0) for p in blocks(seeds)), memory):
-        found.append(x["pos"])
+    for _, value in induced(text, symbols, (p << 8 for p in blocks(seeds)), memory):
+        found.append(value >> 8)
     return upwards(found, len(text))
 
 
-def seed_prefixes(text: np.ndarray, seeds: np.ndarray, length: int) -> Iterator[tuple]:
-    """Blocks of seeds with the number of bytes, `length` at most, that each shares with the one before. text is padded by `length`."""
+def seed_prefixes(text: np.ndarray, seeds: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """Blocks of values: seeds with the number of symbols, `length` at most, that each shares with the one before. text is padded by `length`."""
     view = np.lib.stride_tricks.sliding_window_view(text, length)
     before = None
     for pos in blocks(seeds):
@@ -307,25 +350,25 @@ def seed_prefixes(text: np.ndarray, seeds: np.ndarray, length: int) -> Iterator[
         a = np.append(pos[:1] if before is None else before, pos[:-1])
         for k in range(0, len(pos), 4096):
             unequal = view[a[k : k + 4096]] != view[pos[k : k + 4096]]
-            out.append(np.where(unequal.any(1), unequal.argmax(1), length).astype(np.uint8))
+            out.append(np.where(unequal.any(1), unequal.argmax(1), length))
         lcp = np.concatenate(out)
         if before is None:
             lcp[0] = 0
-        yield pos, lcp
+        yield pos << 8 | lcp
         before = pos[-1:]
 
 
-def shared_prefixes(text: np.ndarray, length: int, memory: int = MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks (positions, common prefix with the position before) of the suffixes from the greatest down, sorted by `length` bytes.
+def shared_prefixes(text: np.ndarray, symbols: int, length: int, memory: int = MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (positions, common prefix with the position before) of the suffixes from the greatest down, sorted by `length` symbols.
 
-    text: unsigned bytes, the last its only 0. Common prefixes are exact below `length`, and at least that if not.
+    text: symbols below `symbols`, 512 at most, the last its only 0. Common prefixes are exact below `length`, and at least that if not.
     """
-    if length >= MOST:
-        raise ValueError(f"the length must be less than {MOST}")
-    seeds = seeds_in_order(text, 256, length, memory)
-    padded = Spool(np.uint8)
+    if length >= MOST or symbols > 512:
+        raise ValueError(f"the length must be less than {MOST}, symbols 512 at most")
+    seeds = seeds_in_order(text, symbols, length, memory)
+    padded = Spool(text.dtype)
     for x in blocks(text):
         padded.append(x)
-    padded.append(np.zeros(length, np.uint8))
-    for x in induced(text, 256, seed_prefixes(padded.array(), seeds, length), memory, common=True):
-        yield x["pos"], x["lcp"]
+    padded.append(np.zeros(length, text.dtype))
+    for _, value in induced(text, symbols, seed_prefixes(padded.array(), seeds, length), memory, common=True):
+        yield value >> 8, value & 255

@@ -1,17 +1,14 @@
 """Suffix-array dedup by external induced sorting.
 
 Windows of 200 bytes whose canonical anchor occurs twice are dealt into shards by anchor, so equal windows meet in one
-shard. A shard's text is sorted by induction: suffixes that begin an ascending run (LMS) are sorted first, and their
-order induces all others in one pass for descending and one for ascending suffixes. The queues of the passes hold one
-run a first symbol and spill to disk when they outgrow memory; each pass reads and writes them in order only. LMS
-substrings are named and the recursion sorts pairs of names until the names tell windows apart, carrying the length of
-the common prefix that the names stand for. Neighbours in the order that share 200 bytes are repeats.
+shard. A shard's text is written to disk and its suffixes are sorted by recursive induction (see induced.py): priority
+queues that go to disk beyond a bound carry the suffixes with the length of the prefix that each shares with the one before
+it. Neighbours in the order that share 200 bytes are repeats; no bytes are compared again and none are hashed for it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,180 +16,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.anchors import anchored, canonical, outcomes, powers
+from loomspan.llm.anchors import anchored, canonical, outcomes
 from loomspan.llm.common import materialize, read, slices, utf8
+from loomspan.llm.induced import MEMORY, Spool, shared_prefixes
 from loomspan.llm.substring import EMPTY
 
 GRAM = 64
 LENGTH = 200
-#: Bytes of queue that a pass keeps in memory; the rest is on disk, in files that have no name and vanish with the task.
-QUEUE_MEMORY = 96 << 20
-#: Positions that a pass reads at once, about.
-BLOCK = 1 << 18
-#: Bytes of text that are sorted at once; a larger group of one anchor is sorted whole (CROWD bounds it to some 3 MB, so its queues stay in memory).
+#: Bytes of text that are sorted at once; a larger group of one anchor is sorted whole, through the disk.
 SHARD = 1 << 20
 #: Different snippets that one anchor may have in a shard. The windows of a commoner one are dealt by their own bytes instead.
 CROWD = 8000
-
-TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
-class Queues:
-    """First-in first-out runs of positions by symbol, on disk beyond a bound."""
-
-    def __init__(self, symbols: int, memory: int = QUEUE_MEMORY):
-        self.runs: list[list] = [[] for _ in range(symbols)]
-        self.memory, self.held, self.file = memory, 0, None
-
-    def push(self, symbol: int, positions: np.ndarray) -> None:
-        if self.held + positions.nbytes <= self.memory:
-            self.held += positions.nbytes
-            self.runs[symbol].append(positions)
-            return
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        at = self.file.seek(0, 2)
-        positions.tofile(self.file)
-        self.runs[symbol].append((at, len(positions)))
-
-    def read(self, symbol: int, i: int) -> np.ndarray:
-        run = self.runs[symbol][i]
-        if isinstance(run, np.ndarray):
-            return run
-        self.file.flush()
-        self.file.seek(run[0])
-        return np.fromfile(self.file, np.int64, run[1])
-
-    def each(self, symbol: int, backwards: bool = False) -> Iterator[np.ndarray]:
-        """The positions of a symbol in blocks, those pushed meanwhile too if read forwards."""
-        runs = self.runs[symbol]
-        i, size = (len(runs) if backwards else 0), (lambda run: len(run) if isinstance(run, np.ndarray) else run[1])
-        while i > 0 if backwards else i < len(runs):
-            begin, held = i, 0
-            while (i > 0 if backwards else i < len(runs)) and held < BLOCK:
-                i += -1 if backwards else 1
-                held += size(runs[i if backwards else i - 1])
-            block = [self.read(symbol, k) for k in range(min(begin, i), max(begin, i))]
-            block = block[0] if len(block) == 1 else np.concatenate(block)
-            yield block[::-1] if backwards else block
-
-    def deal(self, positions: np.ndarray, symbols: np.ndarray) -> None:
-        """Pushes positions to the queues of their symbols, order kept."""
-        if not len(positions):
-            return
-        order = np.argsort(symbols, kind="stable")
-        positions, symbols = positions[order], symbols[order]
-        cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-        for run, s in zip(np.split(positions, cuts), symbols[np.append(0, cuts)], strict=True):
-            self.push(int(s), run)
-
-
-def ascending(text: np.ndarray) -> np.ndarray:
-    """Type of each suffix: true if smaller than the next one. The last symbol is the unique least."""
-    n = len(text)
-    turn = np.flatnonzero(np.append(text[1:] != text[:-1], True))
-    up = np.append(text[1:] > text[:-1], True)
-    return up[turn[np.searchsorted(turn, np.arange(n))]]
-
-
-def induce(text: np.ndarray, up: np.ndarray, seeds: np.ndarray, symbols: int, memory: int = QUEUE_MEMORY) -> Iterator[np.ndarray]:
-    """All suffixes in order, last first, from LMS suffixes in order (of their first symbols at least)."""
-    starts = Queues(symbols, memory)
-    starts.deal(seeds, text[seeds])
-    falling = Queues(symbols, memory)
-    for c in range(symbols):
-        for queue in (falling, starts):
-            for run in queue.each(c):
-                before = run[run > 0] - 1
-                before = before[~up[before]]
-                falling.deal(before, text[before])
-    rising = Queues(symbols, memory)
-    rising.push(int(text[-1]), np.array([len(text) - 1]))
-    for c in reversed(range(symbols)):
-        for queue, backwards in ((rising, False), (falling, True)):
-            for run in queue.each(c, backwards):
-                before = run[run > 0] - 1
-                before = before[up[before]]
-                rising.deal(before, text[before])
-                yield run
-
-
-def prefix_sums(text: np.ndarray, which: int) -> np.ndarray:
-    """Sums whose differences hash substrings; text has symbols below 258."""
-    table = np.append(TABLE, [np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)])
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(table[text] * powers(len(text), which), out=sums[1:])
-    return sums
-
-
-def lms_order(text: np.ndarray, up: np.ndarray, lms: np.ndarray, symbols: int, sums: np.ndarray, depth: int, memory: int) -> np.ndarray:
-    """LMS positions sorted to `depth` symbols: named by an induced sort, then by pairs of names until names suffice."""
-    if len(lms) < 2:
-        return lms
-    is_lms = np.zeros(len(text), bool)
-    is_lms[lms] = True
-    order = np.concatenate([r[is_lms[r]] for r in induce(text, up, lms, symbols, memory)])[::-1]
-    rank_of = np.zeros(len(text), np.int64)  # place among LMS positions in the text
-    rank_of[lms] = np.arange(len(lms))
-    end = np.append(lms[1:], len(text) - 1) + 1  # an LMS substring ends with the next LMS symbol
-    at = rank_of[order]
-    size = end[at] - order
-    key = (sums[end[at]] - sums[order]) * powers(len(text), 0, True)[order]
-    fresh = np.append(True, (key[1:] != key[:-1]) | (size[1:] != size[:-1]))
-    name = np.empty(len(lms), np.int64)
-    name[at] = np.cumsum(fresh) - 1
-    hop, common = 1, 2  # names tell `hop` LMS substrings apart, `common` symbols at least
-    while common < depth and fresh.sum() < len(lms):
-        pair = name * (len(lms) + 1)
-        pair[:-hop] += name[hop:] + 1
-        at = np.argsort(pair, kind="stable")
-        fresh = np.append(True, pair[at][1:] != pair[at][:-1])
-        name[at] = np.cumsum(fresh) - 1
-        hop, common = 2 * hop, 2 * common
-    return lms[at]
-
-
-def repeats(pieces: list[bytes], length: int = LENGTH, memory: int = QUEUE_MEMORY) -> list[np.ndarray]:
-    """For each piece, the starts of its windows of `length` bytes that start elsewhere in some piece too."""
-    sizes = np.array([len(p) for p in pieces], np.int64)
-    offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
-    # bytes are 2 to 257, 1 ends a piece, 0 ends the text
-    text = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8).astype(np.uint16) + np.uint16(2)
-    text[offsets[1:] - 1] = 1
-    text = np.append(text, np.uint16(0))
-    up = ascending(text)
-    lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
-    sums = prefix_sums(np.where(text > 1, text - 2, text + 256), 0)
-    other = prefix_sums(np.where(text > 1, text - 2, text + 256), 1)
-    seeds = lms_order(text, up, lms, 258, sums, length, memory)
-    fits = np.zeros(len(text), bool)  # a window starts here
-    edges = np.zeros(len(text) + 1, np.int8)
-    enough = sizes >= length
-    edges[offsets[:-1][enough]] += 1
-    edges[(offsets[:-1] + sizes - length + 1)[enough]] -= 1
-    fits[:] = np.cumsum(edges)[:-1] > 0
-    hit = np.zeros(len(text), bool)
-    last = None
-    for run in induce(text, up, seeds, 258, memory):
-        run = run[fits[run]]
-        if not len(run):
-            continue
-        if last is not None:
-            run = np.append(last, run)
-        equal = np.ones(max(0, len(run) - 1), bool)
-        for k, s in ((0, sums), (1, other)):
-            key = (s[run + length] - s[run]) * powers(len(text), k, True)[run]
-            equal &= key[1:] == key[:-1]
-        hit[run[1:][equal]] = True
-        hit[run[:-1][equal]] = True
-        last = run[-1:]
-    places = np.flatnonzero(hit)
-    cuts = np.searchsorted(places, offsets)
-    return [places[cuts[i] : cuts[i + 1]] - offsets[i] for i in range(len(pieces))]
+#: Bytes are 2 to 257 in a shard's text, 1 ends a piece, 0 ends the text.
+SYMBOLS = 258
+
+
+class Shard:
+    """Pieces whose text is on disk; repeats() gives the windows that start elsewhere in it too."""
+
+    def __init__(self, length: int = LENGTH, memory: int = MEMORY):
+        self.text, self.ends, self.rows = Spool(np.uint16), [0], []
+        self.length, self.memory = length, memory
+
+    def add(self, piece: bytes, row: tuple = ()) -> None:
+        symbols = np.full(len(piece) + 1, 1, np.uint16)
+        symbols[:-1] = np.frombuffer(piece, np.uint8).astype(np.uint16) + 2
+        self.text.append(symbols)
+        self.ends.append(self.text.n)
+        self.rows.append(row)
+
+    def repeats(self) -> Iterator[np.ndarray]:
+        """For each piece, the starts of its windows that start elsewhere in some piece too, in order."""
+        n, ends = self.text.n, np.array(self.ends)
+        self.text.append(np.zeros(1, np.uint16))
+        hit = Spool(np.bool_)
+        for begin in range(0, n + 1, MEMORY):
+            hit.append(np.zeros(min(MEMORY, n + 1 - begin), np.bool_))
+        marks, last = hit.array("r+"), None
+        for pos, common in shared_prefixes(self.text.array(), SYMBOLS, self.length, self.memory):
+            # what shares a whole window with one that ends inside its piece ends inside its own
+            fits = pos + self.length < ends[np.minimum(np.searchsorted(ends, pos, "right"), len(ends) - 1)]
+            same = fits & (common >= self.length)
+            before = np.append(pos[:1] if last is None else last, pos[:-1])
+            marks[pos[same]] = True
+            marks[before[same]] = True
+            last = pos[-1:]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            yield np.flatnonzero(marks[a:b])
+
+
+def repeats(pieces: list[bytes], length: int = LENGTH, memory: int = MEMORY) -> list[np.ndarray]:
+    """Shard.repeats of a list of pieces."""
+    shard = Shard(length, memory)
+    for p in pieces:
+        shard.add(p)
+    return list(shard.repeats())
+
+
+def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the union of spans, in order."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    first = np.append(True, starts[1:] > ends[:-1])[: len(starts)]
+    return starts[first], ends[np.append(np.flatnonzero(first)[1:] - 1, len(starts) - 1)]
 
 
 def as_bytes(text: bytes) -> tuple[np.ndarray, int, str]:
-    return TABLE[np.frombuffer(text, np.uint8)], len(text), hashlib.sha256(text).hexdigest()
+    return np.frombuffer(text, np.uint8), len(text), hashlib.sha256(text).hexdigest()
 
 
 def snippets(text: bytes, places: list[int], gram: int, length: int) -> Iterator[tuple[int, int, bytes]]:
@@ -204,7 +94,7 @@ def snippets(text: bytes, places: list[int], gram: int, length: int) -> Iterator
         yield a, p - a, text[a : b + length]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, memory: int = QUEUE_MEMORY, output: str = "digest", crowd: int = CROWD) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, memory: int = MEMORY, output: str = "digest", crowd: int = CROWD) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans, array of (start, end), if output is "values").
 
     Texts are UTF-8 bytes, a null text is empty. Equal texts of `length` bytes or more go wholly, whatever their ids;
@@ -226,45 +116,41 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by anchor: whole groups are gathered into a shard until it is large enough to be sorted."""
-        shard: list[tuple] = []
-        group: list[tuple] = []
-        held = 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if group and group[0][0] != row[0]:
-                    if len(group) > 1:
-                        shard += group
-                        held += sum(len(r[3]) for r in group)
-                    elif group[0][2] > 1:  # one content, found twice: nothing else can hold a part of it
-                        yield spans_of([group[0]], [np.zeros(0, np.int64)])
-                    group = []
-                    if held >= SHARD:
-                        yield spans_of(shard, repeats([r[3] for r in shard], length, memory))
-                        shard, held = [], 0
-                group.append(row)
-        if len(group) > 1 or group and group[0][2] > 1:
-            shard += group
-        if shard:
-            yield spans_of(shard, repeats([r[3] for r in shard], length, memory))
-
-    def spans_of(shard: list[tuple], found: list[np.ndarray]) -> pa.RecordBatch:
-        out_names, out_from, out_to = [], [], []
-        for (_, name, n, text), starts in zip(shard, found, strict=True):
+        shard, alone, anchor, many = Shard(length, memory), [], None, False
+        first: tuple = ()
+
+        def settled() -> None:
+            # a group of one content that is found twice: nothing else can hold a part of it
+            if anchor is not None and not many and first[1] > 1:
+                alone.append((first[0], 0, len(first[2])))
+
+        for batch in slices(batches, "bytes", 1 << 20):
+            for key, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != anchor:
+                    settled()
+                    if shard.text.n >= SHARD:
+                        yield spans_of(shard, alone)
+                        shard, alone = Shard(length, memory), []
+                    anchor, many, first = key, False, tuple(row)
+                    continue
+                if not many:
+                    shard.add(first[2], (first[0], first[1], len(first[2])))
+                    many = True
+                shard.add(row[2], (row[0], row[1], len(row[2])))
+        settled()
+        yield spans_of(shard, alone)
+
+    def spans_of(shard: Shard, alone: list[tuple]) -> pa.RecordBatch:
+        out = list(alone)
+        for (name, n, size), starts in zip(shard.rows, shard.repeats() if shard.rows else (), strict=True):
             if n > 1:
-                runs = [(0, len(text))]
+                out.append((name, 0, size))
             elif len(starts):
-                breaks = np.flatnonzero(np.diff(starts) > length) + 1
-                runs = [(int(r[0]), int(r[-1]) + length) for r in np.split(starts, breaks)]
-            else:
-                continue
-            for a, b in runs:
-                out_names.append(name)
-                out_from.append(a)
-                out_to.append(b)
-        return pa.RecordBatch.from_arrays([pa.array(out_names, pa.binary()), pa.array(out_from, pa.int32()), pa.array(out_to, pa.int32())], ["snippet", "s", "e"])
+                out += zip([name] * len(starts), *(x.tolist() for x in merged(starts, starts + length)), strict=False)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate((pa.binary(), pa.int32(), pa.int32()))], ["snippet", "s", "e"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "bytes", 1 << 20):
+        for batch in slices(batches, "bytes", 1 << 18):
             texts = batch.column(2).to_pylist()
             counts = [len(t) - length + 1 for t in texts]
             of = pa.array(np.repeat(np.arange(len(texts)), counts))
@@ -281,16 +167,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     marked = held.select("digest", "text").join(spans.hint("shuffle_hash"), "digest")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             out = []
-            for t, s in zip(utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                edges = np.zeros(len(t) + 1, np.int64)
-                np.add.at(edges, [x["s"] for x in s], 1)
-                np.add.at(edges, [x["e"] for x in s], -1)
-                mask = np.cumsum(edges)[:-1] > 0
-                turns = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-                kept = np.frombuffer(t, np.uint8)[~mask].tobytes()
-                out.append((int(mask.sum()), len(turns) // 2, hashlib.sha256(kept).hexdigest(), turns.reshape(-1, 2).tolist() if output == "values" else None))
+            for t, s in zip(utf8(batch.column(1)), batch.column(2), strict=True):
+                starts, ends = merged(*(s.values.field(k).to_numpy().astype(np.int64) for k in ("s", "e")))
+                digest = hashlib.sha256()
+                for a, b in zip([0, *ends.tolist()], [*starts.tolist(), len(t)], strict=True):
+                    digest.update(t[a:b])
+                runs = np.stack([starts, ends], 1).tolist() if output == "values" else None
+                out.append((int((ends - starts).sum()), len(starts), digest.hexdigest(), runs))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))), strict=True))], ["digest", "gone", "cut_spans", "cut_sha", "runs"])
 
     cuts = marked.mapInArrow(apply, "digest binary, gone long, cut_spans long, cut_sha string, runs array<array<long>>")

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomspan.llm import anchors, bpe, common, embeddings, graph, langid, mixing, pii, quality, simhash, substring, suffix, toxicity
+from loomspan.llm import anchors, bpe, common, embeddings, graph, induced, langid, mixing, pii, quality, simhash, substring, suffix, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans string, toxicity string, lang_pred string, n_tokens string, block string, src string, h string, _row string"
 
@@ -172,21 +172,36 @@ def test_suffix(spark, docs, empty):
                 gone[s : s + 200] = True
         spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
         want[i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()] += 1
-    for memory, crowd in ((suffix.QUEUE_MEMORY, suffix.CROWD), (1000, suffix.CROWD), (1000, 2)):  # in memory, through the disk, and with crowded anchors
+    for memory, crowd in ((suffix.MEMORY, suffix.CROWD), (1000, suffix.CROWD), (1000, 2)):  # in memory, through the disk, and with crowded anchors
         got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.dedup(docs, memory=memory, crowd=crowd).collect())
         assert got == want
     assert suffix.dedup(empty).count() == 0
 
 
-def test_induced_sort_orders_suffixes():
+@pytest.mark.parametrize("memory", [200, 5000, induced.MEMORY])  # queues on disk and recursion to the end, some of both, in memory
+def test_induced_sort_orders_suffixes_with_common_prefixes(memory):
     rng = np.random.default_rng(2)
-    for _ in range(20):
-        text = np.append(rng.integers(2, 5, rng.integers(1, 60)), 0).astype(np.uint16)
-        up = suffix.ascending(text)
-        lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
-        seeds = suffix.lms_order(text, up, lms, 258, suffix.prefix_sums(text, 0), 200, 64)
-        order = np.concatenate(list(suffix.induce(text, up, seeds, 258, 64)))[::-1].tolist()
-        assert order == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    for k in range(60):
+        text = np.append(rng.integers(1, (2, 3, 5, 258)[k % 4] + (k % 4 < 3), rng.integers(1, 300)), 0).astype(np.uint16)
+        if k % 7 == 0:
+            text = np.append(np.tile(text[:-1], 5), 0).astype(np.uint16)
+        length, n = (4, 20, 200)[k % 3], len(text)
+        found = list(induced.shared_prefixes(text, 259, length, memory))
+        order, common = (np.concatenate(x).tolist() for x in zip(*found))
+        assert sorted(order) == list(range(n - 1))
+        symbols = text.tolist()
+        for a, b, c in zip(order, order[1:], common[1:]):
+            same = next((i for i in range(length) if symbols[a + i : a + i + 1] != symbols[b + i : b + i + 1]), length)
+            assert min(c, length) == same and symbols[a : a + length] >= symbols[b : b + length]
+
+
+def test_a_shard_ten_times_the_memory():
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 101, 300_000, dtype=np.uint8).tobytes()
+    pieces = [base, base[1000:1400] + b"-" + base[:150], b"\0" * 500, base[5000:5199], b"\xff" * 199]
+    found = suffix.repeats(pieces, 200, 50_000)
+    assert found[0].tolist() == list(range(1000, 1201)) and found[1].tolist() == list(range(201))
+    assert found[2].tolist() == list(range(301)) and not len(found[3]) and not len(found[4])
 
 
 def test_pii(spark, docs, empty):
