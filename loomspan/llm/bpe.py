@@ -110,7 +110,8 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY
     """docs plus n_tokens and, by `output`, digests (ids_sha256, decoded_sha256) or the values (ids, decoded).
 
     vocabulary: a name of public_tokenizers or a path that every executor can open. A null text counts as empty: no
-    tokens, an empty decoded text. Columns of the new names are replaced.
+    tokens, an empty decoded text. Columns of the new names are replaced, others passed through. Texts of any length are
+    read whole, rows that repeat get equal results, an empty table gives an empty table.
     """
     docs = docs.drop("n_tokens", *(("ids", "decoded") if output == "values" else ("ids_sha256", "decoded_sha256")))
     values = output == "values"
@@ -132,6 +133,7 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY
 
 
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents`; nulls, empty and very long texts, ties, repeats, empty tables and other columns as in encode."""
     return encode(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 

@@ -4,8 +4,9 @@ Vectors are dealt to the shards of their nearest centroids, so shards overlap. E
 graph; a vector's adjacency list is the union over its shards. Greedy search descends from the shard's medoid along the
 joined lists to each query, then the range expansion follows every neighbour inside the range until no new one turns up.
 A node's edges and the beam are bounded, so a bunch of near copies can hide its neighbours: each shard's search is
-therefore held against all pairs of the shard, by blocks, and what it missed is added. What is left to miss are pairs
-that share no shard. Links are verified in double precision, and the recall of every build is audited against brute
+therefore held against all pairs of the shard, by blocks, and what it missed is added. From there the range expansion
+goes on over the merged graph: along the united lists of a vector's linked neighbours to vectors that share no shard with
+it, until no new link turns up. Links are verified in double precision, and the recall of every build is audited against brute
 force for a sample of queries; a build that misses the target is repeated with more overlap, and in the end by a search
 that compares all pairs of shards that the triangle inequality does not rule out.
 
@@ -136,6 +137,10 @@ def linked(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]}).drop_duplicates()
 
 
+def kind(vectors: DataFrame) -> str:
+    return vectors.schema["v"].dataType.simpleString()
+
+
 def shards_of(vectors: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
     """(shard int, home boolean, id, v): each vector in its `overlap` nearest shards; home is the nearest."""
     overlap = min(overlap, len(c))
@@ -148,11 +153,14 @@ def shards_of(vectors: DataFrame, c: np.ndarray, overlap: int) -> DataFrame:
                 take = pa.array(np.repeat(np.arange(part.num_rows), overlap))
                 yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), pa.array(np.tile(np.arange(overlap) == 0, part.num_rows)), part.column(0).take(take), part.column(1).take(take)], ["shard", "home", "id", "v"])
 
-    return vectors.select("id", "v").mapInArrow(run, "shard int, home boolean, id long, v array<float>")
+    return vectors.select("id", "v").mapInArrow(run, f"shard int, home boolean, id long, v {kind(vectors)}")
 
 
-def graph_links(vectors: DataFrame, c: np.ndarray, overlap: int, limit: float) -> DataFrame:
-    """(a, b) ids of vectors with cosine >= limit that share a shard, a < b: those the graph search finds and those it misses."""
+def graph_links(vectors: DataFrame, c: np.ndarray, overlap: int, limit: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b) ids of vectors with cosine >= limit that share a shard, a < b: those the graph search finds and those it misses; and the merged graph.
+
+    The graph is (id, near, shards): the union of a vector's adjacency lists, and the shards it is in.
+    """
     dealt = materialize(shards_of(vectors, c, overlap), "embedding-shards")
     sizes = dealt.groupBy("shard").agg(F.count("*").alias("n"))
     parts = dealt.join(F.broadcast(sizes), "shard").withColumn("parts", F.ceil(F.col("n") / MOST_SHARD).cast("int"))
@@ -194,7 +202,26 @@ def graph_links(vectors: DataFrame, c: np.ndarray, overlap: int, limit: float) -
         p, q = close(x, np.arange(len(ids)) if whole else queries, inner, limit)
         return linked(np.append(a, ids[p]), np.append(b, ids[q]))
 
-    return members.unionByName(guests).groupBy("shard", "part", "guest").applyInPandas(search, "a long, b long").distinct()
+    graph = union.join(dealt.groupBy("id").agg(F.sort_array(F.collect_list("shard")).alias("shards")), "id")
+    return members.unionByName(guests).groupBy("shard", "part", "guest").applyInPandas(search, "a long, b long").distinct(), materialize(graph, "embedding-merged")
+
+
+def expanded(vectors: DataFrame, graph: DataFrame, links: DataFrame, limit: float) -> DataFrame:
+    """links and what the range expansion over the merged graph adds to them, round by round until nothing is new.
+
+    A link (q, b) leads from q to all of b's united list. Pairs that share a shard are known, so a round follows only
+    links whose ends lie in different shards, to vectors that share none with q.
+    """
+    front = links
+    places = graph.select("id", "shards")
+    while not front.isEmpty():
+        ends = front.select(F.col("a").alias("q"), F.col("b").alias("id")).unionByName(front.select(F.col("b").alias("q"), F.col("a").alias("id")))
+        hops = ends.join(places.toDF("q", "own"), "q").join(graph, "id").where("own <> shards").select("q", "own", F.explode("near").alias("id"))
+        there = hops.join(places, "id").where((F.col("q") != F.col("id")) & ~F.arrays_overlap("own", "shards"))
+        pairs = there.select(F.least("q", "id").alias("a"), F.greatest("q", "id").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
+        front = materialize(verified(vectors, pairs, limit), "embedding-expanded")
+        links = links.unionByName(front)
+    return links
 
 
 def exact_links(vectors: DataFrame, c: np.ndarray, limit: float) -> DataFrame:
@@ -231,7 +258,7 @@ def exact_links(vectors: DataFrame, c: np.ndarray, limit: float) -> DataFrame:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), part.column(1).take(take), part.column(2).take(take)], ["shard", "id", "v"])
 
-    guests = materialize(homes.mapInArrow(visits, "shard int, id long, v array<float>"), "embedding-guests")
+    guests = materialize(homes.mapInArrow(visits, f"shard int, id long, v {kind(vectors)}"), "embedding-guests")
     counts = guests.groupBy("shard").agg(F.count("*").alias("m"))
     table = vectors.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(parts)], "shard int, parts int")
     grid = F.broadcast(table.join(counts, "shard").select("shard", "parts", F.ceil(F.col("m") / MOST_SHARD).cast("int").alias("rooms")))
@@ -279,13 +306,15 @@ def audit(vectors: DataFrame, links: DataFrame, limit: float, queries: int = AUD
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = RANGE, recall: float = RECALL) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): one row per row of rows.
+    """(vec_id, n_links, component_id, kept, recall): one row per row of rows; recall is the audit's figure, the same in all.
 
-    Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing and are their own
+    A column of floats is held as floats, any other as doubles; cosines are in double precision. Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing and are their own
     component. So do vectors whose length differs from the commonest one's. Rows of one vector link with each other.
-    A row with a null id is left out of other rows' component ids.
+    A row with a null id is left out of other rows' component ids. An empty table gives an empty table. Only the two
+    named columns are read, so other columns cannot clash.
     """
-    v = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"))
+    own = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
+    v = own if kind(own) == "array<float>" else own.withColumn("v", F.col("v").cast("array<double>"))
     good = F.col("v").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     v = v.withColumn("ok", F.coalesce(good, F.lit(False)))
     sizes = v.where("ok").groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -301,9 +330,10 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         sample = vectors.where((F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 40)) / float(1 << 40)) < rate).select("v").limit(2 * SAMPLE).collect()
         x = unit([r["v"] for r in sample]) if sample else unit([vectors.first()["v"]])
         c = centroids_of(x, min(k, len(x)))
-    overlap, links = OVERLAP, None
+    overlap, links, found = OVERLAP, None, 1.0
     while n:
-        links = materialize(verified(vectors, graph_links(vectors, c, overlap, limit), limit), "embedding-links")
+        near, graph = graph_links(vectors, c, overlap, limit)
+        links = expanded(vectors, graph, materialize(verified(vectors, near, limit), "embedding-links"), limit)
         found = audit(vectors, links, limit)
         if found >= recall:
             break
@@ -316,7 +346,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         raise RuntimeError(f"recall {found:.4f} of the links, less than {recall}")
     own = v.select("vec_id", "key")
     if links is None:
-        return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(found).alias("recall"))
     copies = vectors.select("id", "copies")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = ends.join(copies.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
@@ -325,11 +355,12 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     facts = named.join(least, "root").select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     out = own.join(facts, "key", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))).withColumn("recall", F.lit(found))
 
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "embeddings"))
+    """All of `embeddings`; nulls, empty and very long vectors, ties, repeats, empty tables and other columns as in near_duplicates."""
+    return near_duplicates(read(spark, sf_dir, "embeddings")).drop("recall")
 
 
 QUERIES = {"op1_embedding_neardup": op1_embedding_neardup}

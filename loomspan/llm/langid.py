@@ -22,8 +22,6 @@ from loomspan.llm.common import bucket, read, slices
 TOP = 300
 #: Bound of the sample that profiles are fitted on: documents a language, chosen by a hash of the id.
 SAMPLE = 2000
-#: Bound of the number of languages learned: those with the most labelled documents, ties by name.
-LANGUAGES = 500
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}']+")
@@ -55,16 +53,17 @@ def ranked(codes: np.ndarray, top: int = TOP) -> np.ndarray:
     return values[np.lexsort((values, -counts))][:top]
 
 
-def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = TOP, sample: int = SAMPLE, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
+def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", top: int = TOP, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """Profiles of the languages of labelled rows: counts over a bounded hash sample, `top` grams a language.
 
-    Rows of null text, or whose label is null, teach nothing.
+    Rows of null text, or whose label is null, teach nothing. Every other label is learned; the driver holds one number
+    and one profile for each.
     """
     rows = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where("t is not null and l is not null")
-    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(languages).collect()}
+    sizes = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
-    share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))))
+    share = F.map_from_arrays(F.lit(list(sizes)), F.lit([min(1.0, sample / n) for n in sizes.values()]))
     # a hash below the language's share of all hashes: about `sample` rows, whatever the table's size
     chosen = rows.where((F.pmod("h", F.lit(1 << 40)) / float(1 << 40)) < F.coalesce(share[F.col("l")], F.lit(0.0))).select("l", "t")
 
@@ -84,7 +83,9 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id
     """All columns of docs plus lang_pred and lang_score (columns of those names are replaced).
 
     lang_pred is `und`, with score 0, where the text is null or has no letter, or no profile is known. The score is
-    1 less the mean cost of a gram as a share of the worst cost.
+    1 less the mean cost of a gram as a share of the worst cost. Languages that tie are taken by name. Texts of any
+    length are read whole, rows that repeat get the same label, an empty table gives an empty table; all other columns
+    are passed through, whatever their names.
     """
     docs = docs.drop("lang_pred", "lang_score")
     names = sorted(known)
@@ -123,6 +124,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents`; nulls, empty and very long texts, ties, repeats, empty tables and other columns as in profiles and predict."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     known = profiles(docs.where(bucket("doc_id", 4) != 2))
     out = predict(docs.select("doc_id", "text", (bucket("doc_id", 4) == 2).alias("held_out")), known)

@@ -4,7 +4,8 @@ Documents of a source form blocks; a source of weight w gives its k-th block (fr
 the deadline ceil((k + 1) / w). Each slot goes to the released block with the earliest deadline, so in every prefix the
 count of a source's blocks differs from its share by less than one block. Weights are exact rational numbers. Where they
 are whole numbers of slots in a period that is shorter than the phase, the plan of a period repeats; else the plan runs
-to the end of the phase and holds a number for each block, which the driver writes in one pass.
+to the end of the phase and holds a number for each block, which the driver writes in one pass; there are MOST_BLOCKS
+and one for each source, at most, whatever the rows.
 
 When a source is used up the schedule goes on with the weights of those that are left: a new phase. Sources of weight
 zero come when all others are used up, with equal weights.
@@ -24,12 +25,14 @@ from pyspark.sql import functions as F
 
 from loomspan.llm.common import read
 
-#: Documents of one source in a block.
-BLOCK = 16
+#: Documents of one source in a block, at least, and blocks of all rows, about, at most: beyond, blocks grow with the rows, so the plan does not.
+BLOCK, MOST_BLOCKS = 16, 1 << 20
 #: Slots of a plan that repeats, at least.
 PERIOD = 240
 #: Target weights go as the source's document count to this power where none are given.
 TEMPERATURE = 0.7
+#: Such weights are whole numbers of this part.
+PRECISION = 1_000_000
 #: Bound of the number of sources; the plan is made for so many at most (two million rows, if each ends a phase).
 MOST_SOURCES = 1000
 #: Slots of a source in one row of the plan.
@@ -38,34 +41,19 @@ CHUNK = 256
 SMALL_PLAN = 100_000
 
 
-def quotas(weights: dict, period: int = PERIOD) -> dict:
-    """Whole slots of a period for each source, by largest remainders, one at least; ties by position."""
-    total = sum(weights.values())
-    period = max(period, 4 * len(weights))
-    exact = {s: max(Fraction(1), Fraction(w) * period / Fraction(total)) for s, w in weights.items()}
-    out = {s: int(x) for s, x in exact.items()}
-    order = sorted(weights, key=lambda s: (out[s] - exact[s], list(weights).index(s)))
-    for s in order[: max(0, period - sum(out.values()))]:
-        out[s] += 1
-    return out
+def exact(w: float | Fraction) -> Fraction:
+    """The simplest fraction that reads as this number, if its denominator is a billion at most; else its decimal form."""
+    if isinstance(w, (int, Fraction)):
+        return Fraction(w)
+    simple = Fraction(float(w)).limit_denominator(10**9)
+    return simple if float(simple) == float(w) else Fraction(repr(float(w)))
 
 
-def plan(quota: dict) -> list:
-    """The sources of a period's slots, earliest deadline first among released blocks; ties by position."""
-    period, out = sum(quota.values()), []
-    place = {s: i for i, s in enumerate(quota)}
-    waiting = [(0, place[s], s, 0) for s in quota]
-    ready: list = []
-    heapq.heapify(waiting)
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, i, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * period // quota[s]), i, s, k))
-        _, i, s, k = heapq.heappop(ready)
-        out.append(s)
-        if k + 1 < quota[s]:
-            heapq.heappush(waiting, ((k + 1) * period // quota[s], i, s, k + 1))
-    return out
+def targets(sizes: dict, weights: dict | None) -> dict:
+    """The exact weight of each source: zero where none is named; from the sizes if weights is None."""
+    if weights is None:
+        return {s: Fraction(round(n**TEMPERATURE * PRECISION)) for s, n in sizes.items()}
+    return {s: exact(weights.get(s, 0)) for s in sizes}
 
 
 def shares(weights: dict) -> dict:
@@ -152,20 +140,23 @@ def ranked(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
     return own.join(shift, ["src", "slice"]).select("_row", "src", (F.col("before") + F.col("rn") - 1).alias("at"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block: int | None = None, period: int = PERIOD) -> DataFrame:
     """docs plus block, phase, slot and place (order inside the block): a total plan for every row, none dropped.
 
-    weights: target shares by source; a source that is not named, or all if None, gets its document count to the
-    power TEMPERATURE. Columns of docs that have one of the new names are replaced. Null and empty sources are one
-    source. Rows with equal ids are ordered arbitrarily among themselves. Only one number for each source
-    (MOST_SOURCES at most) reaches the driver; the plan it makes has four bytes for each block at most.
+    weights: target shares by source, of any sum; a source that is not named has weight zero and comes when those that
+    are named are used up. If None, each gets its document count to the power TEMPERATURE. block: documents in a block;
+    if None, BLOCK, or as many as keep the blocks at MOST_BLOCKS. Columns of docs that have one of the new names are
+    replaced, others are passed through, whatever their names. Null and empty sources are one source. Rows with equal
+    ids are ordered arbitrarily among themselves; rows of null ids count as of empty ones. Texts are not read. An empty
+    table gives an empty table. Only one number for each source (MOST_SOURCES at most) reaches the driver; the plan it
+    makes has four bytes for each block at most.
     """
     counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src")).agg(F.count("*").alias("n")).orderBy("src").limit(MOST_SOURCES + 1).collect()
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     sizes = {r["src"]: r["n"] for r in counts}
-    given = {s: (weights or {}).get(s, sizes[s] ** TEMPERATURE) for s in sizes}
-    target = {s: Fraction(w).limit_denominator(10**9) or Fraction(w) for s, w in given.items()}
+    block = block or max(BLOCK, -(-sum(sizes.values()) // MOST_BLOCKS))
+    target = targets(sizes, weights)
     table = phases({s: -(-n // block) for s, n in sizes.items()}, target, period)
     spark = docs.sparkSession
     # the plan is in chunks: a row of docs meets one row of it and takes one number from there
@@ -186,8 +177,29 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents` by default weights; nulls, texts, ties, repeats, empty tables and other columns as in mix."""
     return mix(read(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
 QUERIES = {"op7_pfair_mixing": op7_pfair_mixing}
-ORACLE: dict[str, str] = {}
+# the schedule slot by slot; t and k count from the phase's start, b are the blocks that are left
+ORACLE = {
+    "op7_pfair_mixing": """
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, '') AS src, coalesce(doc_id::VARCHAR, '') AS own FROM documents),
+n AS (SELECT src, count(*) AS n FROM d GROUP BY src),
+o AS (SELECT list(src ORDER BY src) AS names, list(round(pow(n, 0.7) * 1000000)::HUGEINT ORDER BY src) AS w, list((n + 15) // 16 ORDER BY src) AS b FROM n),
+r AS (
+  SELECT 0::BIGINT AS slot, 0 AS phase, 0::HUGEINT AS t, w, list_transform(w, lambda x: 0::HUGEINT) AS k, b, NULL::BIGINT AS pick FROM o WHERE len(w) > 0
+  UNION ALL
+  SELECT CASE WHEN b[c] = 0 THEN slot ELSE slot + 1 END, CASE WHEN b[c] = 0 THEN phase + 1 ELSE phase END, CASE WHEN b[c] = 0 THEN 0 ELSE t + 1 END,
+         CASE WHEN b[c] = 0 THEN list_transform(w, lambda x, i: CASE WHEN b[i] > 0 THEN x ELSE 0 END) ELSE w END,
+         list_transform(k, lambda x, i: CASE WHEN b[c] = 0 THEN 0 WHEN i = c THEN x + 1 ELSE x END),
+         list_transform(b, lambda x, i: CASE WHEN i = c AND x > 0 THEN x - 1 ELSE x END),
+         CASE WHEN b[c] > 0 THEN c END
+  FROM (SELECT *, list_sort(list_filter(list_transform(w, lambda x, i: CASE WHEN x > 0 AND k[i] * a // greatest(x, 1) <= t
+                    THEN {'d': ((k[i] + 1) * a + x - 1) // greatest(x, 1), 'i': i} END), lambda y: y IS NOT NULL))[1].i AS c
+        FROM (SELECT *, list_sum(w)::HUGEINT AS a FROM r WHERE list_sum(b) > 0))),
+p AS (SELECT names[pick] AS src, phase, slot - 1 AS slot, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS block FROM r, o WHERE pick IS NOT NULL),
+q AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5(own), own) - 1 AS at FROM d)
+SELECT doc_id, source, q.at // 16 AS block, phase, slot, (q.at % 16)::INT AS place FROM q JOIN p ON p.src = q.src AND p.block = q.at // 16""",
+}

@@ -171,7 +171,9 @@ def train(patterns: list[tuple[tuple, int]], post: dict, rounds: int = 300, rate
 def detect(docs: DataFrame, text_col: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
     """docs plus `spans`: the base spans and the wide ones that the classifier accepts (probability 0.5 or more).
 
-    A null text counts as empty. Candidates are written once to the shared folder, less the columns in `without`; the
+    A null text counts as empty, an empty one has no spans; texts of any length are read whole, rows that repeat get the
+    same spans, an empty table gives an empty table. Kinds that begin at one place stand in the order of KINDS. A column
+    named spans is replaced, others are passed through. Candidates are written once to the shared folder, less the columns in `without`; the
     classifier is fitted on counts of all of them.
     """
     found = materialize(candidates(docs, text_col).drop(*without), "pii")
@@ -206,6 +208,7 @@ def listed(spans: Column) -> Column:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents`; nulls, empty and very long texts, ties, repeats, empty tables and other columns as in detect."""
     out = detect(read(spark, sf_dir, "documents").select("doc_id", "text"), without=("text",))
     base = F.filter("spans", lambda x: x["base"] == 1)
     of = lambda kind: lambda x: x["kind"] == kind

@@ -77,7 +77,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
 
     Order is by id, null ids last; different texts of one id go by their digest. Of equal texts the one with the
     least id is the original, and rows that repeat it share its result; the others lose all words if they have a
-    window at all. A null text has no words.
+    window at all. A null text has no words. Texts of any length are read whole. An empty table gives an empty table. Only
+    the two named columns are read, so other columns cannot clash.
     """
     facts, held = anchored(docs, id_col, text_col, as_words, seed, window, "substring")
 
@@ -139,6 +140,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents`; nulls, empty and very long texts, ties, repeats, empty tables and other columns as in dedup."""
     return dedup(read(spark, sf_dir, "documents"))
 
 

@@ -98,7 +98,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and spans, array of (start, end), if output is "values").
 
     Texts are UTF-8 bytes, a null text is empty. Equal texts of `length` bytes or more go wholly, whatever their ids;
-    so do rows that repeat. Texts shorter than `length` stay.
+    so do rows that repeat. Texts shorter than `length` stay. Texts of any length are read whole, hashed piece by piece.
+    An empty table gives an empty table. Only the two named columns are read, so other columns cannot clash.
+    memory: bytes of a queue that stay in memory; crowd: see CROWD.
     """
     facts, held = anchored(docs, id_col, text_col, as_bytes, gram, length, "suffix")
 
@@ -193,6 +195,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents`; nulls, empty and very long texts, ties, repeats, empty tables and other columns as in dedup."""
     return dedup(read(spark, sf_dir, "documents"))
 
 

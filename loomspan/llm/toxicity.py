@@ -3,11 +3,12 @@
 Words are read as symbols: insult, threat, target, negation, report, other; marks that end a clause reset all machines.
 Four transducers are composed into one: targets remember whether someone is addressed, negations reach over the next
 few words, reported speech covers the rest of its clause, and the emitter turns each insult or threat, in the state of
-the other three, into an output symbol. Scores weigh counts of outputs of whole clauses, and beside them, as one feature,
-the number of different insult words of the text, whatever their clause and whether it negates or reports them.
+the other three, into an output symbol. Scores weigh counts of outputs of whole clauses, and how many different insults
+the machine put out as neither negated nor reported; a word that a clause negates or reports counts there only.
 
-Insult words are a seed list and stems induced from labelled documents; weights are learned from labelled documents
-that taught no stem.
+Insult words are a seed list and stems induced from labelled documents: a stem is a whole word, or the first 4 to 6
+letters of one, and then every word that begins with it counts. Weights are learned from labelled documents that taught
+no stem.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from loomspan.llm.common import bucket, read, slices
 
 #: Bound of the sample of labelled documents that stems and weights are fitted on, chosen by a hash of the id.
 SAMPLE = 16_000
-#: Bound of the number of stems that are considered and held.
-STEMS = 4_000
 #: A stem is a word or a word's first characters, of these lengths.
 PREFIXES = (4, 5, 6)
 #: A word counts as negated this many words after the negation.
@@ -90,23 +89,24 @@ class Grammar:
         return s
 
     def features(self, text: str) -> list[float]:
-        """log(1 + clauses) for each output, then log(1 + distinct insult words) and 1 if more than one clause matched."""
+        """log(1 + clauses) for each output, then log(1 + different insults put out as directed or bare) and 1 if more than one clause matched."""
         known, symbol = self.known, self.symbol
         tokens = TOKEN.findall(text.lower())
-        hits = [s for w in set(tokens) if (s := known[w] if w in known else symbol(w)) <= THREAT]
-        if not hits:
+        if not any((known[w] if w in known else symbol(w)) <= THREAT for w in set(tokens)):
             return [0.0] * (len(OUTPUTS) + 2)
-        state, clause, clauses, matched = (0, 0, 0), set(), Counter(), 0
+        state, clause, clauses, matched, said = (0, 0, 0), set(), Counter(), 0, set()
         for w in [*tokens, "."]:
             s = known[w] if w in known else symbol(w)
             state, out = self.moves[state, s]
             if out:
                 clause.add(out)
+                if out in OUTPUTS[:2]:
+                    said.add(w)
             elif s == END and clause:
                 clauses.update(clause)
                 matched += 1
                 clause = set()
-        return [*(float(np.log1p(clauses[k])) for k in OUTPUTS), float(np.log1p(hits.count(INSULT))), float(matched > 1)]
+        return [*(float(np.log1p(clauses[k])) for k in OUTPUTS), float(np.log1p(len(said))), float(matched > 1)]
 
 
 def stems_of(text: str) -> set[str]:
@@ -114,8 +114,11 @@ def stems_of(text: str) -> set[str]:
     return {f"={w}" for w in words} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
 
 
-def induce(half: DataFrame, most: int = STEMS) -> list[str]:
-    """Stems of the insult transducer from (t, y) rows: far commoner in documents labelled 1, and needed to cover them."""
+def induce(half: DataFrame) -> list[str]:
+    """Stems of the insult transducer from (t, y) rows: far commoner in documents labelled 1, and needed to cover them.
+
+    The rows are a sample of bounded size, and so are the stems that are found often enough in it.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "t", 4 << 20):
@@ -130,7 +133,7 @@ def induce(half: DataFrame, most: int = STEMS) -> list[str]:
     sizes = {bool(r["y"]): r["n"] for r in half.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = (sizes.get(False, 0) + 1) / (sizes.get(True, 0) + 1)
     found = half.select("y", "t").mapInArrow(count, "s string, p long, n long").groupBy("s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    found = found.where((F.col("p") >= 4) & ((F.col("p") + 0.5) * rate >= 25 * (F.col("n") + 0.5))).orderBy(F.desc("p"), F.asc("n"), F.length("s"), "s").limit(most)
+    found = found.where((F.col("p") >= 4) & ((F.col("p") + 0.5) * rate >= 25 * (F.col("n") + 0.5))).orderBy(F.desc("p"), F.asc("n"), F.length("s"), "s")
     candidates = {r["s"]: i for i, r in enumerate(found.collect())}
     if not candidates:
         return []
@@ -205,7 +208,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs plus toxicity (0 to 1; a column of that name is replaced). A null text counts as empty."""
+    """docs plus toxicity (0 to 1; a column of that name is replaced). A null text counts as empty.
+
+    Texts of any length are read whole, rows that repeat get equal scores, an empty table gives an empty table; all other
+    columns are passed through, whatever their names.
+    """
     docs = docs.drop("toxicity")
     stems, weights = model.stems, model.weights
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
@@ -221,6 +228,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of `documents`, learned from `labels`; nulls, empty and very long texts, repeats, empty tables and other columns as in fit and score."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = fit(docs, labels.where(bucket("doc_id", 5) != 0).select("doc_id", "toxic"))
     out = score(docs.select("doc_id", "text", (bucket("doc_id", 5) == 0).alias("held_out")), model)

@@ -325,6 +325,26 @@ def test_quality(spark, docs, empty):
     assert v["bad"]["host_bad"] and not v["ok"]["host_bad"] and v["new"]["host_rate"] < 1
 
 
+def test_hosts_of_one_document_are_not_condemned_by_it(spark):
+    rng = random.Random(41)
+    small = spark.createDataFrame([(f"h{i}", rng.random() < 0.2) for i in range(2000)], "host string, f boolean")
+    assert not any(r["host_bad"] for r in quality.host_verdicts(small, "host", "f").collect())
+    # hosts of three documents whose true rates are equal: the spread is noise, the prior is strong
+    even = spark.createDataFrame([(f"h{i // 3}", rng.random() < 0.2) for i in range(6000)], "host string, f boolean")
+    assert not any(r["host_bad"] for r in quality.host_verdicts(even, "host", "f").collect())
+    # hosts that differ: half always fails
+    split = spark.createDataFrame([(f"h{i // 10}", i // 10 % 2 == 0) for i in range(6000)], "host string, f boolean")
+    v = {r["host"]: r["host_bad"] for r in quality.host_verdicts(split, "host", "f").collect()}
+    assert all(bad == (int(h[1:]) % 2 == 0) for h, bad in v.items())
+
+
+def test_the_host_of_a_url_is_its_domain(spark):
+    urls = ["https://A.example/x?y", "http://user@a.example:80/", "a.example", None]
+    df = spark.createDataFrame([(i, "word " * 60, u, "kept") for i, u in enumerate(urls)], "doc_id long, text string, source string, w string")
+    assert [r["host"] for r in quality.judge(df).orderBy("doc_id").collect()] == ["a.example"] * 3 + [None]
+    assert [r["w"] for r in quality.measured(df).collect()] == ["kept"] * 4 and "n_words" in quality.measured(quality.measured(df)).columns
+
+
 def test_mixing(spark, docs, empty, monkeypatch):
     sizes = {"a": 700, "b": 200, "c": 40, "": 3}
     rows = [(i, s if s else None) for s, n in sizes.items() for i in range(n)]
@@ -336,16 +356,17 @@ def test_mixing(spark, docs, empty, monkeypatch):
     order = out.sort_values("slot").drop_duplicates("slot")
     for phase, part in order.groupby("phase"):
         left = [s for s in weights if (order[order.phase >= phase].source == s).any()]
-        quota = mixing.quotas({s: weights[s] for s in left}, 40)
         for s in left:
-            lag = np.cumsum(part.source.values == s) - np.arange(1, len(part) + 1) * quota[s] / sum(quota.values())
+            lag = np.cumsum(part.source.values == s) - np.arange(1, len(part) + 1) * weights[s] / sum(weights[t] for t in left)
             assert np.abs(lag).max() < 1
     assert mixing.mix(docs).count() == docs.count() and mixing.mix(empty).count() == 0
     monkeypatch.setattr(mixing, "SMALL_PLAN", 0)
     again = mixing.mix(df, weights, block=4, period=40).toPandas()
     assert set(zip(again.doc_id, again.slot, again.place)) == set(zip(out.doc_id, out.slot, out.place))
-    slots = mixing.plan({"x": 3, "y": 1})
-    assert Counter(slots) == {"x": 3, "y": 1}
+    one = mixing.mix(df, {"a": 1e-9, "b": 1e-9}, block=4).toPandas().fillna({"source": ""})
+    named = one[one.source.isin(["a", "b"])]
+    assert one[~one.source.isin(["a", "b"])].slot.min() > named.slot.max()  # sources without a weight come last
+    assert mixing.mix(df.withColumn("row", F.lit(1)).withColumn("at", F.lit(2))).count() == len(rows)
 
 
 @pytest.mark.parametrize("weights", [{"a": 1 / 3, **{f"s{i}": 2 / 57 for i in range(19)}}, {"a": 0.999, "b": 0.001}, {"a": 0.6137, "b": 0.2511, "c": 0.1352}])
@@ -362,6 +383,24 @@ def test_mixing_keeps_to_the_target_weights(spark, weights):
             assert np.abs(lag).max() < 1
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.9, "b": 0.0999, "c": 0.0001}, {"a": 0.5021, "b": 0.4979}, {"a": 0.1, "b": 0.7 / 3, "c": 2 / 3}])
+def test_a_schedule_of_a_million_slots_never_leaves_the_weights(weights):
+    target = mixing.targets(dict.fromkeys(weights, 1), weights)
+    slots = mixing.schedule(dict.fromkeys(weights, 1 << 40), mixing.shares(target), 1_000_000)
+    assert sum(map(len, slots.values())) == 1_000_000
+    for s, w in weights.items():
+        at, k = np.array(slots[s], float), np.arange(len(slots[s]))
+        share = w / sum(weights.values())
+        # just before its k-th block a source has k of share * slot, just after it k + 1 of share * (slot + 1)
+        assert np.abs(k - share * at).max() < 1 + 1e-6 and np.abs(k + 1 - share * (at + 1)).max() < 1 + 1e-6
+
+
+def test_blocks_grow_before_the_plan_does(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    out = mixing.mix(spark.range(1000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("string").alias("source"))).toPandas()
+    assert out.slot.nunique() == 10 and out.place.max() == 99
+
+
 def test_mixing_of_default_weights_keeps_to_them(spark):
     sizes = {"a": 5000, **{f"s{i}": 300 + 37 * i for i in range(8)}}
     df = spark.range(sum(sizes.values())).select(F.col("id").alias("doc_id"), F.element_at(F.array(*(F.lit(s) for s, n in sizes.items() for _ in range(n // 10))), (F.col("id") % sum(n // 10 for n in sizes.values()) + 1).cast("int")).alias("source"))
@@ -407,7 +446,7 @@ def test_graph_search_reaches_recall(spark, monkeypatch, most):
     x = np.concatenate([c, *(c[:60] + rng.normal(size=(60, 24)) * 0.12 for _ in range(6))])
     v = spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(x)], "id long, v array<float>")
     cents = embeddings.centroids_of(embeddings.unit(x), 4)
-    links = embeddings.verified(v, embeddings.graph_links(v, cents, 2, 0.9), 0.9)
+    links = embeddings.verified(v, embeddings.graph_links(v, cents, 2, 0.9)[0], 0.9)
     assert embeddings.audit(v, links, 0.9, 10_000) >= 0.9
 
 
@@ -445,11 +484,37 @@ def test_exact_links_whatever_the_centroids(spark, monkeypatch, most):
         assert {(r["a"], r["b"]) for r in embeddings.verified(v, embeddings.exact_links(v, c, 0.9), 0.9).collect()} == exact(x)
 
 
+def test_the_expansion_leaves_the_shards(spark):
+    # two shards hold a chain each; the only way from 0 to 4 is the merged graph
+    rng = np.random.default_rng(37)
+    p, q = np.linalg.qr(rng.normal(size=(12, 2)))[0].T
+    x = [np.cos(a) * p + np.sin(a) * q for a in (0, 0.1, 0.2, 0.3, 0.4)]
+    v = spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    shards = {0: [0], 1: [0, 1], 2: [0, 1], 3: [1], 4: [1]}
+    near = {0: [1, 2], 1: [0, 2, 3], 2: [1, 3, 4], 3: [1, 2, 4], 4: [2, 3]}
+    graph = spark.createDataFrame([(i, near[i], shards[i]) for i in near], "id long, near array<long>, shards array<int>")
+    known = [(a, b) for a in near for b in near if a < b and set(shards[a]) & set(shards[b])]
+    links = spark.createDataFrame(known, "a long, b long")
+    got = {(r["a"], r["b"]) for r in embeddings.expanded(v, graph, links, 0.9).collect()}
+    assert got == exact(np.array(x)) and got - set(known) == {(0, 3), (0, 4)}
+
+
+def test_doubles_are_compared_as_doubles(spark):
+    a = [1.0] + [0.0] * 7
+    just = [0.9 + 1e-12, (1 - 0.9**2) ** 0.5] + [0.0] * 6
+    below = [0.9 - 1e-12, (1 - 0.9**2) ** 0.5] + [0.0] * 6
+    for other, n in ((just, 1), (below, 0)):
+        df = spark.createDataFrame([(0, a, "x"), (1, other, "y")], "vec_id long, embedding array<double>, recall string")
+        rows = embeddings.near_duplicates(df).collect()
+        assert [r["n_links"] for r in rows] == [n, n] and rows[0]["recall"] == 1.0
+
+
 def test_low_recall_is_not_silent(spark, monkeypatch):
     x = bunches(np.random.default_rng(31), 10)
     df = spark.createDataFrame([(i, [float(z) for z in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
     none = lambda v, *_: v.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-    monkeypatch.setattr(embeddings, "graph_links", none)
+    graph = lambda v: v.select("id", F.lit(None).cast("array<long>").alias("near"), F.lit(None).cast("array<int>").alias("shards"))
+    monkeypatch.setattr(embeddings, "graph_links", lambda v, *_: (none(v), graph(v)))
     assert embeddings.near_duplicates(df).agg(F.sum("n_links")).first()[0] == 2 * len(exact(x))
     monkeypatch.setattr(embeddings, "exact_links", none)
     with pytest.raises(RuntimeError, match="recall"):
@@ -457,7 +522,7 @@ def test_low_recall_is_not_silent(spark, monkeypatch):
 
 
 def test_pipeline_keeps_mixing_slots(spark, docs, tmp_path):
-    some = docs.limit(60).localCheckpoint()
+    some = common.materialize(docs.limit(60), "test-some")
     want = sorted((str(r["doc_id"]), r["slot"], r["place"]) for r in mixing.mix(some).select("doc_id", "slot", "place").collect())
     assert sorted((str(r["doc_id"]), r["slot"], r["place"]) for r in corpus_pipeline.encode(spark, some, str(tmp_path)).collect()) == want
 
