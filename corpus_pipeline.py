@@ -1,8 +1,11 @@
 """A corpus pipeline over `documents`: language ID, near-duplicates, personal data, mixing, tokens.
 
-Every stage takes what its predecessor kept, as rows of documents, and writes its decisions into them: the first two
-drop rows, the third masks spans, the fourth puts the rows in mixing order, the last adds token counts and digests, and
-each row's block, phase, slot and place in that order.
+Every stage takes what its predecessor kept, as rows of documents, and writes its decisions into them: the first drops
+rows and fills in languages, the second drops rows, the third masks spans, the fourth puts the rows in mixing order, the
+last adds token counts and digests, and each row's block, phase, slot and place in that order.
+
+Texts of any length are read whole, rows that repeat are one document to the second stage, an empty table gives an empty
+one, and columns beyond those of documents are passed through.
 """
 
 from __future__ import annotations
@@ -15,35 +18,44 @@ from loomspan.llm import bpe, langid, mixing, pii, simhash
 from loomspan.llm.common import materialize, read
 
 
+def as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a known language; rejects null texts and texts without a letter. A table without labels loses only these."""
+    """Keeps the documents that have a known language and writes it where lang is null; rejects null texts and texts without a letter.
+
+    A table without labels loses only these, and its languages stay null.
+    """
     # without labels no language is known; one made-up profile then stands for any
     out = langid.predict(docs, langid.profiles(docs) or {"": np.zeros(1, np.int64)})
-    return out.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    lang = F.coalesce(F.col("lang"), F.nullif(F.col("lang_pred"), F.lit("")))
+    return out.where(F.col("lang_pred") != langid.UNKNOWN).select(*(lang.alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, the least id."""
-    return simhash.representatives(docs).select(*docs.columns)
+    """Keeps one document of each group of near duplicates, the least id; empty texts and null ids as in simhash.representatives."""
+    return as_before(simhash.representatives(docs), docs)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets; n_chars is counted again."""
+    """Replaces personal data by its kind in brackets; n_chars is counted again. A null text stays null."""
     found = pii.detect(docs)
     text = F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("spans")))
     out = found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    return as_before(out, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts all rows in the order of the mixing plan: the files, read in order, hold the sources by their weights."""
-    return mixing.mix(docs).orderBy("slot", "place").select(*docs.columns)
+    """Puts all rows in the order of the mixing plan: the files, read in order, hold the sources by their weights. A null source is one as others are."""
+    return as_before(mixing.mix(docs).orderBy("slot", "place"), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their places in the mixing plan, token counts and the digests of ids and of the decoded text.
 
-    Files do not keep an order when Spark reads them, so the plan is made again: the same rows give the same one.
+    Files do not keep an order when Spark reads them, so the plan is made again: the same rows give the same one. A null
+    text has no tokens.
     """
     return bpe.encode(mixing.mix(docs))
 
