@@ -99,3 +99,29 @@ def transitions(df: DataFrame) -> DataFrame:
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row of each key, the first in a total order."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def parted(df: DataFrame, column: str, parts: int = 64) -> Column:
+    """A number that never falls as the column grows: its place among `parts` - 1 quantiles of it, found in one pass."""
+    cuts = sorted(set(df.approxQuantile(column, [k / parts for k in range(1, parts)], 0.2 / parts)))
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column))) if cuts else F.lit(0)
+
+
+def running_totals(df: DataFrame, part: Column, order: list, columns: list[str]) -> DataFrame:
+    """df plus before_<c> for each column: its sum over all rows that come before.
+
+    part never falls as the order goes on and has few values: rows are summed inside their part, and parts are shifted by
+    the sums of those before, which is a table of one row for each part. No window sees the rows of more than one part.
+    """
+    cut = df.withColumn("part_", part)
+    sums = cut.groupBy("part_").agg(*(F.sum(c).alias(f"sum_{c}") for c in columns))
+    earlier, inside = (w.rowsBetween(W.unboundedPreceding, -1) for w in (W.orderBy("part_"), W.partitionBy("part_").orderBy(*order)))
+    shift = sums.select("part_", *(F.coalesce(F.sum(f"sum_{c}").over(earlier), F.lit(0)).alias(f"shift_{c}") for c in columns))
+    out = cut.join(F.broadcast(shift), "part_")
+    return out.select(*df.columns, *((F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"shift_{c}")).alias(f"before_{c}") for c in columns))
+
+
+def with_segments(df: DataFrame) -> DataFrame:
+    """df plus seg, the number of its run of equal labels, from 1."""
+    new = F.when(F.col("label") == F.lag("label").over(by()), 0).otherwise(1)
+    return df.withColumn("new", new).withColumn("seg", F.sum("new").over(by())).drop("new")

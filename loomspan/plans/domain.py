@@ -49,21 +49,6 @@ def scan_json_speech(spark, d):
     return out.select("identifier", F.col("start").cast("long").alias("seg"), "text", "start", F.col("speakers")[0].alias("speaker"))
 
 
-@query(f"WITH {SEQ}, o AS (SELECT *, row_number() OVER w AS n, lead(event_id) OVER w AS stop FROM s WHERE sym IN ('click', 'view') WINDOW w AS (PARTITION BY id, sym ORDER BY event_id)) SELECT id, sym, event_id AS start, stop FROM o WHERE n % 2 = 1 UNION ALL SELECT id, sym, event_id, event_id FROM s WHERE sym NOT IN ('click', 'view')")
-def scan_boris_events(spark, d):
-    """scan.boris_json: starts and stops paired in order of occurrence, point events kept."""
-    e = sequences(spark, d).select(F.col("id").alias("identifier"), F.col("sym").alias("category"), F.col("event_id").alias("time"), F.when(F.col("sym").isin("click", "view"), "state").otherwise("point").alias("kind"))
-    return T.paired_events(e).select(F.col("identifier").alias("id"), F.col("category").alias("sym"), "start", "stop")
-
-
-@query("WITH a AS (SELECT doc_id, 'text' AS t, 'doc/' || doc_id AS p FROM documents UNION ALL SELECT doc_id, 'label', 'lab/' || doc_id FROM labels) SELECT doc_id, max(p) FILTER (t = 'text') AS text_path, max(p) FILTER (t = 'label') AS label_path FROM a GROUP BY doc_id")
-def scan_collect_paths(spark, d):
-    """scan.collect_*: each kind of output becomes a column of its item, made where the item is missing."""
-    a = table(spark, d, "documents").select("doc_id", F.lit("text").alias("t"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("p"))
-    b = table(spark, d, "labels").select("doc_id", F.lit("label").alias("t"), F.concat(F.lit("lab/"), F.col("doc_id").cast("string")).alias("p"))
-    return a.unionByName(b).groupBy("doc_id").pivot("t", ["text", "label"]).agg(F.first("p")).withColumnsRenamed({"text": "text_path", "label": "label_path"})
-
-
 @query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unprocessed' WHEN l.quality = 1 THEN 'success' WHEN l.quality = 0 THEN 'failure' ELSE 'disabled' END AS state FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def scan_state_flags(spark, d):
     out = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").withColumn("there", F.lit(True)), "doc_id", "left")
@@ -106,12 +91,6 @@ def win_handedness_switch(spark, d):
     return sequences(spark, d).select("id", "pos", F.when(same, 3).otherwise(F.col("label")).cast("long").alias("label"))
 
 
-@query("WITH l AS (SELECT id, list(label) AS x FROM (SELECT user_id AS id, event_type AS label FROM events) GROUP BY id) SELECT label, count(*) AS n FROM (SELECT unnest(x) AS label FROM l) GROUP BY label")
-def set_hstack(spark, d):
-    """set.hstack and set.union_names: array columns joined end to end."""
-    return sequences(spark, d).groupBy("id").agg(F.collect_list("sym").alias("x")).select(F.explode("x").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
-
-
 @query()
 def sample_random_pairs(spark, d):
     """Median cosine distance of blocks paired by a seeded shuffle."""
@@ -142,14 +121,6 @@ def dist_projection_orthonormal(spark, d):
     return blocks(spark, d).select("pos", "v").mapInPandas(run, "pos long, z array<double>, proto long")
 
 
-@query(f"WITH {KK}, m AS (SELECT median(d) AS s FROM k WHERE i <> j) SELECT i, j, round(exp(-d * d / (2 * s * s)), 6) AS rbf, round(sqrt(d), 5) AS root FROM k, m")
-def dist_temporal_dispatch(spark, d):
-    """Distances made into kernels: by root, or by the median off the diagonal."""
-    k = kk(spark, d)
-    out = k.crossJoin(F.broadcast(k.where("i <> j").agg(F.median("d").alias("s"))))
-    return out.select("i", "j", rnd(F.exp(-F.col("d") * F.col("d") / (2 * F.col("s") * F.col("s")))).alias("rbf"), rnd(F.sqrt("d"), 5).alias("root"))
-
-
 @query(f"WITH {RUN}, p AS (SELECT id, seg, label, (e - s)::DOUBLE / (e - s + 2) AS conf FROM r), o AS (SELECT label, conf, (seg % 2 = 0)::INT AS hit, row_number() OVER (PARTITION BY label ORDER BY conf DESC, id, seg) AS k, sum((seg % 2 = 0)::INT) OVER (PARTITION BY label ORDER BY conf DESC, id, seg) AS tp, sum((seg % 2 = 0)::INT) OVER (PARTITION BY label) AS n FROM p), i AS (SELECT label, hit, n, max(tp / k) OVER (PARTITION BY label ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS precision FROM o) SELECT label, round(sum(hit * precision) / any_value(n), 6) AS ap FROM i GROUP BY label")
 def eval_map(spark, d):
     """Interpolated average precision of ranked detections by label."""

@@ -31,26 +31,6 @@ def scan_csv(spark, d):
     return T.delimited(spark, at, "c_custkey long, c_name string, c_mktsegment string", ";", ["c_custkey", "c_mktsegment"])
 
 
-@query("SELECT event_id::DOUBLE AS time, floor(value) + 0.5 AS x FROM events WHERE event_type = 'view'")
-def scan_tsv_gaze(spark, d):
-    """An export with tabs and decimal commas, one table for each sensor."""
-    at = folder(spark, "tsv")
-    e = table(spark, d, "events").select(F.col("event_type").alias("sensor"), F.col("event_id").cast("string").alias("time"), F.concat(F.floor("value").cast("string"), F.lit(",5")).alias("x"))
-    e.write.csv(at, sep="\t", header=True)
-    return T.eye_tracker(spark, at, ["x"])["view"]
-
-
-@query("SELECT 'cooking' AS task_name, c_mktsegment AS participant_id, c_nationkey::VARCHAR AS modality, count(*) AS files FROM customer GROUP BY ALL")
-def scan_artifact_tree(spark, d):
-    """A folder tree written by task, participant and modality, walked again; only file names are read."""
-    at = folder(spark, "tree")
-    c = table(spark, d, "customer").select(F.lit("cooking").alias("t"), F.col("c_mktsegment").alias("p"), F.col("c_nationkey").cast("string").alias("m"), F.col("c_custkey").cast("string").alias("k"))
-    c.repartition("p", "m").write.partitionBy("t", "p", "m").text(at)
-    value = lambda c: F.element_at(F.split(c, "="), 2).alias(c)
-    tree = T.artifact_tree(spark, at, "part-*").select(value("task_name"), value("participant_id"), value("modality")).distinct()
-    return tree.join(c.groupBy(F.col("t").alias("task_name"), F.col("p").alias("participant_id"), F.col("m").alias("modality")).agg(F.count("*").alias("files")), ["task_name", "participant_id", "modality"])
-
-
 @query("SELECT user_id AS id, count(*) AS n FROM events GROUP BY user_id")
 def source_dataset_registry(spark, d):
     return T.dataset(spark, "sequences", d).groupBy("id").agg(F.count("*").alias("n"))
@@ -93,14 +73,6 @@ def win_normalized_time(spark, d):
     return sequences(spark, d).select("id", "pos", rnd(F.col("pos") / F.count("*").over(W.partitionBy("id"))).alias("t"))
 
 
-@query(f"WITH {RUN} SELECT r.id, r.seg, round(sum(s.value), 3) AS total, round(stddev_pop(s.value), 4) AS std FROM r JOIN s ON s.id = r.id AND s.pos >= r.s AND s.pos < r.e GROUP BY ALL")
-def agg_segment_cost_stats(spark, d):
-    """Sum and spread of the values of each run; the deviation stands for the variance, whose decimals end in ties."""
-    new = F.when(F.col("label") == F.lag("label").over(S.by()), 0).otherwise(1)
-    g = sequences(spark, d).withColumn("new", new).withColumn("seg", F.sum("new").over(S.by()))
-    return g.groupBy("id", "seg").agg(rnd(F.sum("value"), 3).alias("total"), rnd(F.stddev_pop("value"), 4).alias("std"))
-
-
 @query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n, user_id LIMIT 10")
 def topk_nsmallest(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).orderBy("n", "user_id").limit(10)

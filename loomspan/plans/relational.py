@@ -344,16 +344,6 @@ def agg_list(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))["event_type"], ">").alias("path"))
 
 
-@query(f"WITH {RUN}, g AS (SELECT r.id, r.seg, s.sym, s.value, r.e - r.s AS len FROM r JOIN s ON s.id = r.id AND s.pos >= r.s AND s.pos < r.e) SELECT id, seg, sum((sym = 'click')::INT)::BIGINT AS n_click, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(sum((sym = 'click')::INT) / max(len) * 60, 4) AS freq FROM g GROUP BY GROUPING SETS ((id, seg), (id))")
-def agg_gaze_event_features(spark, d):
-    """Counts, mean, spread and rate for each segment and each recording, in one pass."""
-    s = sequences(spark, d)
-    new = F.when(F.col("label") == F.lag("label").over(S.by()), 0).otherwise(1)
-    g = s.withColumn("new", new).withColumn("seg", F.sum("new").over(S.by())).withColumn("len", F.count("*").over(W.partitionBy("id", "seg")))
-    n = F.count_if(F.col("sym") == "click")
-    return g.groupingSets([["id", "seg"], ["id"]], "id", "seg").agg(n.alias("n_click"), rnd(F.avg("value"), 4).alias("mean"), rnd(F.stddev_pop("value"), 4).alias("std"), rnd(n / F.max("len") * 60, 4).alias("freq"))
-
-
 @query("SELECT n_regionkey, c_mktsegment, round(avg(sqrt(c_acctbal * c_acctbal + c_nationkey * c_nationkey)), 4) AS mean, round(stddev_pop(sqrt(c_acctbal * c_acctbal + c_nationkey * c_nationkey)), 4) AS std FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, c_mktsegment)")
 def agg_vector_norm_features(spark, d):
     x = F.sqrt(F.col("c_acctbal") * F.col("c_acctbal") + F.col("c_nationkey") * F.col("c_nationkey"))
@@ -366,16 +356,6 @@ def agg_path_length_features(spark, d):
     return sequences(spark, d).withColumn("step", step).groupBy("id").agg(rnd(F.sum("step"), 4).alias("path"), rnd(F.avg("step"), 4).alias("mean"))
 
 
-@query(f"WITH {RUN} SELECT r.id, r.seg, round(avg(s.value), 4) AS mean, max(CASE WHEN s.pos = r.s + (r.e - r.s) // 2 THEN s.value END) AS middle FROM r JOIN s ON s.id = r.id AND s.pos >= r.s AND s.pos < r.e GROUP BY r.id, r.seg")
-def agg_segment_features(spark, d):
-    s = sequences(spark, d)
-    new = F.when(F.col("label") == F.lag("label").over(S.by()), 0).otherwise(1)
-    g = s.withColumn("new", new).withColumn("seg", F.sum("new").over(S.by()))
-    w = W.partitionBy("id", "seg")
-    mid = F.min("pos").over(w) + F.expr("count(*) over (partition by id, seg) div 2")
-    return g.withColumn("mid", mid).groupBy("id", "seg").agg(rnd(F.avg("value"), 4).alias("mean"), F.max(F.when(F.col("pos") == F.col("mid"), F.col("value"))).alias("middle"))
-
-
 @query("SELECT conv_id, CASE WHEN sum((role = 'user')::INT) >= sum((role <> 'user')::INT) THEN 'user' ELSE 'other' END AS side, round(CASE WHEN sum((role = 'user')::INT) >= sum((role <> 'user')::INT) THEN avg(CASE WHEN role = 'user' THEN length(text) END) ELSE avg(CASE WHEN role <> 'user' THEN length(text) END) END, 4) AS score FROM conversations GROUP BY conv_id")
 def agg_weighted_handedness(spark, d):
     user = F.col("role") == "user"

@@ -104,14 +104,6 @@ def win_short_island_relabel(spark, d):
     return S.runs(sequences(spark, d)).select("id", "s", "e", F.when((F.col("e") - F.col("s") <= 1) & (before == after), before).otherwise(F.col("label")).alias("label"))
 
 
-@query(f"WITH {SEQ}, n AS (SELECT id, count(*) AS n FROM s GROUP BY id) SELECT id, coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a, sum(n) OVER (ORDER BY id)::BIGINT AS b FROM n")
-def win_cumulative_slices(spark, d):
-    """Offsets of recordings in the stacked cohort; the unpartitioned window sees one row for each recording."""
-    n = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
-    b = F.sum("n").over(W.orderBy("id").rowsBetween(W.unboundedPreceding, 0))
-    return n.select("id", (b - F.col("n")).alias("a"), b.alias("b"))
-
-
 @query(f"WITH {RUN} SELECT id, unnest(range(s, e)) AS pos, label FROM r")
 def win_propagate_to_positions(spark, d):
     return S.to_positions(S.runs(sequences(spark, d)))
@@ -203,14 +195,6 @@ def sample_groups(spark, d):
     return o.join(F.broadcast(o.select("o_custkey").distinct().orderBy("o_custkey").limit(25)), "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("WITH n AS (SELECT user_id, count(*) AS n, md5(user_id::VARCHAR || '47') AS h FROM events GROUP BY user_id), c AS (SELECT *, sum(n) OVER (ORDER BY h, user_id) / sum(n) OVER () AS f FROM n) SELECT user_id, CASE WHEN f <= 0.7 THEN 'train' WHEN f <= 0.85 THEN 'val' ELSE 'test' END AS split FROM c")
-def split_by_subject(spark, d):
-    """Subjects in hash order until the size is reached; the unpartitioned window sees one row for each subject."""
-    n = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("h", F.md5(F.concat(F.col("user_id").cast("string"), F.lit("47")).cast("binary")))
-    f = F.sum("n").over(W.orderBy("h", "user_id").rowsBetween(W.unboundedPreceding, 0)) / F.sum("n").over(W.orderBy("h", "user_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return n.select("user_id", F.when(f <= 0.7, "train").when(f <= 0.85, "val").otherwise("test").alias("split"))
-
-
 # --- 2.7 sets and reshaping ---
 
 
@@ -242,11 +226,6 @@ def reshape_melt(spark, d):
     return c.unpivot(["c_custkey"], ["acctbal", "nation"], "metric", "v")
 
 
-@query("SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id")
-def reshape_unstack(spark, d):
-    return table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "error", "view"]).count().fillna(0)
-
-
 @query("SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings")
 def reshape_explode(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x")).select("vec_id", F.col("dim").cast("long").alias("dim"), F.col("x").cast("double").alias("x"))
@@ -265,15 +244,6 @@ def reshape_bin_cut(spark, d):
     return e.crossJoin(F.broadcast(b)).select("event_id", F.greatest(F.ceil((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / 4)) - 1, F.lit(0).cast("long")).alias("bin"))
 
 
-@query(f"WITH {SEQ}, g AS (SELECT id, list(label ORDER BY pos) AS q FROM s GROUP BY id) SELECT id, i, q[round_even(i * (len(q) - 1) / 127e0, 0)::BIGINT + 1] AS label, (q || list_transform(range(200 - len(q)), lambda x: 0::BIGINT))[i + 1] AS padded FROM g, (SELECT unnest(range(128)) AS i)")
-def reshape_upsample_pad(spark, d):
-    """reshape.upsample_nearest, reshape.pad, reshape.cohort_matrix: to 128 places by rounding half to even; to 200 by zeros."""
-    g = sequences(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "label")))["label"].alias("q"))
-    out = g.withColumn("p", F.concat("q", F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(200) - F.size("q"), F.lit(0))))).select("id", "q", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(127).cast("long"))).alias("i"))
-    at = F.rint(F.col("i") * (F.size("q") - 1) / F.lit(127.0)).cast("int")
-    return out.select("id", "i", F.get("q", at).alias("label"), F.get("p", F.col("i").cast("int")).alias("padded"))
-
-
 @query("WITH b AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM events) SELECT event_id, ((value > b.a)::INT + (value > b.b)::INT + (value > b.c)::INT)::BIGINT AS q FROM events, b")
 def reshape_quantize(spark, d):
     e = table(spark, d, "events").select("event_id", "value")
@@ -291,14 +261,6 @@ def str_parse_path(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"), F.element_at(p, -1).alias("leaf"), F.size(p).alias("parts"))
 
 
-@query("SELECT c_custkey, string_split(c_name, '#')[1] AS prefix, coalesce(try_cast(substr(string_split(c_name, '#')[2], 2) AS INTEGER), -1) AS number, lower(trim(c_mktsegment)) AS clean, regexp_matches(lower(c_mktsegment), 'auto|mach') AS hit FROM customer")
-def str_parse_identifier(spark, d):
-    """str.parse_participant_id, str.parse_identifier, str.parse_task_number, str.clean."""
-    p = F.split("c_name", "#")
-    seg = F.lower(F.trim("c_mktsegment"))
-    return table(spark, d, "customer").select("c_custkey", p[0].alias("prefix"), F.coalesce(F.substring(F.get(p, F.lit(1)), 2, 99).try_cast("int"), F.lit(-1)).alias("number"), seg.alias("clean"), seg.rlike("auto|mach").alias("hit"))
-
-
 @query("WITH t AS (SELECT item_id, regexp_replace(text, '[^a-zA-Z]', '', 'g') AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, levenshtein(a.t, b.t)::INTEGER AS d, round(100e0 * (1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t))::DOUBLE), 4) AS score FROM t a JOIN t b ON a.item_id < b.item_id")
 def str_levenshtein(spark, d):
     """Edit distance of the letters of every pair of items of a small codebook."""
@@ -376,9 +338,3 @@ def ops_qc_apply(spark, d):
     """ops.qc_apply and ops.manual_fixes: failures dropped, swaps renamed by a table of corrections."""
     out = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
     return out.where(F.coalesce("toxic", F.lit(0)) != 1).select("doc_id", F.when(F.col("quality") == 0, F.concat(F.lit("swapped_"), "lang")).otherwise(F.col("lang")).alias("lang"))
-
-
-@query("WITH k AS (SELECT DISTINCT user_id FROM events) SELECT user_id, dense_rank() OVER (ORDER BY user_id) - 1 AS n, (dense_rank() OVER (ORDER BY user_id) - 1) // 5 AS block FROM k")
-def ops_snapshot_groups(spark, d):
-    k = table(spark, d, "events").select("user_id").distinct().withColumn("n", (F.row_number().over(W.orderBy("user_id")) - 1).cast("long"))
-    return k.withColumn("block", F.expr("n div 5"))

@@ -65,59 +65,12 @@ def dist_gram(spark, d):
     return b.withColumnRenamed("pos", "a").join(other, "id").where("a <= b").select("id", "a", "b", rnd(V.dot("v", "w"), 5).alias("g"))
 
 
-FUSED = KK + ", t AS (SELECT i, j, d AS x, abs(i - j) / 9e0 AS y FROM k), n AS (SELECT max(x) AS mx, max(y) AS my FROM t)"
-
-
-@query(f"WITH {FUSED} SELECT i, j, round(x / mx + 0.5e0 * y / my, 6) AS additive, round(x * y / (mx * my), 6) AS multiplicative, round(1 - exp(-(x / mx + y / my) / 0.7e0), 6) AS normalized_exp, round(1 - exp(-(x + y)), 6) AS unnormalized_exp, round(x / mx * (1 + y), 6) AS weighted, round(x / mx, 6) AS without FROM t, n")
-def dist_multimodal_fusion(spark, d):
-    t = kk(spark, d).select("i", "j", F.col("d").alias("x"), (F.abs(F.col("i") - F.col("j")) / 9.0).alias("y"))
-    t = t.crossJoin(F.broadcast(t.agg(F.max("x").alias("mx"), F.max("y").alias("my"))))
-    x, y = F.col("x") / F.col("mx"), F.col("y") / F.col("my")
-    return t.select("i", "j", rnd(x + 0.5 * y).alias("additive"), rnd(x * y).alias("multiplicative"), rnd(1 - F.exp(-(x + y) / 0.7)).alias("normalized_exp"), rnd(1 - F.exp(-(F.col("x") + F.col("y")))).alias("unnormalized_exp"), rnd(x * (1 + F.col("y"))).alias("weighted"), rnd(x).alias("without"))
-
-
-@query(f"WITH {FUSED}, g AS (SELECT unnest([0.5e0, 1e0, 2e0]) AS tau), f AS (SELECT tau, 1 - exp(-(x / mx + y / my) / tau) AS f FROM t, n, g) SELECT tau, round(avg(f), 6) AS mean, round(stddev_pop(f), 6) AS std, round(quantile_cont(f, 0.75) - quantile_cont(f, 0.25), 6) AS iqr FROM f GROUP BY tau")
-def dist_sweep(spark, d):
-    t = kk(spark, d).select(F.col("d").alias("x"), (F.abs(F.col("i") - F.col("j")) / 9.0).alias("y"))
-    t = t.crossJoin(F.broadcast(t.agg(F.max("x").alias("mx"), F.max("y").alias("my")))).crossJoin(F.broadcast(spark.createDataFrame([(0.5,), (1.0,), (2.0,)], "tau double")))
-    f = t.withColumn("f", 1 - F.exp(-(F.col("x") / F.col("mx") + F.col("y") / F.col("my")) / F.col("tau")))
-    return f.groupBy("tau").agg(rnd(F.avg("f")).alias("mean"), rnd(F.stddev_pop("f")).alias("std"), rnd(F.percentile("f", 0.75) - F.percentile("f", 0.25)).alias("iqr"))
-
-
-@query(f"WITH {KK} SELECT i % 3 AS gi, j % 3 AS gj, round(avg(d), 5) AS d FROM k GROUP BY ALL")
-def agg_reduce_similarity_matrix(spark, d):
-    """agg.reduce_similarity_matrix and dist.latent_space_levels: K x K to G x G by block means."""
-    return kk(spark, d).groupBy((F.col("i") % 3).alias("gi"), (F.col("j") % 3).alias("gj")).agg(rnd(F.avg("d"), 5).alias("d"))
-
 
 @query(f"WITH {VEC} SELECT label % 3 AS g, dim - 1 AS dim, round(avg(m), 6) AS x FROM (SELECT label, dim, avg(x) AS m FROM l GROUP BY ALL) GROUP BY ALL")
 def agg_reduce_centroids(spark, d):
     return V.long(prototypes(spark, d), "c").groupBy((F.col("proto") % 3).alias("g"), F.col("dim").cast("long").alias("dim")).agg(rnd(F.avg("x")).alias("x"))
 
 
-@query(f"WITH {KK}, e AS (SELECT i + 1 AS i, j + 1 AS j, d FROM k), m AS (SELECT i, max(d) AS d FROM e GROUP BY i) SELECT i, j, round(d, 5) AS d FROM e UNION ALL SELECT i, 0, round(d, 5) FROM m UNION ALL SELECT 0, i, round(d, 5) FROM m UNION ALL SELECT 0, 0, 0")
-def dist_fg_bg_augment(spark, d):
-    e = kk(spark, d).select((F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "d")
-    m, zero = e.groupBy("i").agg(F.max("d").alias("d")), F.lit(0).cast("long")
-    corner = spark.range(1).select(zero.alias("i"), zero.alias("j"), F.lit(0.0).alias("d"))
-    out = e.unionByName(m.select("i", zero.alias("j"), "d")).unionByName(m.select(zero.alias("i"), F.col("i").alias("j"), "d")).unionByName(corner)
-    return out.select("i", "j", rnd("d", 5).alias("d"))
-
-
-@query(f"WITH {SEQ}, w AS (SELECT label, pos::DOUBLE AS t, 1e0 / count(*) OVER (PARTITION BY label) AS w FROM s WHERE label IN (0, 4)), g AS (SELECT label, t, sum(w) AS w FROM w GROUP BY ALL), u AS (SELECT DISTINCT t FROM g), f AS (SELECT u.t, coalesce(sum(a.w), 0) - coalesce(sum(b.w), 0) AS dw FROM u LEFT JOIN g a ON a.t = u.t AND a.label = 0 LEFT JOIN g b ON b.t = u.t AND b.label = 4 GROUP BY u.t), c AS (SELECT t, lead(t) OVER (ORDER BY t) - t AS dt, sum(dw) OVER (ORDER BY t) AS cdf FROM f) SELECT round(sum(abs(cdf) * dt), 5) AS w1 FROM c")
-def dist_wasserstein_1d(spark, d):
-    """Distance of the time distributions of two symbols: the area between their distribution functions.
-
-    The window runs over distinct times, after aggregation.
-    """
-    s = sequences(spark, d).where("label IN (0, 4)")
-    n = s.groupBy("label").agg(F.count("*").alias("n"))
-    g = s.join(F.broadcast(n), "label").groupBy(F.col("pos").cast("double").alias("t")).agg(F.sum(F.when(F.col("label") == 0, 1).otherwise(-1) / F.col("n")).alias("dw"))
-    w = W.orderBy("t")
-    c = g.select((F.lead("t").over(w) - F.col("t")).alias("dt"), F.sum("dw").over(w).alias("cdf"))
-    return c.agg(rnd(F.sum(F.abs("cdf") * F.col("dt")), 5).alias("w1"))
-
-
 @query(f"WITH {KK} SELECT i AS medoid, round(s, 4) AS total FROM (SELECT i, sum(d) AS s FROM k GROUP BY i) ORDER BY s, i LIMIT 1")
 def dist_medoid(spark, d):
     return kk(spark, d).groupBy(F.col("i").alias("medoid")).agg(F.sum("d").alias("s")).orderBy("s", "medoid").limit(1).select("medoid", rnd("s", 4).alias("total"))
@@ -129,14 +82,6 @@ def dist_intra_inter_group(spark, d):
     return kk(spark, d).where("i < j").groupBy(F.least(a, b).alias("ga"), F.greatest(a, b).alias("gb"), (a == b).alias("intra")).agg(F.count("*").alias("n"), rnd(F.avg("d"), 5).alias("mean"))
 
 
-@query(f"WITH {SEQ}, x AS (SELECT id, pos, value - avg(value) OVER (PARTITION BY id) AS x FROM s), c AS (SELECT a.id, lag, sum(a.x * b.x) AS c FROM x a, (SELECT unnest(range(1, 9)) AS lag) k, x b WHERE b.id = a.id AND b.pos = a.pos + lag GROUP BY ALL) SELECT id, lag, round(c, 3) AS c FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, lag) = 1")
-def dist_xcorr_lag(spark, d):
-    x = sequences(spark, d).select("id", "pos", (F.col("value") - F.avg("value").over(W.partitionBy("id"))).alias("x"))
-    lagged = x.select("id", F.col("x").alias("y"), F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("lag"), (F.col("pos") - k).alias("pos")) for k in range(1, 9)))).alias("k")).select("id", "y", "k.lag", "k.pos")
-    c = x.join(lagged, ["id", "pos"]).groupBy("id", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
-    return c.groupBy("id").agg(F.max(F.struct("c", (-F.col("lag")).alias("l"))).alias("b")).select("id", (-F.col("b.l")).alias("lag"), rnd("b.c", 3).alias("c"))
-
-
 @query("SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.embedding = b.embedding WHERE b.label < 5")
 def dist_find_subset(spark, d):
     """Rows of a part (five labels) found in the whole by equality of their vectors."""
@@ -156,43 +101,6 @@ def cpd_mmd_vs_neighbours(spark, d):
     return g.select("id", "seg", rnd(F.pow(F.col("m") - F.lag("m").over(w), 2), 3).alias("mmd_before"), rnd(F.pow(F.col("m") - F.lead("m").over(w), 2), 3).alias("mmd_after"), rnd(F.col("q") / (F.col("q") + F.lag("q").over(w)), 5).alias("ratio"))
 
 
-@query(f"WITH {SEQ}, c AS (SELECT id, floor(pos / 20)::BIGINT AS k, avg(value) AS y, count(*)::DOUBLE AS x FROM s GROUP BY ALL), m AS (SELECT x - avg(x) OVER (PARTITION BY k) AS x, y - avg(y) OVER (PARTITION BY k) AS y FROM c) SELECT round(regr_slope(y, x), 4) AS slope, round(2 * regr_slope(y, x), 4) AS penalty FROM m")
-def cpd_slope_heuristic(spark, d):
-    """Slope with group intercepts: demeaned within groups, then one least squares line."""
-    c = sequences(spark, d).groupBy("id", F.floor(F.col("pos") / 20).alias("k")).agg(F.avg("value").alias("y"), F.count("*").cast("double").alias("x"))
-    w = W.partitionBy("k")
-    m = c.select((F.col("x") - F.avg("x").over(w)).alias("x"), (F.col("y") - F.avg("y").over(w)).alias("y"))
-    return m.agg(rnd(F.regr_slope("y", "x"), 4).alias("slope"), rnd(F.regr_slope("y", "x") * 2, 4).alias("penalty"))
-
-
-@query(f"WITH {RUN} SELECT id, max(e) AS n, count(*) + 1 AS n_cpts, round(count(*) / max(e) * 60, 5) AS cpts_frequency FROM r GROUP BY id")
-def cpd_collect_results(spark, d):
-    return S.runs(sequences(spark, d)).groupBy("id").agg(F.max("e").alias("n"), (F.count("*") + 1).alias("n_cpts"), rnd(F.count("*") / F.max("e") * 60, 5).alias("cpts_frequency"))
-
-
-@query(f"WITH {VEC} SELECT b.pos, b.label, round({EUCLID}, 5) AS d, {EUCLID} <= m.cut AS inside FROM b JOIN p ON b.label = p.proto JOIN (SELECT b.label, quantile_cont({EUCLID}, 0.25) AS cut FROM b JOIN p ON b.label = p.proto GROUP BY b.label) m ON m.label = b.label")
-def clu_training_residuals(spark, d):
-    """clu.label_attach and clu.training_residuals: blocks within the nearest quarter of their cluster."""
-    both = blocks(spark, d).join(F.broadcast(prototypes(spark, d)), F.col("label") == F.col("proto")).withColumn("d", V.euclid("v", "c"))
-    cut = both.groupBy("label").agg(F.percentile("d", 0.25).alias("cut"))
-    return both.join(F.broadcast(cut), "label").select("pos", "label", rnd("d", 5).alias("d"), (F.col("d") <= F.col("cut")).alias("inside"))
-
-
-@query("WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) SELECT p_brand, p_type, n, coalesce(sum(n) OVER (ORDER BY p_brand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS shift FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) = 1)")
-def clu_select_best(spark, d):
-    """Best model of each kind and the offsets of its indices; the last window sees one row for each kind."""
-    c = table(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    best = S.keep_first(c, ["p_brand"], [F.desc("n"), "p_type"])
-    return best.withColumn("shift", F.coalesce(F.sum("n").over(W.orderBy("p_brand").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-
-
-@query(f"WITH {VEC}, q AS (SELECT unnest([1, 3, 5]) AS k) SELECT proto, round(list_sum(c), 5) AS total FROM p WHERE proto IN (SELECT k FROM q) UNION ALL SELECT proto + 100, round(list_sum(c), 5) FROM p WHERE proto NOT IN (SELECT k FROM q)")
-def clu_prototype_model(spark, d):
-    p = prototypes(spark, d).select("proto", rnd(F.aggregate("c", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
-    q = spark.createDataFrame([(1,), (3,), (5,)], "proto long")
-    return p.join(F.broadcast(q), "proto", "left_semi").unionByName(p.join(F.broadcast(q), "proto", "left_anti").withColumn("proto", F.col("proto") + 100))
-
-
 @query()
 def clu_kmeans(spark, d):
     """Spherical k-means, seed 47."""
@@ -226,80 +134,6 @@ def eval_silhouette(spark, d):
     return f.select("pos", "label", rnd((F.col("b") - F.col("a")) / F.greatest("a", "b"), 5).alias("silhouette"))
 
 
-@query(f"WITH {KK}, x AS (SELECT b.label AS i, avg({EUCLID}) AS s FROM b JOIN p ON b.label = p.proto GROUP BY b.label), r AS (SELECT k.i, max((a.s + c.s) / k.d) AS r FROM k JOIN x a ON a.i = k.i JOIN x c ON c.i = k.j WHERE k.i <> k.j GROUP BY k.i) SELECT round(avg(r), 5) AS davies_bouldin FROM r")
-def eval_davies_bouldin(spark, d):
-    """eval.silhouette/db/ch: Davies-Bouldin from compactness and separation."""
-    both = blocks(spark, d).join(F.broadcast(prototypes(spark, d)), F.col("label") == F.col("proto"))
-    x = both.groupBy(F.col("label").alias("i")).agg(F.avg(V.euclid("v", "c")).alias("s"))
-    r = kk(spark, d).where("i <> j").join(F.broadcast(x), "i").join(F.broadcast(x.toDF("j", "t")), "j").groupBy("i").agg(F.max((F.col("s") + F.col("t")) / F.col("d")).alias("r"))
-    return r.agg(rnd(F.avg("r"), 5).alias("davies_bouldin"))
-
-
-@query(f"WITH {KK}, s AS (SELECT i % 2 AS g, j % 2 AS h, avg(exp(-d * d / 2)) AS m FROM k GROUP BY ALL) SELECT round(sum(CASE WHEN g = h THEN m ELSE -m END), 6) AS mmd, (SELECT round(sum((i % 2 = j % 2)::INT * (exp(-d * d / 2) - wi * wj / w)) / any_value(w), 6) FROM k JOIN (SELECT i AS a, sum(exp(-d * d / 2)) AS wi FROM k GROUP BY i) x ON x.a = k.i JOIN (SELECT i AS b, sum(exp(-d * d / 2)) AS wj FROM k GROUP BY i) y ON y.b = k.j, (SELECT sum(exp(-d * d / 2)) AS w FROM k)) AS modularity FROM s")
-def eval_kernel_mmd_modularity(spark, d):
-    """eval.kernel_db, cs, mmd, modularity: block means of a kernel over two groups, and the modularity of the groups."""
-    k = kk(spark, d).withColumn("w", F.exp(-F.col("d") * F.col("d") / 2))
-    same = (F.col("i") % 2) == (F.col("j") % 2)
-    m = k.groupBy((F.col("i") % 2).alias("g"), (F.col("j") % 2).alias("h")).agg(F.avg("w").alias("m")).agg(rnd(F.sum(F.when(F.col("g") == F.col("h"), F.col("m")).otherwise(-F.col("m")))).alias("mmd"))
-    deg, tot = k.groupBy("i").agg(F.sum("w").alias("wi")), k.agg(F.sum("w").alias("t"))
-    q = k.join(deg, "i").join(deg.toDF("j", "wj"), "j").crossJoin(tot).agg(rnd(F.sum(F.when(same, F.col("w") - F.col("wi") * F.col("wj") / F.col("t")).otherwise(0.0)) / F.first("t")).alias("modularity"))
-    return m.crossJoin(q)
-
-
-F1 = RUN + ", gt AS (SELECT id, seg AS gi, s, e, label FROM r), pr AS (SELECT id, seg AS pi, s + 1 AS s, e + 1 AS e, label FROM r), x AS (SELECT pr.id, pi, gi, (least(pr.e, gt.e) - greatest(pr.s, gt.s))::DOUBLE / (greatest(pr.e, gt.e) - least(pr.s, gt.s)) AS iou FROM pr JOIN gt ON pr.id = gt.id AND pr.label = gt.label AND gt.s < pr.e AND pr.s < gt.e), b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY id, pi ORDER BY iou DESC, gi) = 1), h AS (SELECT * FROM b WHERE iou >= 0.5 QUALIFY row_number() OVER (PARTITION BY id, gi ORDER BY pi) = 1), t AS (SELECT id, count(*) AS tp FROM h GROUP BY id), n AS (SELECT id, count(*) AS n FROM r GROUP BY id)"
-
-
-@query(f"WITH {F1} SELECT n.id, coalesce(tp, 0) AS tp, round(2e0 * coalesce(tp, 0) / (2 * n), 6) AS f1 FROM n LEFT JOIN t ON t.id = n.id")
-def eval_segment_f1(spark, d):
-    """eval.segment_f1 and eval.tiou: predictions shifted by one; each takes its best truth, the first to take one counts."""
-    r = S.runs(sequences(spark, d))
-    gt = r.select("id", F.col("seg").alias("gi"), F.col("s").alias("gs"), F.col("e").alias("ge"), F.col("label").alias("gl"))
-    pr = r.select("id", F.col("seg").alias("pi"), (F.col("s") + 1).alias("s"), (F.col("e") + 1).alias("e"), "label")
-    both = pr.join(gt, "id").where("label = gl AND gs < e AND s < ge")
-    x = both.withColumn("iou", (F.least("e", "ge") - F.greatest("s", "gs")) / (F.greatest("e", "ge") - F.least("s", "gs")))
-    best = S.keep_first(x, ["id", "pi"], [F.desc("iou"), "gi"]).where("iou >= 0.5")
-    tp = S.keep_first(best, ["id", "gi"], ["pi"]).groupBy("id").agg(F.count("*").alias("tp"))
-    n = r.groupBy("id").agg(F.count("*").alias("n")).join(tp, "id", "left").select("id", F.coalesce("tp", F.lit(0)).alias("tp"), "n")
-    return n.select("id", "tp", rnd(F.col("tp") / F.col("n")).alias("f1"))
-
-
-@query(f"WITH {RUN}, m AS (SELECT DISTINCT p.id, p.seg FROM (SELECT id, seg, s + 2 AS t FROM r) p JOIN r g ON g.id = p.id AND abs(g.s - p.t) <= 1) SELECT id, count(*) AS hits FROM m GROUP BY id")
-def eval_timestamp_f1(spark, d):
-    r = S.runs(sequences(spark, d))
-    p = r.select("id", "seg", F.explode(F.array(F.col("s") + 1, F.col("s") + 2, F.col("s") + 3)).alias("t"))
-    return p.join(r.select("id", F.col("s").alias("t")), ["id", "t"]).select("id", "seg").distinct().groupBy("id").agg(F.count("*").alias("hits"))
-
-
-@query(f"WITH {SEQ}, c AS (SELECT label AS g, lag(label) OVER (PARTITION BY id ORDER BY pos) AS p FROM s), k AS (SELECT g AS label, count(*) FILTER (g = p) AS tp, count(*) AS n FROM c WHERE p IS NOT NULL GROUP BY g), q AS (SELECT p AS label, count(*) AS m FROM c WHERE p IS NOT NULL GROUP BY p) SELECT round(sum(tp) / sum(n), 6) AS accuracy, round(avg(2e0 * tp / (n + m)), 6) AS macro_f1, round(avg(tp::DOUBLE / (n + m - tp)), 6) AS jaccard FROM k JOIN q ON k.label = q.label")
-def eval_frame_scores(spark, d):
-    c = sequences(spark, d).select(F.col("label").alias("g"), F.lag("label").over(S.by()).alias("p")).where("p IS NOT NULL").groupBy("g", "p").agg(F.count("*").alias("c"))
-    n = c.groupBy(F.col("g").alias("label")).agg(F.sum(F.when(F.col("g") == F.col("p"), F.col("c")).otherwise(0)).alias("tp"), F.sum("c").alias("n"))
-    k = n.join(c.groupBy(F.col("p").alias("label")).agg(F.sum("c").alias("m")), "label")
-    tp, n, m = F.col("tp"), F.col("n"), F.col("m")
-    return k.agg(rnd(F.sum(tp) / F.sum(n)).alias("accuracy"), rnd(F.avg(tp * 2 / (n + m))).alias("macro_f1"), rnd(F.avg(tp / (n + m - tp))).alias("jaccard"))
-
-
-@query(f"WITH {SEQ}, t AS (SELECT label, pos::DOUBLE / count(*) OVER (PARTITION BY id) AS t FROM s), b AS (SELECT label, count(*) AS n, 0.9e0 * stddev_samp(t) * power(count(*), -0.2) AS h FROM t GROUP BY label), x AS (SELECT unnest(range(64)) AS i) SELECT t.label, i, round(sum(exp(-0.5e0 * power((-0.5e0 + i * 2e0 / 63 - t.t) / h, 2))) / any_value(n * h * sqrt(2 * pi())), 5) AS density FROM t JOIN b ON t.label = b.label, x GROUP BY t.label, i")
-def dens_kde(spark, d):
-    """Gaussian density of the times of each symbol on 64 places of (-0.5, 1.5)."""
-    import math
-
-    t = sequences(spark, d).select("label", (F.col("pos") / F.count("*").over(W.partitionBy("id"))).alias("t"))
-    b = t.groupBy("label").agg(F.count("*").alias("n"), (F.stddev_samp("t") * 0.9 * F.pow(F.count("*"), F.lit(-0.2))).alias("h"))
-    g = t.groupBy("label", "t").agg(F.count("*").alias("w")).join(F.broadcast(b), "label").crossJoin(F.broadcast(spark.range(64).toDF("i")))
-    z = (F.col("i") * 2.0 / 63 - 0.5 - F.col("t")) / F.col("h")
-    return g.groupBy("label", "i").agg(rnd(F.sum(F.col("w") * F.exp(-0.5 * z * z)) / F.first(F.col("n") * F.col("h") * math.sqrt(2 * math.pi)), 5).alias("density"))
-
-
-@query("WITH k AS (SELECT event_type AS g, user_id, value FROM events WHERE event_type IN ('click', 'view')), r AS (SELECT g, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2e0 AS rk FROM k) SELECT round(sum(rk) FILTER (g = 'click') - count(*) FILTER (g = 'click') * (count(*) FILTER (g = 'click') + 1) / 2e0, 1) AS u, round(1 - 2e0 * (sum(rk) FILTER (g = 'click') - count(*) FILTER (g = 'click') * (count(*) FILTER (g = 'click') + 1) / 2e0) / (count(*) FILTER (g = 'click') * count(*) FILTER (g = 'view')), 6) AS rank_biserial FROM r")
-def stat_mwu(spark, d):
-    """Mann-Whitney U from rank sums; ranks are counted over distinct values, so the window sees one row for each."""
-    k = table(spark, d, "events").where("event_type IN ('click', 'view')")
-    v = k.groupBy("value").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "click").alias("c"))
-    before = F.coalesce(F.sum("n").over(W.orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = v.withColumn("rk", before + (F.col("n") + 1) / 2).agg(F.sum(F.col("rk") * F.col("c")).alias("r"), F.sum("c").alias("a"), F.sum(F.col("n") - F.col("c")).alias("b"))
-    u = F.col("r") - F.col("a") * (F.col("a") + 1) / 2
-    return s.select(rnd(u, 1).alias("u"), rnd(1 - u * 2 / (F.col("a") * F.col("b"))).alias("rank_biserial"))
 
 
 @query("WITH p AS (SELECT p_brand || p_type AS k0, ((sum(p_partkey) * 7919) % 10007)::BIGINT / 10007e0 AS p FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY p, k0) AS k, count(*) OVER () AS n FROM p) SELECT k0, round(least(min(p * n / k) OVER (ORDER BY p, k0 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1), 6) AS q FROM r")

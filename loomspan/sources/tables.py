@@ -47,7 +47,7 @@ def eye_tracker(spark: SparkSession, path: str, columns: list[str]) -> dict[str,
         raise ValueError(f"missing columns: {missing}")
     number = lambda c: F.regexp_replace(c, ",", ".").try_cast("double").alias(c)
     typed = raw.select("sensor", number("time"), *(number(c) for c in columns))
-    names = [r["sensor"] for r in typed.select("sensor").distinct().orderBy("sensor").limit(16).collect()]
+    names = [r["sensor"] for r in typed.select("sensor").distinct().orderBy("sensor").collect()]
     return {s: typed.where(F.col("sensor").eqNullSafe(s)).drop("sensor") for s in names}
 
 
@@ -119,6 +119,37 @@ def dataset(spark: SparkSession, name: str, path: str) -> DataFrame:
     return REGISTRY[name](spark, path) if name in REGISTRY else table(spark, path, name)
 
 
-def save(df: DataFrame, path: str, by: str | None = None, form: str = "parquet") -> None:
+def filesystem(spark: SparkSession, path: str):
+    """Spark's own view of a path, whatever store it is in: (file system, path)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def save(df: DataFrame, path: str, by: str | None = None, form: str = "parquet", dated: str | None = None) -> None:
+    """Writes a table over what is there. dated: a stamp; what is there is kept beside it under a name with that stamp."""
+    if dated:
+        store, at = filesystem(df.sparkSession, path)
+        if store.exists(at):
+            store.rename(at, df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}_{dated}"))
     writer = df.write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).format(form).save(path)
+
+
+def save_matrices(df: DataFrame, path: str) -> int:
+    """Writes (identifier, pos, v) as one .npy matrix for each identifier, rows by pos; returns their number.
+
+    One matrix at a time is on the driver, and goes through Spark's file system to the path.
+    """
+    from io import BytesIO
+
+    n = 0
+    rows = df.groupBy("identifier").agg(F.array_sort(F.collect_list(F.struct("pos", "v")))["v"].alias("v")).toLocalIterator()
+    for r in rows:
+        content = BytesIO()
+        np.save(content, np.array(r["v"], np.float64))
+        store, at = filesystem(df.sparkSession, f"{path.rstrip('/')}/{r['identifier']}.npy")
+        out = store.create(at, True)
+        out.write(content.getvalue())
+        out.close()
+        n += 1
+    return n
