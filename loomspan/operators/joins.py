@@ -45,15 +45,37 @@ def pairs(df: DataFrame, key: str, equal: bool = False) -> DataFrame:
     return a.join(b, F.col(f"{key}_a") <= F.col(f"{key}_b") if equal else F.col(f"{key}_a") < F.col(f"{key}_b"))
 
 
+#: Prototypes of a codebook that is broadcast; a larger one is dealt in as many parts.
+MOST_BOOK = 4096
+
+
+def codebook(prototypes: DataFrame) -> DataFrame:
+    """One broadcast row, book array<struct<proto, c>>, of a codebook of MOST_BOOK prototypes at most (checked)."""
+    n = prototypes.count()
+    if n > MOST_BOOK:
+        raise ValueError(f"{n} prototypes are more than {MOST_BOOK}")
+    return F.broadcast(prototypes.agg(F.array_sort(F.collect_list(F.struct("proto", "c"))).alias("book")))
+
+
 def nearest_centroid(vectors: DataFrame, prototypes: DataFrame, cosine: bool = False) -> DataFrame:
-    """(pos, proto, dist) of the nearest prototype, ties by number. prototypes (proto, c) are a codebook, hundreds at most."""
+    """(pos, proto, dist) of the nearest prototype (proto, c), ties by number.
+
+    Each vector looks through the codebook in place: no shuffle. A codebook of more than MOST_BOOK is cut into parts, one
+    row each, and the least of the parts is taken, which is one shuffle.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    both = vectors.crossJoin(F.broadcast(prototypes))
     if cosine:
-        d = 1 - dot(F.col("v"), F.col("c")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("c"), F.col("c")))
+        dist = lambda c: 1 - dot(F.col("v"), c) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(c, c))
     else:
-        d = F.sqrt(F.aggregate(F.zip_with("v", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return both.groupBy("pos").agg(F.min(F.struct(d.alias("dist"), F.col("proto").alias("proto"))).alias("b")).select("pos", "b.proto", "b.dist")
+        dist = lambda c: F.sqrt(F.aggregate(F.zip_with("v", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    parts = -(-prototypes.count() // MOST_BOOK) or 1
+    entry = F.struct("proto", "c")
+    books = prototypes.groupBy(F.pmod(F.xxhash64("proto"), F.lit(parts))).agg(F.array_sort(F.collect_list(entry)).alias("book")).select("book")
+    both = vectors.crossJoin(F.broadcast(books) if parts == 1 else books)
+    best = both.select("pos", F.array_min(F.transform("book", lambda p: F.struct(dist(p["c"]).alias("dist"), p["proto"].alias("proto")))).alias("b"))
+    if parts > 1:
+        best = best.groupBy("pos").agg(F.min("b").alias("b"))
+    return best.select("pos", "b.proto", "b.dist")
 
 
 def track(df: DataFrame, reach: float) -> DataFrame:

@@ -5,39 +5,108 @@ from __future__ import annotations
 import numpy as np
 
 
-def change_points(x: np.ndarray, penalty: float, kernel: str = "linear", min_size: int = 2) -> tuple[list[int], float]:
-    """Optimal partition by penalised kernel cost with pruning: ([0, ..., n], cost). Costs come from prefix sums of the Gram matrix."""
+def median_gamma(x: np.ndarray, most: int = 1000) -> float:
+    """One over the median squared distance of rows, of at most `most` of them, evenly spaced."""
+    x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), most)).astype(int))]
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    d = d[d > 0]
+    return 1 / float(np.median(d)) if len(d) else 1.0
+
+
+class LinearCost:
+    """Squared errors of segments from prefix sums: memory and time of a row in proportion to the length."""
+
+    def __init__(self, x: np.ndarray):
+        self.sums = np.vstack([np.zeros(x.shape[1]), x.cumsum(0)])
+        self.squares = np.append(0, (x * x).sum(1).cumsum())
+
+    def row(self, starts: np.ndarray, end: int) -> np.ndarray:
+        """Costs of the segments [start, end). Ends must not fall from call to call."""
+        gap = self.sums[end] - self.sums[starts]
+        return self.squares[end] - self.squares[starts] - (gap * gap).sum(1) / (end - starts)
+
+
+class RbfCost:
+    """Kernel costs of segments; of the kernel's table only the sums of one row of blocks are held."""
+
+    def __init__(self, x: np.ndarray, gamma: float | None = None):
+        self.x, self.gamma = x, median_gamma(x) if gamma is None else gamma
+        self.end, self.block, self.whole = 0, np.zeros(len(x) + 1), np.zeros(len(x) + 1)  # sums over [0, a) x [0, end) and [0, a) x [0, a)
+
+    def row(self, starts: np.ndarray, end: int) -> np.ndarray:
+        while self.end < end:
+            k = np.exp(-self.gamma * ((self.x - self.x[self.end]) ** 2).sum(1))
+            self.block[1:] += k.cumsum()
+            self.end += 1
+            self.whole[self.end] = self.block[self.end]
+        n = end - starts
+        return n - (self.block[end] - 2 * self.block[starts] + self.whole[starts]) / n
+
+
+def segment_costs(x: np.ndarray, kernel: str, gamma: float | None = None) -> LinearCost | RbfCost:
     x = np.asarray(x, np.float64).reshape(len(x), -1)
-    n = len(x)
-    if kernel == "linear":
-        gram = x @ x.T
-    elif kernel == "cosine":
-        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        gram = u @ u.T
-    else:
-        d = ((x[:, None] - x[None]) ** 2).sum(-1)
-        gram = np.exp(-d / max(np.median(d[d > 0]), 1e-12)) if (d > 0).any() else np.ones_like(d)
-    block = np.zeros((n + 1, n + 1))
-    block[1:, 1:] = gram.cumsum(0).cumsum(1)
-    trace = np.append(0, np.diag(gram).cumsum())
-
-    def cost(a: np.ndarray, b: int) -> np.ndarray:
-        return trace[b] - trace[a] - (block[b, b] - block[a, b] - block[b, a] + block[a, a]) / (b - a)
-
-    best, last, alive = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.array([0])
-    best[0] = -penalty
-    for b in range(min_size, n + 1):
-        starts = alive[alive <= b - min_size]
-        total = best[starts] + cost(starts, b) + penalty
-        k = int(total.argmin())
-        best[b], last[b] = total[k], starts[k]
-        keep = total - penalty <= best[b]
-        alive = np.append(np.append(starts[keep], alive[alive > b - min_size]), b - min_size + 1)
-        alive = np.unique(alive[(alive == 0) | np.isfinite(best[alive]) | (alive > b - min_size)])
+    if kernel == "cosine":
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    elif kernel not in ("linear", "rbf"):
+        raise ValueError(kernel)
+    return RbfCost(x, gamma) if kernel == "rbf" else LinearCost(x)
+
+
+def traced(last: np.ndarray, n: int) -> list[int]:
     out = [n]
     while out[-1] > 0:
         out.append(int(last[out[-1]]))
-    return out[::-1], float(best[n])
+    return out[::-1]
+
+
+def change_points(x: np.ndarray, penalty: float, kernel: str = "linear", min_size: int = 2, jump: int = 1, gamma: float | None = None) -> tuple[list[int], float]:
+    """Optimal partition by penalised kernel cost with pruning: ([0, ..., n], cost).
+
+    Changes are at multiples of jump; segments hold min_size rows at least (a shorter sequence is one segment). A start is
+    pruned once its best can no longer be reached from it through any segment that is long enough, so the result is exact.
+    """
+    n = len(x)
+    if n < 2 * min_size:
+        return [0, n], float(segment_costs(x, kernel, gamma).row(np.array([0]), n)[0]) if n else 0.0
+    cost = segment_costs(x, kernel, gamma)
+    best, last, dead = np.full(n + 1, np.inf), np.zeros(n + 1, int), np.full(n + 1, n + 1)
+    best[0], starts = -penalty, np.array([0])
+    ends = [b for b in range(jump, n, jump) if b >= min_size] + [n]
+    waiting = [b for b in ends if b < n]
+    for b in ends:
+        fresh = [a for a in waiting if a <= b - min_size]
+        waiting = waiting[len(fresh) :]
+        starts = np.append(starts, fresh).astype(int)
+        starts = starts[(dead[starts] > b) & np.isfinite(best[starts])]
+        total = best[starts] + cost.row(starts, b) + penalty
+        k = int(total.argmin())
+        best[b], last[b] = total[k], starts[k]
+        hopeless = starts[total - penalty > best[b]]
+        dead[hopeless] = np.minimum(dead[hopeless], b + min_size)
+    return traced(last, n), float(best[n])
+
+
+def fixed_change_points(x: np.ndarray, changes: int, kernel: str = "linear", min_size: int = 2, jump: int = 1, gamma: float | None = None) -> tuple[list[int], float]:
+    """The partition of least cost with so many changes, or as many as fit: ([0, ..., n], cost)."""
+    n, cost = len(x), segment_costs(x, kernel, gamma)
+    if not n:
+        return [0, 0], 0.0
+    best, last = np.full((changes + 1, n + 1), np.inf), np.zeros((changes + 1, n + 1), int)
+    places = np.array([0, *(a for a in range(jump, n, jump) if a >= min_size)])
+    for b in [*places[1:].tolist(), n]:
+        starts = places[places <= b - min_size] if b >= 2 * min_size else np.array([0])
+        c = cost.row(starts, b)
+        best[0, b] = c[0]
+        for k in range(1, changes + 1):
+            total = np.where(starts > 0, best[k - 1, starts] + c, np.inf)
+            i = int(total.argmin())
+            best[k, b], last[k, b] = total[i], starts[i]
+    k = int(np.flatnonzero(np.isfinite(best[:, n])).max())
+    out, at = [n], n
+    for step in range(k, -1, -1):
+        at = int(last[step, at]) if step else 0
+        out.append(at)
+    return out[::-1], float(best[k, n])
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 50, seed: int = 47) -> np.ndarray:
@@ -52,19 +121,114 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 50, seed: int = 47) -> np.ndarra
     return near
 
 
-def linkage_labels(d: np.ndarray, k: int, method: str = "complete") -> np.ndarray:
-    """Agglomerative clusters of a small distance table, cut at k; ties by position."""
-    groups = [[i] for i in range(len(d))]
+def merges(d: np.ndarray, method: str = "complete") -> list[tuple[int, int, float, int]]:
+    """The tree of agglomerative clusters of a small distance table: (left, right, height, size) by step; leaves are 0 to n - 1, step k makes n + k."""
     how = {"complete": np.max, "single": np.min, "average": np.mean}[method]
-    while len(groups) > k:
-        _, a, b = min((how(d[np.ix_(groups[a], groups[b])]), a, b) for a in range(len(groups)) for b in range(a + 1, len(groups)))
-        groups[a] += groups.pop(b)
-    out = np.zeros(len(d), int)
+    groups, out = {i: [i] for i in range(len(d))}, []
+    while len(groups) > 1:
+        keys = sorted(groups)
+        h, a, b = min((how(d[np.ix_(groups[a], groups[b])]), a, b) for i, a in enumerate(keys) for b in keys[i + 1 :])
+        groups[len(d) + len(out)] = groups.pop(a) + groups.pop(b)
+        out.append((a, b, float(h), len(groups[len(d) + len(out)])))
+    return out
+
+
+def leaves(tree: list[tuple], node: int) -> list[int]:
+    n = len(tree) + 1
+    return [node] if node < n else sorted(leaves(tree, tree[node - n][0]) + leaves(tree, tree[node - n][1]))
+
+
+def numbered(groups: list[list[int]], n: int) -> np.ndarray:
+    out = np.zeros(n, int)
     for g, members in enumerate(sorted(groups, key=min)):
         out[members] = g
     return out
 
 
+def linkage_labels(d: np.ndarray, k: int, method: str = "complete") -> np.ndarray:
+    """Agglomerative clusters of a small distance table, cut at k; ties by position."""
+    tree, n = merges(d, method), len(d)
+    nodes = set(range(n))
+    for step, (a, b, *_) in enumerate(tree[: max(0, n - k)]):
+        nodes = nodes - {a, b} | {n + step}
+    return numbered([leaves(tree, x) for x in nodes], n)
+
+
+def inconsistency(tree: list[tuple], depth: int = 2) -> np.ndarray:
+    """How far each merge's height lies above the mean of the heights down to `depth` levels below it, in their deviations; 0 for none."""
+    n, out = len(tree) + 1, []
+
+    def heights(node: int, levels: int) -> list[float]:
+        if node < n or not levels:
+            return []
+        a, b, h, _ = tree[node - n]
+        return [h, *heights(a, levels - 1), *heights(b, levels - 1)]
+
+    for k, (_, _, h, _) in enumerate(tree):
+        below = np.array(heights(n + k, depth))
+        spread = below.std(ddof=1) if len(below) > 1 else 0.0
+        out.append((h - below.mean()) / spread if spread > 0 else 0.0)
+    return np.array(out)
+
+
+def inconsistent_labels(tree: list[tuple], threshold: float, depth: int = 2) -> np.ndarray:
+    """Clusters of merges that, with all below them, are not more inconsistent than the threshold."""
+    n, off, worst = len(tree) + 1, inconsistency(tree, depth), []
+    for k, (a, b, *_) in enumerate(tree):
+        worst.append(max(off[k], *(worst[x - n] for x in (a, b) if x >= n)) if a >= n or b >= n else off[k])
+    nodes, out = [2 * n - 2], []
+    while nodes:
+        x = nodes.pop()
+        if x < n or worst[x - n] <= threshold:
+            out.append(leaves(tree, x))
+        else:
+            nodes += tree[x - n][:2]
+    return numbered(out, n)
+
+
+def temporal_neighbours(x: np.ndarray, k: int) -> np.ndarray:
+    """Segments of a sequence of vectors: nearest neighbours, distances weighed by how far apart in time, joined level by level down to k.
+
+    Groups of a level become their mean vectors and times. The level that would go below k is replaced by single merges
+    of the nearest pair.
+    """
+    n = len(x)
+    label, t = np.arange(n), np.arange(n) / max(n, 1)
+
+    def table(lab: np.ndarray) -> np.ndarray:
+        size = np.bincount(lab)
+        mean = np.stack([np.bincount(lab, c) / size for c in x.T], 1)
+        u = mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
+        at = np.bincount(lab, t) / size
+        d = (1 - u @ u.T) * np.abs(at[:, None] - at[None])
+        np.fill_diagonal(d, np.inf)
+        return d
+
+    def joined(m: int, links: list[tuple[int, int]]) -> np.ndarray:
+        root = list(range(m))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in links:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        return np.unique([find(i) for i in range(m)], return_inverse=True)[1]
+
+    while (m := label.max() + 1) > k:
+        d = table(label)
+        up = joined(m, list(enumerate(d.argmin(1).tolist())))
+        if up.max() + 1 < k:
+            a, b = np.unravel_index(int(d.argmin()), d.shape)
+            up = joined(m, [(int(a), int(b))])
+        label = up[label]
+    first = np.full(label.max() + 1, n)
+    np.minimum.at(first, label, np.arange(n))
+    return np.argsort(np.argsort(first))[label]
+
+
 def density_labels(d: np.ndarray, eps: float, least: int) -> np.ndarray:
     """DBSCAN labels of a small distance table; -1 is noise."""
     near = d <= eps
@@ -158,10 +322,11 @@ def sigmoid_fit(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float,
     return tuple(map(float, p))
 
 
-def sinkhorn(cost: np.ndarray, reg: float = 0.05, rounds: int = 200) -> np.ndarray:
-    """Approximate transport plan of uniform margins."""
+def sinkhorn(cost: np.ndarray, reg: float = 0.05, rounds: int = 200, a: np.ndarray | None = None, b: np.ndarray | None = None) -> np.ndarray:
+    """Approximate transport plan, of uniform margins if none are given."""
     k = np.exp(-cost / max(reg * cost.max(), 1e-12))
-    a, b = np.full(len(cost), 1 / len(cost)), np.full(cost.shape[1], 1 / cost.shape[1])
+    a = np.full(len(cost), 1 / len(cost)) if a is None else a
+    b = np.full(cost.shape[1], 1 / cost.shape[1]) if b is None else b
     u = np.ones_like(a)
     for _ in range(rounds):
         v = b / np.maximum(k.T @ u, 1e-300)
@@ -169,23 +334,54 @@ def sinkhorn(cost: np.ndarray, reg: float = 0.05, rounds: int = 200) -> np.ndarr
     return u[:, None] * k * v[None]
 
 
-def gromov_wasserstein(c: np.ndarray, d: np.ndarray, rounds: int = 20, reg: float = 0.05) -> float:
-    """Approximate Gromov-Wasserstein discrepancy of two distance tables, uniform margins, entropic steps."""
-    plan = np.full((len(c), len(d)), 1 / (len(c) * len(d)))
-    fixed = (c**2).mean(1)[:, None] + (d**2).mean(1)[None]
+def gromov_wasserstein(c: np.ndarray, d: np.ndarray, rounds: int = 20, reg: float = 0.05, a: np.ndarray | None = None, b: np.ndarray | None = None) -> float:
+    """Approximate Gromov-Wasserstein discrepancy of two distance tables by entropic steps, root taken; uniform margins if none are given."""
+    a = np.full(len(c), 1 / len(c)) if a is None else a / a.sum()
+    b = np.full(len(d), 1 / len(d)) if b is None else b / b.sum()
+    plan = a[:, None] * b[None]
+    fixed = ((c**2) @ a)[:, None] + ((d**2) @ b)[None]
     for _ in range(rounds):
-        plan = sinkhorn(fixed - 2 * c @ plan @ d + 1e-9, reg)
+        plan = sinkhorn(fixed - 2 * c @ plan @ d + 1e-9, reg, a=a, b=b)
     return float(max(0.0, ((fixed - 2 * c @ plan @ d) * plan).sum()) ** 0.5)
 
 
-def random_intercept(y: np.ndarray, group: np.ndarray, rounds: int = 200) -> tuple[float, float, float]:
-    """(mean, between variance, within variance) of a one-way random intercept model by expectation-maximisation."""
-    names, at = np.unique(group, return_inverse=True)
-    n = np.bincount(at)
-    mu, tau, sigma = y.mean(), y.var() / 2 + 1e-9, y.var() / 2 + 1e-9
-    for _ in range(rounds):
-        post = 1 / (n / sigma + 1 / tau)
-        b = post * np.bincount(at, y - mu) / sigma
-        mu = (y - b[at]).mean()
-        tau, sigma = (b * b + post).mean(), (((y - mu - b[at]) ** 2) + post[at]).mean()
-    return float(mu), float(tau), float(sigma)
+def chi2_tail(x: float, df: int) -> float:
+    """Probability that a chi-squared variable exceeds x, from the closed forms for whole degrees of freedom."""
+    from math import erfc, exp, gamma, sqrt
+
+    if x <= 0:
+        return 1.0
+    half = x / 2
+    if df % 2 == 0:
+        return exp(-half) * sum(half**k / gamma(k + 1) for k in range(df // 2))
+    return erfc(sqrt(half)) + exp(-half) * sum(half ** (k - 0.5) / gamma(k + 0.5) for k in range(1, (df + 1) // 2))
+
+
+def random_intercept(stats: np.ndarray, groups: np.ndarray) -> tuple[float, np.ndarray, float, float]:
+    """(log likelihood, group means, between variance, within variance) of a random intercept model by maximum likelihood.
+
+    stats has rows (n, units, sum of means, sum of squared means, sum of squares within): units of n observations each, of
+    the group of that row. With the ratio of the variances fixed the rest is in closed form; the ratio is found by golden
+    section. Rows of one group and n can be added up beforehand, so their number does not grow with the units.
+    """
+    n, units, m, mm, within = stats.T
+    names = np.unique(groups)
+    total = float((n * units).sum())
+
+    def fit(ratio: float) -> tuple:
+        w = n / (1 + n * ratio)
+        beta = np.array([(w * m)[groups == g].sum() / (w * units)[groups == g].sum() for g in names])
+        b = beta[np.searchsorted(names, groups)]
+        sigma = (within + w * (mm - 2 * b * m + units * b * b)).sum() / total
+        return -0.5 * (total * (np.log(2 * np.pi * sigma) + 1) + (units * np.log1p(n * ratio)).sum()), beta, sigma
+
+    best = max((fit(r)[0], r) for r in (0.0, *np.logspace(-6, 4, 101)))[1]
+    if best:
+        lo, hi = np.log(best) - 0.25, np.log(best) + 0.25
+        gold = (5**0.5 - 1) / 2
+        for _ in range(80):
+            p, q = hi - gold * (hi - lo), lo + gold * (hi - lo)
+            lo, hi = (lo, q) if fit(np.exp(p))[0] >= fit(np.exp(q))[0] else (p, hi)
+        best = float(np.exp((lo + hi) / 2))
+    ll, beta, sigma = fit(best)
+    return float(ll), beta, float(best * sigma), float(sigma)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators import joins as J
 from loomspan.operators import sequences as S
 from loomspan.functions import vectors as V
 from loomspan.plans.registry import query
@@ -102,10 +103,22 @@ def sample_random_pairs(spark, d):
 
 @query(f"WITH {VEC}, k AS (SELECT b.pos, p.proto, exp(list_cosine_similarity(b.v, p.c) / 0.5e0) AS w FROM b, p) SELECT pos, proto, round(w / sum(w) OVER (PARTITION BY pos), 6) AS share FROM k")
 def dist_projection(spark, d):
-    """Kernel weights of each block on all prototypes, normalised; the codebook is broadcast."""
-    both = blocks(spark, d).select("pos", "v").crossJoin(F.broadcast(prototypes(spark, d)))
-    w = both.select("pos", "proto", F.exp(V.cosine("v", "c") / 0.5).alias("w"))
-    return w.select("pos", "proto", rnd(F.col("w") / F.sum("w").over(W.partitionBy("pos"))).alias("share"))
+    """Kernel weights of each block on all prototypes, normalised in place: the codebook is one row beside each block, nothing is shuffled."""
+    both = blocks(spark, d).select("pos", "v").crossJoin(J.codebook(prototypes(spark, d)))
+    w = both.select("pos", F.transform("book", lambda p: F.struct(p["proto"].alias("proto"), F.exp(V.cosine("v", p["c"]) / 0.5).alias("w"))).alias("w"))
+    total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x["w"])
+    return w.select("pos", total.alias("total"), F.explode("w").alias("w")).select("pos", "w.proto", rnd(F.col("w.w") / F.col("total")).alias("share"))
+
+
+@query(f"WITH {VEC}, k AS (SELECT b.pos, p.proto, abs(list_cosine_similarity(b.v, p.c)) AS w FROM b, p), n AS (SELECT pos, proto, w / sqrt(sum(w * w) OVER (PARTITION BY pos)) AS u FROM k), m AS (SELECT proto, sqrt(sum(u * u)) AS l FROM n GROUP BY proto) SELECT n.pos, n.proto, round(u / l, 6) AS x FROM n JOIN m ON m.proto = n.proto")
+def dist_projection_conormal(spark, d):
+    """Projections made of unit length over the prototypes of a block, then over the blocks of a prototype."""
+    both = blocks(spark, d).select("pos", "v").crossJoin(J.codebook(prototypes(spark, d)))
+    w = both.select("pos", F.transform("book", lambda p: F.struct(p["proto"].alias("proto"), F.abs(V.cosine("v", p["c"])).alias("w"))).alias("w"))
+    size = F.sqrt(F.aggregate("w", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+    u = w.select("pos", size.alias("size"), F.explode("w").alias("w")).select("pos", "w.proto", (F.col("w.w") / F.col("size")).alias("u"))
+    m = u.groupBy("proto").agg(F.sqrt(F.sum(F.col("u") * F.col("u"))).alias("l"))
+    return u.join(F.broadcast(m), "proto").select("pos", "proto", rnd(F.col("u") / F.col("l")).alias("x"))
 
 
 @query()
@@ -143,12 +156,12 @@ def baseline_majority_lockstep(spark, d):
 @query()
 def baseline_medoid(spark, d):
     """The member of least total warping distance in each group."""
-    from loomspan.operators.alignment import pairwise
-    from loomspan.plans.kernels import COSTS, couples
+    from loomspan.operators.alignment import all_pairs
+    from loomspan.plans.kernels import COSTS, cohort
 
     seg = table(spark, d, "customer").select(F.col("c_custkey").alias("a"), F.col("c_mktsegment").alias("g"))
-    both = couples(spark, d).join(seg, "a").join(seg.toDF("b", "h"), "b").where("g = h")
-    dist = pairwise(both, COSTS, "dtw")
+    members = cohort(spark, d).join(seg.withColumnRenamed("a", "id"), "id")
+    dist = all_pairs(members.select("g", "id", "q"), COSTS, "dtw")
     ends = dist.select("a", "d").unionByName(dist.select(F.col("b").alias("a"), "d")).groupBy("a").agg(F.sum("d").alias("total")).join(seg, "a")
     return ends.groupBy("g").agg(F.min(F.struct(F.round("total", 6).alias("total"), "a")).alias("b")).select("g", F.col("b.a").alias("medoid"), "b.total")
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.operators import alignment as A
 from loomspan.operators import segmentation as G
-from loomspan.operators.joins import pairs, track
-from loomspan.operators.sequences import runs
-from loomspan.plans.registry import query
+from loomspan.operators.joins import track
+from loomspan.operators.sequences import by, parted, running_totals, runs, transitions
+from loomspan.plans.registry import QUERIES, query
 from loomspan.plans.vector import kk
 from loomspan.sources.tables import blocks, sequences, table
 
@@ -27,34 +26,36 @@ def cohort(spark, d):
     return g.select("id", F.transform(F.sequence(F.lit(0), F.lit(places)), lambda i: F.get("q", at(i)) + 1).alias("q"))
 
 
-def couples(spark, d):
-    """All pairs of recordings, spread over the tasks."""
-    return pairs(cohort(spark, d), "id").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("q_a").alias("x"), F.col("q_b").alias("y")).repartition("a", "b")
-
-
 def neighbours(spark, d):
-    """Each recording with the next one by id: the window sees one row for each recording."""
-    w = W.orderBy("id")
-    c = cohort(spark, d)
-    ids = c.select("id").withColumn("b", F.lead("id").over(w)).where("b IS NOT NULL")
-    return ids.join(c, "id").select(F.col("id").alias("a"), "b", F.col("q").alias("x")).join(c.select(F.col("id").alias("b"), F.col("q").alias("y")), "b")
+    """Each recording with the next one by id: numbered by running totals, joined by number."""
+    c = cohort(spark, d).withColumn("one", F.lit(1).cast("long"))
+    ids = c.select("id", "one")
+    k = running_totals(ids, parted(ids, "id"), ["id"], ["one"]).select("id", F.col("before_one").alias("k"))
+    both = c.select("id", "q").join(k, "id")
+    return both.select(F.col("id").alias("a"), F.col("q").alias("x"), (F.col("k") + 1).alias("k")).join(both.select(F.col("id").alias("b"), F.col("q").alias("y"), "k"), "k").drop("k")
 
 
 @query()
 def dist_rtwe_pairwise(spark, d):
-    return A.pairwise(couples(spark, d), COSTS)
+    return A.all_pairs(cohort(spark, d), COSTS)
 
 
 @query()
 def dist_rtwe_banded(spark, d):
     """dist.bounding: a Sakoe-Chiba band."""
-    return A.pairwise(couples(spark, d), COSTS, kind="sakoe", share=0.2)
+    return A.all_pairs(cohort(spark, d), COSTS, kind="sakoe", share=0.2)
+
+
+@query()
+def dist_rtwe_parallelogram(spark, d):
+    """dist.bounding: an Itakura parallelogram; the cohort is of one length."""
+    return A.all_pairs(cohort(spark, d), COSTS, kind="itakura", share=0.3)
 
 
 @query()
 def dist_eshape_dtw(spark, d):
     """Every window of 8 symbols counts, whatever its start."""
-    return A.pairwise(couples(spark, d), COSTS, "eshape", width=8, step=1)
+    return A.all_pairs(cohort(spark, d), COSTS, "eshape", width=8, step=1)
 
 
 @query()
@@ -81,7 +82,7 @@ def dist_dba_barycenter(spark, d):
 
 @query()
 def cpd_kernel_pelt(spark, d):
-    """One recording is one group; cost grows with the square of its length."""
+    """One recording is one group; with the linear kernel a row of costs comes from prefix sums."""
 
     def run(pdf):
         x = pdf.sort_values("pos")["value"].to_numpy()[:, None] / 25.0
@@ -91,6 +92,45 @@ def cpd_kernel_pelt(spark, d):
     return sequences(spark, d).select("id", "pos", "value").groupBy("id").applyInPandas(run, "id long, seg long, s long, e long")
 
 
+#: (kernel, jump, mode, value): how a recording is cut. Modes: a constant, one times log n, one of the recording (by its
+#: number), one of its modality (by label of the first event), twice the global slope of the risk, a number of changes.
+EXPERIMENTS = [(k, j, mode, v) for k, j in (("linear", 1), ("cosine", 1), ("rbf", 1), ("rbf", 5)) for mode, v in (("constant", 1.0), ("log", 0.5), ("personalized", 0.25), ("modality", 0.5), ("slope", -9.746668895818161e-05), ("calibration", 4.0))]
+
+
+def features(pdf) -> np.ndarray:
+    """A recording's values and symbols as vectors, in order."""
+    pdf = pdf.sort_values("pos")
+    return np.column_stack([pdf["value"].to_numpy() / 25.0, np.eye(5)[pdf["label"].to_numpy()]])
+
+
+def cut(x: np.ndarray, first: int, number: int, kernel: str, jump: int, mode: str, value: float) -> tuple[list[int], float, float]:
+    """(changes, cost of fit, total cost) of one experiment."""
+    if mode == "calibration":
+        cuts, total = G.fixed_change_points(x, int(value), kernel, 2, jump)
+        return cuts, total, total
+    penalty = {"constant": value, "log": value * np.log(max(len(x), 2)), "personalized": value * (1 + number % 4), "modality": value * (1 + first), "slope": -2 * value * len(x)}[mode]
+    cuts, total = G.change_points(x, penalty, kernel, 2, jump)
+    return cuts, total - penalty * (len(cuts) - 2), total
+
+
+@query()
+def cpd_kernel_grid(spark, d):
+    """cpd.kernel_pelt and cpd.deploy: each recording under each experiment, kernels, jumps and penalty modes.
+
+    The recordings are dealt with the experiments, so a task holds one recording and one experiment.
+    """
+
+    def run(pdf):
+        r = pdf.iloc[0]
+        x, first = features(pdf), int(pdf.sort_values("pos")["label"].iloc[0])
+        cuts, fit, total = cut(x, first, int(r["id"]), r["kernel"], int(r["jump"]), r["mode"], float(r["v"]))
+        return pd.DataFrame({"id": [r["id"]], "kernel": [r["kernel"]], "jump": [r["jump"]], "mode": [r["mode"]], "cuts": [cuts], "fit": [fit], "total": [total]})
+
+    grid = spark.createDataFrame(EXPERIMENTS, "kernel string, jump int, mode string, v double")
+    each = sequences(spark, d).select("id", "pos", "value", "label").crossJoin(F.broadcast(grid))
+    return each.groupBy("id", "kernel", "jump", "mode").applyInPandas(run, "id long, kernel string, jump int, mode string, cuts array<long>, fit double, total double")
+
+
 @query()
 def cpd_deploy_decomposition(spark, d):
     """cpd.deploy and cpd.cost_decomposition: each recording under a table of penalties."""
@@ -106,6 +146,17 @@ def cpd_deploy_decomposition(spark, d):
     return sequences(spark, d).select("id", "pos", "value").crossJoin(F.broadcast(grid)).groupBy("id", "penalty").applyInPandas(run, "id long, penalty double, n_cpts long, fit double, total double")
 
 
+@query()
+def clu_twfinch(spark, d):
+    """Eight segments of each recording's blocks by temporally weighed nearest neighbours; a recording is one group."""
+
+    def run(pdf):
+        pdf = pdf.sort_values("pos")
+        return pd.DataFrame({"id": pdf["id"], "pos": pdf["pos"], "cluster": G.temporal_neighbours(np.stack(pdf["v"]), 8)})
+
+    return blocks(spark, d).select("id", "pos", "v").groupBy("id").applyInPandas(run, "id long, pos long, cluster long")
+
+
 @query()
 def clu_kmeans_personalized(spark, d):
     def run(pdf):
@@ -143,14 +194,36 @@ def eval_matrix_stats(spark, d):
 
 
 @query()
-def graph_tree_merge(spark, d):
-    """States of the transition graph merged by the likeliest transition, until three bags are left."""
-    from loomspan.operators.sequences import transitions
-
-    p = np.zeros((5, 5))
-    for r in transitions(sequences(spark, d)).collect():  # at most K x K rows
+def clu_inconsistency(spark, d):
+    """stat.correlated metrics: by depth, the threshold at which a tenth of the merges is inconsistent, and the clusters of that cut."""
+    tree = G.merges(small(spark, d))
+    rows = []
+    for depth in (2, 3, 4, 5, 6, 7, 8, 10):
+        t = float(np.percentile(G.inconsistency(tree, depth), 90))
+        rows.append((depth, t, int(G.inconsistent_labels(tree, t, depth).max()) + 1))
+    return spark.createDataFrame(rows, "depth int, threshold double, clusters int")
+
+
+def chances(spark, d) -> np.ndarray:
+    """Probabilities of transitions between states, on the driver: K x K for the states there are."""
+    rows = transitions(sequences(spark, d)).collect()
+    k = 1 + max(max(r["i"], r["j"]) for r in rows)
+    p = np.zeros((k, k))
+    for r in rows:
         p[r["i"], r["j"]] = r["p"]
-    return spark.createDataFrame([(i, int(g)) for i, g in enumerate(G.linkage_labels(1 - (p + p.T) / 2, 3, "average"))], "state int, bag int")
+    return p
+
+
+@query()
+def graph_tree_merge(spark, d):
+    """The tree of states merged by the likeliest transition or the least cost (less the log of it), and the bags of its cut at three."""
+    p = chances(spark, d)
+    both, rows = (p + p.T) / 2, []
+    for how, x in (("max_p", 1 - both), ("min_cost", -np.log(np.maximum(both, 1e-12)))):
+        tree, bags = G.merges(x, "average"), G.linkage_labels(x, 3, "average")
+        rows += [(how, "merge", len(p) + k, [int(a), int(b)], float(h)) for k, (a, b, h, _) in enumerate(tree)]
+        rows += [(how, "bag", int(g), np.flatnonzero(bags == g).tolist(), None) for g in range(bags.max() + 1)]
+    return spark.createDataFrame(rows, "how string, kind string, node int, states array<int>, height double")
 
 
 @query()
@@ -170,18 +243,19 @@ def dist_ot_projection(spark, d):
 
 @query()
 def dist_gromov_wasserstein(spark, d):
-    """Approximate discrepancy of the change times of each recording from the next one's."""
+    """Approximate discrepancy of the time densities of all pairs of symbols, on a grid of 64 places each."""
+    k = QUERIES["dens_kde"](spark, d).where("size = 64").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x", "density"))).alias("g"))
+    rows = k.toDF("i", "a").crossJoin(F.broadcast(k.toDF("j", "b"))).where("i < j")
 
     def run(frames):
         for f in frames:
-            rows = []
-            for a, b, x, y in zip(f["a"], f["b"], f["x"], f["y"], strict=True):
-                s, t = (np.flatnonzero(np.diff(np.asarray(q))).astype(float) for q in (x, y))
-                if len(s) and len(t):
-                    rows.append((a, b, G.gromov_wasserstein(np.abs(s[:, None] - s[None]), np.abs(t[:, None] - t[None]), 5)))
-            yield pd.DataFrame(rows, columns=["a", "b", "d"])
+            out = []
+            for i, j, a, b in zip(f["i"], f["j"], f["a"], f["b"], strict=True):
+                (s, p), (t, q) = ((np.array([r[c] for r in g]) for c in ("x", "density")) for g in (a, b))
+                out.append((i, j, G.gromov_wasserstein(np.abs(s[:, None] - s[None]), np.abs(t[:, None] - t[None]), a=p + 1e-9, b=q + 1e-9)))
+            yield pd.DataFrame(out, columns=["i", "j", "d"])
 
-    return neighbours(spark, d).repartition("a").mapInPandas(run, "a long, b long, d double")
+    return rows.mapInPandas(run, "i long, j long, d double")
 
 
 @query()
@@ -193,32 +267,43 @@ def join_greedy_tracking(spark, d):
 
 @query()
 def join_hungarian(spark, d):
-    """Labels matched to the labels before them by most common co-occurrence."""
-    c = sequences(spark, d).select(F.col("label").alias("g"), F.lag("label").over(W.partitionBy("id").orderBy("pos")).alias("p")).where("p IS NOT NULL").groupBy("g", "p").agg(F.count("*").alias("n"))
-    gain = np.zeros((5, 5))
-    for r in c.collect():  # K x K rows
+    """Labels matched to the labels before them by most common co-occurrence: K x K counts for the labels there are."""
+    c = sequences(spark, d).select(F.col("label").alias("g"), F.lag("label").over(by()).alias("p")).where("p IS NOT NULL").groupBy("g", "p").agg(F.count("*").alias("n")).collect()
+    gain = np.zeros((1 + max(max(r["g"], r["p"]) for r in c),) * 2)
+    for r in c:
         gain[r["g"], r["p"]] = r["n"]
     return spark.createDataFrame(G.matching(gain), "g long, p long")
 
 
 @query()
 def stat_entropy(spark, d):
+    """Sample entropy of four places and a fifth of the deviation; null where nothing matches."""
+
     def run(pdf):
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "entropy": [G.sample_entropy(pdf.sort_values("pos")["value"].to_numpy(), 2)]})
+        h = G.sample_entropy(pdf.sort_values("pos")["value"].to_numpy(), 4)
+        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "entropy": [None if np.isnan(h) else h]})
 
     return sequences(spark, d).select("id", "pos", "value").groupBy("id").applyInPandas(run, "id long, entropy double")
 
 
 @query()
 def stat_mixed_model(spark, d):
-    """Random intercepts of log run lengths by recording; ICC is the between share. Groups are labels."""
-
-    def run(pdf):
-        mu, tau, sigma = G.random_intercept(np.log(pdf["len"].to_numpy(float)), pdf["id"].to_numpy())
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "mean": [mu], "icc": [tau / (tau + sigma)]})
+    """Log run lengths by group with a random intercept for each recording: group means, ICC, and a likelihood ratio test of the group.
 
-    r = runs(sequences(spark, d)).groupBy("label", "id").agg(F.avg(F.col("e") - F.col("s")).alias("len"))
-    return r.groupBy("label").applyInPandas(run, "label long, mean double, icc double")
+    What the likelihood needs is added up by group and number of runs before it reaches the driver, so its size does not
+    grow with the recordings.
+    """
+    seg = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("g"))
+    y = runs(sequences(spark, d)).join(seg, "id").select("g", "id", F.log(F.col("e") - F.col("s")).alias("y"))
+    unit = y.groupBy("g", "id").agg(F.count("*").alias("n"), F.avg("y").alias("m"), (F.var_pop("y") * F.count("*")).alias("w"))
+    rows = unit.groupBy("g", "n").agg(F.count("*").alias("k"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum("w").alias("w")).orderBy("g", "n").collect()
+    stats, groups = np.array([[r["n"], r["k"], r["m"], r["mm"], r["w"]] for r in rows], float), np.array([r["g"] for r in rows])
+    full, beta, tau, sigma = G.random_intercept(stats, groups)
+    null = G.random_intercept(stats, np.zeros(len(stats)))[0]
+    names = sorted(set(groups))
+    ratio = 2 * (full - null)
+    out = [(g, float(b), tau / (tau + sigma), ratio, G.chi2_tail(ratio, len(names) - 1)) for g, b in zip(names, beta, strict=True)]
+    return spark.createDataFrame(out, "g string, mean double, icc double, lr double, p double")
 
 
 @query()

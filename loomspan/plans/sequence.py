@@ -23,7 +23,7 @@ def win_dense_group_id(spark, d):
 def win_factorize(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type")
     codes = e.groupBy("event_type").agg(F.min("event_id").alias("first")).withColumn("code", (F.row_number().over(W.orderBy("first")) - 1).cast("long"))
-    return e.join(F.broadcast(codes), "event_type").select("event_id", "code")
+    return e.join(codes, "event_type").select("event_id", "code")
 
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS place FROM orders")

@@ -94,27 +94,134 @@ def test_shape_query_sees_every_window(spark, monkeypatch):
     assert len(got) == 3 and min(got.values()) > 0
 
 
-def test_pairwise_and_barycenter(spark):
-    rows = [(1, 2, [1, 2, 3], [1, 3]), (1, 3, [1, 2], [5, 5]), (2, 3, [], [1]), (4, 5, [], [])]
-    out = {(r["a"], r["b"]): r["d"] for r in A.pairwise(spark.createDataFrame(rows, "a long, b long, x array<int>, y array<int>"), COSTS).collect()}
-    assert np.isclose(out[1, 2], slow_edit([1, 2, 3], [1, 3])[-1, -1]) and out[2, 3] == float("inf") and out[4, 5] == 0
+@pytest.mark.parametrize("cells", [1, 500, A.CELLS])  # a pair and a row at once, some, all
+def test_distances_in_bounded_memory(monkeypatch, cells):
+    monkeypatch.setattr(A, "CELLS", cells)
+    rng = np.random.default_rng(43)
+    x = [rng.integers(1, 6, n).tolist() for n in (3, 9, 17, 9, 0, 0)]
+    y = [rng.integers(1, 6, n).tolist() for n in (5, 12, 17, 12, 4, 0)]
+    got = A.distances(x, y, COSTS, "rtwe")
+    assert np.allclose(got[:4], [slow_edit(np.array(a), np.array(b))[-1, -1] for a, b in zip(x[:4], y)]) and got[4] == np.inf and got[5] == 0
+    assert np.allclose(A.distances(x[:4], y[:4], COSTS, "dtw"), [A.warp(np.array(a), np.array(b), COSTS)[-1, -1] for a, b in zip(x[:4], y)])
+    for step in (1, 3):
+        for a, b, d in zip(x[:4], y, A.distances(x[:4], y[:4], COSTS, "eshape", width=4, step=step)):
+            cut = lambda s: np.lib.stride_tricks.sliding_window_view(s, min(4, len(s)))[::step]  # noqa: B023, E731
+            inner = np.array([[slow_edit(p, q)[-1, -1] for q in cut(b)] for p in cut(a)])
+            assert np.isclose(d, A.warps(inner[None])[0, -1, -1])
+    for kind, share, n in (("sakoe", 0.2, 12), ("itakura", 0.4, 12)):
+        a, b = rng.integers(1, 6, n), rng.integers(1, 6, n)
+        assert np.isclose(A.distances([a.tolist()], [b.tolist()], COSTS, "rtwe", kind=kind, share=share)[0], A.time_warp_edit(a, b, COSTS, kind=kind, share=share)[-1, -1])
+
+
+def test_long_sequences_need_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(47)
+    x, y = rng.integers(1, 6, 5000).tolist(), rng.integers(1, 6, 5000).tolist()
+    tracemalloc.start()
+    A.distances([x], [y], COSTS, "rtwe")
+    A.distances([x], [y], COSTS, "dtw")
+    G.change_points(np.array(x, float), 8.0)
+    G.change_points(np.array(x[:1500], float), 2.0, "rbf")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+
+
+def test_all_pairs_meet_once(spark):
+    rng = np.random.default_rng(53)
+    rows = [(i, ["u", "v"][i % 3 == 0], rng.integers(1, 6, 4 + i % 3).tolist()) for i in range(23)]
+    df = spark.createDataFrame(rows, "id long, g string, q array<int>")
+    got = {(r["a"], r["b"]): r["d"] for r in A.all_pairs(df.drop("g"), COSTS, part=5).collect()}
+    assert sorted(got) == list(itertools.combinations(range(23), 2))
+    assert all(np.isclose(d, slow_edit(np.array(rows[a][2]), np.array(rows[b][2]))[-1, -1]) for (a, b), d in got.items())
+    grouped = {(r["g"], r["a"], r["b"]) for r in A.all_pairs(df, COSTS, "dtw", part=5).collect()}
+    assert grouped == {(rows[a][1], a, b) for a, b in got if rows[a][1] == rows[b][1]}
+
+
+def test_barycenter(spark):
     m = spark.createDataFrame([("u", i, [1, 2, 2, 3]) for i in range(5)] + [("v", 9, [4, 4, 5, 5])], "g string, id long, q array<int>")
     got = {(r["g"], r["pos"]): r["label"] for r in A.barycenters(m, COSTS).collect()}
     assert [got["u", i] for i in range(4)] == [1, 2, 2, 3] and [got["v", i] for i in range(4)] == [4, 4, 5, 5]
 
 
-def test_change_points_are_optimal():
+def slow_cost(x, kernel, gamma):
+    if kernel == "cosine":
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    gram = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(-1)) if kernel == "rbf" else x @ x.T
+    return lambda a, b: np.trace(gram[a:b, a:b]) - gram[a:b, a:b].sum() / (b - a)
+
+
+def partitions(n, min_size, jump):
+    for k in range(n):
+        for mid in itertools.combinations(range(jump, n, jump), k):
+            if all(b - a >= min_size for a, b in itertools.pairwise((0, *mid, n))):
+                yield (0, *mid, n)
+
+
+@pytest.mark.parametrize("kernel", ["linear", "cosine", "rbf"])
+@pytest.mark.parametrize(("min_size", "jump"), [(1, 1), (2, 1), (3, 1), (2, 3)])
+def test_change_points_are_optimal(kernel, min_size, jump):
     rng = np.random.default_rng(3)
-    for kernel in ("linear", "cosine", "rbf"):
-        x = np.concatenate([rng.normal(0, 0.1, (4, 2)), rng.normal(0, 0.1, (5, 2)) + [3, -3]]) + 1
-        cuts, cost = G.change_points(x, 0.3, kernel)
-        gram = x @ x.T
-        if kernel != "linear":
-            assert cuts[0] == 0 and cuts[-1] == 9 and 4 in cuts
-            continue
-        c = lambda a, b: np.trace(gram[a:b, a:b]) - gram[a:b, a:b].sum() / (b - a)
-        best = min(sum(c(a, b) for a, b in itertools.pairwise((0, *mid, 9))) + 0.3 * len(mid) for k in range(4) for mid in itertools.combinations(range(1, 9), k) if all(b - a >= 2 for a, b in itertools.pairwise((0, *mid, 9))))
-        assert np.isclose(cost, best) and cuts == [0, 4, 9]
+    for n in (2 * min_size, 9, 11):
+        x = rng.normal(size=(n, 2)) + np.repeat(rng.normal(0, 2, (3, 2)), (n // 3, n // 3, n - 2 * (n // 3)), axis=0) + 1
+        c, every = slow_cost(x, kernel, 0.7), list(partitions(n, min_size, jump))
+        for penalty in (0.05, 0.4, 3.0):
+            total = lambda cuts: sum(c(a, b) for a, b in itertools.pairwise(cuts)) + penalty * (len(cuts) - 2)  # noqa: B023, E731
+            cuts, cost = G.change_points(x, penalty, kernel, min_size, jump, 0.7)
+            assert tuple(cuts) in every and np.isclose(cost, total(cuts)) and np.isclose(cost, min(map(total, every)))
+        for k in (0, 1, 2):
+            fit = lambda cuts: sum(c(a, b) for a, b in itertools.pairwise(cuts))
+            cuts, cost = G.fixed_change_points(x, k, kernel, min_size, jump, 0.7)
+            most = min(k, max(len(e) for e in every) - 2)
+            assert len(cuts) == most + 2 and np.isclose(cost, fit(cuts)) and np.isclose(cost, min(fit(e) for e in every if len(e) == most + 2))
+
+
+def test_trees_and_inconsistency():
+    x = np.array([0.0, 0.1, 0.3, 5.0, 5.2, 20.0])
+    d = np.abs(x[:, None] - x[None])
+    tree = G.merges(d, "complete")
+    assert [round(h, 6) for *_, h, _ in tree] == [0.1, 0.2, 0.3, 5.2, 20.0] and tree[-1][3] == 6
+    assert G.linkage_labels(d, 3).tolist() == [0, 0, 0, 1, 1, 2]
+    off = G.inconsistency(tree, 2)
+    # the top merge: heights 20, 5.2 and no more two levels down
+    assert off[0] == 0 and np.isclose(off[-1], (20 - 12.6) / np.std([20, 5.2], ddof=1))
+    assert len(set(G.inconsistent_labels(tree, 10.0))) == 1 and len(set(G.inconsistent_labels(tree, -1.0))) == 6
+
+
+def test_temporal_neighbours_find_stretches():
+    rng = np.random.default_rng(59)
+    centres = np.eye(4)[[0, 1, 0, 2]]
+    x = np.repeat(centres, 20, axis=0) + rng.normal(0, 0.02, (80, 4))
+    assert G.temporal_neighbours(x, 4).tolist() == np.repeat(range(4), 20).tolist()
+    assert len(set(G.temporal_neighbours(x, 7))) == 7 and G.temporal_neighbours(x[:3], 8).tolist() == [0, 1, 2]
+
+
+def test_random_intercept_is_the_maximum():
+    rng = np.random.default_rng(61)
+    n = rng.integers(1, 6, 40)
+    g = np.arange(40) % 2
+    y = [rng.normal(1 + g[i] + b, 0.5, n[i]) for i, b in enumerate(rng.normal(0, 0.8, 40))]
+    stats = np.array([[len(v), 1, v.mean(), v.mean() ** 2, ((v - v.mean()) ** 2).sum()] for v in y])
+
+    def dense(beta, tau, sigma):
+        out = 0.0
+        for i, v in enumerate(y):
+            cov = sigma * np.eye(len(v)) + tau
+            r = v - beta[g[i]]
+            out -= 0.5 * (len(v) * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + r @ np.linalg.solve(cov, r))
+        return out
+
+    ll, beta, tau, sigma = G.random_intercept(stats, g)
+    assert np.isclose(ll, dense(beta, tau, sigma))
+    for db in (-0.05, 0, 0.05):
+        for a, b in itertools.product((0.9, 1, 1.1), repeat=2):
+            assert dense(beta + db, tau * a, sigma * b) <= ll + 1e-9
+    # rows of equal n and group added up give the same
+    keys = sorted({(int(a), int(b)) for a, b in zip(n, g)})
+    added = np.array([[a, *(stats[(n == a) & (g == b)][:, 1:].sum(0))] for a, b in keys])
+    assert np.isclose(G.random_intercept(added, np.array([b for _, b in keys]))[0], ll)
+    assert np.isclose(G.chi2_tail(3.841458820694124, 1), 0.05) and np.isclose(G.chi2_tail(9.487729036781154, 4), 0.05) and np.isclose(G.chi2_tail(7.814727903251179, 3), 0.05)
 
 
 def test_small_kernels():
@@ -131,8 +238,6 @@ def test_small_kernels():
     assert np.allclose(G.sigmoid_fit(t, 2 / (1 + np.exp(1.5 * (t - 4)))), (2, 1.5, 4), atol=1e-3)
     assert np.isnan(G.sample_entropy(np.arange(3.0))) and G.sample_entropy(np.tile([0.0, 1.0], 50), 2) < 0.1
     assert np.allclose(G.sinkhorn(d).sum(0), 0.1) and G.gromov_wasserstein(d, d) < G.gromov_wasserstein(d, d * 3)
-    mu, tau, sigma = G.random_intercept(np.repeat([0.0, 10.0, 20.0], 30) + rng.normal(0, 1, 90), np.repeat([1, 2, 3], 30))
-    assert 8 < mu < 12 and tau > 20 and 0.5 < sigma < 2
     assert G.matrix_stats(np.eye(3))["rank"] == 3
 
 
