@@ -117,18 +117,15 @@ def cut(x: np.ndarray, first: int, number: int, kernel: str, jump: int, mode: st
 def cpd_kernel_grid(spark, d):
     """cpd.kernel_pelt and cpd.deploy: each recording under each experiment, kernels, jumps and penalty modes.
 
-    The recordings are dealt with the experiments, so a task holds one recording and one experiment.
+    A recording is dealt once; the experiments, a parameter table, go with the function.
     """
 
     def run(pdf):
-        r = pdf.iloc[0]
-        x, first = features(pdf), int(pdf.sort_values("pos")["label"].iloc[0])
-        cuts, fit, total = cut(x, first, int(r["id"]), r["kernel"], int(r["jump"]), r["mode"], float(r["v"]))
-        return pd.DataFrame({"id": [r["id"]], "kernel": [r["kernel"]], "jump": [r["jump"]], "mode": [r["mode"]], "cuts": [cuts], "fit": [fit], "total": [total]})
-
-    grid = spark.createDataFrame(EXPERIMENTS, "kernel string, jump int, mode string, v double")
-    each = sequences(spark, d).select("id", "pos", "value", "label").crossJoin(F.broadcast(grid))
-    return each.groupBy("id", "kernel", "jump", "mode").applyInPandas(run, "id long, kernel string, jump int, mode string, cuts array<long>, fit double, total double")
+        x, first, number = features(pdf), int(pdf.sort_values("pos")["label"].iloc[0]), int(pdf["id"].iloc[0])
+        rows = [(number, kernel, jump, mode, *cut(x, first, number, kernel, jump, mode, v)) for kernel, jump, mode, v in EXPERIMENTS]
+        return pd.DataFrame(rows, columns=["id", "kernel", "jump", "mode", "cuts", "fit", "total"])
+
+    return sequences(spark, d).select("id", "pos", "value", "label").groupBy("id").applyInPandas(run, "id long, kernel string, jump int, mode string, cuts array<long>, fit double, total double")
 
 
 @query()
