@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe, langid, mixing, pii, simhash
-from loomspan.llm.common import materialize, read
+from loomspan.llm.common import discard, materialize, read
 
 
 def as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -67,8 +67,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents, each but the last written to the shared folder and read again.
+
+    A stage's files go once its successor's are written; what the operators write themselves stays.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
