@@ -185,14 +185,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEAR = "SELECT rid, part, e, dist FROM (SELECT x.rid, x.part, c.e, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM x JOIN {c} c ON c.part = x.part) QUALIFY row_number() OVER (PARTITION BY rid, part ORDER BY dist, e) = 1"
-MEANS = "SELECT c.part, c.e, coalesce(m.v, c.v) AS v FROM {c} c LEFT JOIN (SELECT part, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM (SELECT a.part, a.e, j, sum(x.v[j])::BIGINT AS s, count(*)::BIGINT AS n FROM {a} a JOIN x ON x.rid = a.rid AND x.part = a.part, range(1, 5) r(j) GROUP BY ALL) GROUP BY ALL) m ON m.part = c.part AND m.e = c.e"
+MEANS = "SELECT c.part, c.e, coalesce(m.v, c.v) AS v FROM {c} c LEFT JOIN (SELECT part, e, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM (SELECT a.part, a.e, j, sum(x.v[j])::BIGINT AS s, count(*)::BIGINT AS n FROM {a} a JOIN x ON x.rid = a.rid AND x.part = a.part, unnest(range(1, len(x.v) + 1)) r(j) GROUP BY ALL) GROUP BY ALL) m ON m.part = c.part AND m.e = c.e"
 QUERIES = {"op12_vector_codes": op12_vector_codes}
 ORACLE = {
     "op12_vector_codes": f"""
 WITH r AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda c: floor(256 * c)::BIGINT) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 k AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS rid FROM r),
-x AS (SELECT rid, part, v[part * 4 + 1 : part * 4 + 4] AS v FROM k, range(16) p(part)),
+x AS (SELECT rid, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS v FROM k, range(16) p(part)),
 c0 AS (SELECT part, rid AS e, v FROM x WHERE rid < 64),
 a0 AS ({NEAR.format(c="c0")}), c1 AS ({MEANS.format(c="c0", a="a0")}),
 a1 AS ({NEAR.format(c="c1")}), c2 AS ({MEANS.format(c="c1", a="a1")}),

@@ -63,6 +63,8 @@ def sf(spark, rows, tmp_path_factory):
     x = np.concatenate([x, x[:20] + rng.normal(size=(20, 16)) * 0.1, x[:5] + rng.normal(size=(5, 16)) * 0.3, x[7:8]]).astype(np.float32)
     vectors = [(i, [float(z) for z in r], "x") for i, r in enumerate(x)] + [(len(x), None, "x"), (len(x) + 1, [0.0] * 16, "x"), (len(x) + 2, [float("nan")] * 16, "x")]
     spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label string").write.parquet(f"{folder}/embeddings.parquet")
+    items = [(i, (t or "")[10:150], *["x"] * len(EXTRA)) for i, t, *_ in rows[::9]] + [(7, None, *["x"] * len(EXTRA)), (None, "the und THE", *["x"] * len(EXTRA)), (8, "zzz qqq", *["x"] * len(EXTRA))]
+    spark.createDataFrame(items, "item_id long, text string, " + ", ".join(f"{c} string" for c in EXTRA)).write.parquet(f"{folder}/benchmark.parquet")
     return str(folder)
 
 
@@ -77,7 +79,7 @@ def hexed(x):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
     rel = con.sql(queries.ORACLE[name])
     df = queries.QUERIES[name](spark, sf)
