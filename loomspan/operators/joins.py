@@ -78,25 +78,38 @@ def nearest_centroid(vectors: DataFrame, prototypes: DataFrame, cosine: bool = F
     return best.select("pos", "b.proto", "b.dist")
 
 
-def track(df: DataFrame, reach: float) -> DataFrame:
+class Tracks:
+    """The tracks of one recording while its points go by, in order of frame and k: those of the frame before that are still free, and those of the open frame."""
+
+    def __init__(self, fresh: int = 0, pos: int = -1, at: float = 0.0, free: list | None = None, now: list | None = None):
+        self.fresh, self.pos, self.at, self.free, self.now = fresh, pos, at, free or [], now or []
+
+    def take(self, pos: int, at: float, x: float, y: float, reach: float, stale: float | None) -> int:
+        """The nearest free track within reach (the least number of equals), or a new one. All tracks end when no point came for longer than `stale`, be it in a frame."""
+        if stale is not None and at - self.at > stale:
+            self.free, self.now = [], []
+        if pos != self.pos:
+            self.pos, self.free, self.now = pos, self.now, []
+        self.at = at
+        far, best = min((((u - x) ** 2 + (v - y) ** 2, t) for t, u, v in self.free), default=(float("inf"), -1))
+        if far > reach * reach:
+            best, self.fresh = self.fresh, self.fresh + 1
+        self.free = [f for f in self.free if f[0] != best]
+        self.now.append((best, x, y))
+        return best
+
+
+def track(df: DataFrame, reach: float, stale: float | None = None) -> DataFrame:
     """Points (id, pos, k, x, y) joined to tracks: each point takes the nearest free track of the frame before within reach, or a new one.
 
-    The order of frames matters, so a recording is one group; frames are small.
+    stale: seconds after which tracks end, by a column at. The order of frames matters, so a recording is one group; its
+    points stream through, and only two frames are held. streaming.tracks.tracked does the same for a stream.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        before, fresh, out = {}, 0, []
-        for pos, frame in pdf.sort_values(["pos", "k"]).groupby("pos", sort=True):
-            free, now = dict(before), {}
-            for r in frame.itertuples():
-                best = min(free, key=lambda t: ((free[t][0] - r.x) ** 2 + (free[t][1] - r.y) ** 2, t), default=None)
-                if best is None or (free[best][0] - r.x) ** 2 + (free[best][1] - r.y) ** 2 > reach * reach:
-                    best, fresh = fresh, fresh + 1
-                else:
-                    del free[best]
-                now[best] = (r.x, r.y)
-                out.append((r.id, int(pos), int(r.k), best))
-            before = now
-        return pd.DataFrame(out, columns=["id", "pos", "k", "track"])
+        held, pdf = Tracks(), pdf.sort_values(["pos", "k"])
+        at = pdf["at"] if stale is not None else [0.0] * len(pdf)
+        pdf["track"] = [held.take(p, t, x, y, reach, stale) for p, t, x, y in zip(pdf["pos"], at, pdf["x"], pdf["y"], strict=True)]
+        return pdf[["id", "pos", "k", "track"]]
 
     return df.groupBy("id").applyInPandas(one, "id long, pos long, k long, track long")

@@ -255,13 +255,6 @@ def dist_gromov_wasserstein(spark, d):
     return rows.mapInPandas(run, "i long, j long, d double")
 
 
-@query()
-def join_greedy_tracking(spark, d):
-    s = sequences(spark, d)
-    points = s.select("id", F.expr("pos div 2").alias("pos"), (F.col("pos") % 2).alias("k"), (F.col("value") % 10).alias("x"), F.col("label").cast("double").alias("y"))
-    return track(points, 4.0)
-
-
 @query()
 def join_hungarian(spark, d):
     """Labels matched to the labels before them by most common co-occurrence: K x K counts for the labels there are."""

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def source(spark: SparkSession, path: str, schema=None, files: int = 1) -> DataFrame:
-    """A stream over a folder of Parquet files with event times as TIMESTAMP."""
+def source(spark: SparkSession, path: str, schema=None, files: int | None = 1) -> DataFrame:
+    """A stream over a folder of Parquet files with event times as TIMESTAMP. files: so many in a micro-batch; None: all that are new."""
     schema = schema or spark.read.parquet(path).schema
-    out = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    reader = spark.readStream.schema(schema)
+    out = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
     return out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -63,6 +65,34 @@ def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None
     return df.sparkSession.table(name)
 
 
-def write_once(df: DataFrame, path: str, checkpoint: str) -> None:
-    """A sink that a retried batch does not double: each batch overwrites its own folder."""
-    df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/batch={n}")).start().awaitTermination()
+def write_once(df: DataFrame, path: str, checkpoint: str, fail: Callable[[int], bool] = lambda n: False) -> None:
+    """A sink that a retried batch does not double: each batch overwrites its own folder.
+
+    Runs over all that the source holds, from where the checkpoint ends. fail: whether to fail after batch n was written and
+    before it is committed, which is the worst moment (tests).
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        if fail(n):
+            raise RuntimeError(f"batch {n} fails after it was written")
+
+    df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
+def replayed(arrivals: list[DataFrame], step: Callable[[DataFrame], DataFrame], root: str, fail: Callable[[int], bool] = lambda n: False) -> DataFrame:
+    """What a stream gives for rows that come in these arrivals, in append mode.
+
+    The rows of an arrival are added to the source's folder; then the query starts again from its checkpoint, reads what is
+    new and ends. So state, watermark and sink are taken over from one run to the next as after a crash or a new release. A
+    run that fails is started once more. Rows that no window or timer has given out after the last arrival are still state.
+    """
+    spark = arrivals[0].sparkSession
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{root}/in")
+        run = lambda how: write_once(step(source(spark, f"{root}/in", arrivals[0].schema, None)), f"{root}/out", f"{root}/checkpoint", how)
+        try:
+            run(fail)
+        except StreamingQueryException:
+            run(lambda n: False)
+    return spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out/batch=*")
