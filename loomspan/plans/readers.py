@@ -8,6 +8,7 @@ from loomspan.plans.inventory import folder
 from loomspan.plans.registry import query
 from loomspan.plans.relational import SEQ
 from loomspan.sources import annotations as N
+from loomspan.sources import matrix as M
 from loomspan.sources import tables as T
 from loomspan.sources.tables import blocks, sequences, table
 
@@ -123,21 +124,60 @@ def scan_collect_paths(spark, d):
     return out.groupBy("item").pivot("t", list(KINDS)).agg(F.max("p")).withColumnsRenamed({n: f"{n}_path" for n in KINDS})
 
 
+def recordings(spark, d):
+    """The blocks of the table as a folder of matrices, one for each recording, written in parts of 32 rows."""
+    at = folder(spark, "npy")
+    M.save_matrices(blocks(spark, d).select(F.col("id").cast("string").alias("identifier"), "pos", "v"), at, 32)
+    return at
+
+
+def total(v="v"):
+    return F.round(F.sum(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)), 5).alias("total")
+
+
 @query("SELECT vec_id // 50 AS id, count(*) AS n, round(sum(list_sum(embedding::DOUBLE[])), 5) AS total, max(vec_id % 50)::BIGINT AS last FROM embeddings GROUP BY ALL")
 def scan_npy_matrix(spark, d):
-    """sink.npy and scan.npy_matrix: a matrix file for each recording, written and read back."""
-    at = folder(spark, "npy")
-    T.save_matrices(blocks(spark, d).select(F.col("id").cast("string").alias("identifier"), "pos", "v"), at)
-    m = T.matrices(spark, at)
-    return m.groupBy(F.col("identifier").cast("long").alias("id")).agg(F.count("*").alias("n"), F.round(F.sum(F.aggregate("v", F.lit(0.0), lambda s, x: s + x)), 5).alias("total"), F.max("pos").alias("last"))
+    """sink.npy and scan.npy_matrix: a matrix for each recording, written by the tasks that hold its rows and read back."""
+    m = M.matrices(spark, recordings(spark, d))
+    return m.groupBy(F.col("identifier").cast("long").alias("id")).agg(F.count("*").alias("n"), total(), F.max("pos").alias("last"))
 
 
-@query("SELECT 'now' AS version, n_nationkey, n_name FROM nation UNION ALL SELECT 'before', n_nationkey, upper(n_name) || '!' FROM nation WHERE n_nationkey % 2 = 0")
-def sink_csv_dated(spark, d):
-    """sink.csv and sink.json: a table saved over another, which is kept under a dated name; both read back."""
+@query("SELECT vec_id // 50 AS id, vec_id % 50 AS pos, round(list_sum(embedding[9:24]::DOUBLE[]), 5) AS total FROM embeddings WHERE vec_id % 50 >= 5 AND vec_id % 50 < 41 AND vec_id // 50 <> 3")
+def scan_npy_range(spark, d):
+    """Rows by a filter on the position that the source takes over, columns 8 to 23, partitions of eight rows; a part is opened only if its rows are asked for."""
+    m = M.matrices(spark, recordings(spark, d), columns="8:24", split=8 * 64 * 8).where("pos >= 5 AND pos < 41 AND identifier <> '3'")
+    return m.select(F.col("identifier").cast("long").alias("id"), "pos", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
+
+
+@query("WITH m AS (SELECT c_custkey AS id, c_custkey % 7 AS s, 20 + c_custkey % 25 AS e, c_mktsegment AS g FROM customer WHERE c_acctbal > 0) SELECT m.id, m.g AS label, count(*) AS n, min(vec_id % 50) AS first, round(sum(list_sum(embedding::DOUBLE[])), 5) AS total FROM embeddings JOIN m ON m.id = vec_id // 50 AND vec_id % 50 >= m.s AND vec_id % 50 < m.e GROUP BY m.id, m.g")
+def source_dataset_items(spark, d):
+    """Items of a dataset, as a loader gives them: the inputs of a recording, cropped to its own test bounds while they are read, its label and its id."""
+    at = recordings(spark, d)
+    meta = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), (F.col("c_custkey") % 7).alias("s"), (20 + F.col("c_custkey") % 25).alias("e"))
+    items = M.items(spark, at, meta.withColumn("identifier", F.col("id").cast("string")))
+    return items.select("id", "label", F.size("inputs").cast("long").alias("n"), "first", F.round(F.aggregate("inputs", F.lit(0.0), lambda s, r: s + F.aggregate(r, F.lit(0.0), lambda a, x: a + x)), 5).alias("total"))
+
+
+def saved_twice(spark, d, form):
+    """A table saved over another, which is kept beside it under a dated name; both read back."""
     at = folder(spark, "dated")
     n = table(spark, d, "nation")
-    T.save(n.where("n_nationkey % 2 = 0").select("n_nationkey", F.concat(F.upper("n_name"), F.lit("!")).alias("n_name")), at, form="json", dated="20240101")
-    T.save(n.select("n_nationkey", "n_name"), at, form="json", dated="20240102")
-    read = lambda path, v: spark.read.schema("n_nationkey long, n_name string").json(path).select(F.lit(v).alias("version"), "n_nationkey", "n_name")
+    T.save(n.where("n_nationkey % 2 = 0").select("n_nationkey", F.concat(F.upper("n_name"), F.lit("!")).alias("n_name")), at, form=form, dated="20240101")
+    T.save(n.select("n_nationkey", "n_name"), at, form=form, dated="20240102")
+    read = lambda path, v: getattr(spark.read.schema("n_nationkey long, n_name string").options(header=True), form)(path).select(F.lit(v).alias("version"), "n_nationkey", "n_name")
     return read(at, "now").unionByName(read(f"{at}_20240102", "before"))
+
+
+SAVED = "SELECT 'now' AS version, n_nationkey, n_name FROM nation UNION ALL SELECT 'before', n_nationkey, upper(n_name) || '!' FROM nation WHERE n_nationkey % 2 = 0"
+
+
+@query(SAVED)
+def sink_csv_dated(spark, d):
+    """sink.csv: delimited files with a header."""
+    return saved_twice(spark, d, "csv")
+
+
+@query(SAVED)
+def sink_json_dated(spark, d):
+    """sink.json: one object a line."""
+    return saved_twice(spark, d, "json")

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,22 +49,6 @@ def eye_tracker(spark: SparkSession, path: str, columns: list[str]) -> dict[str,
     return {s: typed.where(F.col("sensor").eqNullSafe(s)).drop("sensor") for s in names}
 
 
-def matrices(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
-    """(identifier, pos, v): rows [start, end) of every .npy matrix under a path; pos counts from the file's first row."""
-    from io import BytesIO
-
-    def load(frames):
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                x = np.load(BytesIO(content))[start:end]
-                for i in range(0, len(x), 4096):
-                    part = x[i : i + 4096]
-                    yield pd.DataFrame({"identifier": name.rsplit("/", 1)[-1].removesuffix(".npy"), "pos": np.arange(start + i, start + i + len(part)), "v": list(part.astype(np.float64))})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(load, "identifier string, pos long, v array<double>")
-
-
 def artifact_tree(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(task_name, participant_id, modality, file_name, file_path) of root/task/participant/modality/file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
@@ -131,25 +113,5 @@ def save(df: DataFrame, path: str, by: str | None = None, form: str = "parquet",
         store, at = filesystem(df.sparkSession, path)
         if store.exists(at):
             store.rename(at, df.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}_{dated}"))
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").options(**({"header": True} if form == "csv" else {}))
     (writer.partitionBy(by) if by else writer).format(form).save(path)
-
-
-def save_matrices(df: DataFrame, path: str) -> int:
-    """Writes (identifier, pos, v) as one .npy matrix for each identifier, rows by pos; returns their number.
-
-    One matrix at a time is on the driver, and goes through Spark's file system to the path.
-    """
-    from io import BytesIO
-
-    n = 0
-    rows = df.groupBy("identifier").agg(F.array_sort(F.collect_list(F.struct("pos", "v")))["v"].alias("v")).toLocalIterator()
-    for r in rows:
-        content = BytesIO()
-        np.save(content, np.array(r["v"], np.float64))
-        store, at = filesystem(df.sparkSession, f"{path.rstrip('/')}/{r['identifier']}.npy")
-        out = store.create(at, True)
-        out.write(content.getvalue())
-        out.close()
-        n += 1
-    return n
