@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators import detection as D
 from loomspan.operators import joins as J
 from loomspan.operators import sequences as S
 from loomspan.functions import vectors as V
+from loomspan.plans.measures import greedy_sql
 from loomspan.plans.registry import query
 from loomspan.plans.relational import RUN, SEQ, rnd
 from loomspan.plans.vector import KK, VEC, kk, prototypes
@@ -134,15 +136,18 @@ def dist_projection_orthonormal(spark, d):
     return blocks(spark, d).select("pos", "v").mapInPandas(run, "pos long, z array<double>, proto long")
 
 
-@query(f"WITH {RUN}, p AS (SELECT id, seg, label, (e - s)::DOUBLE / (e - s + 2) AS conf FROM r), o AS (SELECT label, conf, (seg % 2 = 0)::INT AS hit, row_number() OVER (PARTITION BY label ORDER BY conf DESC, id, seg) AS k, sum((seg % 2 = 0)::INT) OVER (PARTITION BY label ORDER BY conf DESC, id, seg) AS tp, sum((seg % 2 = 0)::INT) OVER (PARTITION BY label) AS n FROM p), i AS (SELECT label, hit, n, max(tp / k) OVER (PARTITION BY label ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS precision FROM o) SELECT label, round(sum(hit * precision) / any_value(n), 6) AS ap FROM i GROUP BY label")
+#: Runs of two classes of labels as truths; of each a detection that ends late, and of every second one that begins early.
+DETECTED = SEQ + ", h0 AS (SELECT id, pos, label // 3 AS label, CASE WHEN label // 3 = lag(label // 3) OVER (PARTITION BY id ORDER BY pos) THEN 0 ELSE 1 END AS c FROM s), h1 AS (SELECT *, sum(c) OVER (PARTITION BY id ORDER BY pos) AS seg FROM h0), g AS (SELECT id, seg, min(label) AS label, min(pos) AS s, max(pos) + 1 AS e FROM h1 GROUP BY id, seg), p AS (SELECT id, label, 2 * seg AS seg, s, e + 1 AS e, (e - s)::DOUBLE / (e - s + 1 + seg % 3) AS score FROM g UNION ALL SELECT id, label, 2 * seg + 1, s - 1, e, (e - s)::DOUBLE / (e - s + seg % 5) FROM g WHERE seg % 2 = 0)"
+
+
+@query(f"WITH RECURSIVE {DETECTED}, {greedy_sql('p', 'g', 'label')} SELECT label, least, truths, detections, tp, round(ap, 6) AS ap FROM ap")
 def eval_map(spark, d):
-    """Interpolated average precision of ranked detections by label."""
-    hit = F.when(F.col("seg") % 2 == 0, 1).otherwise(0)
-    p = S.runs(sequences(spark, d)).select("id", "seg", "label", ((F.col("e") - F.col("s")) / (F.col("e") - F.col("s") + 2)).alias("conf"), hit.alias("hit"))
-    w = W.partitionBy("label").orderBy(F.desc("conf"), "id", "seg")
-    o = p.withColumn("k", F.row_number().over(w)).withColumn("tp", F.sum("hit").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("hit").over(W.partitionBy("label")))
-    i = o.withColumn("precision", F.max(F.col("tp") / F.col("k")).over(W.partitionBy("label").orderBy("k").rowsBetween(0, W.unboundedFollowing)))
-    return i.groupBy("label").agg(rnd(F.sum(F.col("hit") * F.col("precision")) / F.first("n")).alias("ap"))
+    """eval.tiou and mAP: average precision of a label at ten overlaps; detections in order of confidence lock the truths they take."""
+    g = S.runs(sequences(spark, d).withColumn("label", F.floor(F.col("label") / 3)))
+    n = F.col("e") - F.col("s")
+    late = g.select("id", "label", (2 * F.col("seg")).alias("seg"), "s", (F.col("e") + 1).alias("e"), (n / (n + 1 + F.col("seg") % 3)).alias("score"))
+    early = g.where("seg % 2 = 0").select("id", "label", (2 * F.col("seg") + 1).alias("seg"), (F.col("s") - 1).alias("s"), "e", (n / (n + F.col("seg") % 5)).alias("score"))
+    return D.average_precision(late.unionByName(early), g, ["id", "label"], 4, ["label"]).select("label", "least", "truths", "detections", "tp", rnd("ap").alias("ap"))
 
 
 @query(f"WITH {SEQ}, c AS (SELECT c_mktsegment AS g, pos, label, count(*) AS n FROM s JOIN customer ON c_custkey = id GROUP BY ALL) SELECT g, pos, label, n FROM c QUALIFY row_number() OVER (PARTITION BY g, pos ORDER BY n DESC, label) = 1")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import vectors as V
+from loomspan.operators import detection as D
 from loomspan.operators import sequences as S
 from loomspan.plans.registry import query
 from loomspan.plans.relational import RUN, SEQ, rnd
@@ -480,9 +481,25 @@ def eval_timestamp_f1(spark, d):
     return n.select("id", "tp", rnd(F.try_divide(tp, a)).alias("precision"), rnd(F.try_divide(tp, b)).alias("recall"), rnd(F.coalesce(F.try_divide(tp * 2.0, a + b), F.lit(0.0))).alias("f1"))
 
 
-@query(f"WITH {SHIFTED}, k AS (SELECT g AS label, count(*) FILTER (g = p) AS tp, count(*) AS n FROM f WHERE p IS NOT NULL GROUP BY g), q AS (SELECT p AS label, count(*) AS m FROM f WHERE p IS NOT NULL GROUP BY p), ed AS (SELECT avg(100 * (1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)))) AS x FROM (SELECT id, string_agg(label::VARCHAR, '' ORDER BY gi) AS a FROM gt GROUP BY id) u JOIN (SELECT id, string_agg(label::VARCHAR, '' ORDER BY pi) AS b FROM pr GROUP BY id) w ON w.id = u.id), ff AS (SELECT avg(2 * precision * recall / nullif(precision + recall, 0)) AS x FROM (SELECT overlap, sum(tp)::DOUBLE / sum(np) AS precision, sum(tp)::DOUBLE / sum(ng) AS recall FROM sc GROUP BY overlap)) SELECT round(sum(tp) / sum(n), 6) AS accuracy, round(avg(2e0 * tp / (n + m)), 6) AS macro_f1, round(avg(tp::DOUBLE / (n + m - tp)), 6) AS jaccard, (SELECT round(x, 5) FROM ed) AS edit, (SELECT round(x, 6) FROM ff) AS f1_at_3 FROM k JOIN q ON k.label = q.label")
+def greedy_sql(pred: str, truth: str, by: str) -> str:
+    """CTEs that match the detections of `pred` to the truths of `truth` one after another, and the curve of each key `by`."""
+    return f"""th AS (SELECT 50 + 5 * x AS least FROM range(10) r(x)),
+pp AS (SELECT p.id, p.label, p.seg, p.score, g.seg AS gi, (least(p.e, g.e) - greatest(p.s, g.s))::DOUBLE / ((p.e - p.s) + (g.e - g.s) - (least(p.e, g.e) - greatest(p.s, g.s))) AS iou FROM {pred} p JOIN {truth} g ON g.id = p.id AND g.label = p.label AND p.s < g.e AND g.s < p.e),
+cc AS (SELECT id, label, least, seg, any_value(score) AS score, list(gi ORDER BY iou DESC, gi DESC) AS c FROM pp JOIN th ON iou >= least / 100e0 GROUP BY ALL),
+cn AS (SELECT *, row_number() OVER (PARTITION BY id, label, least ORDER BY score DESC, seg) AS n FROM cc),
+gr AS (SELECT DISTINCT id, label, least, 0::BIGINT AS n, []::BIGINT[] AS taken, NULL::BIGINT AS seg, NULL::BIGINT AS got FROM cn
+  UNION ALL SELECT id, label, least, n, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got) END, seg, got FROM (SELECT cn.id, cn.label, cn.least, cn.n, gr.taken, cn.seg, list_filter(cn.c, lambda x: NOT list_contains(gr.taken, x))[1] AS got FROM gr JOIN cn ON cn.id = gr.id AND cn.label = gr.label AND cn.least = gr.least AND cn.n = gr.n + 1)),
+ev AS (SELECT p.id, p.label, p.seg, p.score, th.least, (w.got IS NOT NULL)::INT AS tp FROM {pred} p CROSS JOIN th LEFT JOIN (SELECT * FROM gr WHERE got IS NOT NULL) w ON w.id = p.id AND w.label = p.label AND w.seg = p.seg AND w.least = th.least),
+cu AS (SELECT *, (sum(tp) OVER w)::DOUBLE / count(*) OVER w AS prec FROM ev WINDOW w AS (PARTITION BY {by}, least ORDER BY score DESC, id, label, seg)),
+sm AS (SELECT *, max(prec) OVER (PARTITION BY {by}, least ORDER BY score DESC, id, label, seg ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM cu),
+ar AS (SELECT {by}, least, count(*) AS detections, sum(tp)::BIGINT AS tp, sum(tp * best) AS area FROM sm GROUP BY ALL),
+nt AS (SELECT {by}, count(*) AS truths FROM {truth} GROUP BY ALL),
+ap AS (SELECT nt.*, th.least, coalesce(detections, 0) AS detections, coalesce(tp, 0) AS tp, coalesce(area, 0) / truths AS ap FROM nt CROSS JOIN th LEFT JOIN ar USING ({by}, least))"""
+
+
+@query(f"WITH RECURSIVE {SHIFTED}, dp AS (SELECT id, label, pi AS seg, s, e, 1e0 AS score FROM pr WHERE label <> 0), dg AS (SELECT id, label, gi AS seg, s, e FROM gt WHERE label <> 0), {greedy_sql('dp', 'dg', 'id, label')}, k AS (SELECT g AS label, count(*) FILTER (g = p) AS tp, count(*) AS n FROM f WHERE p IS NOT NULL GROUP BY g), q AS (SELECT p AS label, count(*) AS m FROM f WHERE p IS NOT NULL GROUP BY p), ed AS (SELECT avg(100 * (1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)))) AS x FROM (SELECT id, string_agg(label::VARCHAR, '' ORDER BY gi) AS a FROM gt GROUP BY id) u JOIN (SELECT id, string_agg(label::VARCHAR, '' ORDER BY pi) AS b FROM pr GROUP BY id) w ON w.id = u.id), ff AS (SELECT avg(2 * precision * recall / nullif(precision + recall, 0)) AS x FROM (SELECT overlap, sum(tp)::DOUBLE / sum(np) AS precision, sum(tp)::DOUBLE / sum(ng) AS recall FROM sc GROUP BY overlap)) SELECT round(sum(tp) / sum(n), 6) AS accuracy, round(avg(2e0 * tp / (n + m)), 6) AS macro_f1, round(avg(tp::DOUBLE / (n + m - tp)), 6) AS jaccard, (SELECT round(x, 5) FROM ed) AS edit, (SELECT round(x, 6) FROM ff) AS f1_at_3, (SELECT round(avg(a), 6) FROM (SELECT avg(ap) AS a FROM ap GROUP BY id)) AS map FROM k JOIN q ON k.label = q.label")
 def eval_frame_scores(spark, d):
-    """Accuracy, macro F1 and Jaccard of frames, mean edit score of the segments' labels (one digit each), mean F1 at three overlaps."""
+    """Accuracy, macro F1 and Jaccard of frames, mean edit score of the segments' labels (one digit each), mean F1 at three overlaps, mean of the recordings' mAP at ten."""
     c = sequences(spark, d).select(F.col("label").alias("g"), F.lag("label").over(S.by()).alias("p")).where("p IS NOT NULL").groupBy("g", "p").agg(F.count("*").alias("c"))
     n = c.groupBy(F.col("g").alias("label")).agg(F.sum(F.when(F.col("g") == F.col("p"), F.col("c")).otherwise(0)).alias("tp"), F.sum("c").alias("n"))
     k = n.join(c.groupBy(F.col("p").alias("label")).agg(F.sum("c").alias("m")), "label")
@@ -494,7 +511,11 @@ def eval_frame_scores(spark, d):
     edit = names.agg(rnd(F.avg(100 * (1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")))), 5).alias("edit"))
     each = segment_scores(gt, pr).groupBy("overlap").agg((F.sum("tp") / F.sum("np")).alias("p"), (F.sum("tp") / F.sum("ng")).alias("r"))
     three = each.agg(rnd(F.avg(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")))).alias("f1_at_3"))
-    return frames.crossJoin(edit).crossJoin(three)
+    # every label but the background has one curve a recording and overlap; equal confidences, so order is that of time
+    found = pr.where("label <> 0").select("id", "label", F.col("pi").alias("seg"), "s", "e", F.lit(1.0).alias("score"))
+    true = gt.where("gl <> 0").select("id", F.col("gl").alias("label"), F.col("gi").alias("seg"), F.col("gs").alias("s"), F.col("ge").alias("e"))
+    each = D.average_precision(found, true, ["id", "label"], 4).groupBy("id").agg(F.avg("ap").alias("ap"))
+    return frames.crossJoin(edit).crossJoin(three).crossJoin(each.agg(rnd(F.avg("ap")).alias("map")))
 
 
 # --- tests ---
