@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from loomspan.operators import alignment as A
 from loomspan.operators import segmentation as G
-from loomspan.operators.joins import track
 from loomspan.operators.sequences import by, parted, running_totals, runs, transitions
 from loomspan.plans.registry import QUERIES, query
 from loomspan.plans.vector import kk
@@ -265,17 +264,6 @@ def join_hungarian(spark, d):
     return spark.createDataFrame(G.matching(gain), "g long, p long")
 
 
-@query()
-def stat_entropy(spark, d):
-    """Sample entropy of four places and a fifth of the deviation; null where nothing matches."""
-
-    def run(pdf):
-        h = G.sample_entropy(pdf.sort_values("pos")["value"].to_numpy(), 4)
-        return pd.DataFrame({"id": [pdf["id"].iloc[0]], "entropy": [None if np.isnan(h) else h]})
-
-    return sequences(spark, d).select("id", "pos", "value").groupBy("id").applyInPandas(run, "id long, entropy double")
-
-
 @query()
 def stat_mixed_model(spark, d):
     """Log run lengths by group with a random intercept for each recording: group means, ICC, and a likelihood ratio test of the group.
@@ -309,12 +297,3 @@ def cpd_fit_sigmoid(spark, d):
 
     r = runs(sequences(spark, d)).groupBy("label", (F.col("e") - F.col("s")).alias("len")).agg(F.count("*").alias("n"))
     return r.groupBy("label").applyInPandas(run, "label long, top double, k double, x0 double, low double, high double")
-
-
-@query()
-def clu_whiten(spark, d):
-    def run(pdf):
-        pdf = pdf.sort_values("pos")
-        return pd.DataFrame({"id": pdf["id"], "pos": pdf["pos"], "v": list(G.whitened(np.stack(pdf["v"])))})
-
-    return blocks(spark, d).select("id", "pos", "v").groupBy("id").applyInPandas(run, "id long, pos long, v array<double>")

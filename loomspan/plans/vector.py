@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import GaussianMixture, KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.operators import joins as J
+from loomspan.operators import kernels as K
+from loomspan.operators import mixtures as M
+from loomspan.operators import moments as Q
+from loomspan.operators import scores as E
 from loomspan.operators import sequences as S
 from loomspan.functions import vectors as V
 from loomspan.plans.registry import query
 from loomspan.plans.relational import RUN, SEQ, rnd
+from loomspan.sources.stored import stored
 from loomspan.sources.tables import blocks, sequences, table
 
 #: Blocks, their components and the mean vector of each label, in SQL.
@@ -103,27 +105,109 @@ def cpd_mmd_vs_neighbours(spark, d):
 
 @query()
 def clu_kmeans(spark, d):
-    """k-means by angle and by distance, each the better of two runs."""
-    x = blocks(spark, d).select("pos", array_to_vector("v").alias("features"))
+    """k-means by angle and by distance, each the better of two starts; labels do not depend on how rows are dealt."""
+    x = stored(blocks(spark, d).select("pos", "v"), "vectors")
     out = None
-    for measure in ("cosine", "euclidean"):
-        models = [KMeans(k=10, seed=seed, maxIter=30, distanceMeasure=measure).fit(x) for seed in (47, 48)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        labels = best.transform(x).select(F.lit(measure).alias("metric"), "pos", F.col("prediction").alias("cluster"))
+    for metric, cosine in (("cosine", True), ("euclidean", False)):
+        centres, _ = M.kmeans(x, 10, cosine)
+        labels = M.nearest(x, centres, cosine).select(F.lit(metric).alias("metric"), "pos", "cluster")
         out = labels if out is None else out.unionByName(labels)
     return out
 
 
 @query()
 def clu_gmm(spark, d):
-    x = blocks(spark, d).select("pos", array_to_vector("v").alias("features"))
-    return GaussianMixture(k=3, seed=47, maxIter=20).fit(x).transform(x).select("pos", F.col("prediction").alias("cluster"))
+    """Whole vectors, full covariances."""
+    x = stored(blocks(spark, d).select("pos", "v"), "vectors")
+    return M.predict(x, M.fit(x, 3, rounds=30)).select("pos", "cluster")
+
+
+@query()
+def clu_bayes_gmm(spark, d):
+    """A Dirichlet process of 20 components at most over ten whitened principal components: each block's component, its share, and the component's weight."""
+    z, _ = Q.components(blocks(spark, d).select("pos", "v"), 10, True)
+    x = stored(z.withColumnRenamed("z", "v"), "vectors")
+    model = M.fit(x, 20, process=True)
+    weights = spark.createDataFrame([(k, float(w)) for k, w in enumerate(model.weights)], "cluster long, weight double")
+    return M.predict(x, model).join(F.broadcast(weights), "cluster").select("pos", "cluster", F.col("dist").alias("share"), "weight")
+
+
+@query()
+def clu_gmm_incremental(spark, d):
+    """Five Gaussians over ten principal components, fitted block after block: a report for each block, as its fit ends."""
+    z, _ = Q.components(blocks(spark, d).select("pos", "v"), 10)
+    _, reports = M.incremental(z.withColumnRenamed("z", "v"), 5)
+    return spark.createDataFrame([tuple(r.values()) for r in reports], "block long, rows long, rounds long, converged boolean, bound double, aic double, bic double")
 
 
 @query()
 def clu_pca(spark, d):
-    x = blocks(spark, d).select("pos", array_to_vector("v").alias("features"))
-    return PCA(k=5, inputCol="features", outputCol="z").fit(x).transform(x).select("pos", vector_to_array("z").alias("z"))
+    """Ten principal components of all blocks."""
+    return Q.components(blocks(spark, d).select("pos", "v"), 10)[0]
+
+
+@query()
+def clu_whiten(spark, d):
+    """Blocks whitened by one covariance of all of them."""
+    return Q.whitened(blocks(spark, d).select("id", "pos", "v"))
+
+
+SQUARE = "SELECT i, j, CASE WHEN i = j THEN 1e0 ELSE 0e0 END AS cov FROM range({n}) r(i), range({n}) s(j)"
+
+
+def covariances(spark, rows):
+    _, _, cov = Q.covariance(rows)
+    # a table of the width squared
+    return spark.createDataFrame([(i, j, float(c)) for i, row in enumerate(cov) for j, c in enumerate(row)], "i long, j long, cov double").select("i", "j", (rnd("cov") + 0.0).alias("cov"))
+
+
+@query(SQUARE.format(n="(SELECT max(len(embedding)) FROM embeddings)"))
+def clu_whiten_covariance(spark, d):
+    """The covariance of whitened blocks is the identity."""
+    return covariances(spark, clu_whiten(spark, d))
+
+
+@query(SQUARE.format(n="30"))
+def clu_pca_covariance(spark, d):
+    """Thirty whitened components have variance 1 and no correlation."""
+    return covariances(spark, Q.components(blocks(spark, d).select("pos", "v"), 30, True)[0].withColumnRenamed("z", "v"))
+
+
+@query(f"WITH {VEC}, v AS (SELECT dim, var_samp(x) AS v FROM l GROUP BY dim) SELECT round(sum(v), 5) AS total, count(*) AS components FROM v")
+def clu_pca_variance(spark, d):
+    """The variances of all components add up to that of the components of the vectors."""
+    _, w = Q.components(blocks(spark, d).select("pos", "v"), 1 << 30)
+    return spark.createDataFrame([(float(w.sum()), len(w))], "total double, components long").select(rnd("total", 5).alias("total"), "components")
+
+
+@query(f"WITH {VEC}, q AS (SELECT *, 20000e0 / count(*) OVER () AS share FROM b), s AS (SELECT k::INT AS sample, pos, label, v FROM q, range(5) r(k) WHERE ('0x' || substr(md5(pos || '|' || k), 1, 8))::BIGINT / 4294967296e0 < share), e AS (SELECT a.sample, a.pos, a.label, b.label AS of, sum(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS t, count(*) AS n FROM s a JOIN s b ON a.sample = b.sample GROUP BY ALL), f AS (SELECT sample, pos, max(t / (n - 1)) FILTER (label = of AND n > 1) AS a, min(t / n) FILTER (label <> of) AS b FROM e GROUP BY ALL) SELECT sample, count(*) AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 5) AS silhouette FROM f GROUP BY sample")
+def eval_silhouette_cohort(spark, d):
+    """Silhouettes of all recordings together, on five samples of 20,000 blocks (all blocks, where there are fewer)."""
+    return E.silhouettes(blocks(spark, d)).select("sample", "n", rnd("silhouette", 5).alias("silhouette"))
+
+
+FOURIER = "u AS (SELECT k, j, md5(k || '|' || j) AS h FROM range(256) r(k), range(64) s(j)), fw AS (SELECT k, list(sqrt(-2 * ln((('0x' || substr(h, 1, 8))::BIGINT + 0.5e0) / 4294967296e0)) * cos(2 * pi() * ((('0x' || substr(h, 9, 8))::BIGINT + 0.5e0) / 4294967296e0)) / 2e0 ORDER BY j) AS w FROM u GROUP BY k), fb AS (SELECT k, w, 2 * pi() * ((('0x' || substr(md5(k::VARCHAR), 17, 8))::BIGINT + 0.5e0) / 4294967296e0) AS b FROM fw)"
+
+
+@query(f"WITH {VEC}, {FOURIER}, c AS (SELECT id, pos, v, CASE WHEN label % 3 = lag(label % 3) OVER (PARTITION BY id ORDER BY pos) THEN 0 ELSE 1 END AS c FROM b), sg AS (SELECT id, pos, v, sum(c) OVER (PARTITION BY id ORDER BY pos)::BIGINT AS seg FROM c), z AS (SELECT id, seg, k, avg(cos(list_dot_product(w, v) + b) * sqrt(2e0 / 256)) AS z, avg(cos(list_dot_product(w, v) + b) * cos(list_dot_product(w, v) + b) * 2e0 / 256) AS zz, count(*) AS n FROM sg, fb GROUP BY ALL), m AS (SELECT id, seg, any_value(n) AS n, sum(zz) AS own, list(z ORDER BY k) AS m FROM z GROUP BY ALL), nb AS (SELECT *, lag(m) OVER w AS p, lead(m) OVER w AS q FROM m WINDOW w AS (PARTITION BY id ORDER BY seg)), o AS (SELECT id, seg, n, own, list_dot_product(m, m) AS mm, coalesce(list_dot_product(m, m) - 2 * list_dot_product(m, p) + list_dot_product(p, p), 0) + coalesce(list_dot_product(m, m) - 2 * list_dot_product(m, q) + list_dot_product(q, q), 0) AS mmd, coalesce(own - 2 * list_dot_product(m, p) + list_dot_product(p, p), 0) + coalesce(own - 2 * list_dot_product(m, q) + list_dot_product(q, q), 0) AS about, p IS NULL AND q IS NULL AS alone FROM nb) SELECT id, seg, n, round(mmd, 5) AS mmd, CASE WHEN NOT alone THEN round((own - mm) / (about + 1e-12), 5) END AS cost_ratio FROM o")
+def cpd_rbf_vs_neighbours(spark, d):
+    """cpd.cost_vs_neighbours and mmd_vs_neighbours of whole vectors under the Gaussian kernel (sigma 2), by 256 Fourier features."""
+    new = F.when(F.col("label") % 3 == F.lag(F.col("label") % 3).over(S.by()), 0).otherwise(1)
+    rows = blocks(spark, d).withColumn("new", new).withColumn("seg", F.sum("new").over(S.by()))
+    means = K.segment_means(K.features(spark, rows, 64, 2.0), ["id", "seg"])
+    return K.against_neighbours(means).select("id", "seg", "n", rnd("mmd", 5).alias("mmd"), rnd("cost_ratio", 5).alias("cost_ratio"))
+
+
+@query(f"WITH {SEQ}, r AS (SELECT id, stddev_pop(value) * 0.2e0 AS r FROM s GROUP BY id), t AS (SELECT id, pos, value AS x0, lead(value, 1) OVER w AS x1, lead(value, 2) OVER w AS x2, lead(value, 3) OVER w AS x3, lead(value, 4) OVER w AS x4 FROM s WINDOW w AS (PARTITION BY id ORDER BY pos)), p AS (SELECT a.id, count(*) AS near, count(*) FILTER (abs(a.x4 - b.x4) <= r.r) AS nearer FROM t a JOIN t b ON a.id = b.id AND a.pos < b.pos JOIN r ON r.id = a.id WHERE a.x4 IS NOT NULL AND b.x4 IS NOT NULL AND abs(a.x0 - b.x0) <= r.r AND abs(a.x1 - b.x1) <= r.r AND abs(a.x2 - b.x2) <= r.r AND abs(a.x3 - b.x3) <= r.r GROUP BY a.id) SELECT r.id, coalesce(near, 0) AS near, coalesce(nearer, 0) AS nearer, CASE WHEN nearer > 0 THEN round(-ln(nearer::DOUBLE / near), 6) END AS entropy FROM r LEFT JOIN p ON p.id = r.id")
+def stat_entropy(spark, d):
+    """Sample entropy of four places and a fifth of the deviation, of the values."""
+    return E.sample_entropy(sequences(spark, d)).withColumn("entropy", rnd("entropy"))
+
+
+@query(f"WITH {SEQ}, r AS (SELECT id, stddev_pop(label) * 0.2e0 AS r FROM s GROUP BY id), t AS (SELECT id, pos, label AS x0, lead(label, 1) OVER w AS x1, lead(label, 2) OVER w AS x2, lead(label, 3) OVER w AS x3, lead(label, 4) OVER w AS x4 FROM s WINDOW w AS (PARTITION BY id ORDER BY pos)), p AS (SELECT a.id, count(*) AS near, count(*) FILTER (abs(a.x4 - b.x4) <= r.r) AS nearer FROM t a JOIN t b ON a.id = b.id AND a.pos < b.pos JOIN r ON r.id = a.id WHERE a.x4 IS NOT NULL AND b.x4 IS NOT NULL AND abs(a.x0 - b.x0) <= r.r AND abs(a.x1 - b.x1) <= r.r AND abs(a.x2 - b.x2) <= r.r AND abs(a.x3 - b.x3) <= r.r GROUP BY a.id) SELECT r.id, coalesce(near, 0) AS near, coalesce(nearer, 0) AS nearer, CASE WHEN nearer > 0 THEN round(-ln(nearer::DOUBLE / near), 6) END AS entropy FROM r LEFT JOIN p ON p.id = r.id")
+def stat_entropy_symbols(spark, d):
+    """The same of the symbols, as the survey takes it: equal windows are counted once."""
+    return E.sample_entropy(sequences(spark, d), value="label").withColumn("entropy", rnd("entropy"))
 
 
 SIL = VEC + ", e AS (SELECT a.id, a.pos, a.label, b.label AS other, avg(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) FILTER (a.pos <> b.pos) AS d FROM b a JOIN b b ON a.id = b.id GROUP BY ALL)"
