@@ -6,17 +6,18 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.functions import vectors as V
 from loomspan.operators import detection as D
 from loomspan.operators import sequences as S
+from loomspan.plans.inventory import folder
 from loomspan.plans.registry import query
 from loomspan.plans.relational import RUN, SEQ, rnd
 from loomspan.plans.vector import EUCLID, KK, VEC, kk, prototypes
-from loomspan.sources.tables import blocks, sequences, table
+from loomspan.sources.tables import blocks, filesystem, sequences, table
 
 #: Values are given in hundredths: whole numbers of them have exact sums.
 CENTS = "round(value * 100)::BIGINT"
@@ -224,24 +225,89 @@ def dist_wasserstein_1d(spark, d):
     return transport(spark, d).select("i", "j", rnd("squared", 5).alias("squared"), rnd(F.sqrt("squared"), 5).alias("w2"), rnd("w1", 5).alias("w1"))
 
 
-@query(f"WITH {TRANSPORT}, x AS (SELECT 'wasserstein' AS kind, i, j, squared AS d FROM o UNION ALL SELECT 'moments', a.label, b.label, (a.m - b.m) * (a.m - b.m) + (a.s - b.s) * (a.s - b.s) FROM (SELECT label, avg(pos) AS m, stddev_pop(pos) AS s FROM s GROUP BY label) a JOIN (SELECT label, avg(pos) AS m, stddev_pop(pos) AS s FROM s GROUP BY label) b ON a.label < b.label), m AS (SELECT kind, median(d) AS med FROM x GROUP BY kind) SELECT x.kind, i, j, round(sqrt(d), 5) AS root, round(exp(-d * d / (2 * med * med)), 6) AS rbf FROM x JOIN m ON m.kind = x.kind")
+#: Moments and the 101 quantiles of each symbol's weighted times; the linear map of one onto another, turned if their skews differ in sign.
+LINEAR = TIMES + """, mo AS (SELECT *, v3 / n3 AS third FROM (SELECT label, sum(w) AS n3, sum(w * t)::DOUBLE / sum(w) AS mean, sum(w * t * t)::DOUBLE / sum(w) - power(sum(w * t)::DOUBLE / sum(w), 2) AS var, sum(w * t * t * t)::DOUBLE - 3 * sum(w * t)::DOUBLE / sum(w) * sum(w * t * t)::DOUBLE + 2 * sum(w) * power(sum(w * t)::DOUBLE / sum(w), 3) AS v3 FROM g GROUP BY label)),
+cw AS (SELECT label, t, w, sum(w) OVER (PARTITION BY label ORDER BY t) AS hi, sum(w) OVER (PARTITION BY label) AS total FROM g),
+qu AS (SELECT label, k, min(t) AS q FROM cw, range(101) r(k) WHERE hi * 100 >= k * total AND (hi - w) * 100 < k * total OR k = 0 GROUP BY ALL),
+lg AS (SELECT a.label AS i, b.label AS j, CASE WHEN a.third * b.third < 0 THEN -1 ELSE 1 END * sqrt(b.var / a.var) AS slope, a.mean AS ma, b.mean AS mb FROM mo a JOIN mo b ON a.label < b.label),
+le AS (SELECT i, j, any_value(slope) AS slope, any_value(mb - slope * ma) AS shift, sqrt(sqrt(sum(power(mb + slope * (x.q - ma) - y.q, 2)))) AS error FROM lg JOIN qu x ON x.label = i JOIN qu y ON y.label = j AND y.k = CASE WHEN slope < 0 THEN 100 - x.k ELSE x.k END GROUP BY i, j)"""
+
+
+def weighted_times(spark, d):
+    return sequences(spark, d).withColumn("w", cents()).groupBy("label", F.col("pos").cast("double").alias("t")).agg(F.sum("w").alias("w"))
+
+
+def linear_gw(g: DataFrame, levels: int = 100) -> DataFrame:
+    """(i, j, slope, shift, error) of each pair of weighted densities (label, t, w): the linear Gromov-Wasserstein map and what it leaves.
+
+    In one dimension the map of two densities by their second moments is closed: slope is the ratio of the deviations, below zero if
+    the skews differ in sign, and means go to means. error is the root of the distance between the mapped density's quantiles and
+    the other's. Moments and quantiles are one pass over the densities; only they are paired. A density without spread has no map.
+    """
+    w, t = F.col("w"), F.col("t")
+    n, a, b, c = (F.sum(x) for x in (w, w * t, w * t * t, w * t * t * t))
+    moments = g.groupBy("label").agg((a / n).alias("mean"), (b / n - F.pow(a / n, 2)).alias("var"), (c - 3 * a / n * b + 2 * n * F.pow(a / n, 3)).alias("third"))
+    order = W.partitionBy("label").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    run = g.withColumn("hi", F.sum("w").over(order)).withColumn("total", F.sum("w").over(W.partitionBy("label"))).where("w > 0")
+    # the first time at which the share of the weight reaches k / levels
+    first = F.when(F.col("hi") == w, 0).otherwise(F.expr(f"(hi - w) * {levels} div total") + 1)
+    last = F.expr(f"hi * {levels} div total")
+    quantiles = run.withColumn("first", first.cast("long")).withColumn("last", last).where("first <= last").withColumn("k", F.explode(F.sequence("first", "last")))
+    quantiles = quantiles.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "t")))["t"].alias("q"))
+    both = moments.where("var > 0").join(quantiles, "label")
+    x, y = (both.toDF(*(f"{c}_{s}" for c in both.columns)) for s in "ij")
+    slope = F.when(F.col("third_i") * F.col("third_j") < 0, -1).otherwise(1) * F.sqrt(F.col("var_j") / F.col("var_i"))
+    pairs = x.join(F.broadcast(y), F.col("label_i") < F.col("label_j")).withColumn("slope", slope)
+    gap = F.zip_with(F.when(F.col("slope") < 0, F.reverse("q_i")).otherwise(F.col("q_i")), "q_j", lambda u, v: F.pow(F.col("mean_j") + F.col("slope") * (u - F.col("mean_i")) - v, F.lit(2)))
+    error = F.sqrt(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, e: s + e)))
+    return pairs.select(F.col("label_i").alias("i"), F.col("label_j").alias("j"), "slope", (F.col("mean_j") - F.col("slope") * F.col("mean_i")).alias("shift"), error.alias("error"))
+
+
+@query(f"WITH {LINEAR} SELECT i, j, round(slope, 5) AS slope, round(shift, 4) AS shift, round(error, 5) AS error FROM le")
+def dist_linear_gw(spark, d):
+    """Linear Gromov-Wasserstein maps between the weighted times of all pairs of symbols."""
+    return linear_gw(weighted_times(spark, d)).select("i", "j", rnd("slope", 5).alias("slope"), rnd("shift", 4).alias("shift"), rnd("error", 5).alias("error"))
+
+
+def temporal(spark, d, kind: str, cache: str | None = None) -> DataFrame:
+    """(i, j, d) between the time distributions of symbols, by name: `wasserstein`, `moments` or `linear_gw`.
+
+    cache: a folder that keeps one table for each kind; a kind that is there is read, whatever the events.
+    """
+    path = f"{cache}/{kind}"
+    if cache:
+        store, at = filesystem(spark, path)
+        if store.exists(at):
+            return spark.read.parquet(path)
+    if kind == "wasserstein":
+        out = transport(spark, d).select("i", "j", F.col("squared").alias("d"))
+    elif kind == "moments":
+        m = sequences(spark, d).groupBy("label").agg(F.avg("pos").alias("m"), F.stddev_pop("pos").alias("s"))
+        p = m.toDF("i", "mi", "si").join(F.broadcast(m.toDF("j", "mj", "sj")), F.col("i") < F.col("j"))
+        out = p.select("i", "j", (F.pow(F.col("mi") - F.col("mj"), 2) + F.pow(F.col("si") - F.col("sj"), 2)).alias("d"))
+    elif kind == "linear_gw":
+        out = linear_gw(weighted_times(spark, d)).select("i", "j", F.col("error").alias("d"))
+    else:
+        raise ValueError(f"no distance {kind}")
+    if not cache:
+        return out
+    out.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(f"WITH {LINEAR}, o AS (SELECT a.label AS i, b.label AS j, sum((least(a.hi, b.hi) - greatest(a.lo, b.lo)) * (a.t - b.t) * (a.t - b.t)) AS squared FROM c a JOIN c b ON a.label < b.label AND a.lo < b.hi AND b.lo < a.hi GROUP BY ALL), x AS (SELECT 'wasserstein' AS kind, i, j, squared AS d FROM o UNION ALL SELECT 'linear_gw', i, j, error FROM le UNION ALL SELECT 'moments', a.label, b.label, (a.m - b.m) * (a.m - b.m) + (a.s - b.s) * (a.s - b.s) FROM (SELECT label, avg(pos) AS m, stddev_pop(pos) AS s FROM s GROUP BY label) a JOIN (SELECT label, avg(pos) AS m, stddev_pop(pos) AS s FROM s GROUP BY label) b ON a.label < b.label), m AS (SELECT kind, median(d) AS med FROM x GROUP BY kind) SELECT x.kind, i, j, round(sqrt(d), 5) AS root, round(exp(-d * d / (2 * med * med)), 6) AS rbf FROM x JOIN m ON m.kind = x.kind")
 def dist_temporal_dispatch(spark, d):
-    """A distance of time distributions chosen by name, then made a kernel by root, and by the median off the diagonal."""
-
-    def moments():
-        g = sequences(spark, d).groupBy("label").agg(F.avg("pos").alias("m"), F.stddev_pop("pos").alias("s"))
-        a, b = g.toDF("i", "m", "s"), g.toDF("j", "n", "t")
-        gap = lambda x, y: (F.col(x) - F.col(y)) * (F.col(x) - F.col(y))
-        return a.join(F.broadcast(b), F.col("i") < F.col("j")).select("i", "j", (gap("m", "n") + gap("s", "t")).alias("d"))
-
-    kinds = {"wasserstein": lambda: transport(spark, d).select("i", "j", F.col("squared").alias("d")), "moments": moments}
-    out = None
-    for kind, make in kinds.items():
-        k = make()
-        x = F.col("d")
-        k = k.crossJoin(F.broadcast(k.agg(F.median("d").alias("med")))).select(F.lit(kind).alias("kind"), "i", "j", rnd(F.sqrt(x), 5).alias("root"), rnd(F.exp(-x * x / (2 * F.col("med") * F.col("med")))).alias("rbf"))
-        out = k if out is None else out.unionByName(k)
-    return out
+    """Three distances of time distributions chosen by name, each computed once and read from the cache after, then made a kernel by root, and by the median off the diagonal."""
+    cache, kinds = folder(spark, "temporal"), ("wasserstein", "moments", "linear_gw")
+    for kind in kinds:
+        temporal(spark, d, kind, cache)
+    x = None
+    for kind in kinds:
+        one = temporal(spark, d, kind, cache).select(F.lit(kind).alias("kind"), "i", "j", "d")
+        x = one if x is None else x.unionByName(one)
+    m = x.groupBy("kind").agg(F.median("d").alias("med"))
+    rbf = F.exp(-F.col("d") * F.col("d") / (2 * F.col("med") * F.col("med")))
+    return x.join(F.broadcast(m), "kind").select("kind", "i", "j", rnd(F.sqrt("d"), 5).alias("root"), rnd(rbf).alias("rbf"))
 
 
 DENSITY = SEQ + ", t AS (SELECT label, pos::DOUBLE / count(*) OVER (PARTITION BY id) AS t, value AS w FROM s), m AS (SELECT label, sum(w) AS sw, sum(w * w) AS sww, sum(w * t) / sum(w) AS mu, min(t) AS lo, max(t) AS hi FROM t GROUP BY label), b AS (SELECT m.label, any_value(sw) AS sw, sqrt(sum(w * (t - mu) * (t - mu)) / any_value(sw) / (1 - any_value(sww / (sw * sw)))) * power(0.75e0 * any_value(sw * sw / sww), -0.2) AS h, any_value(lo) AS lo, any_value(hi) AS hi FROM t JOIN m ON m.label = t.label GROUP BY m.label), x AS (SELECT label, sw, h, size, i, greatest(lo - 3 * h, -0.5e0) + i * (least(hi + 3 * h, 1.5e0) - greatest(lo - 3 * h, -0.5e0)) / (size - 1) AS x FROM b, (SELECT unnest([64, 128]) AS size) z, (SELECT unnest(range(128)) AS i) y WHERE i < size)"

@@ -11,6 +11,7 @@ from loomspan.operators import mixtures as M
 from loomspan.operators import moments as Q
 from loomspan.operators import scores as E
 from loomspan.operators import sequences as S
+from loomspan.operators import trees as R
 from loomspan.functions import vectors as V
 from loomspan.plans.registry import query
 from loomspan.plans.relational import RUN, SEQ, rnd
@@ -186,6 +187,22 @@ def eval_silhouette_cohort(spark, d):
     return E.silhouettes(blocks(spark, d)).select("sample", "n", rnd("silhouette", 5).alias("silhouette"))
 
 
+@query()
+def clu_spanning_tree(spark, d):
+    """The minimum spanning tree of the blocks under mutual reachability (five points, itself counted)."""
+    return R.spanning_tree(blocks(spark, d), 5).select("a", "b", rnd("w").alias("w"))
+
+
+@query()
+def clu_tree_cuts(spark, d):
+    """Clusters from one tree: single linkage cut to ten, and parts of five points or more below the median edge (the others are noise)."""
+    x = stored(blocks(spark, d).select("pos", "v"), "vectors")
+    tree = stored(R.spanning_tree(x, 5), "tree")
+    reach = tree.agg(F.median("w")).first()[0] or 0.0
+    linkage = R.cut(x, tree, 10).select(F.lit("linkage").alias("how"), "pos", "cluster")
+    return linkage.unionByName(R.cut(x, tree, None, reach, 5).select(F.lit("density").alias("how"), "pos", "cluster"))
+
+
 FOURIER = "u AS (SELECT k, j, md5(k || '|' || j) AS h FROM range(256) r(k), range(64) s(j)), fw AS (SELECT k, list(sqrt(-2 * ln((('0x' || substr(h, 1, 8))::BIGINT + 0.5e0) / 4294967296e0)) * cos(2 * pi() * ((('0x' || substr(h, 9, 8))::BIGINT + 0.5e0) / 4294967296e0)) / 2e0 ORDER BY j) AS w FROM u GROUP BY k), fb AS (SELECT k, w, 2 * pi() * ((('0x' || substr(md5(k::VARCHAR), 17, 8))::BIGINT + 0.5e0) / 4294967296e0) AS b FROM fw)"
 
 
