@@ -9,18 +9,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from loomspan.llm.common import read, slices
+from loomspan.llm.common import labelled, read
 
 VOCABULARY = "word_bpe_49k.json"
 #: Entries of a worker's table of pre-tokens before it starts anew.
@@ -110,26 +108,21 @@ def encode(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCABULARY
     """docs plus n_tokens and, by `output`, digests (ids_sha256, decoded_sha256) or the values (ids, decoded).
 
     vocabulary: a name of public_tokenizers or a path that every executor can open. A null text counts as empty: no
-    tokens, an empty decoded text. Columns of the new names are replaced, others passed through. Texts of any length are
+    tokens, an empty decoded text. Columns of the new names, in any case, are replaced, others passed through, whatever their names. Texts of any length are
     read whole, rows that repeat get equal results, an empty table gives an empty table.
     """
-    docs = docs.drop("n_tokens", *(("ids", "decoded") if output == "values" else ("ids_sha256", "decoded_sha256")))
     values = output == "values"
     kinds = [("n_tokens", T.LongType()), *([("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())] if values else [("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())])]
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in kinds)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> list[pa.Array]:
         own = encoder(vocabulary)
-        for batch in slices(batches, text_col):
-            out = [own.encode(t or "") for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            counts = pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in out], pa.int64())
-            if values:
-                more = [pa.array([[int(x) for x in ids.split()] for ids, _ in out], pa.list_(pa.int32())), pa.array([d for _, d in out], pa.string())]
-            else:
-                more = [pa.array([hashlib.sha256(x[k].encode()).hexdigest() for x in out], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, counts, *more], [*batch.schema.names, *(n for n, _ in kinds)])
-
-    return docs.mapInArrow(run, schema)
+        out = [own.encode(t or "") for t in texts.to_pylist()]
+        counts = pa.array([ids.count(" ") + 1 if ids else 0 for ids, _ in out], pa.int64())
+        if values:
+            return [counts, pa.array([[int(x) for x in ids.split()] for ids, _ in out], pa.list_(pa.int32())), pa.array([d for _, d in out], pa.string())]
+        return [counts, *(pa.array([hashlib.sha256(x[k].encode()).hexdigest() for x in out], pa.string()) for k in (0, 1))]
+
+    return labelled(docs, text_col, kinds, run)
 
 
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes that separate words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -80,6 +81,11 @@ def keyed(rows: DataFrame, table: DataFrame, key: str, hot: int = 1024) -> DataF
     return fast.unionByName(slow.select(*own, *held))
 
 
+def named(column: str):
+    """A column by its very name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow string column as bytes; null reads as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
@@ -103,6 +109,27 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 8 << 20) ->
             yield batch.slice(begin)
 
 
+def labelled(docs: DataFrame, text_col: str, kinds: list[tuple], run) -> DataFrame:
+    """docs plus the columns `kinds` (name, type), which run(texts) gives as Arrow arrays for an Arrow column of texts.
+
+    Columns that have a new name, in any case, are replaced; the others go through the workers under plain names of their
+    own, so theirs may hold dots, backticks or anything else.
+    """
+    gone = {n.lower() for n, _ in kinds}
+    kept = [c for c in docs.columns if c.lower() not in gone]
+    rest = {c: f"c{i}" for i, c in enumerate(kept) if c != text_col}
+    flat = docs.select(F.struct(F.lit(0).alias("none"), *(named(c).alias(x) for c, x in rest.items())).alias("row_"), named(text_col).alias("text_"))
+    new = [f"n{i}" for i in range(len(kinds))]
+    schema = T.StructType([*flat.schema.fields, *(T.StructField(x, k) for x, (_, k) in zip(new, kinds, strict=True))])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text_"):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *run(batch.column(1))], ["row_", "text_", *new])
+
+    back = [(F.col("text_") if c == text_col else F.col(f"row_.{rest[c]}")).alias(c) for c in kept]
+    return flat.mapInArrow(each, schema).select(*back, *(F.col(x).alias(n) for x, (n, _) in zip(new, kinds, strict=True)))
+
+
 def words(text: str = "text"):
     """The words of a text as an array column; null text has none."""
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACE), lambda w: w != "")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomspan.llm.common import bucket, read, slices
+from loomspan.llm.common import bucket, labelled, read, slices
 
 TOP = 300
 #: Bound of the sample that profiles are fitted on: documents a language, chosen by a hash of the id.
@@ -80,21 +80,19 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def predict(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", top: int = TOP) -> DataFrame:
-    """All columns of docs plus lang_pred and lang_score (columns of those names are replaced).
+    """All columns of docs plus lang_pred and lang_score (columns of those names, in any case, are replaced).
 
     lang_pred is `und`, with score 0, where the text is null or has no letter, or no profile is known. The score is
     1 less the mean cost of a gram as a share of the worst cost. Languages that tie are taken by name. Texts of any
     length are read whole, rows that repeat get the same label, an empty table gives an empty table; all other columns
     are passed through, whatever their names.
     """
-    docs = docs.drop("lang_pred", "lang_score")
     names = sorted(known)
     table = sorted({int(g) for p in known.values() for g in p[:top]})
     keys = np.array(table, np.int64)
     ranks = np.full((len(names), len(keys) + 1), -1, np.int64)
     for i, name in enumerate(names):
         ranks[i, np.searchsorted(keys, known[name][:top])] = np.arange(len(known[name][:top]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
     def one(text: str | None) -> tuple[str, float]:
         if not text or not names or not LETTER.search(text):
@@ -109,12 +107,11 @@ def predict(docs: DataFrame, known: dict[str, np.ndarray], id_col: str = "doc_id
         best = int(np.argmin(cost))
         return names[best], float(1 - cost[best] / (top * len(own)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            out = [one(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+    def run(texts: pa.Array) -> list[pa.Array]:
+        out = [one(t) for t in texts.to_pylist()]
+        return [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
 
-    return docs.mapInArrow(run, schema)
+    return labelled(docs, text_col, [("lang_pred", T.StringType()), ("lang_score", T.DoubleType())], run)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import read
+from loomspan.llm.common import named, read
 
 #: Documents of one source in a block, at least, and blocks of all rows, about, at most: beyond, blocks grow with the rows, so the plan does not.
 BLOCK, MOST_BLOCKS = 16, 1 << 20
@@ -131,7 +131,7 @@ def ranked(docs: DataFrame, id_col: str, source_col: str) -> DataFrame:
     rows is counted by as many tasks as any other; slices are then shifted by the sizes of those before.
     """
     own = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    salted = docs.select(F.struct(*docs.columns).alias("_row"), own.alias("own"), F.md5(own.cast("binary")).alias("salt"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"))
+    salted = docs.select(F.struct(*map(named, docs.columns)).alias("_row"), own.alias("own"), F.md5(own.cast("binary")).alias("salt"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"))
     salted = salted.withColumn("slice", F.substring("salt", 1, 3))
     sizes = salted.groupBy("src", "slice").agg(F.count("*").alias("n"))
     # one row for each slice of a source: the window is bounded by 4,096 rows
@@ -145,8 +145,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
 
     weights: target shares by source, of any sum; a source that is not named has weight zero and comes when those that
     are named are used up. If None, each gets its document count to the power TEMPERATURE. block: documents in a block;
-    if None, BLOCK, or as many as keep the blocks at MOST_BLOCKS. Columns of docs that have one of the new names are
-    replaced, others are passed through, whatever their names. Null and empty sources are one source. Rows with equal
+    if None, BLOCK, or as many as keep the blocks at MOST_BLOCKS. Columns of docs that have one of the new names, in any
+    case, are replaced, others are passed through, whatever their names. Null and empty sources are one source. Rows with equal
     ids are ordered arbitrarily among themselves; rows of null ids count as of empty ones. Texts are not read. An empty
     table gives an empty table. Only one number for each source (MOST_SOURCES at most) reaches the driver; the plan it
     makes has four bytes for each block at most.
@@ -173,7 +173,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str =
     inside = F.col("block") - F.col("span.base")
     placed = placed.withColumn("phase", F.col("span.phase")).withColumn("k", (inside % F.col("span.quota")).cast("int")).withColumn("first", F.col("span.start") + F.floor(inside / F.col("span.quota")) * F.col("span.slots")).drop("span")
     out = placed.withColumn("chunk", F.floor(F.col("k") / CHUNK).cast("int")).join(sent(chunks), ["phase", "src", "chunk"])
-    return out.withColumn("slot", F.col("first") + F.get("at_slots", F.col("k") % CHUNK)).select(*(F.col(f"_row.`{c}`") for c in docs.columns if c not in ("block", "phase", "slot", "place")), "block", "phase", "slot", "place")
+    return out.withColumn("slot", F.col("first") + F.get("at_slots", F.col("k") % CHUNK)).select(*(F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in ("block", "phase", "slot", "place")), "block", "phase", "slot", "place")
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

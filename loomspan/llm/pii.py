@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import materialize, read
+from loomspan.llm.common import materialize, named, read
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -52,21 +52,68 @@ GAZETTEER = {
 CONTEXT = 40
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as array<struct<s, e, v>>: code points, end exclusive.
+#: Values that a scan takes in one stretch; longer arrays are scanned stretch by stretch, and those again.
+STRETCH = 64
 
-    Splitting on the pattern gives the gaps between the matches, so running sums of both lengths give the places.
+
+def let(x: Column, f) -> Column:
+    """f of x, which is made once however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
+def scan(values: Column, join, zero: int, levels: int = 2) -> Column:
+    """What join gives of all values before each one (`zero` before the first), in linear time.
+
+    Appending to an array copies it, so stretches of STRETCH values are scanned alone, and what a stretch comes to is scanned in turn.
+    """
+    begin = F.lit(zero)
+
+    def short(a):
+        start = F.struct(begin.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(a, start, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+
+    if not levels:
+        return let(values, short)
+
+    def long(a):
+        cuts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(a) / STRETCH).cast("int") - 1, F.lit(0))), lambda i: F.slice(a, i * STRETCH + 1, STRETCH))
+
+        def over(parts):
+            sums = F.transform(parts, lambda b: F.aggregate(b, begin, join))
+            return F.flatten(F.zip_with(parts, scan(sums, join, zero, levels - 1), lambda b, at: F.transform(short(b), lambda x: join(at, x))))
+
+        return let(cuts, over)
+
+    return let(values, lambda a: F.when(F.size(a) <= STRETCH, short(a)).otherwise(long(a)))
+
+
+def matches(text: Column, pattern: str, passing) -> Column:
+    """Leftmost non-overlapping matches that pass, as array<struct<s, e, v, before>>: code points, end exclusive, and the CONTEXT characters before.
+
+    Splitting on the pattern gives the gaps between the matches, so running sums of both lengths give the places. A match
+    has two characters at least, so what stands before it lies in its gap and half as many pieces as characters.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("g"), found.alias("v"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("v"))
+    back = CONTEXT // 2
+
+    def placed(p):
+        size = F.transform(p, lambda x: F.length(x["g"]) + F.coalesce(F.length(x["v"]), F.lit(0)))
+        tails = F.transform(p, lambda x: F.right(F.concat(F.right(x["g"], F.lit(CONTEXT)), F.coalesce(x["v"], F.lit(""))), F.lit(CONTEXT)))
+
+        def each(tail):
+            def one(x, at, i):
+                s = at + F.length(x["g"])
+                near = F.concat(F.array_join(F.slice(tail, F.greatest(i - back, F.lit(0)) + 1, F.least(i, F.lit(back))), ""), F.right(x["g"], F.lit(CONTEXT)))
+                return F.struct(s.alias("s"), (s + F.length(x["v"])).alias("e"), x["v"].alias("v"), F.right(near, F.lit(CONTEXT)).alias("before"))
+
+            held = F.zip_with(p, scan(size, lambda a, b: a + b, 0), lambda x, at: F.struct(x.alias("x"), at.alias("at")))
+            numbered = F.transform(held, lambda y, i: F.struct(y["x"].alias("x"), y["at"].alias("at"), i.alias("i")))
+            kept = F.filter(numbered, lambda y: y["x"]["v"].isNotNull() & passing(y["x"]["v"]))
+            return F.transform(kept, lambda y: one(y["x"], y["at"], y["i"]))
 
-    def add(acc, x):
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["v"])
-        return F.struct(F.coalesce(e, acc["at"]).alias("at"), F.when(x["v"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["v"].alias("v"))))).alias("out"))
+        return let(tails, each)
 
-    return F.aggregate(pairs, start, add)["out"]
+    return let(pieces, placed)
 
 
 def digits(v: Column) -> Column:
@@ -88,36 +135,46 @@ def valid(kind: str, v: Column) -> Column:
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs plus `spans` (a column of that name is replaced): array<struct<s, o, e, kind, base, gaz, ctx, shape>>, by start and kind (o: its place in KINDS).
+    """docs plus `spans` (a column of that name, in any case, is replaced): array<struct<s, o, e, kind, base, gaz, ctx, shape>>, by start and kind (o: its place in KINDS).
 
     base spans pass the contract's checks. Wide ones overlap no base span of any kind. gaz and ctx are votes 1 or 0;
-    shape is 1 for a span with separators.
+    shape is 1 for a span with separators. The time goes with the text, however many spans it holds.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    empty = F.array().cast("array<struct<s:int,e:int,v:string>>")
-    out = docs.select(F.struct(*(c for c in docs.columns if c != "spans")).alias("_row"), text.alias("t"))
+    empty = F.array().cast("array<struct<s:int,e:int,v:string,before:string>>")
+    out = docs.select(F.struct(*(named(c) for c in docs.columns if c.lower() != "spans")).alias("_row"), text.alias("t"))
+    # numbers of card length that fail are candidates too
+    passing = {k: (lambda v: F.length(digits(v)).between(12, 19)) if k == "card" else (lambda v, k=k: valid(k, v)) for k in KINDS}
     for kind in KINDS:
         needed = F.contains("t", F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
-        out = out.withColumn(f"b_{kind}", F.when(needed & F.col("t").rlike(BASE[kind]), matches(F.col("t"), BASE[kind])).otherwise(empty))
+        out = out.withColumn(f"b_{kind}", F.when(needed & F.col("t").rlike(BASE[kind]), matches(F.col("t"), BASE[kind], passing[kind])).otherwise(empty))
 
     def votes(kind: str, column: Column, base: int) -> Column:
         def one(x):
-            before = F.lower(F.substring(F.col("t"), F.greatest(x["s"] - CONTEXT, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT))))
             return F.struct(
                 x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("o"), x["e"].alias("e"), F.lit(kind).alias("kind"), F.lit(base).alias("base"),
-                x["v"].rlike(GAZETTEER[kind]).cast("int").alias("gaz"), before.rlike(CUES[kind]).cast("int").alias("ctx"), x["v"].rlike(r"[\x20().-]").cast("int").alias("shape"),
+                x["v"].rlike(GAZETTEER[kind]).cast("int").alias("gaz"), F.lower(x["before"]).rlike(CUES[kind]).cast("int").alias("ctx"), x["v"].rlike(r"[\x20().-]").cast("int").alias("shape"),
             )
 
         return F.transform(column, one)
 
-    passing = lambda kind: lambda x: valid(kind, x["v"])
-    base = F.concat(*(votes(k, F.filter(f"b_{k}", passing(k)), 1) for k in KINDS))
-    out = out.withColumn("base", base)
-    free = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    wide = [votes(k, F.filter(F.when(F.col("t").rlike(p), matches(F.col("t"), p)).otherwise(empty), free), 0) for k, p in WIDE.items()]
-    # failing numbers of card length are candidates too
-    wide.append(votes("card", F.filter("b_card", lambda x: F.length(digits(x["v"])).between(15, 16) & ~valid("card", x["v"]) & free(x)), 0))
-    return out.withColumn("wide", F.concat(*wide)).select("_row.*", F.array_sort(F.concat("base", "wide")).alias("spans"))
+    good = {k: F.col(f"b_{k}") if k != "card" else F.filter("b_card", lambda x: valid("card", x["v"])) for k in KINDS}
+    base = F.concat(*(votes(k, good[k], 1) for k in KINDS))
+    wide = [votes(k, F.when(F.col("t").rlike(p), matches(F.col("t"), p, lambda v: F.lit(True))).otherwise(empty), 0) for k, p in WIDE.items()]
+    wide.append(votes("card", F.filter("b_card", lambda x: F.length(digits(x["v"])).between(15, 16) & ~valid("card", x["v"])), 0))
+    out = out.withColumn("base", base).withColumn("wide", F.concat(*wide)).select("_row", "base", "wide")
+    spans = F.when(F.size("wide") == 0, F.array_sort("base")).otherwise(let(F.array_sort(F.concat("base", "wide")), apart))
+    return out.select("_row.*", spans.alias("spans"))
+
+
+def apart(spans: Column) -> Column:
+    """Of spans in order the base ones, and of the others those that overlap none of them: the furthest end of those before and the next start decide."""
+    ends = scan(F.transform(spans, lambda x: F.when(x["base"] == 1, x["e"]).otherwise(0)), lambda a, b: F.greatest(a, b), 0)
+    far = (1 << 31) - 1
+    starts = F.reverse(scan(F.transform(F.reverse(spans), lambda x: F.when(x["base"] == 1, x["s"]).otherwise(far)), lambda a, b: F.least(a, b), far))
+    held = F.zip_with(F.zip_with(spans, ends, lambda x, e: F.struct(x.alias("x"), e.alias("e"))), starts, lambda y, s: F.struct(y["x"].alias("x"), y["e"].alias("e"), s.alias("s")))
+    free = F.filter(held, lambda y: (y["x"]["base"] == 1) | ((y["e"] <= y["x"]["s"]) & (y["s"] >= y["x"]["e"])))
+    return F.transform(free, lambda y: y["x"])
 
 
 def estimate(patterns: list[tuple[tuple, int]], rounds: int = 200) -> tuple[dict, dict]:
@@ -173,10 +230,11 @@ def detect(docs: DataFrame, text_col: str = "text", without: tuple[str, ...] = (
 
     A null text counts as empty, an empty one has no spans; texts of any length are read whole, rows that repeat get the
     same spans, an empty table gives an empty table. Kinds that begin at one place stand in the order of KINDS. A column
-    named spans is replaced, others are passed through. Candidates are written once to the shared folder, less the columns in `without`; the
-    classifier is fitted on counts of all of them.
+    named spans, in any case, is replaced, others are passed through, whatever their names. Candidates are written once to the
+    shared folder, less the columns in `without`; the classifier is fitted on counts of all of them.
     """
-    found = materialize(candidates(docs, text_col).drop(*without), "pii")
+    found = candidates(docs, text_col)
+    found = materialize(found.select(*(named(c) for c in found.columns if c not in without)), "pii")
     votes = found.select(F.explode("spans").alias("x")).groupBy("x.kind", "x.base", "x.gaz", "x.ctx", "x.shape").agg(F.count("*").alias("n"))
     patterns = sorted(((r["kind"], r["base"], r["gaz"], r["ctx"], r["shape"]), r["n"]) for r in votes.collect())
     post, _ = estimate(patterns)
@@ -191,16 +249,40 @@ def detect(docs: DataFrame, text_col: str = "text", without: tuple[str, ...] = (
     return found.withColumn("spans", F.filter("spans", accepted))
 
 
+#: Characters of the pieces that a text is cut into before it is cut at spans.
+PIECES = (1 << 18, 1 << 9)
+
+
+def cut(text: Column, sizes: tuple[int, ...] = PIECES) -> Column:
+    """The text in pieces of the last of the sizes; each size is cut from pieces of the one before, since a substring reads all that stands before it."""
+    size, *rest = sizes
+    places = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0)))
+    pieces = F.transform(places, lambda i: F.substring(text, i * size + 1, F.lit(size)))
+    return F.flatten(F.transform(pieces, lambda p: cut(p, tuple(rest)))) if rest else pieces
+
+
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by [KIND]; of overlapping spans the first by start and kind counts."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with each span replaced by [KIND]; of overlapping spans the first by start and kind counts, and all they cover goes."""
+    size = PIECES[-1]
+
+    def part(pieces, a, b):
+        first = F.floor(a / size).cast("int")
+        near = F.array_join(F.slice(pieces, first + 1, F.floor(b / size).cast("int") - first + 1), "")
+        return F.substring(near, (a - first * size).cast("int") + 1, b - a)
+
+    def masked(order):
+        ends = scan(F.transform(order, lambda x: x["e"]), lambda a, b: F.greatest(a, b), 0)
+        # a span that begins where all before it have ended stands for those that overlap it; what is before it and after their ends stays
+        held = F.filter(F.zip_with(order, ends, lambda x, e: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), e.alias("from"))), lambda y: y["s"] >= y["from"])
+        last = F.array_max(F.transform(order, lambda x: x["e"]))
+
+        def joined(p):
+            body = F.array_join(F.transform(held, lambda y: F.concat(part(p, y["from"], y["s"]), F.lit("["), F.upper(y["kind"]), F.lit("]"))), "")
+            return F.concat(body, F.substring(text, last + 1, F.length(text)))
 
-    def add(acc, x):
-        piece = F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out")))
+        return let(cut(text), joined)
 
-    done = F.aggregate(spans, start, add)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(spans, masked))
 
 
 def listed(spans: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomspan.llm.common import keyed, materialize, read, slices, utf8
+from loomspan.llm.common import keyed, materialize, named, read, slices, utf8
 from loomspan.llm.graph import connected_components
 
 SEED = 42
@@ -134,7 +134,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of any names are passed through.
     """
     kept = near_duplicates(docs, id_col, text_col, shingle, distance).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_text")).distinct()
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("text"))
+    own = docs.select(F.struct(*map(named, docs.columns)).alias("row"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text_col).alias("text"))
     own = own.join(kept, F.col("own").eqNullSafe(F.col("kept_id")) & (F.col("text") == F.col("kept_text")), "left_semi")
     place = F.row_number().over(W.partitionBy("own", "text").orderBy(F.lit(0)))
     return own.withColumn("place", place).where("place = 1").select("row.*")

@@ -1,8 +1,10 @@
 """Each operator against a brute-force version on small tables: nulls, empty and long texts, ties, repeats, extra columns."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -234,6 +236,52 @@ def test_pii(spark, docs, empty):
     assert [c for c in pii.detect(docs).columns if c != "spans"] == [c for c in docs.columns if c != "spans"]
 
 
+@pytest.mark.parametrize("piece", [lambda i: f"u{i}@mail{i % 7}.example.com 10.0.{i % 256}.{i % 300} ", lambda i: f"{i % 10000:04d}, ", lambda i: f"call (212) 555-{i % 10000:04d}; ", lambda i: f"é {4111111111110000 + i % 10000} 😀"])
+def test_pii_of_nine_megabytes(spark, piece):
+    """A very long text full of matches takes time in proportion; every base span and the text between is right."""
+    text = "".join(map(piece, range(9_000_000 // len(piece(5000)))))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    found = pii.detect(df)
+    r = found.select("spans", pii.redacted(F.col("text"), F.col("spans")).alias("masked")).first()
+    assert time.time() - began < 120
+    want = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text)]
+    assert [(s["s"], s["e"]) for s in r["spans"] if s["kind"] == "email"] == want
+    out, at = [], 0
+    for s in r["spans"]:
+        if s["s"] >= at:
+            out += [text[at : s["s"]], f"[{s['kind'].upper()}]"]
+        at = max(at, s["e"])
+    assert r["masked"] == "".join(out) + text[at:]
+
+
+def test_scans(spark):
+    rng = random.Random(5)
+    for n in (0, 1, 63, 64, 65, 4096, 4097, 9000):
+        x = [rng.randint(0, 100) for _ in range(n)]
+        df = spark.createDataFrame([(x,)], "x array<int>")
+        total, most = df.select(pii.scan(F.col("x"), lambda a, b: a + b, 0), pii.scan(F.col("x"), lambda a, b: F.greatest(a, b), 0)).first()
+        assert total == list(itertools.accumulate(x, initial=0))[:n] and most == list(itertools.accumulate(x, max, initial=0))[:n]
+
+
+def test_columns_of_any_name(spark, docs, tmp_path):
+    odd = ["a.b", "back`tick", "Slot", "SPANS", "Lang_Pred", "n_tokens", "own_", "c d"]
+    df = docs.limit(30)
+    for c in odd:
+        df = df.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) if c not in df.columns else df
+    df = common.materialize(df, "test-odd")
+    for out in (mixing.mix(df), pii.detect(df), bpe.encode(df), langid.identify(df)):
+        lower = [c.lower() for c in out.columns]
+        assert len(set(lower)) == len(lower) and out.count() == df.count()
+        assert all(r["a.b"] == "a.b" + ("" if r["doc_id"] is None else str(r["doc_id"])) for r in out.collect())
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert all(r[c] == c + ("" if r["doc_id"] is None else str(r["doc_id"])) for c in ("a.b", "back`tick", "Slot", "SPANS", "Lang_Pred", "c d"))
+    assert corpus_pipeline.encode(spark, df, str(tmp_path)).count() == df.count()
+
+
 def test_em_separates():
     patterns = [(("email", 1, 1, 1, 0), 90), (("email", 0, 0, 0, 1), 60), (("email", 0, 1, 1, 1), 10), (("email", 1, 0, 1, 0), 10)]
     post, rates = pii.estimate(patterns)
