@@ -15,11 +15,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import bpe, langid, mixing, pii, simhash
-from loomspan.llm.common import discard, materialize, read
+from loomspan.llm.common import discard, materialize, named, read
 
 
-def as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+def aside(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """docs with its own columns of these names, in any case, under others, so that an operator may add columns of its own."""
+    taken = {c.lower() for c in docs.columns}
+    free = next(f"own{'_' * n}" for n in range(1, len(taken) + 2) if not any(c.startswith(f"own{'_' * n}") for c in taken))
+    return docs.select(*(named(c).alias(f"{free}{i}" if c.lower() in names else c) for i, c in enumerate(docs.columns)))
+
+
+def as_before(out: DataFrame, held: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, which are those of held under their first names."""
+    return out.select(*(named(x).alias(c) for x, c in zip(held.columns, docs.columns, strict=True)))
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,34 +36,40 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A table without labels loses only these, and its languages stay null.
     """
     # without labels no language is known; one made-up profile then stands for any
-    out = langid.predict(docs, langid.profiles(docs) or {"": np.zeros(1, np.int64)})
-    lang = F.coalesce(F.col("lang"), F.nullif(F.col("lang_pred"), F.lit("")))
-    return out.where(F.col("lang_pred") != langid.UNKNOWN).select(*(lang.alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
+    held = aside(docs, ("lang_pred", "lang_score"))
+    out = langid.predict(held, langid.profiles(docs) or {"": np.zeros(1, np.int64)}).where(F.col("lang_pred") != langid.UNKNOWN)
+    return as_before(out.withColumn("lang", F.coalesce(F.col("lang"), F.nullif(F.col("lang_pred"), F.lit("")))), held, docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates, the least id; empty texts and null ids as in simhash.representatives."""
-    return as_before(simhash.representatives(docs), docs)
+    return as_before(simhash.representatives(docs), docs, docs)
 
 
 def mask(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind in brackets; n_chars is counted again. A null text stays null."""
-    found = pii.detect(docs)
+    """Replaces personal data by its kind in brackets; n_chars is counted again. A null text stays null, an empty table gives an empty one."""
+    held = aside(docs, ("spans",))
+    found = pii.detect(held)
     text = F.when(F.col("text").isNotNull(), pii.redacted(F.col("text"), F.col("spans")))
     out = found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return as_before(out, docs)
+    return as_before(out, held, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts all rows in the order of the mixing plan: the files, read in order, hold the sources by their weights. A null source is one as others are."""
-    return as_before(mixing.mix(docs).orderBy("slot", "place"), docs)
+    """Puts all rows in the order of the mixing plan: the files, read in order, hold the sources by their weights. A null source is one as others are.
+
+    Rows of equal ids tie and stand in any order among themselves; an empty table gives an empty one.
+    """
+    held = aside(docs, ("block", "phase", "slot", "place"))
+    return as_before(mixing.mix(held).orderBy("slot", "place"), held, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their places in the mixing plan, token counts and the digests of ids and of the decoded text.
 
     Files do not keep an order when Spark reads them, so the plan is made again: the same rows give the same one. A null
-    text has no tokens.
+    text has no tokens, rows that repeat get equal ones, and an empty table gives an empty one. Columns of the new names are
+    replaced.
     """
     return bpe.encode(mixing.mix(docs))
 
