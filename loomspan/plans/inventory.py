@@ -9,13 +9,15 @@ from pyspark.sql import SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators import joins as J
 from loomspan.operators import sequences as S
 from loomspan.operators.alignment import band
 from loomspan.plans.kernels import small
 from loomspan.plans.registry import query
 from loomspan.plans.relational import RUN, SEQ, rnd
+from loomspan.plans.vector import EUCLID, VEC, prototypes
 from loomspan.sources import tables as T
-from loomspan.sources.tables import sequences, table
+from loomspan.sources.tables import blocks, sequences, table
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -159,12 +161,22 @@ def clu_hac(spark, d):
     return spark.createDataFrame([(i, int(c)) for i, c in enumerate(linkage_labels(small(spark, d), 5))], "proto int, cluster int")
 
 
-@query(f"WITH {SEQ} SELECT s.id, s.pos, s.label, p.share FROM s LEFT JOIN (SELECT label, count(*) AS share FROM s GROUP BY label HAVING label <> 1) p ON p.label = s.label")
+PICKS = "f AS (SELECT pos, id, 'clustering' AS method, label FROM b WHERE id % 4 < 2 UNION ALL SELECT pos, id, 'projection', (label + pos) % 10 FROM b WHERE id % 4 BETWEEN 1 AND 2)"
+
+
+@query(f"WITH {VEC}, {PICKS}, w AS (SELECT DISTINCT id, CASE WHEN id % 3 = 0 THEN 'projection' ELSE 'clustering' END AS method FROM b), d AS (SELECT pos, round(min({EUCLID}), 5) AS dist FROM b, p GROUP BY pos) SELECT b.id, b.pos, w.method, coalesce(f.label, -3) AS label, f.label IS NOT NULL AS attached, d.dist FROM b JOIN w ON w.id = b.id JOIN d ON d.pos = b.pos LEFT JOIN f ON f.pos = b.pos AND f.method = w.method")
 def clu_label_attach(spark, d):
-    """A value of each label joined to the frames; frames of a label without one stay."""
-    s = sequences(spark, d).select("id", "pos", "label")
-    per = s.groupBy("label").agg(F.count("*").alias("share")).where("label <> 1")
-    return s.join(F.broadcast(per), "label", "left").select("id", "pos", "label", "share")
+    """Labels of each recording's own method, and the least distance to any prototype; blocks without a label of that method are unmapped (-3).
+
+    Two methods have labelled some of the recordings each, so some have both, some one and some none.
+    """
+    b = blocks(spark, d)
+    own = b.select("id", "pos", "v", F.when(F.col("id") % 3 == 0, "projection").otherwise("clustering").alias("method"))
+    clustering = b.where("id % 4 < 2").select("pos", F.lit("clustering").alias("method"), "label")
+    projection = b.where("id % 4 BETWEEN 1 AND 2").select("pos", F.lit("projection").alias("method"), ((F.col("label") + F.col("pos")) % 10).alias("label"))
+    dist = J.nearest_centroid(own.select("pos", "v"), prototypes(spark, d)).select("pos", "dist")
+    out = own.drop("v").join(clustering.unionByName(projection), ["pos", "method"], "left").join(dist, "pos")
+    return out.select("id", "pos", "method", F.coalesce("label", F.lit(-3)).alias("label"), F.col("label").isNotNull().alias("attached"), F.round("dist", 5).alias("dist"))
 
 
 @query("SELECT event_id, value * 2 + 1 AS twice FROM events")

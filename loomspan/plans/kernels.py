@@ -74,9 +74,9 @@ def dist_rtwe_path(spark, d):
 
 @query()
 def dist_dba_barycenter(spark, d):
-    """The barycentre of the recordings of each market segment."""
+    """The time-warp edit barycentre of each market segment, from the train half of its recordings."""
     seg = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("g"))
-    return A.barycenters(cohort(spark, d).join(seg, "id").select("g", "id", "q"), COSTS)
+    return A.barycenters(A.train_half(cohort(spark, d).join(seg, "id").select("g", "id", "q")), COSTS).withColumn("cost", F.round("cost", 6))
 
 
 @query()

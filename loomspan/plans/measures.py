@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -357,14 +358,18 @@ def dist_xcorr_lag(spark, d):
     A lag is that of the greatest normalised cross-correlation over all lags, positive where the first signal is later.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = pdf.sort_values("pos")
-        x, y, z = (g[c].to_numpy(float) for c in "xyz")
-        (xy, score), (yz, _), (xz, _) = lag_of(x, y), lag_of(y, z), lag_of(x, z)
-        return pd.DataFrame({"id": [g["id"].iloc[0]], "xy": [xy / RATE], "yz": [yz / RATE], "xz": [xz / RATE], "score": [score]})
-
-    s = sequences(spark, d).select("id", "pos", F.col("value").alias("x"), F.col("label").alias("y"), (F.col("event_id") % 7).alias("z"))
-    out = s.groupBy("id").applyInPandas(run, "id long, xy double, yz double, xz double, score double")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for i, x, y, z in zip(f["id"], *(f[c].map(lambda v: np.asarray(v, float)) for c in "xyz"), strict=True):
+                (xy, score), (yz, _), (xz, _) = lag_of(x, y), lag_of(y, z), lag_of(x, z)
+                out.append((i, xy / RATE, yz / RATE, xz / RATE, score))
+            yield pd.DataFrame(out, columns=["id", "xy", "yz", "xz", "score"])
+
+    s = sequences(spark, d).select("id", "pos", F.col("value").alias("x"), F.col("label").cast("double").alias("y"), (F.col("event_id") % 7).cast("double").alias("z"))
+    # a recording is a row of arrays, so a task takes many of them at a time
+    whole = s.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y", "z"))).alias("r")).select("id", "r.x", "r.y", "r.z")
+    out = whole.mapInPandas(run, "id long, xy double, yz double, xz double, score double")
     out = out.select("id", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("xy", "yz", "xz", "score")))
     off = rnd(F.abs(F.col("xy") + F.col("yz") - F.col("xz")))
     return out.select("id", "xy", "yz", "xz", rnd("score").alias("score"), F.coalesce(off, F.lit(0.0)).alias("distortion"), F.coalesce(off <= 1, F.lit(True)).alias("consistent"))

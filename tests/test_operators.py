@@ -141,8 +141,38 @@ def test_all_pairs_meet_once(spark):
 
 def test_barycenter(spark):
     m = spark.createDataFrame([("u", i, [1, 2, 2, 3]) for i in range(5)] + [("v", 9, [4, 4, 5, 5])], "g string, id long, q array<int>")
-    got = {(r["g"], r["pos"]): r["label"] for r in A.barycenters(m, COSTS).collect()}
-    assert [got["u", i] for i in range(4)] == [1, 2, 2, 3] and [got["v", i] for i in range(4)] == [4, 4, 5, 5]
+    for measure in ("rtwe", "dtw"):
+        got = {(r["g"], r["pos"]): (r["label"], r["cost"]) for r in A.barycenters(m, COSTS, measure=measure).collect()}
+        assert [got["u", i] for i in range(4)] == [(1, 0), (2, 0), (2, 0), (3, 0)] and [got["v", i] for i in range(4)] == [(4, 0), (4, 0), (5, 0), (5, 0)]
+
+
+def test_barycenter_against_plain_rounds(spark):
+    rng = np.random.default_rng(6)
+    groups = {"u": rng.integers(1, 6, (9, 12)), "v": np.repeat(rng.integers(1, 6, (7, 6)), 2, 1)}
+    m = spark.createDataFrame([(g, i, [int(z) for z in q]) for g, x in groups.items() for i, q in enumerate(x)], "g string, id long, q array<int>").repartition(4)
+    got = {}
+    for r in A.barycenters(m, COSTS).orderBy("g", "pos").collect():
+        got.setdefault(r["g"], []).append((r["label"], r["cost"]))
+    for g, x in groups.items():
+        c = [min(range(1, 6), key=lambda s: (-(x[:, i] == s).sum(), s)) for i in range(12)]  # noqa: B023
+        kept = None
+        for _ in range(100):
+            tables = [slow_edit(c, q) for q in x]
+            cost = sum(t[-1, -1] for t in tables)
+            if kept and kept[1] - cost <= 1e-5:
+                kept = (c, cost) if cost <= kept[1] else kept
+                break
+            kept, new = (c, cost), list(c)
+            for i in range(12):
+                near = [q[b - 1] for t, q in zip(tables, x) for a, b in A.path(t) if a == i + 1 and b]
+                if near:
+                    new[i] = min(range(6), key=lambda s: (round(sum(COSTS[s, z] for z in near), 9), s))  # noqa: B023
+            c = new
+        assert [s for s, _ in got[g]] == kept[0] and np.isclose(got[g][0][1], kept[1])
+    tables = A.edit_tables(groups["u"][:3], groups["v"][:3, :5], COSTS)
+    assert all(np.allclose(t, slow_edit(a, b)) for t, a, b in zip(tables, groups["u"], groups["v"][:3, :5]))
+    half = A.train_half(spark.range(4000).withColumnRenamed("id", "id")).count()
+    assert 1850 < half < 2150
 
 
 def slow_cost(x, kernel, gamma):
