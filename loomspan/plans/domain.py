@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomspan.operators import consolidation as O
 from loomspan.operators import detection as D
 from loomspan.operators import joins as J
 from loomspan.operators import sequences as S
 from loomspan.functions import vectors as V
+from loomspan.plans.inventory import folder
 from loomspan.plans.measures import greedy_sql
 from loomspan.plans.registry import query
 from loomspan.plans.relational import RUN, SEQ, rnd
@@ -179,12 +181,67 @@ def baseline_wasserstein_barycenter(spark, d):
     return w.groupBy("g", "label").agg(rnd(F.avg("m"), 5).alias("centre"), rnd(F.avg("n"), 5).alias("mass"))
 
 
-@query("SELECT o_custkey, o_clean, count(*) AS n FROM (SELECT o_custkey, CASE WHEN o_orderpriority LIKE '%SPEC%' THEN 'none' ELSE lower(o_orderpriority) END AS o_clean FROM orders) GROUP BY ALL HAVING count(*) >= 2")
+CAMERAS = "['GoPro1', 'GoPro2', 'GoPro3', 'Tobii']"
+RECORDED = f"o AS (SELECT o_custkey AS c, o_custkey::VARCHAR AS participant_id, CASE WHEN o_orderpriority < '3' THEN 'cuisine' ELSE 'lego' END AS task_name, {CAMERAS}[o_orderkey % 4 + 1] AS modality, o_orderkey::VARCHAR AS video_name, CASE WHEN o_orderstatus = 'F' THEN 'hand/' || o_orderkey END AS hand_path, CASE WHEN o_orderkey % 5 = 0 THEN 'speech/' || o_orderkey END AS speech_path FROM orders), rec AS (SELECT *, participant_id || '_' || task_name || '_' || modality || '_' || video_name AS identifier FROM o), res AS (SELECT c_custkey::VARCHAR AS participant_id, t.task_name, {CAMERAS}[m + 1] AS folder_modality, {CAMERAS}[CASE WHEN c_custkey % 5 = 0 THEN (m + 1) % 4 ELSE m END + 1] AS true_modality, c_custkey % 5 = 0 AS swapped, (c_custkey % 11 = 0 AND m = 1) OR (c_custkey % 13 = 0 AND m = 2) AS failed FROM customer, range(4) r(m), (VALUES ('cuisine'), ('lego')) t(task_name) WHERE (c_custkey + m) % 3 <> 0)"
+
+
+def recorded(spark, d):
+    """(recordings, inspection results): orders as videos of customers by four cameras, two thirds of the cameras looked at."""
+    names = F.array(*map(F.lit, ("GoPro1", "GoPro2", "GoPro3", "Tobii")))
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    rows = o.select(
+        F.col("o_custkey").cast("string").alias("participant_id"), F.when(F.col("o_orderpriority") < "3", "cuisine").otherwise("lego").alias("task_name"), F.get(names, (key % 4).cast("int")).alias("modality"), key.cast("string").alias("video_name"),
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("hand/"), key.cast("string"))).alias("hand_path"), F.when(key % 5 == 0, F.concat(F.lit("speech/"), key.cast("string"))).alias("speech_path"),
+    )
+    rows = rows.withColumn("identifier", F.concat_ws("_", "participant_id", "task_name", "modality", "video_name"))
+    c, m = F.col("c_custkey"), F.col("m")
+    seen = table(spark, d, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("m")).where((c + m) % 3 != 0).withColumn("task_name", F.explode(F.array(F.lit("cuisine"), F.lit("lego"))))
+    flag = lambda x, name: F.when(x, 1).otherwise(0).alias(name)
+    results = seen.select(
+        c.cast("string").alias("participant_id"), "task_name", F.get(names, m).alias("folder_modality"), F.get(names, F.when(c % 5 == 0, (m + 1) % 4).otherwise(m)).alias("true_modality"), (c % 5 == 0).alias("is_swapped_modality"),
+        flag((c % 11 == 0) & (m == 1), "GP2_above"), flag((c % 13 == 0) & (m == 2), "is_middle_range"), F.lit(0).alias("GP2_is_wrong_buttress"), F.lit(0).alias("GoPro1_is_wrong_buttress"),
+    )
+    return rows, results
+
+
+FEATURES = {"flag_hand": ("hand_path", ("GoPro1", "GoPro3")), "flag_speech": ("speech_path", ("GoPro1", "GoPro2", "GoPro3"))}
+
+
+@query(f"WITH {RECORDED}, m AS (SELECT rec.* REPLACE (CASE WHEN res.swapped THEN res.true_modality ELSE rec.modality END AS modality, CASE WHEN res.swapped THEN rec.participant_id || '_' || rec.task_name || '_' || res.true_modality || '_' || video_name ELSE identifier END AS identifier), rec.modality AS folder_modality, res.participant_id IS NOT NULL AS inspected FROM rec LEFT JOIN res ON res.participant_id = rec.participant_id AND res.task_name = rec.task_name AND res.folder_modality = rec.modality WHERE NOT coalesce(res.failed, false)), a AS (SELECT *, CASE WHEN max((modality = 'GoPro2')::INT) OVER w = 1 THEN 'GoPro1' WHEN max((modality = 'GoPro3')::INT) OVER w = 1 THEN 'GoPro3' END AS audio_modality FROM m WINDOW w AS (PARTITION BY participant_id)) SELECT identifier, modality, folder_modality, audio_modality, inspected, CASE WHEN hand_path IS NOT NULL THEN 'success' WHEN modality IN ('GoPro1', 'GoPro3') THEN 'unprocessed' ELSE 'disabled' END AS flag_hand, CASE WHEN modality = audio_modality THEN CASE WHEN speech_path IS NOT NULL THEN 'success' WHEN modality IN ('GoPro1', 'GoPro2', 'GoPro3') THEN 'unprocessed' ELSE 'disabled' END ELSE 'disabled' END AS flag_speech FROM a")
+def ops_qc_apply(spark, d):
+    """Inspection merged, failed collections dropped, swapped cameras renamed, flags and the audio camera set again."""
+    out = O.apply_inspection(*recorded(spark, d), FEATURES)
+    return out.select("identifier", "modality", "folder_modality", "audio_modality", "inspected", *FEATURES)
+
+
+@query(f"WITH {SEQ}, v AS (SELECT id, unnest([0, 1, 2]) AS k FROM (SELECT DISTINCT id FROM s)), n AS (SELECT v.id, k, CASE WHEN k = 2 THEN '.boris' ELSE '.json' END AS tool, count(*) FILTER (CASE k WHEN 0 THEN true WHEN 1 THEN label <> v.id % 5 ELSE (pos + v.id) % 2 = 0 END) AS n FROM v JOIN s ON s.id = v.id WHERE k = 0 AND v.id % 3 <> 0 OR k = 1 AND v.id % 3 <> 1 OR k = 2 AND v.id % 4 <> 3 GROUP BY ALL HAVING n > 0), b AS (SELECT id, k, n FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, k DESC) = 1), l AS (SELECT b.id, b.k, s.label, s.pos FROM b JOIN s ON s.id = b.id AND CASE b.k WHEN 0 THEN true WHEN 1 THEN s.label <> b.id % 5 ELSE (s.pos + b.id) % 2 = 0 END) SELECT id, k AS file, CASE label WHEN 1 THEN 'A10' ELSE ['D1', 'E1', 'B1', 'C1', 'F1'][label + 1] END AS label, CASE label WHEN 1 THEN 'A' ELSE ['D', 'E', 'B', 'C', 'F'][label + 1] END AS category, count(*) AS n FROM l GROUP BY ALL")
 def ops_annotation_ingest(spark, d):
-    """ops.annotation_ingest and ops.annotation_filter: recode, count by item and keep those with enough entries."""
-    p = F.col("o_orderpriority")
-    clean = F.when(p.contains("SPEC"), "none").otherwise(F.lower(p)).alias("o_clean")
-    return table(spark, d, "orders").groupBy("o_custkey", clean).agg(F.count("*").alias("n")).where("n >= 2")
+    """Annotation files of two tools written for each recording by up to three hands, walked, parsed, chosen by their number of entries, corrected, saved and read back."""
+    labels = ("D1", "E1", "B1", "C1", "F1")
+    s = sequences(spark, d)
+    codes = spark.createDataFrame([(x, x.lower(), i, i, f"category {x[0]}") for i, x in enumerate(labels)], "label string, semantic string, code int, color int, category_label string")
+    names = spark.createDataFrame(list(zip(T.SYMBOLS, labels)), "behaviour string, label string")
+    listed = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(x).alias("name"), F.lit("#000").alias("color")) for i, x in enumerate(labels)))
+    action = F.struct(F.col("pos").cast("double").alias("start"), (F.col("pos") + 0.5).alias("end"), F.col("label").cast("int").alias("action"), F.lit("").alias("description"))
+    event = F.array(F.col("pos").cast("string"), F.lit("subject"), F.col("sym"), F.lit(""), F.lit(""))
+    kinds = [x for i, sym in enumerate(T.SYMBOLS) for x in (F.lit(str(i)), F.struct(F.lit("Point event").alias("type"), F.lit(sym).alias("code")))]
+    media = F.struct(F.create_map(F.lit("a.mp4"), F.lit(25.0)).alias("fps"), F.create_map(F.lit("a.mp4"), F.lit(60.0)).alias("length"))
+    first = lambda rows, x: rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", x.alias("x"))))["x"].alias("x"))
+    vidat = F.to_json(F.struct(F.struct(listed.alias("actionLabelData")).alias("config"), F.struct(F.struct(F.lit(25.0).alias("fps"), F.lit(1500).alias("frames")).alias("video"), F.col("x").alias("actionAnnotationList")).alias("annotation")))
+    boris = F.to_json(F.struct(F.create_map(F.lit("first"), F.struct(F.col("x").alias("events"), media.alias("media_info"))).alias("observations"), F.create_map(*kinds).alias("behaviors_conf")))
+    whole = first(s.where("id % 3 <> 0"), action).select("id", F.lit(0).alias("k"), vidat.alias("json"))
+    some = first(s.where("id % 3 <> 1 AND label <> id % 5"), action).select("id", F.lit(1).alias("k"), vidat.alias("json"))
+    half = first(s.where("id % 4 <> 3 AND (pos + id) % 2 = 0"), event).select("id", F.lit(2).alias("k"), boris.alias("json"))
+    at = folder(spark, "annotations")
+    whole.unionByName(some).unionByName(half).repartition(8, "id").write.partitionBy("id", "k").option("maxRecordsPerFile", 1).text(at)
+    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(at).select("value", F.col("_metadata.file_path").alias("at"))
+    part = lambda k: F.regexp_extract("at", r"/id(?:=|%3D)([0-9]+)/k(?:=|%3D)([0-9])/", k)
+    named = found.select(part(1).alias("identifier"), part(2).alias("k"), "value")
+    files = named.select("identifier", F.concat("identifier", F.lit("/"), "k", F.when(F.col("k") == "2", ".boris").otherwise(".json")).alias("path"), F.col("value").alias("json"))
+    kept, _ = O.ingest(files, codes, names, ("0.boris",))
+    T.save(kept, f"{at}-all")
+    out = spark.read.parquet(f"{at}-all")
+    return out.groupBy(F.col("identifier").cast("long").alias("id"), F.regexp_extract("path", "/([0-9])", 1).cast("int").alias("file"), "label", "category").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, count(*) AS n, 'events' AS origin, min(event_id) AS first FROM events GROUP BY user_id ORDER BY user_id")

@@ -331,10 +331,3 @@ def ops_assignment(spark, d):
     """ops.assignment, ops.union_metadata, ops.collate_subset."""
     have = F.collect_set("o_orderstatus")
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.when(F.array_contains(have, "P"), "p").when(F.array_contains(have, "F"), "f").otherwise("o").alias("machine"), (F.count_distinct("o_orderpriority") == 5).alias("complete"))
-
-
-@query("SELECT d.doc_id, CASE WHEN l.quality = 0 THEN 'swapped_' || lang ELSE lang END AS lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE coalesce(l.toxic, 0) <> 1")
-def ops_qc_apply(spark, d):
-    """ops.qc_apply and ops.manual_fixes: failures dropped, swaps renamed by a table of corrections."""
-    out = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels"), "doc_id", "left")
-    return out.where(F.coalesce("toxic", F.lit(0)) != 1).select("doc_id", F.when(F.col("quality") == 0, F.concat(F.lit("swapped_"), "lang")).otherwise(F.col("lang")).alias("lang"))

@@ -11,6 +11,7 @@ from loomspan.operators import mixtures as M
 from loomspan.operators import moments as Q
 from loomspan.operators import scores as E
 from loomspan.operators import sequences as S
+from loomspan.operators import spectral as P
 from loomspan.operators import trees as R
 from loomspan.functions import vectors as V
 from loomspan.plans.registry import query
@@ -203,6 +204,12 @@ def clu_tree_cuts(spark, d):
     return linkage.unionByName(R.cut(x, tree, None, reach, 5).select(F.lit("density").alias("how"), "pos", "cluster"))
 
 
+@query()
+def clu_spectral(spark, d):
+    """Ten spectral clusters of the blocks over the similarities of ten neighbours each."""
+    return P.spectral(P.affinities(stored(blocks(spark, d).select("pos", "v"), "vectors")), 10)
+
+
 FOURIER = "u AS (SELECT k, j, md5(k || '|' || j) AS h FROM range(256) r(k), range(64) s(j)), fw AS (SELECT k, list(sqrt(-2 * ln((('0x' || substr(h, 1, 8))::BIGINT + 0.5e0) / 4294967296e0)) * cos(2 * pi() * ((('0x' || substr(h, 9, 8))::BIGINT + 0.5e0) / 4294967296e0)) / 2e0 ORDER BY j) AS w FROM u GROUP BY k), fb AS (SELECT k, w, 2 * pi() * ((('0x' || substr(md5(k::VARCHAR), 17, 8))::BIGINT + 0.5e0) / 4294967296e0) AS b FROM fw)"
 
 

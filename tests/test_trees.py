@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from loomspan.operators import spectral as P
 from loomspan.operators import trees as R
 from loomspan.plans import measures
 
@@ -86,3 +87,20 @@ def test_linear_maps(spark):
     assert set(got) == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)}  # a single time has no map
     assert np.isclose(got[0, 1].slope, 3) and np.isclose(got[0, 1].shift, 7) and got[0, 1].error < 1e-3
     assert np.isclose(got[0, 2].slope, -2) and np.isclose(got[0, 2].shift, 0) and got[0, 2].error < got[0, 3].error and got[0, 3].error > 0.5
+
+
+def test_planted_blocks_are_found(spark):
+    """Ten thousand vertices in four blocks, dense inside and sparse between."""
+    rng = np.random.default_rng(1)
+    block = np.arange(10_000) % 4
+    edges = set()
+    for i in range(10_000):
+        edges |= {(min(i, int(j)), max(i, int(j)), 1.0) for j in rng.choice(np.flatnonzero(block == block[i]), 8) if j != i}
+        j = int(rng.integers(10_000))
+        if block[j] != block[i] and rng.random() < 0.3:
+            edges.add((min(i, j), max(i, j), 0.2))
+    df = spark.createDataFrame(sorted(edges), "src long, dst long, weight double").repartition(8)
+    got = {r.pos: r.cluster for r in P.spectral(df, 4, 15).collect()}
+    assert len(got) == 10_000
+    sizes = [[sum(got[i] == c for i in range(b, 10_000, 4)) for c in range(4)] for b in range(4)]
+    assert all(max(x) > 2450 for x in sizes) and len({int(np.argmax(x)) for x in sizes}) == 4
