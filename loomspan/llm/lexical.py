@@ -98,7 +98,7 @@ def postings(docs: DataFrame, asked: dict[str, int], id_col: str = "doc_id", tex
 class Index:
     """rows: the tiers (INDEX); cuts[t, term]: least impact of the term's postings in tiers up to t; left[t, term]: its highest impact below them."""
 
-    rows: DataFrame
+    rows: DataFrame | None
     docs: int
     length: int
     df: np.ndarray
@@ -204,21 +204,21 @@ class Kept:
         self.held: list[list[tuple]] = [[] for _ in range(items)]
         #: the highest upper bound of a document that was left out though it reached
         self.spilt = np.zeros(items, np.int64)
+        #: the k-th lower bound when the candidates were last settled, 1 if there were fewer
+        self.least = np.ones(items, np.int64)
 
     def add(self, item: int, low: np.ndarray, high: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         self.held[item].append((low, high, ids, rows))
         if sum(len(x[0]) for x in self.held[item]) > 4 * FINALISTS:
             self.settle(item)
 
-    def least(self, item: int) -> int:
-        """The k-th lower bound so far, 1 if there are fewer."""
-        return self.held[item][0][0][self.k - 1] if self.held[item] and len(self.held[item][0][0]) >= self.k else 1
-
     def settle(self, item: int) -> None:
         low, high, ids, rows = (np.concatenate(x) for x in zip(*self.held[item]))
         # best lower bounds first, equal ones by id (a null id, kept as the highest number, last) and row
         order = np.lexsort((rows, ids, -low))
         low, high, ids, rows = low[order], high[order], ids[order], rows[order]
+        if len(low) >= self.k:
+            self.least[item] = low[self.k - 1]
         if self.exact:
             low, high, ids, rows = low[: self.k], high[: self.k], ids[: self.k], rows[: self.k]
         elif len(low) > self.k:
@@ -235,45 +235,48 @@ CANDIDATES = "item int, low long, high long, doc_id long, row long, null_id bool
 NULL_ID = np.iinfo(np.int64).max
 
 
+def scan(batches: Iterator[pa.RecordBatch], index: Index, asked: Asked, tier: int, k: int) -> Iterator[pa.RecordBatch]:
+    """CANDIDATES of one task's rows of the index (row, doc_id, the columns of tiers up to this one)."""
+    left = index.left[tier]
+    kept = Kept(asked.n, k, tier == len(index.left) - 1)
+    for whole in batches:
+        for begin in range(0, whole.num_rows, TALL):
+            b = whole.slice(begin, TALL)
+            ids, rows = b.column(1).fill_null(NULL_ID).to_numpy(), b.column(0).to_numpy()
+            parts = [(*flat(b.column(2 + 2 * t)), flat(b.column(3 + 2 * t))[0]) for t in range(tier + 1)]
+            tids, at, imps = (np.concatenate([p[j] for p in parts]) for j in range(3))
+            for lo in range(0, asked.n, WIDE):
+                hi = min(lo + WIDE, asked.n)
+                low, seen = asked.scores(b.num_rows, tids, at, [imps, left[tids]], lo, hi)
+                high = low + asked.rest[tier, lo:hi] - seen
+                floor = kept.least[lo:hi]
+                if b.num_rows >= k:
+                    floor = np.maximum(floor, np.partition(low, b.num_rows - k, axis=0)[b.num_rows - k])
+                doc, item = np.nonzero((high >= floor) & (low > 0))
+                order = np.argsort(item, kind="stable")
+                doc, item = doc[order], item[order]
+                ends = np.searchsorted(item, np.arange(hi - lo + 1))
+                for i in np.unique(item):
+                    d = doc[ends[i] : ends[i + 1]]
+                    kept.add(lo + i, low[d, i], high[d, i], ids[d], rows[d])
+    out: list = []
+    for i in range(asked.n):
+        if kept.held[i]:
+            kept.settle(i)
+            out.append((np.full(len(kept.held[i][0][0]), i), *kept.held[i][0]))
+        if kept.spilt[i]:
+            out.append((np.array([i]), np.array([0]), kept.spilt[i : i + 1], np.array([-1]), np.array([-1])))
+    if out:
+        item, low, high, ids, rows = (np.concatenate(x) for x in zip(*out))
+        yield pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), pa.array(low), pa.array(high), pa.array(ids), pa.array(rows), pa.array(ids == NULL_ID)], ["item", "low", "high", "doc_id", "row", "null_id"])
+
+
 def candidates(index: Index, asked: Asked, tier: int, k: int, rows: DataFrame | None = None) -> DataFrame:
     """CANDIDATES of the items by the tiers up to this one; of each task a row without a document holds what it left out."""
     columns = [f"{c}{t}" for t in range(tier + 1) for c in ("tids", "imps")]
-    left, exact = index.left[tier], tier == len(index.left) - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = Kept(asked.n, k, exact)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, TALL):
-                b = whole.slice(begin, TALL)
-                ids, nulls = b.column(1).fill_null(NULL_ID).to_numpy(), b.column(0).to_numpy()
-                parts = [(*flat(b.column(2 + 2 * t)), flat(b.column(3 + 2 * t))[0]) for t in range(tier + 1)]
-                tids, at, imps = (np.concatenate([p[j] for p in parts]) for j in range(3))
-                for lo in range(0, asked.n, WIDE):
-                    hi = min(lo + WIDE, asked.n)
-                    low, seen = asked.scores(b.num_rows, tids, at, [imps, left[tids]], lo, hi)
-                    high = low + asked.rest[tier, lo:hi] - seen
-                    floor = np.array([kept.least(i) for i in range(lo, hi)])
-                    if b.num_rows >= k:
-                        floor = np.maximum(floor, np.partition(low, b.num_rows - k, axis=0)[b.num_rows - k])
-                    doc, item = np.nonzero((high >= floor) & (low > 0))
-                    order = np.argsort(item, kind="stable")
-                    doc, item = doc[order], item[order]
-                    ends = np.searchsorted(item, np.arange(hi - lo + 1))
-                    for i in np.unique(item):
-                        d = doc[ends[i] : ends[i + 1]]
-                        kept.add(lo + i, low[d, i], high[d, i], ids[d], nulls[d])
-        out: list = []
-        for i in range(asked.n):
-            if kept.held[i]:
-                kept.settle(i)
-                out.append((np.full(len(kept.held[i][0][0]), i), *kept.held[i][0]))
-            if kept.spilt[i]:
-                out.append((np.array([i]), np.array([0]), kept.spilt[i : i + 1], np.array([-1]), np.array([-1])))
-        if out:
-            item, low, high, ids, nulls = (np.concatenate(x) for x in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), pa.array(low), pa.array(high), pa.array(ids), pa.array(nulls), pa.array(ids == NULL_ID)], ["item", "low", "high", "doc_id", "row", "null_id"])
-
-    return (index.rows if rows is None else rows).select("row", F.col("doc_id").cast("long").alias("doc_id"), *columns).mapInArrow(run, CANDIDATES)
+    bounds = Index(None, index.docs, index.length, index.df, index.left)
+    picked = (index.rows if rows is None else rows).select("row", F.col("doc_id").cast("long").alias("doc_id"), *columns)
+    return picked.mapInArrow(lambda batches: scan(batches, bounds, asked, tier, k), CANDIDATES)
 
 
 def top(found: DataFrame, k: int) -> DataFrame:

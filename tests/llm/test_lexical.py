@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ def test_search(spark, corpus, tiers, monkeypatch):
     monkeypatch.setattr(L, "HELD", 1000)
     docs, items = corpus
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    held = L.build(df, {t: i for i, t in enumerate(sorted({t for _, x in items for t in L.terms(x)}))}, tiers=tiers)
+    assert held.docs == len([1 for _, t in docs if L.terms(t)])
     found, settled = L.search_load(df, [t for _, t in items], 20, "doc_id", "text", tiers)
     got = {(r["item"], items[r["item"]][0], r["rank"], r["doc_id"], r["score"]) for x in found for r in x.collect()}
     assert got == slow(docs, items, 20)
@@ -57,6 +61,37 @@ def test_search(spark, corpus, tiers, monkeypatch):
         assert settled == [38]
 
 
+def test_candidates_of_many_batches(spark, corpus):
+    """A task's bounds come from all of its batches, in whatever order documents come."""
+    docs, items = corpus
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    counts = [Counter(L.terms(t)) for _, t in items]
+    names = {t: i for i, t in enumerate(sorted({t for c in counts for t in c}))}
+    index = L.build(df, names, tiers=(5, 40))
+    columns = [f"{c}{t}" for t in range(3) for c in ("tids", "imps")]
+    held = index.rows.select("row", "doc_id", *columns).coalesce(1).toArrow().to_batches()
+    whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    want = slow(docs, items, 20)
+    for seed in range(3):
+        order = np.random.default_rng(seed).permutation(whole.num_rows)
+        batches = [whole.take(pa.array(order[i : i + 37])) for i in range(0, whole.num_rows, 37)]
+        for tier in range(3):
+            asked = L.Asked(counts, names, index)
+            found: dict = {}
+            for b in L.scan(batches, index, asked, tier, 20):
+                for item, low, high, doc, row, null in zip(*(c.to_pylist() for c in b.columns)):
+                    found.setdefault(item, []).append((low, high, None if null else doc, row))
+            for at, (item, _) in enumerate(items):
+                best = {d for a, _, _, d, _ in want if a == at}
+                mine = [x for x in found.get(at, []) if x[3] >= 0]
+                spilt = max((x[1] for x in found.get(at, []) if x[3] < 0), default=0)
+                bound = sorted((x[0] for x in mine), reverse=True)[19] if len(mine) >= 20 else 1
+                # whoever is not there is below what was left out, or below the bound of those not met
+                assert best <= {x[2] for x in mine} or spilt >= bound or asked.rest[tier, at] >= bound
+                if tier == 2 and best:
+                    assert best <= {x[2] for x in mine}
+
+
 def test_tiers_hold_every_posting_once(spark, corpus):
     docs, _ = corpus
     df = spark.createDataFrame(docs, "doc_id long, text string")
