@@ -1,8 +1,8 @@
 """Kernel statistics of segments by random Fourier features: sums and neighbours instead of a table of all pairs.
 
 For x and y the Gaussian kernel exp(-|x - y|^2 / (2 sigma^2)) is the mean of 2 cos(w x + b) cos(w y + b) over random w and b. With M
-features the error of a kernel value, and so of every mean of kernel values over segments, is about 1 / sqrt(M) at most
-(0.06 for 256), and falls as the segments grow.
+features a kernel value has a standard error of 1 / sqrt(M) or less (0.06 for 256), and so has every mean of kernel values
+over segments.
 """
 
 from __future__ import annotations
