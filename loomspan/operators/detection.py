@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.operators.sequences import parted
-from loomspan.sources.stored import dropped, stored
+from loomspan.sources.stored import stored
 
 #: Overlaps in hundredths at which a detection may count.
 THRESHOLDS = tuple(range(50, 100, 5))
@@ -34,32 +37,32 @@ def candidates(pred: DataFrame, truth: DataFrame, keys: list[str], width: float,
     return met.withColumn("iou", overlap("s", "e", "gs", "ge")).select(*keys, "seg", "score", "gi", "iou", F.explode(reach).alias("least"))
 
 
-def greedy(pairs: DataFrame, keys: list[str], most_rounds: int = 10_000) -> DataFrame:
+def greedy(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, least, seg, gi): each detection, best score first (ties by seg), takes the truth it overlaps most (ties: the later) of those not taken.
 
-    By rounds of joins: a detection that stands first of all that still reach for a truth, and reaches for that truth most,
-    gets it; both leave. Every round settles at least the first detection of each key, and as a rule nearly all, since
-    only detections that wait for each other in a chain need further rounds.
+    Pairs are sorted by key, threshold, order of the detections and wish, and settled in one pass over the sorted rows: of a
+    key at one threshold a task holds the numbers of the truths taken, however long the chains of detections that wait for
+    each other are, and whatever runs over the border of a batch.
     """
-    one, other = [*keys, "least", "seg"], [*keys, "least", "gi"]
-    # the first in order is the least of this
-    turn = F.struct((-F.col("score")).alias("score"), "seg")
-    left, out, old = stored(pairs.withColumn("turn", turn), "pairs"), None, []
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
-        wish = left.groupBy(*one).agg(F.max(F.struct("iou", "gi")).alias("w"), F.first("turn").alias("turn")).select(*one, F.col("w.gi").alias("gi"), "turn")
-        first = left.groupBy(*other).agg(F.min("turn").alias("first"))
-        won = stored(wish.join(first, other).where(F.col("turn") == F.col("first")).select(*keys, "least", "seg", "gi"), "won")
-        out = won if out is None else out.unionByName(won)
-        rest = stored(left.join(won.select(*one), one, "left_anti").join(won.select(*other), other, "left_anti"), "pairs")
-        old.append(left)
-        left = rest
-    else:
-        raise RuntimeError(f"matches did not settle in {most_rounds} rounds")
-    for x in (*old, left):
-        dropped(x)
-    return out if out is not None else pairs.select(*keys, "least", "seg", "gi")
+    one = [*keys, "least"]
+    order = [*one, F.desc("score"), "seg", F.desc("iou"), F.desc("gi")]
+    dealt = pairs.select(*one, "seg", "gi", "score", "iou").repartition(*one).sortWithinPartitions(*order).select(*one, "seg", "gi")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, taken = None, None, set()
+        for batch in batches:
+            own = zip(*(batch.column(i).to_pylist() for i in range(len(one))), strict=True)
+            won = []
+            for i, (key, seg, gi) in enumerate(zip(own, batch.column(len(one)).to_pylist(), batch.column(len(one) + 1).to_pylist(), strict=True)):
+                if key != at:
+                    at, last, taken = key, None, set()
+                if seg != last and gi not in taken:
+                    last = seg
+                    taken.add(gi)
+                    won.append(i)
+            yield batch.take(pa.array(won, pa.int64()))
+
+    return dealt.mapInArrow(settle, dealt.schema)
 
 
 def average_precision(pred: DataFrame, truth: DataFrame, keys: list[str], width: float, by: list[str] | None = None, thresholds: tuple = THRESHOLDS) -> DataFrame:
@@ -71,14 +74,17 @@ def average_precision(pred: DataFrame, truth: DataFrame, keys: list[str], width:
     so no window sees all detections of a label.
     """
     by = by or keys
-    won = greedy(candidates(pred, truth, keys, width, thresholds), keys).select(*keys, "least", "seg", F.lit(1).alias("tp"))
+    held = stored(pred.where("e > s").select(*keys, "seg", "s", "e", "score"), "detections")
+    won = greedy(candidates(held, truth, keys, width, thresholds), keys).select(*keys, "least", "seg", F.lit(1).alias("tp"))
     # held here: a label that many truths have is one row
     truths = truth.where("e > s").groupBy(*by).agg(F.count("*").alias("truths"))
-    every = pred.where("e > s").select(*keys, "seg", "score").withColumn("least", F.explode(F.array(*map(F.lit, thresholds))))
-    ranked = every.join(won, [*keys, "least", "seg"], "left").withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("part", -parted(pred, "score"))
+    classes = held.select(*keys, "seg", "score").withColumn("part", -parted(held, "score"))
+    every = classes.withColumn("least", F.explode(F.array(*map(F.lit, thresholds))))
+    ranked = every.join(won, [*keys, "least", "seg"], "left").withColumn("tp", F.coalesce("tp", F.lit(0)))
     curve, order = [*by, "least"], [F.desc("score"), *keys, "seg"]
     inside = W.partitionBy(*curve, "part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    ranked = ranked.withColumn("k", F.count("*").over(inside)).withColumn("hits", F.sum("tp").over(inside))
+    # written once: sums, shifts, tops and areas all read these rows
+    ranked = stored(ranked.withColumn("k", F.count("*").over(inside)).withColumn("hits", F.sum("tp").over(inside)), "ranked")
     before = W.partitionBy(*curve).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sums = ranked.groupBy(*curve, "part").agg(F.count("*").alias("n"), F.sum("tp").alias("t"))
     shift = sums.select(*curve, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t"))
@@ -86,7 +92,8 @@ def average_precision(pred: DataFrame, truth: DataFrame, keys: list[str], width:
     # the best precision from here on: inside the class, or in a class that comes later
     later = W.partitionBy(*curve).orderBy("part").rowsBetween(1, W.unboundedFollowing)
     tops = curves.groupBy(*curve, "part").agg(F.max("precision").alias("top")).withColumn("top", F.max("top").over(later)).select(*curve, "part", "top")
-    onward = W.partitionBy(*curve, "part").orderBy(*order).rowsBetween(0, W.unboundedFollowing)
+    # the rows from here on are those before in the turned order, whose maximum runs along; a frame that ends last is scanned anew for each row
+    onward = W.partitionBy(*curve, "part").orderBy("score", *(F.desc(c) for c in (*keys, "seg"))).rowsBetween(W.unboundedPreceding, 0)
     smooth = curves.join(tops, [*curve, "part"]).withColumn("best", F.greatest(F.max("precision").over(onward), "top"))
     area = smooth.groupBy(*curve).agg(F.count("*").alias("detections"), F.sum("tp").alias("tp"), F.sum(F.col("tp") * F.col("best")).alias("area"))
     out = truths.withColumn("least", F.explode(F.array(*map(F.lit, thresholds)))).join(area, curve, "left")

@@ -180,3 +180,21 @@ def test_average_precision_with_overlapping_truths(spark):
             continue
         ap, tp = slow_ap([(v, g, s, e, c) for v, k, g, s, e, c in pred if k == label], [(v, g, s, e) for v, k, g, s, e in truth if k == label], least)
         assert np.isclose(r.ap, ap) and r.tp == tp and r.truths == 36 and r.detections == 90
+
+
+def test_a_chain_of_detections_is_settled_without_rounds(spark):
+    # each detection wants the truth that the one before it took, so each waits for all before it
+    pairs = [(1, 50, i, g, 1 - i / 100, 0.9 - 0.1 * (g - i + 1)) for i in range(40) for g in (i - 1, i)] + [(2, 50, 0, 0, 0.5, 0.9)]
+    rows = spark.createDataFrame(pairs, "id long, least int, seg long, gi long, score double, iou double")
+    spark.sparkContext.setJobGroup("greedy", "greedy")
+    out = D.greedy(rows, ["id"])
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("greedy"))
+    spark.sparkContext.setJobGroup("rest", "rest")
+    got = {(r.id, r.seg): r.gi for r in out.collect()}
+    assert got == {(1, i): i - 1 for i in range(40)} | {(2, 0): 0} and not jobs
+
+
+def test_windows_of_curves_are_not_scanned_anew(spark):
+    rows = spark.createDataFrame([(1, 1, i, 3 * i, 3 * i + 2, 0.5) for i in range(30)], "id long, label long, seg long, s long, e long, score double")
+    plan = D.average_precision(rows, rows.drop("score"), ["id", "label"], 4)._jdf.queryExecution().executedPlan().toString()
+    assert "max(precision" in plan and "currentrow$(), unboundedfollowing$()" not in plan
