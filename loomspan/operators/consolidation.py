@@ -26,7 +26,8 @@ def apply_inspection(rows: DataFrame, results: DataFrame, features: dict[str, tu
     """
     seen = results.select(*(F.col(c).alias(f"{c}_r") for c in results.columns))
     on = [F.col(k) == F.col("folder_modality_r" if k == "modality" else f"{k}_r") for k in KEYS]
-    met = rows.join(seen, on, "left").withColumn("inspected", F.col("participant_id_r").isNotNull()).withColumn("folder_modality", F.coalesce("folder_modality_r", "modality"))
+    # results may be derived from a small file that grows by explosions which no estimate sees: they are sorted, not gathered on the driver
+    met = rows.join(seen.hint("merge"), on, "left").withColumn("inspected", F.col("participant_id_r").isNotNull()).withColumn("folder_modality", F.coalesce("folder_modality_r", "modality"))
     for c in DEFECTS:
         met = met.where(F.coalesce(F.col(f"{c}_r"), F.lit(0)) != 1)
     swapped = F.coalesce(F.col("is_swapped_modality_r"), F.lit(False))

@@ -35,3 +35,11 @@ def test_ingest(spark):
     assert got == [("p", "a/1.json", 0.0, "B1", "B", "errors"), ("p", "a/1.json", 2.0, "A10", "A", "Etapes de la tache"), ("q", "b/4.boris", 5.0, "B1", "B", "errors")]
     assert {r.path for r in rejected.collect()} == {"a/2.boris", "a/3.json", "a/5.json"}
     assert kept.where(F.col("type") == "point").count() == 1 and O.ingest(files.limit(0), codes, names)[0].count() == 0
+
+
+def test_inspection_is_not_gathered_on_the_driver(spark):
+    rows = spark.createDataFrame([("lego", "7", "Tobii", "a", "7_a", "x")], "task_name string, participant_id string, modality string, video_name string, identifier string, path string")
+    cols = ["task_name string", "participant_id string", "folder_modality string", "true_modality string", "is_swapped_modality boolean", *(f"{c} int" for c in O.DEFECTS)]
+    seen = spark.createDataFrame([("lego", "7", "Tobii", "Tobii", False, 0, 0, 0, 0)], ", ".join(cols))
+    plan = O.apply_inspection(rows, seen, {"flag": ("path", ("Tobii",))})._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
