@@ -360,3 +360,19 @@ def test_streams_equal_batches(spark, tmp_path):
     done = streams.drain(streams.running_runs(live()), "w4")
     want = S.runs(T.sequences(spark, "/root/testdata/sf0.001"), "sym").groupBy("id").count().selectExpr("sum(count - 1) AS n").first().n
     assert done.count() == want
+
+
+@pytest.mark.parametrize(("measure", "options"), [("rtwe", {}), ("rtwe", {"kind": "sakoe", "share": 0.2}), ("rtwe", {"kind": "itakura", "share": 0.3}), ("dtw", {}), ("eshape", {"width": 4, "step": 3})])
+def test_grids_are_the_distances_of_all_pairs(spark, measure, options):
+    rng = np.random.default_rng(31)
+    for costs in (COSTS, COSTS * np.pi):  # whole thousandths, and not
+        x, y = ([rng.integers(1, 6, n) for n in (9, 0, 9, 9 if options.get("kind") == "itakura" else 14)] for _ in range(2))
+        i, j = np.divmod(np.arange(16), 4)
+        want = A.distances([x[k] for k in i], [y[k] for k in j], costs, measure, **options).reshape(4, 4)
+        assert np.allclose(A.grid(x, y, costs, measure, **options), want)
+    # sequences that are there many times are computed once and all their pairs are there
+    q = {i: tuple(int(v) for v in np.random.default_rng(i % 5).integers(1, 6, 9)) for i in range(40)}
+    rows = A.all_pairs(spark.createDataFrame(list(q.items()), "id long, q array<long>"), COSTS, measure, part=6, **options).collect()
+    assert len({(r.a, r.b) for r in rows}) == len(rows) == 40 * 39 // 2 and all(r.a < r.b for r in rows)
+    want = A.distances([q[r.a] for r in rows], [q[r.b] for r in rows], COSTS, measure, **options)
+    assert np.allclose([r.d for r in rows], want)
