@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -11,47 +11,111 @@ from pyspark.sql import functions as F
 
 from loomspan.sources.stored import dropped, stored
 
-#: Points of a block; two blocks are compared by one task.
-BLOCK = 1024
+#: Points of a block: two blocks are compared by one task. Neighbours need few rows at once, trees all distances from one point.
+NEAR, BLOCK = 16_384, 2048
+#: Distances that a task holds at once.
+HELD = 4_000_000
 
 
-def against(rows: DataFrame, columns: list[str], compare: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
-    """What compare(own, other, distances) gives for every pair of blocks of the rows (pos, v, columns), both ways.
+def pairs_of_blocks(rows: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame], schema: str, block: int) -> DataFrame:
+    """What compare(own, other) gives for every pair of blocks of the rows (pos, v, …) once, and for each block alone (other is None).
 
-    All points are compared with all, block against block: the work is the square of the rows, shared by as many tasks as
-    there are pairs of blocks, and a task holds two blocks.
+    All points are compared with all: the work is the square of the rows, shared by as many tasks as there are pairs of blocks.
+    A point is sent once for each block, and a task holds two blocks.
     """
     parts = max(1, -(-rows.count() // block))
-    blocks = rows.groupBy(F.pmod(F.xxhash64("pos"), F.lit(parts)).cast("int").alias("block")).agg(F.collect_list(F.struct("pos", "v", *columns)).alias("rows"))
-    others = blocks.select(F.col("block").alias("other"), F.col("rows").alias("with"))
-    pairs = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition("block", "other").join(others, "other").select("rows", "with")
+    dealt = rows.withColumn("p_", F.pmod(F.xxhash64("pos"), F.lit(parts)).cast("int")).withColumn("o_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = dealt.withColumn("lo_", F.least("p_", "o_")).withColumn("hi_", F.greatest("p_", "o_")).drop("o_")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for x, y in zip(frame["rows"], frame["with"], strict=True):
-                own, other = (pd.DataFrame([r.asDict() if hasattr(r, "asDict") else dict(r) for r in z]) for z in (x, y))
-                a, b = (np.stack(z["v"]).astype(np.float64) for z in (own, other))
-                d = np.array([np.sqrt(((b - p) ** 2).sum(1)) for p in a])
-                yield compare(own, other, d)
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        mine = frame["p_"] == frame["lo_"]
+        if frame["lo_"].iloc[0] != frame["hi_"].iloc[0] and mine.nunique() < 2:  # the other block is empty
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        return compare(frame[mine], None if frame["lo_"].iloc[0] == frame["hi_"].iloc[0] else frame[~mine])
 
-    return pairs.mapInPandas(run, schema)
+    tasks = min(2000, parts * (parts + 1) // 2)
+    return dealt.repartition(tasks, "lo_", "hi_").groupBy("lo_", "hi_").applyInPandas(run, schema)
 
 
-def neighbours(rows: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def vectors_of(frame: pd.DataFrame) -> np.ndarray:
+    return np.stack(frame["v"]).astype(np.float64)
+
+
+def lengths(d: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", d, d))
+
+
+def nearest(a: np.ndarray, b: np.ndarray, mine: np.ndarray, theirs: np.ndarray, k: int) -> pd.DataFrame:
+    """(pos, other, d): of each row of a its k nearest rows of b of another number, ties by number.
+
+    A product of matrices leaves the rows that may be among them, its rounding allowed for; these are measured in full.
+    """
+    out, squares = [], (b * b).sum(1)
+    step = max(1, HELD // len(b))
+    for i in range(0, len(a), step):
+        own = (a[i : i + step] * a[i : i + step]).sum(1)
+        d = own[:, None] + squares - 2 * (a[i : i + step] @ b.T)
+        d[mine[i : i + step, None] == theirs] = np.inf
+        least = np.partition(d, k - 1, 1)[:, k - 1] if k < len(b) else np.full(len(d), np.inf)
+        slack = 1e-12 * a.shape[1] * (own + squares.max())
+        x, y = np.nonzero((d <= (least + slack)[:, None]) & np.isfinite(d))
+        few = max(1, HELD // a.shape[1])
+        far = np.concatenate([np.zeros(0), *(lengths(a[i + x[j : j + few]] - b[y[j : j + few]]) for j in range(0, len(x), few))])
+        order = np.lexsort((theirs[y], far, x))
+        x, y, far = x[order], y[order], far[order]
+        kept = np.arange(len(x)) - np.searchsorted(x, x) < k
+        out.append(pd.DataFrame({"pos": mine[i + x[kept]], "other": theirs[y[kept]], "d": far[kept]}))
+    return pd.concat(out)
+
+
+def neighbours(rows: DataFrame, k: int, block: int = NEAR) -> DataFrame:
     """(pos, other, d): the k nearest other points of each point (pos, v), ties by pos."""
 
-    def nearest(own: pd.DataFrame, other: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
-        ids, theirs = own["pos"].to_numpy(), other["pos"].to_numpy()
-        d[ids[:, None] == theirs] = np.inf
-        order = np.lexsort((np.broadcast_to(theirs, d.shape), d))[:, :k]
-        out = pd.DataFrame({"pos": np.repeat(ids, order.shape[1]), "other": theirs[order].reshape(-1), "d": np.take_along_axis(d, order, 1).reshape(-1)})
-        return out[np.isfinite(out["d"])]
+    def compare(own: pd.DataFrame, other: pd.DataFrame | None) -> pd.DataFrame:
+        a, mine = vectors_of(own), own["pos"].to_numpy()
+        if other is None:
+            return nearest(a, a, mine, mine, k)
+        b, theirs = vectors_of(other), other["pos"].to_numpy()
+        return pd.concat([nearest(a, b, mine, theirs, k), nearest(b, a, theirs, mine, k)])
 
-    each = against(rows, [], nearest, "pos long, other long, d double", block)
+    each = pairs_of_blocks(rows.select("pos", "v"), compare, "pos long, other long, d double", block)
     best = F.slice(F.array_sort(F.collect_list(F.struct("d", "other"))), 1, k)
     return each.groupBy("pos").agg(best.alias("x")).select("pos", F.explode("x").alias("x")).select("pos", "x.other", "x.d")
 
 
+def tree_of(pos: np.ndarray, x: np.ndarray, core: np.ndarray) -> pd.DataFrame:
+    """(a, b, w): the spanning tree of a few points, one point after another; equal weights by (a, b)."""
+    order = np.argsort(pos)
+    pos, x, core = pos[order], x[order], core[order]
+    n = len(pos)
+    # points not yet inside: their numbers, least weights and where these lead to
+    left, best, by = np.arange(1, n), np.full(n - 1, np.inf), np.zeros(n - 1, int)
+    rest, cores, out, new = x[1:], core[1:], [], 0
+    for _ in range(n - 1):
+        w = np.maximum(lengths(rest - x[new]), np.maximum(cores, core[new]))
+        even = w == best
+        closer = w < best
+        if even.any():  # rows are in order of pos, so numbers stand for (a, b)
+            lo, hi = np.minimum(left, new), np.maximum(left, new)
+            old_lo, old_hi = np.minimum(left, by), np.maximum(left, by)
+            closer |= even & ((lo < old_lo) | ((lo == old_lo) & (hi < old_hi)))
+        best[closer], by[closer] = w[closer], new
+        at = np.flatnonzero(best == best.min())
+        if len(at) > 1:
+            at = at[np.lexsort((np.maximum(left[at], by[at]), np.minimum(left[at], by[at])))]
+        i = at[0]
+        new, last = int(left[i]), len(left) - 1
+        out.append((min(new, by[i]), max(new, by[i]), best[i]))
+        if rest.base is x or rest is x:
+            rest, cores = rest.copy(), cores.copy()
+        # the last takes the place of the one that went
+        for z in (left, best, by, cores, rest):
+            z[i] = z[last]
+        left, best, by, cores, rest = (z[:last] for z in (left, best, by, cores, rest))
+    a, b, w = (np.array(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return pd.DataFrame({"a": pos[a], "b": pos[b], "w": w})
+
+
 def roots(links: DataFrame) -> DataFrame:
     """(comp, root) of links (comp, up) of which every chain ends in two that point at each other; the less of these is the root."""
     back = links.select(F.col("comp").alias("up"), F.col("up").alias("back"))
@@ -71,40 +135,38 @@ def spanning_tree(rows: DataFrame, least: int = 0, block: int = BLOCK) -> DataFr
     """(a, b, w): the minimum spanning tree of points (pos, v), a < b; equal weights are ordered by (a, b), so there is one tree.
 
     w is the Euclidean distance, or with `least` above 1 the mutual reachability: no less than either point's distance to its
-    least-nearest point, itself counted. In each round every component takes its least edge to another one, which a task finds for
-    its pair of blocks; components are then contracted by joins. Rounds are at most the logarithm of the points.
+    least-nearest point, itself counted. All distances are taken once: a task gives the tree of the points of two blocks, and
+    an edge of the whole tree is in the tree of any two blocks that hold its ends, since elsewhere a lighter way round it
+    would be left out. Among the edges of these trees, some two a point and block, each component then takes its least one in
+    rounds of joins; rounds are at most the logarithm of the points.
     """
     points = rows.where("v IS NOT NULL").select("pos", "v")
     if least > 1:
-        core = neighbours(points, least - 1, block).groupBy("pos").agg(F.max("d").alias("core"))
+        core = neighbours(points, least - 1, max(block, NEAR) if block == BLOCK else block).groupBy("pos").agg(F.max("d").alias("core"))
         points = points.join(core, "pos", "left").withColumn("core", F.coalesce("core", F.lit(0.0)))
     else:
         points = points.withColumn("core", F.lit(0.0))
-    now = stored(points.withColumn("comp", F.col("pos")), "points")
-    tree = None
-
-    def leasts(own: pd.DataFrame, other: pd.DataFrame, d: np.ndarray) -> pd.DataFrame:
-        w = np.maximum(d, np.maximum(own["core"].to_numpy()[:, None], other["core"].to_numpy()))
-        mine, theirs = own["comp"].to_numpy(), other["comp"].to_numpy()
-        w[mine[:, None] == theirs] = np.inf
-        a, b = own["pos"].to_numpy()[:, None], other["pos"].to_numpy()
-        lo, hi = np.minimum(a, b), np.maximum(a, b)
-        best = np.lexsort((hi, lo, w))[:, 0]
-        i = np.arange(len(w))
-        out = pd.DataFrame({"comp": mine, "w": w[i, best], "a": lo[i, best], "b": hi[i, best], "up": theirs[best]})
-        return out[np.isfinite(out["w"])].sort_values(["w", "a", "b"]).drop_duplicates("comp")
-
-    while True:
-        each = against(now, ["comp", "core"], leasts, "comp long, w double, a long, b long, up long", block)
-        edges = stored(each.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "up")).alias("e")).select("comp", "e.*"), "edges")
-        if edges.isEmpty():
-            dropped(now)
-            return tree if tree is not None else edges.select("a", "b", "w")
+    points = stored(points, "points")
+
+    def tree(own: pd.DataFrame, other: pd.DataFrame | None) -> pd.DataFrame:
+        both = own if other is None else pd.concat([own, other])
+        return tree_of(both["pos"].to_numpy(), vectors_of(both), both["core"].to_numpy())
+
+    each = pairs_of_blocks(points, tree, "a long, b long, w double", block).distinct()
+    now = stored(each.select("a", "b", "w", F.col("a").alias("from"), F.col("b").alias("to")), "edges")
+    dropped(points)
+    out = None
+    while not now.isEmpty():
+        ends = now.select(F.col("from").alias("comp"), F.col("to").alias("up"), "w", "a", "b").unionByName(now.select(F.col("to").alias("comp"), F.col("from").alias("up"), "w", "a", "b"))
+        edges = stored(ends.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "up")).alias("e")).select("comp", "e.*"), "chosen")
         chosen = edges.select("a", "b", "w").distinct()
-        tree = chosen if tree is None else tree.unionByName(chosen)
-        joined = stored(now.join(roots(edges.select("comp", "up")), "comp").drop("comp").withColumnRenamed("root", "comp"), "points")
+        out = chosen if out is None else out.unionByName(chosen)
+        root = roots(edges.select("comp", "up"))
+        moved = now.join(root.select(F.col("comp").alias("from"), F.col("root").alias("r")), "from").join(root.select(F.col("comp").alias("to"), F.col("root").alias("s")), "to")
+        rest = stored(moved.where("r <> s").select("a", "b", "w", F.col("r").alias("from"), F.col("s").alias("to")), "edges")
         dropped(now)
-        now = joined
+        now = rest
+    return out if out is not None else now.select("a", "b", "w")
 
 
 def cut(points: DataFrame, tree: DataFrame, clusters: int | None = None, reach: float | None = None, smallest: int = 1) -> DataFrame:

@@ -1,6 +1,7 @@
 """Spanning trees, their cuts and linear maps of densities against plain NumPy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from loomspan.operators import spectral as P
@@ -104,3 +105,20 @@ def test_planted_blocks_are_found(spark):
     assert len(got) == 10_000
     sizes = [[sum(got[i] == c for i in range(b, 10_000, 4)) for c in range(4)] for b in range(4)]
     assert all(max(x) > 2450 for x in sizes) and len({int(np.argmax(x)) for x in sizes}) == 4
+
+
+def test_neighbours_of_many_copies_are_measured_in_full(spark):
+    """Copies are at distance 0, whatever a product of matrices rounds to, and ties go by number."""
+    rng = np.random.default_rng(3)
+    x = 100 + np.repeat(rng.normal(size=(12, 7)), 6, 0)
+    rows = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "pos long, v array<double>")
+    got = {}
+    for r in R.neighbours(rows, 3, 20).collect():
+        got.setdefault(r.pos, []).append((r.d, r.other))
+    assert {p: sorted(n) for p, n in got.items()} == {i: [(0.0, j) for j in range(i - i % 6, i - i % 6 + 6) if j != i][:3] for i in range(72)}
+
+
+def test_a_point_is_sent_once_for_each_block(spark):
+    rows = spark.createDataFrame([(i, [float(i)]) for i in range(40)], "pos long, v array<double>")
+    sent = R.pairs_of_blocks(rows, lambda a, b: pd.DataFrame({"n": [len(a) + (0 if b is None else len(b))]}), "n long", 10)
+    assert sent.agg({"n": "sum"}).first()[0] == 40 * 4
