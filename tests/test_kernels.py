@@ -220,3 +220,13 @@ def test_running_totals_keep_to_their_parts(spark):
     df = spark.createDataFrame([(v, i % 5) for i, v in enumerate(values)], "v double, n long")
     got = {r["v"]: r["before_n"] for r in S.running_totals(df, S.parted(df, "v", 8), ["v"], ["n"]).collect()}
     assert got == dict(zip(values, np.cumsum([0, *(i % 5 for i in range(len(values) - 1))]).tolist()))
+
+
+@pytest.mark.parametrize(("kernel", "jump"), [("linear", 1), ("cosine", 1), ("rbf", 1), ("rbf", 5)])
+def test_recordings_cut_together_are_cut_as_alone(kernel, jump):
+    rng = np.random.default_rng(83)
+    xs = [rng.normal(size=(n, 3)).cumsum(0) for n in (1, 2, 3, 4, 7, 30, 31, 55, 60, 60, 1003)]
+    lam = rng.uniform(0.1, 3, (len(xs), 3))
+    for x, own, p in zip(xs, G.change_points_many(xs, lam, kernel, 2, jump, 4), lam, strict=True):
+        alone = [G.change_points(x, v, kernel, 2, jump) for v in p] + [G.fixed_change_points(x, 4, kernel, 2, jump)]
+        assert [c for c, _ in own] == [c for c, _ in alone] and np.allclose([t for _, t in own], [t for _, t in alone])
