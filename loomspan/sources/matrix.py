@@ -27,6 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 SCHEMA = "identifier string, pos long, v array<double>"
 #: Bytes of a matrix that a task reads, and holds at once, about.
 SPLIT, CHUNK = 64 << 20, 4 << 20
+#: Tasks over which ranges are dealt, where there are more ranges; a task holds SPLIT bytes of them or so even then.
+TASKS = 256
 #: Rows of a part that is written.
 PART_ROWS = 65_536
 ENDLESS = 1 << 62
@@ -84,6 +86,35 @@ class Part(InputPartition):
     hi: int
 
 
+@dataclass
+class Load(InputPartition):
+    """What one task reads, part after part."""
+
+    parts: list[Part]
+
+
+def loads(parts: list[Part], split: int = SPLIT) -> list[Load]:
+    """Neighbouring parts dealt to tasks: each its own task while they are few; small ones together, so that tasks grow with the bytes and not with the files."""
+    total = sum((p.hi - p.lo) * p.head.width * p.head.dtype.itemsize for p in parts)
+    n = min(len(parts), max(TASKS, -(-total // max(split, SPLIT))))
+    return [Load(parts[i * len(parts) // n : (i + 1) * len(parts) // n]) for i in range(n)]
+
+
+def found(path: str) -> list[tuple[str, str, int]]:
+    """(file, identifier, first row) of every matrix file under a path."""
+    at, root = store(path)
+    files = at.get_file_info(fs.FileSelector(root, recursive=True)) if at.get_file_info(root).type == fs.FileType.Directory else [at.get_file_info(root)]
+    out = []
+    for f in files:
+        steps = f.path.removeprefix(root).strip("/").split("/") if f.path != root else [f.base_name]
+        if f.type != fs.FileType.File or not f.base_name.endswith(".npy") or any(s.startswith("_") for s in steps):
+            continue
+        parted = len(steps) > 1 and steps[-2].endswith(".npy")
+        name = unquote(steps[-2 if parted else -1].removesuffix(".npy"))
+        out.append((f.path, name, int(f.base_name.removesuffix(".npy")) if parted else 0))
+    return sorted(out)
+
+
 def span(text: str | None, most: int) -> tuple[int, int]:
     lo, _, hi = (text or ":").partition(":")
     return int(lo or 0), min(int(hi or most), most)
@@ -111,18 +142,9 @@ class MatrixReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Part]:
-        at, root = store(self.path)
-        files = at.get_file_info(fs.FileSelector(root, recursive=True)) if at.get_file_info(root).type == fs.FileType.Directory else [at.get_file_info(root)]
-        found = []
-        for f in files:
-            steps = f.path.removeprefix(root).strip("/").split("/") if f.path != root else [f.base_name]
-            if f.type != fs.FileType.File or not f.base_name.endswith(".npy") or any(s.startswith("_") for s in steps):
-                continue
-            parted = len(steps) > 1 and steps[-2].endswith(".npy")
-            name = unquote(steps[-2 if parted else -1].removesuffix(".npy"))
-            if (self.names is None or name in self.names) and (not self.bounds or name in self.bounds):
-                found.append((f.path, name, int(f.base_name.removesuffix(".npy")) if parted else 0))
+    def partitions(self) -> list[Load]:
+        at, _ = store(self.path)
+        wanted = [x for x in found(self.path) if (self.names is None or x[1] in self.names) and (not self.bounds or x[1] in self.bounds)]
 
         def plan(x: tuple) -> list[Part]:
             path, name, base = x
@@ -134,11 +156,13 @@ class MatrixReader(DataSourceReader):
             return [Part(path, name, base, h, i, min(i + step, hi)) for i in range(lo, hi, step)]
 
         with ThreadPoolExecutor(16) as pool:
-            return [p for parts in pool.map(plan, sorted(found)) for p in parts]
+            return loads([p for parts in pool.map(plan, wanted) for p in parts], self.split)
+
+    def read(self, partition: Load) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts if partition is not None else []:  # None: nothing was planned
+            yield from self.rows(part)
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        if partition is None:  # nothing was planned
-            return
+    def rows(self, partition: Part) -> Iterator[pa.RecordBatch]:
         at, _ = store(self.path)
         h = partition.head
         left, right = span(self.columns, h.width)
@@ -201,13 +225,18 @@ class MatrixWriter(DataSourceArrowWriter):
             for f in at.get_file_info(fs.FileSelector(root)):
                 if f.base_name.endswith(".npy"):
                     (at.delete_dir if f.type == fs.FileType.Directory else at.delete_file)(f.path)
-        for name, own in parts.items():
+
+        def place(x: tuple) -> None:
+            name, own = x
             if len(own) == 1 and own[0][0] == 0:
                 at.move(own[0][1], f"{root}/{name}.npy")
-                continue
+                return
             at.create_dir(f"{root}/{name}.npy")
             for start, path in own:
                 at.move(path, f"{root}/{name}.npy/{start:015d}.npy")
+
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(place, parts.items()))
         at.delete_dir(f"{root}/{self.run}")
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -261,10 +290,11 @@ def save_matrices(df: DataFrame, path: str, rows: int = PART_ROWS) -> None:
 def items(spark: SparkSession, path: str, meta: DataFrame) -> DataFrame:
     """meta (identifier, s, e, …) with each recording's inputs, rows [s, e) in order, and the first row's number: what a loader iterates over.
 
-    Only the rows inside the bounds are read; the bounds, two numbers for each recording asked for, go to the planner.
-    Recordings without a matrix, or without a row inside their bounds, are left out.
+    Only the rows inside the bounds are read; the bounds, two numbers for each matrix that is there and asked for, go to the
+    planner, which lists the matrices. Recordings without a matrix, or without a row inside their bounds, are left out.
     """
-    bounds = {r["identifier"]: (r["s"], r["e"]) for r in meta.select("identifier", "s", "e").toLocalIterator()}
+    there = spark.createDataFrame([(n,) for n in sorted({n for _, n, _ in found(path)})], "identifier string")
+    bounds = {r["identifier"]: (r["s"], r["e"]) for r in meta.select("identifier", "s", "e").join(there, "identifier", "left_semi").collect()}
     rows = matrices(spark, path, bounds=json.dumps(bounds)) if bounds else matrices(spark, path, end=0)
     whole = rows.groupBy("identifier").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("rows_"))
     return whole.join(meta, "identifier").select(*meta.columns, F.col("rows_")["v"].alias("inputs"), F.col("rows_")[0]["pos"].alias("first"))

@@ -1,6 +1,7 @@
 """The matrix source: row ranges, pushed filters, bytes read, parts and commits."""
 
 import io
+import json
 import os
 
 import numpy as np
@@ -92,3 +93,17 @@ def test_items_are_cropped_while_they_are_read(spark, folder):
     got = {r.identifier: (r.first, np.array(r.inputs), r.label) for r in X.items(spark, path, meta).collect()}
     assert set(got) == {"a", "v"} and got["a"][0] == 10 and np.array_equal(got["a"][1], x["a"][10:13]) and got["v"][1].shape == (5, 1)
     assert X.items(spark, path, meta.limit(0)).count() == 0
+
+
+def test_tasks_and_bounds_do_not_grow_with_small_files_and_other_recordings(spark, tmp_path, monkeypatch):
+    for i in range(300):
+        np.save(tmp_path / f"{i}.npy", np.full((6, 2), float(i)))
+    m = X.matrices(spark, str(tmp_path), split=32)
+    assert m.rdd.getNumPartitions() == X.TASKS
+    assert {(r.identifier, r.pos): r.v for r in m.collect()} == {(str(i), k): [float(i)] * 2 for i in range(300) for k in range(6)}
+    asked = []
+    whole = X.matrices
+    monkeypatch.setattr(X, "matrices", lambda s, path, **o: asked.append(o) or whole(s, path, **o))
+    meta = spark.range(290, 2000).selectExpr("cast(id AS string) AS identifier", "1 AS s", "4 AS e")
+    got = {r.identifier: (len(r.inputs), r.first) for r in X.items(spark, str(tmp_path), meta).collect()}
+    assert got == {str(i): (3, 1) for i in range(290, 300)} and len(json.loads(asked[0]["bounds"])) == 10
