@@ -376,3 +376,14 @@ def test_grids_are_the_distances_of_all_pairs(spark, measure, options):
     assert len({(r.a, r.b) for r in rows}) == len(rows) == 40 * 39 // 2 and all(r.a < r.b for r in rows)
     want = A.distances([q[r.a] for r in rows], [q[r.b] for r in rows], COSTS, measure, **options)
     assert np.allclose([r.d for r in rows], want)
+
+
+def test_paths_of_many_pairs_are_those_of_each(spark):
+    rng = np.random.default_rng(37)
+    for n, m in ((12, 12), (1, 5), (9, 4)):
+        x, y = rng.integers(1, 6, (20, n)), rng.integers(1, 6, (20, m))
+        row, i, j, cost = A.edit_paths(x, y, COSTS)
+        for r in range(20):
+            t, own = A.time_warp_edit(x[r], y[r], COSTS), row == r
+            assert list(zip(i[own].tolist(), j[own].tolist(), strict=True)) == [(int(a), int(b)) for a, b in A.path(t)]
+            assert np.array_equal(cost[own], t[i[own], j[own]])
