@@ -104,7 +104,8 @@ def scan_artifact_tree(spark, d):
     """A folder tree of one file a supplier, by task, participant and modality: the files found are counted; only their names are read."""
     at = folder(spark, "tree")
     c = table(spark, d, "supplier").select(F.lit("cooking").alias("t"), F.col("s_nationkey").cast("string").alias("p"), (F.col("s_suppkey") % 3).cast("string").alias("m"), F.col("s_suppkey").cast("string").alias("k"))
-    c.write.partitionBy("t", "p", "m").option("maxRecordsPerFile", 1).text(at)
+    # a row becomes a file, so rows are dealt to tasks by their number, and tasks put their own files in place
+    c.repartition(64).write.partitionBy("t", "p", "m").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(at)
     value = lambda c: F.element_at(F.split(c, "="), 2).alias(c)
     tree = T.artifact_tree(spark, at, "part-*").select(value("task_name"), value("participant_id"), value("modality"))
     return tree.groupBy("task_name", "participant_id", "modality").agg(F.count("*").alias("files"))
