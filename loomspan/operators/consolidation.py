@@ -53,12 +53,15 @@ def ingest(files: DataFrame, codes: DataFrame, behaviours: DataFrame, excluded:
     `excluded`, are not looked at. Of the files of one identifier that with the most entries counts, the last by path of equals.
     """
     wanted = files.where(F.col("path").rlike(r"\.(boris|json)$") & ~F.regexp_extract("path", "[^/]*$", 0).isin(*excluded))
-    one = wanted.select(F.col("path").alias("identifier"), "json")
-    table = N.vidat(one.where(F.col("identifier").endswith(".json")), codes).unionByName(N.boris(one.where(F.col("identifier").endswith(".boris")), behaviours, codes))
-    table = table.withColumnRenamed("identifier", "path").join(wanted.select("identifier", "path"), "path")
+    one = wanted.select(F.struct("identifier", "path").alias("identifier"), "json")
+    of = lambda end: one.where(F.col("identifier.path").endswith(end))
+    table = N.vidat(of(".json"), codes).unionByName(N.boris(of(".boris"), behaviours, codes)).select("identifier.identifier", "identifier.path", *N.COLUMNS)
     sizes = table.groupBy("identifier", "path").agg(F.count("*").alias("n"))
     best = sizes.groupBy("identifier").agg(F.max(F.struct("n", "path"))["path"].alias("path"))
-    kept = table.join(best, ["identifier", "path"])
+    # the entries of an identifier are few: they are sent once and settled by windows, so that files are read and parsed once
+    n = F.count("*").over(W.partitionBy("identifier", "path"))
+    counted = table.where("identifier IS NOT NULL").repartition("identifier").withColumn("n_", n)
+    kept = counted.withColumn("best_", F.max(F.struct("n_", "path")).over(W.partitionBy("identifier"))["path"]).where("path = best_")
     moved = F.col("label") == MOVED
     for c in ("category", "category_label", "label"):
         kept = kept.withColumn(c, F.when(moved, BECOMES[c]).otherwise(F.col(c)))

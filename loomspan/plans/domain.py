@@ -21,6 +21,7 @@ from loomspan.plans.measures import greedy_sql
 from loomspan.plans.registry import query
 from loomspan.plans.relational import RUN, SEQ, rnd
 from loomspan.plans.vector import KK, VEC, kk, prototypes
+from loomspan.sources import files as X
 from loomspan.sources import tables as T
 from loomspan.sources.tables import blocks, sequences, table
 
@@ -226,18 +227,18 @@ def ops_annotation_ingest(spark, d):
     event = F.array(F.col("pos").cast("string"), F.lit("subject"), F.col("sym"), F.lit(""), F.lit(""))
     kinds = [x for i, sym in enumerate(T.SYMBOLS) for x in (F.lit(str(i)), F.struct(F.lit("Point event").alias("type"), F.lit(sym).alias("code")))]
     media = F.struct(F.create_map(F.lit("a.mp4"), F.lit(25.0)).alias("fps"), F.create_map(F.lit("a.mp4"), F.lit(60.0)).alias("length"))
-    first = lambda rows, x: rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", x.alias("x"))))["x"].alias("x"))
-    vidat = F.to_json(F.struct(F.struct(listed.alias("actionLabelData")).alias("config"), F.struct(F.struct(F.lit(25.0).alias("fps"), F.lit(1500).alias("frames")).alias("video"), F.col("x").alias("actionAnnotationList")).alias("annotation")))
-    boris = F.to_json(F.struct(F.create_map(F.lit("first"), F.struct(F.col("x").alias("events"), media.alias("media_info"))).alias("observations"), F.create_map(*kinds).alias("behaviors_conf")))
-    whole = first(s.where("id % 3 <> 0"), action).select("id", F.lit(0).alias("k"), vidat.alias("json"))
-    some = first(s.where("id % 3 <> 1 AND label <> id % 5"), action).select("id", F.lit(1).alias("k"), vidat.alias("json"))
-    half = first(s.where("id % 4 <> 3 AND (pos + id) % 2 = 0"), event).select("id", F.lit(2).alias("k"), boris.alias("json"))
+    entries = lambda k, hold, x: F.array_sort(F.collect_list(F.when(F.expr(hold), F.struct("pos", x.alias("x")))))["x"].alias(f"x{k}")
+    lists = s.groupBy("id").agg(entries(0, "id % 3 <> 0", action), entries(1, "id % 3 <> 1 AND label <> id % 5", action), entries(2, "id % 4 <> 3 AND (pos + id) % 2 = 0", event))
+    vidat = lambda x: F.to_json(F.struct(F.struct(listed.alias("actionLabelData")).alias("config"), F.struct(F.struct(F.lit(25.0).alias("fps"), F.lit(1500).alias("frames")).alias("video"), F.col(x).alias("actionAnnotationList")).alias("annotation")))
+    boris = lambda x: F.to_json(F.struct(F.create_map(F.lit("first"), F.struct(F.col(x).alias("events"), media.alias("media_info"))).alias("observations"), F.create_map(*kinds).alias("behaviors_conf")))
+    # a folder a recording, in 256 folders that the walk deals to tasks
+    named = lambda k, end: F.concat(F.format_string("%03d/", F.pmod("id", F.lit(256))), F.col("id").cast("string"), F.lit(f"/{k}.{end}"))
+    file = lambda k, end, form: F.when(F.size(f"x{k}") > 0, F.struct(named(k, end).alias("path"), form(f"x{k}").alias("text")))
+    made = lists.select(F.explode(F.array(file(0, "json", vidat), file(1, "json", vidat), file(2, "boris", boris))).alias("f")).where("f IS NOT NULL")
     at = folder(spark, "annotations")
-    whole.unionByName(some).unionByName(half).repartition(8, "id").write.partitionBy("id", "k").option("maxRecordsPerFile", 1).text(at)
-    found = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(at).select("value", F.col("_metadata.file_path").alias("at"))
-    part = lambda k: F.regexp_extract("at", r"/id(?:=|%3D)([0-9]+)/k(?:=|%3D)([0-9])/", k)
-    named = found.select(part(1).alias("identifier"), part(2).alias("k"), "value")
-    files = named.select("identifier", F.concat("identifier", F.lit("/"), "k", F.when(F.col("k") == "2", ".boris").otherwise(".json")).alias("path"), F.col("value").alias("json"))
+    X.put(made.select("f.path", "f.text"), at)
+    steps = F.split("path", "/")
+    files = X.walk(spark, at).select(F.element_at(steps, -2).alias("identifier"), F.array_join(F.slice(steps, -2, 2), "/").alias("path"), X.text(at).alias("json"))
     kept, _ = O.ingest(files, codes, names, ("0.boris",))
     T.save(kept, f"{at}-all")
     out = spark.read.parquet(f"{at}-all")

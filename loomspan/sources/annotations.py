@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Columns of the interval table, after the identifier.
@@ -24,10 +25,13 @@ def standard(rows: DataFrame, codes: DataFrame) -> DataFrame:
     out = rows.join(F.broadcast(codes), "label", "left").withColumn("category", F.substring("label", 1, 1))
     length = F.col("end") - F.col("start")
     out = out.select("identifier", "scene", frames(F.col("start")).alias("start_frame"), "start", frames(F.col("end")).alias("end_frame"), "end", frames(length).alias("length_frames"), length.alias("length"), "color", "label", "semantic", "code", "category", "category_label", note.alias("description"), "type", "fps", (F.col("n_frames") / F.col("fps") / 60).alias("t_duration"), "n_frames")
-    other = codes.where(F.col("label") == ALSO).select(F.col("category_label").alias("other"))
-    again = out.where(F.col("label") == TWICE).join(F.broadcast(other), how="left")
-    again = again.withColumn("label", F.lit(ALSO)).withColumn("color", F.lit(ALSO_COLOR)).withColumn("code", F.lit(ALSO_CODE)).withColumn("category", F.lit(ALSO[0])).withColumn("category_label", F.col("other"))
-    return out.unionByName(again.select("identifier", *COLUMNS))
+    # a row counts twice in place: a union with itself would read the files once more
+    other = codes.where(F.col("label") == ALSO).select(F.col("category_label").alias("other_"), F.lit(True).alias("again_"))
+    again = F.when(F.col("label") == TWICE, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    out = out.withColumn("again_", F.explode(again)).join(F.broadcast(other), "again_", "left")
+    for c, also in (("label", F.lit(ALSO)), ("color", F.lit(ALSO_COLOR)), ("code", F.lit(ALSO_CODE)), ("category", F.lit(ALSO[0])), ("category_label", F.col("other_"))):
+        out = out.withColumn(c, F.when(F.col("again_"), also).otherwise(F.col(c)))
+    return out.select("identifier", *COLUMNS)
 
 
 def vidat(raw: DataFrame, codes: DataFrame) -> DataFrame:
@@ -52,14 +56,11 @@ def boris(raw: DataFrame, labels: DataFrame, codes: DataFrame, observation: str
     media = lambda k: F.try_element_at(F.map_values(f"o.media_info.{k}"), F.lit(1))
     events = file.select("identifier", "states", media("fps").alias("fps"), F.round(media("length") * media("fps")).cast("long").alias("n_frames"), F.posexplode("o.events").alias("at", "e"))
     events = events.select("identifier", "fps", "n_frames", "at", F.array_contains("states", F.get("e", F.lit(2))).alias("state"), F.get("e", F.lit(0)).cast("double").alias("time"), F.get("e", F.lit(2)).alias("behaviour"), F.get("e", F.lit(4)).alias("description"))
-    # a file is one recording: its states are paired inside an array, in order
-    state = events.where("state").groupBy("identifier", "behaviour", "fps", "n_frames").agg(F.array_sort(F.collect_list(F.struct("at", "time", "description"))).alias("x"))
-    pair = lambda k: F.struct(F.get("x", 2 * k)["time"].alias("start"), F.get("x", 2 * k + 1)["time"].alias("end"), F.get("x", 2 * k)["description"].alias("description"))
-    half = F.floor(F.size("x") / 2).cast("int")
-    pairs = state.where(F.size("x") > 1).select("identifier", "behaviour", "fps", "n_frames", F.explode(F.transform(F.sequence(F.lit(0), half - 1), pair)).alias("p"))
-    rows = pairs.select("identifier", "behaviour", "p.start", "p.end", "p.description", F.lit("interval").alias("type"), "fps", "n_frames")
-    points = events.where("NOT state").select("identifier", "behaviour", F.col("time").alias("start"), F.lit(None).cast("double").alias("end"), "description", F.lit("point").alias("type"), "fps", "n_frames")
-    out = rows.unionByName(points).join(F.broadcast(labels), "behaviour", "left").drop("behaviour")
+    # states are paired, and points kept, in one pass over the files
+    w = W.partitionBy("identifier", "behaviour", "fps", "n_frames", "state").orderBy("at")
+    turns = events.where("state IS NOT NULL").withColumn("n_", F.row_number().over(w)).withColumn("stop_", F.lead(F.struct("time")).over(w))
+    rows = turns.where("NOT state OR n_ % 2 = 1 AND stop_ IS NOT NULL").select("identifier", "behaviour", F.col("time").alias("start"), F.when(F.col("state"), F.col("stop_.time")).alias("end"), "description", F.when(F.col("state"), "interval").otherwise("point").alias("type"), "fps", "n_frames")
+    out = rows.join(F.broadcast(labels), "behaviour", "left").drop("behaviour")
     return standard(out.withColumn("scene", F.lit(None).cast("int")), codes)
 
 
