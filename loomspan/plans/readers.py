@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomspan.plans.inventory import folder
 from loomspan.plans.registry import query
 from loomspan.plans.relational import SEQ
 from loomspan.sources import annotations as N
+from loomspan.sources import files as X
 from loomspan.sources import matrix as M
 from loomspan.sources import tables as T
 from loomspan.sources.tables import blocks, sequences, table
@@ -103,9 +105,12 @@ def scan_tsv_gaze(spark, d):
 def scan_artifact_tree(spark, d):
     """A folder tree of one file a supplier, by task, participant and modality: the files found are counted; only their names are read."""
     at = folder(spark, "tree")
-    c = table(spark, d, "supplier").select(F.lit("cooking").alias("t"), F.col("s_nationkey").cast("string").alias("p"), (F.col("s_suppkey") % 3).cast("string").alias("m"), F.col("s_suppkey").cast("string").alias("k"))
-    # a row becomes a file, so rows are dealt to tasks by their number, and tasks put their own files in place
-    c.repartition(64).write.partitionBy("t", "p", "m").option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(at)
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    n = F.row_number().over(W.partitionBy("s_nationkey", "s_suppkey").orderBy("s_suppkey"))  # keys that repeat are files of their own
+    c = table(spark, d, "supplier").select("s_nationkey", "s_suppkey", n.alias("n"))
+    name = F.concat(F.lit("t=cooking/p="), part(F.col("s_nationkey")), F.lit("/m="), part(F.col("s_suppkey") % 3), F.lit("/part-"), part(F.col("s_suppkey")), F.lit("-"), F.col("n").cast("string"))
+    # a row becomes a file, so rows are dealt to tasks by their number
+    X.put(c.select(name.alias("path"), F.concat(part(F.col("s_suppkey")), F.lit("\n")).alias("text")).repartition(64), at)
     value = lambda c: F.element_at(F.split(c, "="), 2).alias(c)
     tree = T.artifact_tree(spark, at, "part-*").select(value("task_name"), value("participant_id"), value("modality"))
     return tree.groupBy("task_name", "participant_id", "modality").agg(F.count("*").alias("files"))

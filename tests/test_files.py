@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from loomspan.operators import consolidation as O
+from loomspan.plans import readers
 from loomspan.sources import files as X
 
 
@@ -48,3 +49,13 @@ def test_ingest_reads_each_file_once(spark, tmp_path):
     both = lambda *x: [(*x[:4], label, c, x[4]) for label, c in (("A2", "reading"), ("C1", "info"))]
     assert got == sorted([*both("p", "p/1.boris", 1.0, 3.0, "interval"), *both("q", "q/0.json", 0.0, 1.0, "interval"), *(("p", "p/1.boris", t, -1.0, "B1", "errors", "point") for t in (2.0, 4.0))])
     assert {r.path for r in rejected.collect()} == {"p/0.json", "r/0.json"}
+
+
+def test_artifact_tree_is_put_by_tasks(spark, tmp_path, monkeypatch):
+    rows = [(1, 5), (1, 5), (4, 5), (2, 5), (1, 6), (None, 6)]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(readers, "folder", lambda spark, name: f"file://{tmp_path}/{name}")
+    got = sorted((r.task_name, r.participant_id, r.modality, r.files) for r in readers.scan_artifact_tree(spark, str(tmp_path)).collect())
+    assert got == [("cooking", "5", "1", 3), ("cooking", "5", "2", 1), ("cooking", "6", "1", 1), ("cooking", "6", "__HIVE_DEFAULT_PARTITION__", 1)]
+    at = tmp_path / "tree" / "t=cooking" / "p=5" / "m=1"
+    assert {f.name: f.read_text() for f in at.iterdir()} == {"part-1-1": "1\n", "part-1-2": "1\n", "part-4-1": "4\n"}  # before, names and moves were Spark's writer's
