@@ -164,14 +164,12 @@ def baseline_majority_lockstep(spark, d):
 @query()
 def baseline_medoid(spark, d):
     """The member of least total warping distance in each group."""
-    from loomspan.operators.alignment import all_pairs
+    from loomspan.operators.alignment import totals
     from loomspan.plans.kernels import COSTS, cohort
 
-    seg = table(spark, d, "customer").select(F.col("c_custkey").alias("a"), F.col("c_mktsegment").alias("g"))
-    members = cohort(spark, d).join(seg.withColumnRenamed("a", "id"), "id")
-    dist = all_pairs(members.select("g", "id", "q"), COSTS, "dtw")
-    ends = dist.select("a", "d").unionByName(dist.select(F.col("b").alias("a"), "d")).groupBy("a").agg(F.sum("d").alias("total")).join(seg, "a")
-    return ends.groupBy("g").agg(F.min(F.struct(F.round("total", 6).alias("total"), "a")).alias("b")).select("g", F.col("b.a").alias("medoid"), "b.total")
+    seg = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("g"))
+    total = totals(cohort(spark, d).join(seg, "id").select("g", "id", "q"), COSTS)
+    return total.groupBy("g").agg(F.min(F.struct(F.round("total", 6).alias("total"), "a")).alias("b")).select("g", F.col("b.a").alias("medoid"), "b.total")
 
 
 @query(f"WITH {SEQ}, w AS (SELECT c_mktsegment AS g, id, label, avg(pos) AS m, count(*) AS n FROM s JOIN customer ON c_custkey = id GROUP BY ALL) SELECT g, label, round(avg(m), 5) AS centre, round(avg(n), 5) AS mass FROM w GROUP BY ALL")
