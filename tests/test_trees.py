@@ -122,3 +122,38 @@ def test_a_point_is_sent_once_for_each_block(spark):
     rows = spark.createDataFrame([(i, [float(i)]) for i in range(40)], "pos long, v array<double>")
     sent = R.pairs_of_blocks(rows, lambda a, b: pd.DataFrame({"n": [len(a) + (0 if b is None else len(b))]}), "n long", 10)
     assert sent.agg({"n": "sum"}).first()[0] == 40 * 4
+
+
+def test_points_are_sent_to_a_number_of_blocks_that_does_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(R, "LEAST", 10)
+    for n in (400, 4000):
+        rows = spark.createDataFrame([(i, [float(i), 0.1 if i % 2 else 0.5]) for i in range(n)], "pos long, v array<double>")
+        sent = R.pairs_of_blocks(rows, lambda a, b: pd.DataFrame({"n": [len(a) + (0 if b is None else len(b))], "kept": [all(v[1] in (0.1, 0.5) for v in a["v"])]}), "n long, kept boolean")
+        assert tuple(sent.selectExpr("sum(n)", "bool_and(kept)").first()) == (n * R.BLOCKS, True)
+
+
+@pytest.mark.parametrize("tile", [1, 7, 500])
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_tiles_give_the_tree_and_the_neighbours(monkeypatch, tile, shift):
+    """Equal distances, copies, and vectors far from the origin, whose products are rounded coarsely."""
+    monkeypatch.setattr(R, "TILE", tile)
+    monkeypatch.setattr(R, "HELD", 40)
+    rng = np.random.default_rng(tile)
+    x = shift + np.round(8 * rng.normal(size=(60, 3))) / 8  # sums are exact
+    x[50:] = x[10:20]
+    pos = rng.permutation(60)
+    for least in (0, 4):
+        w = reach(x, least)
+        core = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 1)[:, least - 1] if least else np.zeros(60)
+        got = R.tree_of(pos, x[pos], core[pos])
+        assert {(int(a), int(b)) for a, b in zip(got["a"], got["b"])} == prim(w) and all(np.isclose(v, w[a, b]) for a, b, v in got.itertuples(index=False))
+        # of two sides: the edges between them are those of a graph without the others
+        side = rng.random(60) < 0.4
+        apart = np.where(side[:, None] == side[None], 1e12, w)
+        both = R.tree_of(pos, x[pos], core[pos], side[pos])
+        assert {(int(a), int(b)) for a, b in zip(both["a"], both["b"])} == prim(apart)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for k in (1, 5):
+        near = R.nearest(x[pos[:35]], x, pos[:35], np.arange(60), k)
+        want = {(i, j) for i in pos[:35] for j in sorted(set(range(60)) - {i}, key=lambda j: (d[i, j], j))[:k]}
+        assert {(a, b) for a, b, _ in near.itertuples(index=False)} == want
