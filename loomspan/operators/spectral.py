@@ -7,17 +7,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.operators.trees import neighbours
+from loomspan.sources.stored import dropped, stored
 
 
 def affinities(rows: DataFrame, k: int = 10, scale: float | None = None) -> DataFrame:
     """(src, dst, weight): Gaussian similarities of each point (pos, v) and its k nearest, each pair once.
 
     scale: the kernel's width; the median distance of neighbours if None. A weight is 1e-12 at least, so no pair is lost.
+    Neighbours and similarities are written once: they are read for the width, and more than once by who iterates over them.
     """
-    near = neighbours(rows, k)
+    near = stored(neighbours(rows, k), "near")
     pairs = near.select(F.least("pos", "other").alias("src"), F.greatest("pos", "other").alias("dst"), "d").groupBy("src", "dst").agg(F.min("d").alias("d"))
     width = scale or near.agg(F.percentile_approx("d", 0.5)).first()[0] or 1.0
-    return pairs.select("src", "dst", F.greatest(F.exp(-F.col("d") * F.col("d") / (2 * width * width)), F.lit(1e-12)).alias("weight"))
+    out = stored(pairs.select("src", "dst", F.greatest(F.exp(-F.col("d") * F.col("d") / (2 * width * width)), F.lit(1e-12)).alias("weight")), "similarities")
+    dropped(near)
+    return out
 
 
 def spectral(edges: DataFrame, k: int, rounds: int = 20) -> DataFrame:

@@ -157,3 +157,9 @@ def test_tiles_give_the_tree_and_the_neighbours(monkeypatch, tile, shift):
         near = R.nearest(x[pos[:35]], x, pos[:35], np.arange(60), k)
         want = {(i, j) for i in pos[:35] for j in sorted(set(range(60)) - {i}, key=lambda j: (d[i, j], j))[:k]}
         assert {(a, b) for a, b, _ in near.itertuples(index=False)} == want
+
+
+def test_neighbours_are_taken_once_for_similarities(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i)]) for i in range(50)], "pos long, v array<double>")
+    edges = P.affinities(rows, 3)
+    assert "InPandas" not in edges._jdf.queryExecution().toString() and edges.count() == edges.dropDuplicates(["src", "dst"]).count() >= 75
